@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Words of the contract, and the byte map that turns everything else into a space.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of a text before A-Z is lower-cased, and the byte map that turns everything else into a space.
+ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 TO_WORDS = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 WINDOW = 10
 #: Bytes of normalised benchmark text in one automaton; a larger benchmark is scanned for in several passes.
@@ -81,7 +81,7 @@ def scan(text: str | None, a) -> tuple[int, list[tuple[int, int]], list[str]]:
 
 def original_spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Hit word ranges as code-point ranges of the text as it was."""
-    at = [m.span() for m in WORD.finditer(text)]
+    at = [m.span() for m in ORIGINAL_WORD.finditer(text)]
     return [(at[s][0], at[e - 1][1]) for s, e in hits]
 
 
