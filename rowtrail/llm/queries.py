@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_benchmark_decontamination
+from .media import op2_media_columns
 from .secrets import op8_secret_scans
 from .toxicity import op7_toxicity
 from .urls import op6_url_filters
 
 QUERIES = {
+    "op2_media_columns": op2_media_columns,
     "op6_url_filters": op6_url_filters,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
