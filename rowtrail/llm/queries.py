@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_benchmark_decontamination
+from .html_text import op9_html_extraction
 from .media import op2_media_columns
 from .secrets import op8_secret_scans
 from .toxicity import op7_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
+    "op9_html_extraction": op9_html_extraction,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLE_SQL = {"op10_benchmark_decontamination": OP10_SQL}
