@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_benchmark_decontamination
 from .html_text import op9_html_extraction
+from .jaccard import OP3_SQL, op3_ngram_jaccard_join
 from .media import op2_media_columns
 from .secrets import op8_secret_scans
 from .toxicity import op7_toxicity
@@ -11,10 +12,11 @@ from .urls import op6_url_filters
 
 QUERIES = {
     "op2_media_columns": op2_media_columns,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_url_filters": op6_url_filters,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-ORACLE_SQL = {"op10_benchmark_decontamination": OP10_SQL}
+ORACLE_SQL = {"op3_ngram_jaccard_join": OP3_SQL, "op10_benchmark_decontamination": OP10_SQL}
