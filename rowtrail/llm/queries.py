@@ -7,10 +7,12 @@ from .html_text import op9_html_extraction
 from .jaccard import OP3_SQL, op3_ngram_jaccard_join
 from .media import op2_media_columns
 from .secrets import op8_secret_scans
+from .suffix import op1_suffix_array_dedup
 from .toxicity import op7_toxicity
 from .urls import op6_url_filters
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_media_columns": op2_media_columns,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_url_filters": op6_url_filters,
