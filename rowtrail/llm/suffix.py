@@ -199,10 +199,22 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _SIDES = ["h", "doc_id", "block", "ord", "pos", "before", "piece"]
 _SIDES_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+#: Anchors with so many different surroundings aren't sorted as one group, which would grow with the corpus: each of
+#: their strings goes to the task of its own hash instead.
+CROWD = 8192
 
 
-def _fetch(wanted: SideTable):
-    """Task: the bytes around the wanted anchors of its splits."""
+def _strings(s: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which anchor, start, hash) of every whole string around the anchors ``at``; lo and hi border their texts."""
+    start = at[:, None] - np.arange(LEFT + 1)
+    fits = (start >= lo[:, None]) & (start + LENGTH <= hi[:, None])
+    which = np.nonzero(fits)[0]
+    start = start[fits]
+    return which, start, span_hashes(s, start, start + LENGTH)
+
+
+def _fetch(wanted: SideTable, crowd: bool):
+    """Task: the bytes around the wanted anchors of its splits; or, for crowded anchors, the hashes of their strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, at_block, table = _Rows(), None, None
@@ -212,8 +224,9 @@ def _fetch(wanted: SideTable):
                     at_block, t = block, wanted.load(block)
                     table = None
                     if t is not None:
-                        c = {n: np.asarray(t.column(n)) for n in ("h", "doc_id", "ord", "start")}
+                        c = {n: np.asarray(t.column(n)) for n in ("h", "doc_id", "ord", "start", "crowd")}
                         order = np.argsort(c["ord"], kind="stable")
+                        order = order[c["crowd"][order] == crowd]
                         table = {n: v[order] for n, v in c.items()}
                 if table is None:
                     continue
@@ -223,6 +236,14 @@ def _fetch(wanted: SideTable):
                 text = table["ord"][i:j] - base
                 at = off[text] + table["start"][i:j]
                 lo, hi = np.maximum(at - LEFT, off[text]), np.minimum(at + LENGTH, off[text + 1])
+                if crowd:
+                    which, start, h = _strings(prefix_hashes(raw), at, lo, hi)
+                    doc, ords, begin = table["doc_id"][i:j][which], table["ord"][i:j][which], start - off[text][which]
+                    first = np.lexsort((begin, doc, h))
+                    _, pick = np.unique(np.stack([h[first].view(np.int64), doc[first], begin[first]]), axis=1, return_index=True)
+                    q = first[pick]
+                    yield _batch([h[q].view(np.int64), np.zeros(len(q), int), doc[q], np.full(len(q), block), ords[q], begin[q], np.zeros(len(q), int)])
+                    continue
                 data = raw.tobytes()
                 piece = [data[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
                 yield _batch([table["h"][i:j], table["doc_id"][i:j], np.full(j - i, block), table["ord"][i:j], table["start"][i:j], at - lo, piece], _SIDES, _SIDES_TYPES)
@@ -230,6 +251,22 @@ def _fetch(wanted: SideTable):
     return run
 
 
+def _repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task over strings sorted by (h, doc_id, start): spans of all but the first of each hash.  A stream, too."""
+    last = None
+    for batch in batches:
+        h, doc, start, block, ords = (np.asarray(batch.column(n)) for n in ("h", "doc_id", "start", "block", "ord"))
+        if not len(h):
+            continue
+        new = np.append(last is None or h[0] != last[0], h[1:] != h[:-1])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+        doc0 = np.where(head >= 0, doc[head], last[1] if last else 0)
+        pos0 = np.where(head >= 0, start[head], last[2] if last else 0)
+        q = np.flatnonzero((doc != doc0) | (start != pos0))
+        last = (h[-1], doc0[-1], pos0[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(block[q]), pa.array(ords[q]), pa.array(start[q], pa.int32()), pa.array(start[q] + LENGTH, pa.int32())], names=["block", "ord", "start", "end"])
+
+
 # ---------------------------------------------------------------- suffix sorting by hashes
 
 
@@ -238,9 +275,12 @@ class Suffixes:
 
     def __init__(self, rows: np.ndarray, lens: np.ndarray):
         self.rows, self.lens = rows, lens
-        up, _ = powers(rows.shape[1] + 1)
-        self.hashes = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
-        np.cumsum(mix(rows.astype(np.uint64) + np.uint64(1)) * up[: rows.shape[1]], axis=1, out=self.hashes[:, 1:])
+        width = rows.shape[1]
+        up, _ = powers(width + 1)
+        values = mix(np.arange(1, 257, dtype=np.uint64))
+        self.hashes = np.zeros((len(rows), width + 1), np.uint64)
+        for i in range(0, len(rows), 2048):
+            np.cumsum(values[rows[i : i + 2048]] * up[:width], axis=1, out=self.hashes[i : i + 2048, 1:])
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common prefix lengths of rows x and y: a logarithmic number of hash comparisons each."""
@@ -447,10 +487,17 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     met = written(
         rows.mapInArrow(_anchors, _HITS_SCHEMA).repartition(spread(spark), "h").sortWithinPartitions("h", "around", "doc_id", "start").mapInArrow(_meet, _HITS_SCHEMA), "suffix"
     )
-    wanted = SideTable(met.where("end = 0").select("h", "doc_id", "block", "ord", "start"), "suffix")
-    pieces = rows.mapInArrow(_fetch(wanted), "h long, doc_id long, block long, ord int, pos int, before int, piece binary")
-    more = pieces.repartition(spread(spark), "h").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(_extend, "block long, ord int, start int, end int")
-    spans = SideTable(met.where("end > 0").select("block", "ord", "start", "end").unionByName(more), "suffix")
+    ask = met.where("end = 0").select("h", "doc_id", "block", "ord", "start")
+    crowds = ask.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h", F.lit(True).alias("crowd"))
+    wanted = SideTable(ask.join(crowds, "h", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))), "suffix")
+    pieces = rows.mapInArrow(_fetch(wanted, False), "h long, doc_id long, block long, ord int, pos int, before int, piece binary")
+    spans_schema = "block long, ord int, start int, end int"
+    more = pieces.repartition(spread(spark), "h").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(_extend, spans_schema)
+    found = met.where("end > 0").select("block", "ord", "start", "end").unionByName(more)
+    if not crowds.isEmpty():
+        strings = rows.mapInArrow(_fetch(wanted, True), _HITS_SCHEMA).repartition(spread(spark), "h").sortWithinPartitions("h", "doc_id", "start")
+        found = found.unionByName(strings.mapInArrow(_repeat, spans_schema))
+    spans = SideTable(found, "suffix")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
     return rows.mapInArrow(_cut(spans, with_bytes), schema)
 
