@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP10_SQL, op10_benchmark_decontamination
 from .html_text import op9_html_extraction
 from .jaccard import OP3_SQL, op3_ngram_jaccard_join
+from .lines import OP4_SQL, op4_line_dedup
 from .media import op2_media_columns
 from .secrets import op8_secret_scans
 from .suffix import op1_suffix_array_dedup
@@ -15,10 +16,11 @@ QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_media_columns": op2_media_columns,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_line_dedup": op4_line_dedup,
     "op6_url_filters": op6_url_filters,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-ORACLE_SQL = {"op3_ngram_jaccard_join": OP3_SQL, "op10_benchmark_decontamination": OP10_SQL}
+ORACLE_SQL = {"op3_ngram_jaccard_join": OP3_SQL, "op4_line_dedup": OP4_SQL, "op10_benchmark_decontamination": OP10_SQL}
