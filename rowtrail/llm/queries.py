@@ -7,6 +7,7 @@ from .html_text import op9_html_extraction
 from .jaccard import OP3_SQL, op3_ngram_jaccard_join
 from .lines import OP4_SQL, op4_line_dedup
 from .media import op2_media_columns
+from .pieces import op5_sentencepiece
 from .secrets import op8_secret_scans
 from .suffix import op1_suffix_array_dedup
 from .toxicity import op7_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_media_columns": op2_media_columns,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_url_filters": op6_url_filters,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
