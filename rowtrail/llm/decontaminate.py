@@ -152,6 +152,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_column: str =
     return found.select("doc_id", "row", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
 
 
+def _clean(items: list[tuple[str, str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = automaton(items)
+        for batch in batches:
+            yield batch.filter(pa.array([not scan(t.as_py(), a)[1] for t in batch.column("text")], pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents without any benchmark window, with their columns as they came."""
+    small_batches(spark)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    for block in item_blocks(benchmark, "item_id", "text", BLOCK_BYTES):
+        docs = docs.mapInArrow(_clean(block), docs.schema)
+    return docs
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document."""
     found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -32,7 +32,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature hashes, their sentences, first sentence of each text) for texts laid end to end.
+    """(feature hashes, their sentences, first sentence of each text and their number) for texts laid end to end.
 
     A sentence ends at ``. ! ?``, a line break or the text's end.  Each word gives its own hash and those of its
     first 4, 5 and 6 bytes where it is longer; letters A-Z count as lower case.
@@ -40,25 +40,25 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     low = LOWER[raw]
     s = prefix_hashes(low)
     starts, ends, _ = word_spans(low, off, _BETWEEN)
-    stop = np.zeros(len(raw) + 1, np.int64)
-    stop[1:] = _STOP[raw]
-    stop[off[1:-1]] += 1  # a border opens a sentence, so no sentence spans two texts
-    sentence = np.cumsum(stop)
+    stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
+    sentence = stops[starts] + np.searchsorted(off, starts, side="right") - 1  # each text opens one, empty ones too
     with np.errstate(over="ignore"):
-        parts, owner = [span_hashes(s, starts, ends)], [sentence[starts]]
+        parts, owner = [span_hashes(s, starts, ends)], [sentence]
         for k in PREFIXES:
             at = np.flatnonzero(ends - starts > k)
             parts.append(span_hashes(s, starts[at], starts[at] + k) ^ np.uint64(k))
-            owner.append(sentence[starts[at]])
-    first = sentence[np.minimum(off, len(raw))]
-    first[0] = 0
-    return np.concatenate(parts), np.concatenate(owner), first
+            owner.append(sentence[at])
+    return np.concatenate(parts), np.concatenate(owner), stops[off] + np.arange(len(off))
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0.0, -z))
+
+
 def fit(ids: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int, rounds: int = 60, rate: float = 0.35, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights by Adam on the noisy-or likelihood: P(doc) = 1 - prod(1 - sigmoid(bias + sum of the sentence's weights)).
 
@@ -70,7 +70,7 @@ def fit(ids: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, n
         z = bias + np.bincount(sentence, w[ids], len(doc))
         total = np.bincount(doc, softplus(z), len(y))
         slope = np.where(y == 1, -1.0 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
-        dz = slope[doc] / (1 + np.exp(-z)) / len(y)
+        dz = slope[doc] * sigmoid(z) / len(y)
         g, gb = np.bincount(ids, dz[sentence], n) + l2 * w / len(y), dz.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.99**t
@@ -84,8 +84,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = buffers(batch.column("text"))
         h, s, first = features(raw, off)
-        count = int(max(s.max() + 1 if len(s) else 0, first[-1] + 1))
-        of = np.searchsorted(first[:-1], np.arange(count), side="right") - 1
+        count = int(first[-1])
+        of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         hashes.append(h)
         owners.append(s + n_sent)
         docs.append(of + len(labels))
@@ -122,8 +122,7 @@ class Model:
         h, s, first = features(raw, off)
         at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
         hit = np.flatnonzero(self.keys[at] == h)
-        n = int(max(s.max() + 1 if len(s) else 0, first[-1] + 1))
-        return self.bias + np.bincount(s[hit], self.weights[at[hit]], n), first
+        return self.bias + np.bincount(s[hit], self.weights[at[hit]], int(first[-1])), first
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -164,11 +163,11 @@ def _scorer(model):
                 z, first = m.sentences(raw, off)
                 total = np.add.reduceat(softplus(z), first[:-1]) if part.num_rows else np.zeros(0)
                 score = -np.expm1(-total)
-                p = 1 / (1 + np.exp(-z))
+                p = sigmoid(z)
                 bad = np.flatnonzero(p >= 0.5)
                 where: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for d in np.unique(np.searchsorted(first[:-1], bad, side="right") - 1):
-                    mine = bad[(bad >= first[d]) & (bad < first[d + 1] if d + 1 < part.num_rows else bad >= 0)]
+                    mine = bad[(bad >= first[d]) & (bad < first[d + 1])]
                     where[d] = _sentence_spans(raw, off, d, mine - first[d], first, p)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(i) for i in range(part.num_columns - 1)], pa.array(score, pa.float64()), pa.array(where, SENTENCE)],
