@@ -337,7 +337,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([lists, pa.array(np.concatenate(y).astype(float))], names=["x", "label"])
 
 
-def train(spark: SparkSession, pages: int = 500, trees: int = 16, depth: int = 5) -> list:
+def train(spark: SparkSession, pages: int = 1000, trees: int = 20, depth: int = 5) -> list:
     """The fitted trees as nested tuples (feature, threshold, left, right) or leaves, each with its weight."""
     rows = spark.range(0, pages, 1, 4).mapInArrow(_training_rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").persist()
     try:

@@ -152,7 +152,7 @@ def test_toxicity_batches_do_not_matter(documents):
 
 
 def test_html(spark):
-    trees = train(spark, pages=300, trees=10)
+    trees = train(spark)
     right = total = 0
     for seed in range(10_000, 10_060):
         x, y = labelled_nodes(seed)
