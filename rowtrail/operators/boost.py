@@ -53,7 +53,7 @@ class Params:
             raise ValueError(f"out of range: {', '.join(bad)}")
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder (a temporary one where none is set)."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -105,8 +105,8 @@ class Booster:
         self.shape = (max(first.p, 0), max(first.c, 0), max(first.t, 0))
         self.base = self.loss.init_scores(rows)
         start = F.array(*[F.lit(float(b)) for b in self.base])
-        state = _stored(rows.select("row_id", "y", start.alias("raw")))
-        judged = _stored(evaluation.select("row_id", "y", start.alias("raw"))) if evaluation is not None else None
+        state = stored(rows.select("row_id", "y", start.alias("raw")))
+        judged = stored(evaluation.select("row_id", "y", start.alias("raw"))) if evaluation is not None else None
         donors = [r.series for r in rows.select("series").orderBy(uniform(p.seed, F.col("row_id"))).limit(64).collect()] if p.draws.shapelets and self.shape[1] else []
         best, waited = math.inf, 0
         for r in range(p.rounds):
@@ -117,16 +117,16 @@ class Booster:
                 work = work.withColumn("used", uniform(p.seed, r, F.col("row_id")) < p.subsample)
             else:
                 work = work.withColumn("used", F.lit(True))
-            work = _stored(work)
+            work = stored(work)
             grown = self._grow(work, specs)
             self.trees.append(grown)
             at = {s: F.get("x", F.lit(i)) for i, s in enumerate(specs)}
-            state = _stored(work.select("row_id", "y", self._added(F.col("raw"), grown, at).alias("raw")))
+            state = stored(work.select("row_id", "y", self._added(F.col("raw"), grown, at).alias("raw")))
             told = {"train": state.agg(self.loss.metric(F.col("y"), F.col("raw"))).first()[0]}
             if judged is not None:
                 used = sorted({n.spec for t in grown for n in t if n.spec is not None}, key=repr)
                 new = evaluation.select("row_id", features_column(used, F.col("static"), F.col("series")).alias("x")).join(judged, "row_id")
-                judged = _stored(new.select("row_id", "y", self._added(F.col("raw"), grown, {s: F.get("x", F.lit(i)) for i, s in enumerate(used)}).alias("raw")))
+                judged = stored(new.select("row_id", "y", self._added(F.col("raw"), grown, {s: F.get("x", F.lit(i)) for i, s in enumerate(used)}).alias("raw")))
                 told["eval"] = judged.agg(self.loss.metric(F.col("y"), F.col("raw"))).first()[0]
             self.history.append(told)
             now = told.get("eval", -r)

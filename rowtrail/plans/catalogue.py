@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import losses, metrics, stats
 from ..functions.scalar import bounded, goes_left, mixed_hash
-from ..operators import etl, rocket, split, temporal
-from ..sources import series
+from ..operators import boost, etl, ridge, rocket, specs, split, temporal
+from ..sources import generators, series
+from ..operators.boost import stored
 from . import reports
 
 CHANNELS = ["click", "error", "purchase", "signup", "view"]
@@ -563,3 +564,41 @@ def sweep_optimism(spark, sf_dir):
 @query("SELECT p_type AS family, round(sum(p_retailprice), 6) + 0.0 AS gain FROM part GROUP BY p_type")
 def importance_rollup(spark, sf_dir):
     return rounded(reports.importance(table(spark, sf_dir, "part"), "p_type", "p_retailprice").withColumnRenamed("p_type", "family"))
+
+
+# ---------------------------------------------------------------- models (no SQL; tested against brute force and held-out accuracy)
+
+
+def boosted_rules(spark, sf_dir):
+    """Boosted rules on users: account balance from static columns and event series; the splits found."""
+    arrays = series.to_arrays(user_series(spark, sf_dir), ["user_id", "channel"])
+    users = arrays.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "series"))), lambda c: c["series"]).alias("series"))
+    rows = users.join(table(spark, sf_dir, "customer"), F.col("user_id") == F.col("c_custkey")).select(
+        F.col("user_id").alias("row_id"), (F.col("c_acctbal") / 1000).alias("y"), F.array(F.col("c_nationkey").cast("double"), (F.length("c_mktsegment")).cast("double")).alias("static"), "series"
+    )
+    rows = stored(rows)
+    model = boost.fit_regressor(rows, boost.Params(rounds=3, depth=2, draws=specs.Draws(intervals=8)))
+    return model.predict(rows).select("row_id", "prediction")
+
+
+def ridge_base(spark, sf_dir):
+    """Ridge on the embeddings' convolution features, one-vs-rest: leave-one-out margins of every vector."""
+    rows, _ = embedded(spark, sf_dir)
+    bank = rocket.RocketBank.fit(rows.select(F.col("vec_id").alias("row_id"), F.array("series").alias("s")), "s", 64, features=252, seed=0)
+    target = ridge.signed_targets(F.col("label"), list(range(10)))
+    wide = stored(rows.select("vec_id", "label", bank.transform(F.array("series")).alias("x"), target.alias("t")))
+    held = ridge.fit_ridge(wide).leave_one_out(wide)
+    return held.select("vec_id", "label", (F.array_position("margin", F.array_max("margin")) - 1).cast("int").alias("predicted"))
+
+
+def generated_scenarios(spark, sf_dir):
+    """Rows of each generator with their label counts."""
+    out = None
+    for name, make in generators.SCENARIOS.items():
+        rows = make(spark, 100).select(F.lit(name).alias("scenario"), "row_id", F.size("static").alias("statics"), F.size("series").alias("channels"), F.col("label").cast("double").alias("label"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+for _f in (boosted_rules, ridge_base, generated_scenarios):
+    QUERIES[_f.__name__] = _f
