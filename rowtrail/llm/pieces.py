@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding over a relational lattice of the corpus's distinct words.
 
-1. Each input split lists its distinct words (a word is a run of spaces with what follows up to the next space or line
-   break; no piece of the model crosses such a border).
+1. Each input split lists its distinct words.  A word is a run of spaces with what follows up to the next space, line
+   break, or change between punctuation and other characters, as far as no piece of the model crosses such a border.
 2. Each distinct word of the corpus explodes into its substrings of bounded length; an equi-join with the piece table
    (of the model's fixed size, broadcast) leaves the lattice's edges, which are grouped by word.
-3. A fold with Spark's ``aggregate`` turns a word's edges into its segmentation.  For a unigram model that is Viterbi.
+3. A fold turns a word's edges into its segmentation.  For a unigram model that is Viterbi with Spark's ``aggregate``.
    A BPE model does not define the best-scored path: it merges the best-ranked adjacent pair again and again, so
-   there the fold does that over the same edges.  The state is a bit mask of the borders that still stand.
+   there the fold does that over the same edges, for all words of an Arrow batch in step (Spark's interpreted lambdas
+   took about three times the CPU seconds).  The state is a bit mask of the borders that still stand.
 4. The segmentations go back to the splits that have the words, and every text is put together from them.
 
 Texts are scanned twice and never shuffled.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,6 @@ from .common import SideTable, block_id, scanned, small_batches, written
 SPACE = "▁"
 #: Words of up to so many characters are folded in Spark (the mask has 64 bits); longer ones are merged in the task.
 FOLD_CHARS = 60
-WORDS = re.compile(r" *[^ \n]+| +|\n")
 
 
 def default_model() -> str:
@@ -46,9 +47,33 @@ class Pieces:
         self.texts, self.scores, self.kind, self.byte_first, self.unknown = texts, scores, kind, byte_first, unknown
         self.plain = plain or [True] * len(texts)
         self.longest = max((len(t) for t, p in zip(texts, self.plain) if p), default=1)
+        self.marks, self.odd = self._borders()
         if any(SPACE in t.lstrip(SPACE) or "\n" in t for t, p in zip(texts, self.plain) if p):
             raise ValueError("pieces that cross a word's border are not supported")
 
+    def _borders(self) -> tuple[str, str]:
+        """(marks, odd): punctuation that no piece joins to a letter or digit, so a word may be cut around it; and the
+        characters that some piece does join to it, whose texts are not cut there."""
+        joined: dict[str, set[str]] = {c: set() for c in string.punctuation}
+        for t, plain in zip(self.texts, self.plain):
+            if plain:
+                for a, b in zip(t, t[1:]):
+                    if a in joined:
+                        joined[a].add(b)
+                    if b in joined and a != SPACE:
+                        joined[b].add(a)
+        marks = {c for c, near in joined.items() if not any(x.isascii() and x.isalnum() for x in near)}
+        return "".join(sorted(marks)), "".join(sorted({x for c in marks for x in joined[c]} - marks))
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text with its leading dummy space; the model takes its space mark for a space."""
+        if not text:
+            return []
+        fine = self.marks and not (self.odd and re.search(f"[{re.escape(self.odd)}]", text))
+        marks = re.escape(self.marks)
+        pattern = rf" *[^ \n{marks}]+| *[{marks}]+| +|\n" if fine else r" *[^ \n]+| +|\n"
+        return re.findall(pattern, " " + text.replace(SPACE, " "))
+
     @classmethod
     def load(cls, path: str) -> Pieces:
         import sentencepiece
@@ -80,17 +105,33 @@ def border(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def fold_bpe(edges: Column, n: Column) -> Column:
-    """Border mask of a word of n characters after all merges.  Edges: (rank, start, ends, inner), sorted by rank and start.
+def _fold_bpe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: (word, mask) from (word, n, packed edges), all words of a batch in step.
 
-    An edge is two adjacent symbols if both its borders stand and one between them does; the first such one merges.
+    An edge is two adjacent symbols if both its borders stand and one between them does; each round merges every
+    word's first such edge by rank and start, and forgets edges that have lost a border.
     """
-
-    def step(mask: Column, _: Column) -> Column:
-        free = F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
-        return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(free, F.lit(0))["inner"], F.lit(0).cast("long"))))
-
-    return F.aggregate(F.sequence(F.lit(1), n), border(n + 1) - 1, step)
+    one = np.uint64(1)
+    for batch in batches:
+        lists = batch.column("packed")
+        v = np.asarray(lists.flatten())
+        n = np.asarray(batch.column("n")).astype(np.uint64)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+        order = np.lexsort((v, owner))
+        v, owner = v[order], owner[order]
+        start, stop = ((v >> 7) & 127).astype(np.uint64), (v & 127).astype(np.uint64)
+        ends, inner = (one << start) | (one << stop), (one << stop) - (one << (start + one))
+        mask = (one << (n + one)) - one
+        while len(v):
+            now = mask[owner]
+            stands = (now & ends) == ends
+            owner, ends, inner, now, v = owner[stands], ends[stands], inner[stands], now[stands], v[stands]
+            free = np.flatnonzero(np.bitwise_count(now & inner) == 1)
+            if not len(free):
+                break
+            first = free[np.append(True, owner[free][1:] != owner[free][:-1])]
+            mask[owner[first]] &= ~inner[first]
+        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(mask.view(np.int64))], names=["word", "mask"])
 
 
 def fold_viterbi(edges: Column, n: Column, unknown: float) -> Column:
@@ -123,15 +164,16 @@ def segment_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     least = 2 if pieces.kind == "bpe" else 1
     starts = words.where(n >= least).select("word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - least)).alias("start"))
     spans = starts.select("word", "n", "start", F.explode(F.sequence(F.col("start") + least, F.least(F.col("n"), F.col("start") + pieces.longest))).alias("stop"))
-    subs = spans.select("word", "n", "start", "stop", F.col("word").substr(F.col("start") + 1, F.col("stop") - F.col("start")).alias("piece"))
-    edges = subs.join(F.broadcast(pieces.table(spark)), "piece")
+    piece = F.col("word").substr(F.col("start") + 1, F.col("stop") - F.col("start"))
+    subs = spans.select("word", "n", "start", "stop", piece.alias("span")).withColumn("key", F.xxhash64("span"))
+    # a join on whole numbers with the text as a condition: the hash table of whole numbers is the fast one
+    table = F.broadcast(pieces.table(spark).withColumn("key", F.xxhash64("piece")))
+    edges = subs.join(table, (subs["key"] == table["key"]) & (F.col("span") == F.col("piece")))
     if pieces.kind == "bpe":
-        edge = F.struct((-F.col("score")).cast("int").alias("rank"), "start", border(F.col("start")).bitwiseOR(border(F.col("stop"))).alias("ends"), (border(F.col("stop")) - border(F.col("start") + 1)).alias("inner"))
-    else:
-        edge = F.struct("start", "stop", "score")
-    grouped = edges.groupBy("word", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    if pieces.kind == "bpe":
-        return grouped.select("word", fold_bpe(F.col("edges"), F.col("n")).alias("mask"))
+        # rank, start and stop in one whole number, so edges are gathered and sorted as such
+        packed = (-F.col("score")).cast("long") * 16384 + F.col("start") * 128 + F.col("stop")
+        return edges.groupBy("word", "n").agg(F.collect_list(packed).alias("packed")).mapInArrow(_fold_bpe, "word string, mask long")
+    grouped = edges.groupBy("word", "n").agg(F.collect_list(F.struct("start", "stop", "score")).alias("edges"))
     lowest = min((s for s, p in zip(pieces.scores, pieces.plain) if p), default=0.0)
     return grouped.select("word", fold_viterbi(F.col("edges"), F.col("n"), lowest - 10.0).alias("mask"))
 
@@ -139,11 +181,6 @@ def segment_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 # ---------------------------------------------------------------- in the tasks
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text with its leading dummy space; the model takes its space mark for a space."""
-    return WORDS.findall(" " + text.replace(SPACE, " ")) if text else []
-
-
 def merge_long(word: str, ranks: dict[str, float]) -> list[str]:
     """The pieces of one long word by BPE with a heap over adjacent pairs: the same merges as the fold's."""
     n = len(word)
@@ -232,8 +269,16 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _vocabulary(pieces):
     """Task: the distinct words of each split that are short enough to be folded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _split_words(batches, pieces.value)
+
+    return run
+
+
+def _split_words(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
     seen: set[str] = set()
     at_block = None
 
@@ -250,7 +295,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.clear()
                 at_block = block
             if (t := text.as_py()):
-                seen.update(words_of(t))
+                seen.update(pieces.words(t))
     yield from out()
 
 
@@ -268,7 +313,7 @@ def _assemble(pieces, side: SideTable):
                     masks = dict(zip(t.column("word").to_pylist(), t.column("mask").to_pylist())) if t is not None else {}
                     known = {}
                 ids = []
-                for w in words_of(cell.as_py() or ""):
+                for w in pieces.value.words(cell.as_py() or ""):
                     got = known.get(w)
                     if got is None:
                         got = known[w] = encoder.of_word(w, masks.get(w.replace(" ", SPACE)))
@@ -295,11 +340,12 @@ def encode_texts(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     small_batches(spark)
     docs = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "pieces")
     rows = docs.select("doc_id", "text", block_id())
-    lists = written(rows.mapInArrow(_vocabulary, "block long, word string"), "pieces")
+    shared = spark.sparkContext.broadcast(pieces)
+    lists = written(rows.mapInArrow(_vocabulary(shared), "block long, word string"), "pieces")
     distinct = lists.select("word").distinct()
     masks = segment_words(distinct, pieces)
     side = SideTable(lists.join(masks, "word").select("block", "word", "mask"), "pieces")
-    return rows.mapInArrow(_assemble(spark.sparkContext.broadcast(pieces), side), "doc_id long, text string, pieces array<int>, decoded string")
+    return rows.mapInArrow(_assemble(shared, side), "doc_id long, text string, pieces array<int>, decoded string")
 
 
 def decode_pieces(encoded: DataFrame, pieces: Pieces | None = None, column: str = "pieces") -> DataFrame:
