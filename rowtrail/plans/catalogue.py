@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import losses, metrics, stats
 from ..functions.scalar import bounded, goes_left, mixed_hash
 from ..operators import boost, etl, ridge, rocket, specs, split, temporal
-from ..sources import generators, series
+from ..sources import generators, recordings, series
 from ..operators.boost import stored
 from . import reports
 
@@ -566,6 +566,78 @@ def importance_rollup(spark, sf_dir):
     return rounded(reports.importance(table(spark, sf_dir, "part"), "p_type", "p_retailprice").withColumnRenamed("p_type", "family"))
 
 
+@query("SELECT p_brand AS model, round(avg(p_retailprice), 6) + 0.0 AS mean_seconds, round(max(p_retailprice), 6) + 0.0 AS max_seconds FROM part GROUP BY p_brand")
+def timing_rollup(spark, sf_dir):
+    return rounded(reports.timing(table(spark, sf_dir, "part"), "p_brand", "p_retailprice").withColumnRenamed("p_brand", "model"))
+
+
+@query(
+    f"{CELLS}, m AS (SELECT dataset, avg(100 * (a.score - b.score)) AS margin FROM c a JOIN c b USING (dataset, seed) WHERE a.model = 'm1' AND b.model = 'm0' GROUP BY dataset) "
+    "SELECT dataset, round(margin, 6) + 0.0 AS margin, CASE WHEN margin >= 0.02 THEN 'PASS' WHEN margin <= 0 THEN 'FAIL' ELSE 'MARGINAL' END AS verdict FROM m"
+)
+def margin_verdict(spark, sf_dir):
+    margins = reports.paired_margins(result_cells(spark, sf_dir), "m1", "m0", ["dataset", "seed"]).groupBy("dataset").agg(F.avg("margin").alias("margin"))
+    return rounded(margins.withColumn("verdict", reports.verdict(F.col("margin"), 0.02, 0.0)))
+
+
+@query(f"{CELLS}, k AS (SELECT model, seed, row_number() OVER (PARTITION BY dataset, seed ORDER BY score DESC, model) AS r FROM c) SELECT model, round(avg(r), 6) + 0.0 AS mean_rank, CAST(sum(CASE WHEN r = 1 THEN 1 ELSE 0 END) AS BIGINT) AS wins FROM k GROUP BY model")
+def mean_rank(spark, sf_dir):
+    return rounded(reports.mean_ranks(result_cells(spark, sf_dir), ["dataset", "seed"]))
+
+
+@query(
+    "WITH a AS (SELECT DISTINCT o_custkey % 50 AS seed FROM orders WHERE o_orderkey % 97 = 1), b AS (SELECT DISTINCT o_custkey % 50 AS seed FROM orders WHERE o_orderkey % 89 = 2) "
+    "SELECT seed, 'a' AS only FROM a WHERE seed NOT IN (SELECT seed FROM b) UNION ALL SELECT seed, 'b' FROM b WHERE seed NOT IN (SELECT seed FROM a)"
+)
+def unpaired_seeds(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("seed", F.col("o_custkey") % 50)
+    arms = o.where("o_orderkey % 97 = 1").select(F.lit("a").alias("model"), "seed").unionByName(o.where("o_orderkey % 89 = 2").select(F.lit("b").alias("model"), "seed"))
+    return reports.unpaired(arms, "a", "b", ["seed"])
+
+
+@query(
+    "WITH n AS (SELECT o_custkey, count(*) * 41 AS n FROM orders GROUP BY o_custkey) SELECT CASE WHEN abs(n - 100) <= 5 THEN 100 WHEN abs(n - 250) <= 12.5 THEN 250 WHEN abs(n - 500) <= 25 THEN 500 WHEN abs(n - 1000) <= 50 THEN 1000 ELSE 0 END AS size, count(*) AS customers FROM n GROUP BY 1"
+)
+def nominal_sizes(spark, sf_dir):
+    n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.count(F.lit(1)) * 41).alias("n"))
+    return n.groupBy(reports.nominal_size(F.col("n")).alias("size")).agg(F.count(F.lit(1)).alias("customers"))
+
+
+EAV = "WITH r AS (SELECT user_id, CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute, event_type AS parameter, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value FROM events WHERE event_id % 13 <> 0)"
+
+
+def eav_lines(spark, sf_dir) -> DataFrame:
+    """Events as text lines of one file a user, some malformed and some with the missing sentinel."""
+    value = F.when(F.col("event_id") % 11 == 0, F.lit("-1")).otherwise(F.col("value").cast("string"))
+    line = F.when(F.col("event_id") % 13 == 0, F.lit("garbled;line")).otherwise(F.concat_ws(",", F.date_format("ts", "HH:mm"), "event_type", value))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("record_id"), line.alias("value"))
+
+
+@query(f"{EAV} SELECT user_id AS record_id, parameter, least(hour, 19) AS t, round(avg(value), 6) + 0.0 AS value FROM r WHERE parameter <> 'signup' GROUP BY ALL HAVING avg(value) IS NOT NULL")
+def eav_hourly(spark, sf_dir):
+    return rounded(recordings.eav_series(recordings.eav_rows(eav_lines(spark, sf_dir)), ["signup"], 20))
+
+
+@query(
+    f"{EAV}, k AS (SELECT user_id, parameter, value, row_number() OVER (PARTITION BY user_id, parameter ORDER BY minute, value) AS n FROM r WHERE hour = 0 AND parameter IN ('signup', 'view') AND value IS NOT NULL) "
+    "SELECT user_id AS record_id, round(max(value) FILTER (parameter = 'signup'), 6) + 0.0 AS signup, round(max(value) FILTER (parameter = 'view'), 6) + 0.0 AS \"view\" FROM k WHERE n = 1 GROUP BY user_id"
+)
+def eav_statics(spark, sf_dir):
+    return rounded(recordings.eav_statics(recordings.eav_rows(eav_lines(spark, sf_dir)), ["signup", "view"]))
+
+
+@query(
+    "WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN (c_custkey % 90) || ' yr FEMALE' WHEN c_custkey % 4 = 1 THEN 'Male, ' || (c_custkey % 90) || 'yr' WHEN c_custkey % 4 = 2 THEN 'unknown' END AS t FROM customer) "
+    "SELECT c_custkey, CAST(nullif(regexp_extract(lower(t), '(\\d+)\\s*yr', 1), '') AS DOUBLE) AS age, CASE WHEN lower(t) LIKE '%female%' THEN 1.0 WHEN lower(t) LIKE '%male%' THEN 0.0 END::DOUBLE AS sex FROM t"
+)
+def demographics_text(spark, sf_dir):
+    k = F.col("c_custkey")
+    years = (k % 90).cast("string")
+    text = F.when(k % 4 == 0, F.concat(years, F.lit(" yr FEMALE"))).when(k % 4 == 1, F.concat(F.lit("Male, "), years, F.lit("yr"))).when(k % 4 == 2, F.lit("unknown"))
+    age, sex = recordings.demographics(text)
+    return table(spark, sf_dir, "customer").select("c_custkey", age.alias("age"), sex.alias("sex"))
+
+
 # ---------------------------------------------------------------- models (no SQL; tested against brute force and held-out accuracy)
 
 
