@@ -80,16 +80,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     repeated rows of a doc_id are no earlier than each other at equal places, so they lose the same lines; a null
     doc_id comes after all others; a text that loses all its lines is empty; an empty table gives an empty result.
     """
-    gone = repeated_lines(docs, min_words).toDF("_id", "_th", "_gone")
-    keyed = docs.drop("n_lines", "n_removed").withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)), "_h": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    joined = keyed.join(gone, (F.col("_k") == F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
+    gone = repeated_lines(docs, min_words).toDF("_line_dedup_id", "_line_dedup_th", "_line_dedup_gone")
+    keyed = docs.drop("n_lines", "n_removed").withColumns({"_line_dedup_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)), "_line_dedup_h": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    joined = keyed.join(gone, (F.col("_line_dedup_k") == F.col("_line_dedup_id")) & (F.col("_line_dedup_h") == F.col("_line_dedup_th")), "left")
     lines = F.split("text", "\n")
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"))
-    cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    counted = joined.withColumn("_lines", lines).withColumns(
-        {"n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size("_lines")), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long")}
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_line_dedup_lines") - 1), "_line_dedup_gone"))
+    cut = F.when(F.col("_line_dedup_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_line_dedup_lines"), i)), "\n"))
+    counted = joined.withColumn("_line_dedup_lines", lines).withColumns(
+        {"n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size("_line_dedup_lines")), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.when(F.col("_line_dedup_gone").isNotNull(), F.size("_line_dedup_gone")), F.lit(0)).cast("long")}
     )
-    return counted.withColumn("text", cut).drop("_k", "_h", "_id", "_th", "_gone", "_lines")
+    return counted.withColumn("text", cut).drop("_line_dedup_k", "_line_dedup_h", "_line_dedup_id", "_line_dedup_th", "_line_dedup_gone", "_line_dedup_lines")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
