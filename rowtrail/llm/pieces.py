@@ -309,14 +309,16 @@ def _assemble(pieces, side: SideTable):
             flush: list[np.ndarray] = []
             for block, cell in zip(batch.column("block").to_pylist(), batch.column("text")):
                 if block != at_block:
-                    at_block, t = block, side.load(block)
-                    masks = dict(zip(t.column("word").to_pylist(), t.column("mask").to_pylist())) if t is not None else {}
-                    known = {}
+                    at_block, masks, known = block, {}, {}
+                    t = side.load(block)
+                    for chunk in t.to_batches(max_chunksize=20_000) if t is not None else []:
+                        masks.update(zip(chunk.column("word").to_pylist(), chunk.column("mask").to_pylist()))
+                    t = None
                 ids = []
                 for w in pieces.value.words(cell.as_py() or ""):
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = encoder.of_word(w, masks.get(w.replace(" ", SPACE)))
+                        got = known[w] = encoder.of_word(w, masks.pop(w.replace(" ", SPACE), None))
                     ids += got
                 decoded.append(encoder.decode(ids))
                 flush.append(np.array(ids, np.int32))
