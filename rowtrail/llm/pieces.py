@@ -6,8 +6,7 @@
    (of the model's fixed size, broadcast) leaves the lattice's edges, which are grouped by word.
 3. A fold turns a word's edges into its segmentation.  For a unigram model that is Viterbi with Spark's ``aggregate``.
    A BPE model does not define the best-scored path: it merges the best-ranked adjacent pair again and again, so
-   there the fold does that over the same edges, for all words of an Arrow batch in step (Spark's interpreted lambdas
-   took about three times the CPU seconds).  The state is a bit mask of the borders that still stand.
+   there the fold does that over the same edges, for all words of an Arrow batch in step.  The state is a bit mask of the borders that still stand.
 4. The segmentations go back to the splits that have the words, and every text is put together from them.
 
 Texts are scanned twice and never shuffled.
