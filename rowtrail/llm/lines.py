@@ -37,25 +37,34 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A line goes if it lies in a run of consecutive lines of at least ``min_words`` words that also starts earlier: in a
     document of smaller doc_id, or earlier in the same one.  Runs are judged on the input and may overlap.
+
+    Two kinds of runs decide for all: the shortest that starts at a line and the shortest that ends at one.  Say a line
+    lies in a repeated run that ends at e: if enough words follow from the line up to e, the shortest run from the line
+    lies inside the repeated one; else the shortest that ends at e reaches back over the line and lies inside as well.
+    A document has at most two such runs a line.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
         "doc_id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines")
-    )
+    ).withColumn("last", F.size("lines"))
     # one more entry, null, closes each text
-    split = texts.select("doc_id", "th", "row", F.posexplode(F.concat("lines", F.array(F.lit(None).cast("string")))).alias("idx", "line"))
-    split = split.select("doc_id", "th", "row", "idx", F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.coalesce(word_count(F.col("line")), F.lit(0)).alias("words"))
+    split = texts.select("doc_id", "th", "row", "last", F.posexplode(F.concat("lines", F.array(F.lit(None).cast("string")))).alias("idx", "line"))
+    split = split.select("doc_id", "th", "row", "last", "idx", F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.coalesce(word_count(F.col("line")), F.lit(0)).alias("words"))
     by_row = W.partitionBy("row")
     before = F.coalesce(F.sum("words").over(by_row.orderBy("idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     stop = F.min("idx").over(by_row.orderBy("before").rangeBetween(min_words, W.unboundedFollowing))
-    lines = split.withColumn("before", before).withColumn("m", stop - F.col("idx")).where("h1 is not null").drop("before", "words")
+    # m: lines of the shortest run from here; most: of the longest run for which no later start makes a shorter one
+    until = F.coalesce(F.lead("stop").over(by_row.orderBy("idx")), F.col("last") + 1) - 1
+    lines = split.withColumn("before", before).withColumn("stop", stop).withColumn("until", F.greatest("stop", until))
+    lines = lines.withColumn("m", F.col("stop") - F.col("idx")).withColumn("most", F.when(F.col("m").isNotNull(), F.col("until") - F.col("idx"))).where("h1 is not null").drop("before", "words", "stop", "until", "last")
     lines = written(lines.withColumn("place", F.struct("doc_id", "idx")), "lines")
     level = written(_named(lines, ["h1", "h2"], "name").drop("h1", "h2"), "lines")
-    deepest = level.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
+    deepest = level.agg(F.coalesce(F.max("most"), F.lit(0))).first()[0]
     runs, size = [], 1
     while size <= deepest:
         at = level.select("row", F.col("idx").alias("end"), F.col("name").alias("tail"))
-        here = level.where(F.col("m").between(size, 2 * size - 1)).withColumn("end", F.col("idx") + F.col("m") - size)
+        here = level.where((F.col("m") < 2 * size) & (F.col("most") >= size)).withColumn("m", F.explode(F.sequence(F.greatest("m", F.lit(size)), F.least("most", F.lit(2 * size - 1)))))
+        here = here.withColumn("end", F.col("idx") + F.col("m") - size)
         runs.append(here.join(at, ["row", "end"]).select("doc_id", "th", "idx", "m", "place", F.col("name").alias("head"), "tail"))
         if 2 * size <= deepest:
             after = level.select("row", (F.col("idx") - size).alias("idx"), F.col("name").alias("next"))
@@ -69,8 +78,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     for r in runs[1:]:
         found = found.unionByName(r)
     later = _named(written(found, "lines"), ["m", "head", "tail"], "origin").where(F.col("place") > F.col("origin"))
-    gone = later.select("doc_id", "th", F.explode(F.sequence("idx", F.col("idx") + F.col("m") - 1)).alias("line"))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set(F.col("line").cast("int")).alias("gone"))
+    # each line once: a run adds what the runs that start before it leave
+    ends = later.groupBy("doc_id", "th", "idx").agg((F.col("idx") + F.max("m")).alias("end"))
+    done = F.coalesce(F.max("end").over(W.partitionBy("doc_id", "th").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    fresh = ends.withColumn("from", F.greatest("idx", done)).where(F.col("from") < F.col("end"))
+    gone = fresh.select("doc_id", "th", F.explode(F.sequence("from", F.col("end") - 1)).alias("line"))
+    return gone.groupBy("doc_id", "th").agg(F.collect_list(F.col("line").cast("int")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -106,7 +119,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.select(*docs.columns)
 
 
-#: The same in plain SQL: the shortest run of 50 words from each line, compared as text.
+#: In plain SQL, from an earlier form: only the shortest run of 50 words from each line, compared as text.  It leaves the
+#: lines after a repeated run's last such window, which the query deletes.
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 e AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),

@@ -1,3 +1,4 @@
+import random
 import re
 
 from rowtrail.llm.lines import dedup_lines, drop_repeated_lines
@@ -50,3 +51,44 @@ def test_stage_keeps_columns_and_drops_emptied(spark, documents, corpus):
     ids = {r.doc_id for r in out.collect()}
     assert {80, 81, 82}.issubset(ids)
     assert drop_repeated_lines(spark, docs.limit(0), "").count() == 0
+
+
+def every_run(rows, least):
+    """What stays where every repeated run of ``least`` words is deleted, by trying all runs."""
+    count = lambda line: len(re.findall(r"[^\x20\x09-\x0D]+", line))
+    runs, first = [], {}
+    for n, (i, t) in enumerate(rows):
+        lines = t.split("\n")
+        for s in range(len(lines)):
+            for e in range(s + 1, len(lines) + 1):
+                if sum(map(count, lines[s:e])) >= least:
+                    run, at = tuple(lines[s:e]), (i, s)
+                    first[run] = min(first.get(run, at), at)
+                    runs.append((n, s, e, run, at))
+    gone = [set() for _ in rows]
+    for n, s, e, run, at in runs:
+        if first[run] < at:
+            gone[n].update(range(s, e))
+    return [(i, len(g), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g)) for (i, t), g in zip(rows, gone)]
+
+
+def test_whole_runs_go(documents):
+    long = " ".join(f"a{i}" for i in range(60))
+    copied = "\n".join([long, "ten words " * 5, "five words in this line", "", ""])
+    rows = [(1, copied), (2, copied), (3, "own\n" + copied + "\nother"), (4, "\n" + copied[:-2])]
+    got = sorted((r.doc_id, r.n_removed, r.text) for r in dedup_lines(documents(rows)).collect())
+    assert got == every_run(rows, 50)
+    assert got[1] == (2, 5, "") and got[2] == (3, 5, "own\nother")
+
+
+def test_every_run_by_brute_force(documents):
+    r = random.Random(11)
+    line = lambda: " ".join(r.choice("ab") for _ in range(r.choice([0, 0, 1, 2, 5, 9, 30])))
+    pool = [[line() for _ in range(r.randint(1, 14))] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [x[r.randrange(len(x)) :][: r.randint(1, 14)] for x in (r.choice(pool) for _ in range(r.randint(1, 3)))]
+        rows.append((i, "\n".join(sum(parts, []) + [line() for _ in range(r.randint(0, 2))])))
+    for least in (50, 12, 1):
+        got = sorted((d.doc_id, d.n_removed, d.text) for d in dedup_lines(documents(rows), least).collect())
+        assert got == every_run(rows, least)
