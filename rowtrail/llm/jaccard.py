@@ -24,6 +24,8 @@ from .components import connected_components
 SKETCH = 1 << 20
 #: In place of a null doc_id, which comes after all others.
 LAST_ID = 2**63 - 1
+#: About as many sets, and members of sets, lie in one block of a component when its links are counted.
+BLOCK_SETS, BLOCK_MEMBERS = 200, 150_000
 
 
 class Likeness:
@@ -260,8 +262,8 @@ def _near(like: Likeness):
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
-    """The linked ones of distinct candidate pairs (a, b): first by signature, then on whole sets.
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame | None]:
+    """The linked ones of distinct candidate pairs (a, b), first by signature, then on whole sets; and those sets.
 
     Whole sets are large, so only those of pairs that pass the signatures are made, in one more scan.
     """
@@ -269,12 +271,85 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, like: Liken
     x = pairs.join(sig.toDF("a", "n_a", "sig_a"), "a").join(sig.toDF("b", "n_b", "sig_b"), "b")
     close = written(x.mapInArrow(_near(like), "a long, b long"), "jaccard")
     if close.isEmpty():
-        return close
+        return close, None
     wanted = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     need = SideTable(classes.join(wanted, "cid").select("block", "name", "cid"), "jaccard")
     whole = written(rows.mapInArrow(_sets(need, like), "cid long, n long, members array<long>"), "jaccard")
     y = close.join(whole.toDF("a", "n_a", "set_a"), "a").join(whole.toDF("b", "n_b", "set_b"), "b")
-    return y.where(like.linked(F.size(F.array_intersect("set_a", "set_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return y.where(like.linked(F.size(F.array_intersect("set_a", "set_b")), F.col("n_a"), F.col("n_b"))).select("a", "b"), whole
+
+
+def _overlaps(value: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Members that each set of ``a`` shares with each of ``b`` (numbers of sets that lie end to end, of sizes ``n``)."""
+    owner = np.repeat(np.arange(len(n)), n)
+    _, ids, often = np.unique(value, return_inverse=True, return_counts=True)
+    shared = often > 1
+    use = shared[ids]
+    ids, owner = (np.cumsum(shared) - 1)[ids[use]], owner[use]
+    order = np.argsort(ids, kind="stable")
+    ids, owner = ids[order], owner[order]
+    found = np.zeros((len(a), len(b)), np.int64)
+    for low in range(0, int(shared.sum()), 8192):  # so many distinct members at a time
+        i, j = np.searchsorted(ids, [low, low + 8192])
+        held = np.zeros((len(n), 8192), np.float32)
+        held[owner[i:j], ids[i:j] - low] = 1
+        found += (held[a] @ held[b].T).astype(np.int64)
+    return found
+
+
+def _count_links(like: Likeness):
+    """Group: one pair of blocks of a component; links of each set to those of the other block (or of its own)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        members = table.column("members").combine_chunks()
+        n, side, cid = (table.column(c).to_numpy() for c in ("n", "side", "cid"))
+        own = not side.any()
+        a = np.arange(len(n)) if own else np.flatnonzero(side == 0)
+        b = a if own else np.flatnonzero(side == 1)
+        o = _overlaps(members.flatten().to_numpy(zero_copy_only=False), n, a, b)
+        linked = like.den * o >= like.num * (n[a][:, None] + n[b][None, :] - o)
+        if own:
+            np.fill_diagonal(linked, False)
+            return pa.table({"cid": cid, "links": linked.sum(1).astype(np.int64)})
+        return pa.table({"cid": np.concatenate([cid[a], cid[b]]), "links": np.concatenate([linked.sum(1), linked.sum(0)]).astype(np.int64)})
+
+    return run
+
+
+def count_links(groups: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """(cid, links): the exact number of linked sets of each set in a component of three or more.
+
+    Linked sets lie in one component, so all pairs of a component are compared, each once.  A component that is too
+    large for one block is cut by size, where only equal and neighbouring bands can link, and by a hash within a band;
+    each pair of blocks is a group of its own, so a large component is spread over many tasks.
+    """
+    placed = sets.select("cid", "n", "members").join(groups, "cid")
+    total = groups.join(sets.select("cid", "n"), "cid").groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("held")).where("many > 2")
+    small = (F.col("many") <= BLOCK_SETS) & (F.col("held") <= BLOCK_MEMBERS)
+    width = float(np.log(like.den / like.num)) * (1 + 1e-6) + 1e-6  # linked sizes are at most one band apart
+    band = F.when(small, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.col("n").cast("double")) / width).cast("long")).alias("band")
+    sizes = groups.join(sets.select("cid", "n"), "cid").join(total, "component").select("component", "n", band)
+    slots = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("slots")
+    cells = written(sizes.groupBy("component", "band").agg(slots), "jaccard")
+    above = cells.select("component", (F.col("band") - 1).alias("band"), F.col("slots").alias("above"))
+    below = cells.select("component", (F.col("band") + 1).alias("band"), F.col("slots").alias("below"))
+    around = cells.join(above, ["component", "band"], "left").join(below, ["component", "band"], "left").na.fill(0, ["above", "below"])
+    held = placed.join(total, "component").select("cid", "n", "members", "component", band).join(around, ["component", "band"])
+    slot = F.pmod(F.xxhash64("cid"), "slots").cast("int")
+    held = held.withColumn("slot", slot)
+
+    def pairs(many: str, pair) -> Column:
+        return F.when(F.col(many) > 0, F.transform(F.sequence(F.lit(0), F.col(many) - 1), pair)).otherwise(F.array().cast("array<struct<low:bigint,x:int,y:int,side:int>>"))
+
+    def pair(low: Column, x: Column, y: Column, side: Column) -> Column:
+        return F.struct(low.alias("low"), x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+
+    # within the band, x <= y; with the band above, x is this one's block and y, counted from slots on, the other's
+    within = pairs("slots", lambda k: pair(F.col("band"), F.least("slot", k), F.greatest("slot", k), (F.col("slot") > k).cast("int")))
+    up = pairs("above", lambda k: pair(F.col("band"), F.col("slot"), F.col("slots") + k, F.lit(0)))
+    down = pairs("below", lambda k: pair(F.col("band") - 1, k, F.col("below") + F.col("slot"), F.lit(1)))
+    dealt = held.select("component", "cid", "n", "members", F.explode(F.concat(within, up, down)).alias("p")).select("component", "cid", "n", "members", "p.*")
+    return dealt.groupBy("component", "low", "x", "y").applyInArrow(_count_links(like), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
 def choose_border(sizes: dict[int, int], like: Likeness, most: int = 40) -> int:
@@ -298,8 +373,8 @@ def _scan_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", block_id())
 
 
-def group_classes(rows: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
-    """(meta, classes): each row's set by name, and each distinct set with its component.
+def group_classes(rows: DataFrame, like: Likeness, links: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(meta, classes): each row's set by name, and each distinct set with its component, and n_links where asked for.
 
     Every key's list is joined to one pivot first, its member with the rarest rank; what the pivots leave apart is then
     compared within each list, so a group of copies costs one pair a member and no link is lost.
@@ -327,7 +402,8 @@ def group_classes(rows: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame
 
     ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     stars = lists.where("cid <> pivot").where(sized("n", "pivot_n")).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).select(*ordered).distinct()
-    first = written(_verified(stars, classes, rows, like), "jaccard")
+    first, sets = _verified(stars, classes, rows, like)
+    first = written(first, "jaccard")
     groups = connected_components(first)
     # what the pivots left apart: heavy lists only, since a light key's smallest member links with all that link there
     placed = lists.where("c = 0").join(groups.withColumnsRenamed({"node": "cid", "component": "group"}), "cid", "left").withColumn("group", F.coalesce("group", "cid"))
@@ -342,11 +418,17 @@ def group_classes(rows: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame
         & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need_overlap)
     )
     rest = x.join(y, "key").where(possible).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).select(*ordered).distinct()
-    edges = first.unionByName(written(_verified(rest.join(stars, ["a", "b"], "left_anti"), classes, rows, like), "jaccard"))
-    edges = written(edges, "jaccard")
+    second, more = _verified(rest.join(stars, ["a", "b"], "left_anti"), classes, rows, like)
+    edges = written(first.unionByName(written(second, "jaccard")), "jaccard")
     final = connected_components(edges).toDF("cid", "component")
-    degree = edges.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    named = classes.select("cid", "name", "n", "low", "block").join(final, "cid", "left").join(degree, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = classes.select("cid", "name", "n", "low", "block").join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    if links:
+        # in a component of two the one edge is all; larger ones are counted
+        n_links = edges.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
+        if sets is not None or more is not None:
+            both = more if sets is None else sets if more is None else sets.unionByName(more.join(sets.select("cid"), "cid", "left_anti"))
+            n_links = n_links.join(count_links(written(final, "jaccard"), both, like), "cid", "left").select("cid", F.coalesce("links", "n_links").alias("n_links"))
+        named = named.join(n_links, "cid", "left")
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     return meta, named.join(lowest, "component")
 
@@ -355,13 +437,13 @@ def jaccard_components(docs: DataFrame, like: Likeness | None = None) -> DataFra
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
     component_id is the smallest doc_id reachable over links, the document's own included; n_links counts the
-    verified links of the document's set (links inside a group already joined aren't all looked at).
+    different sets that the document's set is linked with, all of them (equal sets are one).
 
     Documents of equal sets are one class, and only classes are compared (``group_classes``).  Null and empty texts have no shingles and are linked with
     nothing; repeated rows are equal sets; a null doc_id takes part but is no component's name unless alone; extra
     columns are ignored; an empty table gives an empty result.
     """
-    meta, classes = group_classes(_scan_rows(docs), like or Likeness())
+    meta, classes = group_classes(_scan_rows(docs), like or Likeness(), links=True)
     answer = classes.select("name", "n", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"), "n_links")
     return meta.join(answer, ["name", "n"], "left").select(
         "doc_id",

@@ -87,3 +87,27 @@ def test_border_follows_cost():
     like = jaccard.Likeness()
     assert jaccard.choose_border({}, like) == 0
     assert 9 <= jaccard.choose_border({n: 10 for n in range(1, 41)}, like) < 40
+
+
+def brute_links(rows, num, den, k):
+    """Each row's number of different sets that its own is linked with."""
+    sets = [shingles(t, k) for _, t in rows]
+    kinds = set(sets) - {frozenset()}
+    links = {a: sum(a != b and den * len(a & b) >= num * len(a | b) for b in kinds) for a in kinds}
+    return sorted((d is None, d or 0, links.get(s, 0)) for (d, _), s in zip(rows, sets))
+
+
+@pytest.mark.parametrize("sets", [200, 7])
+def test_every_link_is_counted(documents, corpus, monkeypatch, sets):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
+    base = [f"w{i}" for i in range(120)]
+    rows = list(corpus)
+    for i in range(1000, 1060):
+        w = list(base) + [f"more{j}" for j in range(i % 25)]
+        for j in range(i % 4):
+            w[(7 * i + 17 * j) % 120] = f"x{i}.{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(2000 + i, " ".join([f"s{k}" for k in range(12 + i)])) for i in range(6)]
+    rows += [(3000, "p q r s t u v w x y z a b"), (3001, "p q r s t u v w x y z a c"), (3002, "p q r s t u v w x y z a d")]
+    got = jaccard.jaccard_components(documents(rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_links) for r in got) == brute_links(rows, 90, 100, 3)
