@@ -99,7 +99,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = often >= 3
         new = np.cumsum(kept) - 1
         use = kept[ids]
-        weights, bias = fit(new[ids[use]], s[use], np.concatenate(docs), np.array(labels), int(kept.sum()))
+        worded, s = np.unique(s, return_inverse=True)  # sentences without words have no share
+        weights, bias = fit(new[ids[use]], s[use], np.concatenate(docs)[worded], np.array(labels), int(kept.sum()))
         keys = keys[kept]
         strong = np.abs(weights) > 0.02
         keys, weights = keys[strong], weights[strong]
@@ -118,11 +119,13 @@ class Model:
         self.keys[at], self.weights[at] = keys[order], weights[order]
 
     def sentences(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(margin of each sentence, first sentence of each text)."""
+        """(margin of each sentence, first sentence of each text); minus infinity, so no share, for one without words."""
         h, s, first = features(raw, off)
         at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
         hit = np.flatnonzero(self.keys[at] == h)
-        return self.bias + np.bincount(s[hit], self.weights[at[hit]], int(first[-1])), first
+        z = self.bias + np.bincount(s[hit], self.weights[at[hit]], int(first[-1]))
+        z[np.bincount(s, minlength=len(z)) == 0] = -np.inf
+        return z, first
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -180,8 +183,8 @@ def _scorer(model):
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, sentences): the noisy-or of all sentences of the whole text, and the sentences of 0.5 or more.
 
-    Sentence ranges are code points, end exclusive.  Null and empty texts are one empty sentence and score what the
-    bias says (near 0).  Repeated rows score alike; extra columns are ignored; an empty table gives an empty result.
+    Sentence ranges are code points, end exclusive.  Sentences without words have no share, so texts without
+    words, null and empty ones included, score 0.  Repeated rows score alike; extra columns are ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

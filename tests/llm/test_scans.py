@@ -132,6 +132,22 @@ def test_toxicity(spark, documents):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_wordless_sentences(documents):
+    """Dot leaders and blank lines add nothing, however many they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    from rowtrail.llm.common import buffers
+
+    h, _, _ = toxicity.features(*buffers(pa.array(["idiot"])))
+    model = toxicity.Model(h, np.full(len(h), 9.0, np.float32), toxicity.BIAS)
+    fill = "." * 400_000 + "\n" * 400_000 + " . ! ?\n-- \n" * 300_000  # over 4 MB
+    rows = [(1, "A chapter" + fill + "its page"), (2, "A chapter\nits page"), (3, fill), (4, "A chapter" + fill + "you idiot"), (5, "A chapter\nyou idiot")]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(documents(rows), model).collect()}
+    assert got[1].score == pytest.approx(got[2].score) and got[1].score < 0.5 and got[3].score == 0
+    assert got[4].score == pytest.approx(got[5].score) and got[4].score >= 0.5 and len(got[4].sentences) == 1
+
+
 def test_toxicity_batches_do_not_matter(documents):
     """A text's score is its own, whatever lies beside it in a batch, empty texts included."""
     import numpy as np
