@@ -112,25 +112,27 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return per_owner.groupBy("value").agg(F.sum("n").alias("occurrences"), F.sum("repos").alias("repositories"), F.count("*").alias("owners"))
 
 
-def scan_secrets(docs: DataFrame, owner_column: str = "source", shared_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner_column: str = "source", shared_owners: int = 3, shared_repositories: int = 10) -> DataFrame:
     """Secrets of every text with the corpus's verdict on each value.
 
-    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans (base spans, and owned kinds whose value one owner
-    alone holds; ``kind:start:end`` joined by commas), n_live (values of one owner) and n_copied (values of at least
-    ``shared_owners`` owners).  Null or empty texts have no spans; repeated rows are scanned each and share the counts
+    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans (base spans, and owned kinds whose value is live;
+    ``kind:start:end`` joined by commas), n_live (values of one owner in fewer than ``shared_repositories`` repositories)
+    and n_copied (values of at least ``shared_owners`` owners or ``shared_repositories`` repositories, be they one owner's).  Null or empty texts have no spans; repeated rows are scanned each and share the counts
     of their doc_id; extra columns are ignored; an empty table gives an empty result.
     """
     # a row number of the scan keeps repeated doc_ids apart
     rows = written(find_candidates(docs, owner_column).withColumn("row", F.monotonically_increasing_id()), "secrets")
     found = rows.where(F.size("found") > 0).select("row", "doc_id", "owner", F.explode("found").alias("f")).select("row", "doc_id", "owner", "f.*")
     judged = found.join(ownership(found), "value")
-    extra = F.col("kind").isin(*OWNED) & (F.col("owners") == 1)
+    live = (F.col("owners") == 1) & (F.col("repositories") < shared_repositories)
+    copied = (F.col("owners") >= shared_owners) | (F.col("repositories") >= shared_repositories)
+    extra = F.col("kind").isin(*OWNED) & live
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     span = F.struct("start", order[F.col("kind")].alias("rank"), F.concat_ws(":", "kind", "start", "end").alias("span"))
     by_row = judged.groupBy("row").agg(
         F.collect_list(F.when(extra | F.col("kind").isin(*BASE), span)).alias("kept"),
-        F.sum((F.col("owners") == 1).cast("long")).alias("n_live"),
-        F.sum((F.col("owners") >= shared_owners).cast("long")).alias("n_copied"),
+        F.sum(live.cast("long")).alias("n_live"),
+        F.sum(copied.cast("long")).alias("n_copied"),
     )
     return rows.join(by_row, "row", "left").select(
         "doc_id",

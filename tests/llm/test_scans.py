@@ -81,6 +81,14 @@ def test_secrets(spark, documents):
     assert secrets.scan_secrets(documents([]).limit(0)).count() == 0
 
 
+def test_value_in_many_documents_of_one_owner_is_copied(documents):
+    value = "Qx7bZ9kLm2Rt5Vw8Yp3Nc6Hd1Jf4Gs0"
+    rows = [(i, f'password = "{value}"', "hot") for i in range(40)] + [(100 + i, 'password = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7"', "hot") for i in range(2)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(documents(rows)).collect()}
+    assert all((got[i].n_live, got[i].n_copied) == (0, 1) for i in range(40))
+    assert all((got[i].n_live, got[i].n_copied) == (1, 0) for i in (100, 101))
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.NET/en/x?y#z"), (2, "https://example.net/EN/"), (3, "ftp://shop.example.com/de/1#a/b"), (4, "x://sub.org/fr/"), (5, "x://sub.org/fr"), (6, "http://net"), (7, "http://a.net/"), (8, None), (9, "no scheme"),
