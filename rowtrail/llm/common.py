@@ -1,4 +1,4 @@
-"""Shared pieces of the corpus operators: scratch tables, block-aligned side tables, and byte-level batch tools.
+"""Shared pieces of the corpus operators: scratch tables, side tables by block of rows, and byte-level batch tools.
 
 Executors share no local disk.  Whatever one stage leaves for another lies in the folder named by
 ``spark.checkpoint.dir`` and is written by Spark itself, so a lost executor costs only its running tasks.
@@ -6,16 +6,15 @@ Executors share no local disk.  Whatever one stage leaves for another lies in th
 
 from __future__ import annotations
 
-import contextlib
-import io
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at a time; one longer text is a slice of its own.
@@ -25,9 +24,15 @@ ARROW_ROWS = 500
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a temporary folder is set there only where none is set."""
+    """A new folder name under ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster, whose machines share no such folder,
+    it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="rowtrail-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -53,57 +58,117 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# ---------------------------------------------------------------- block-aligned side tables
+def hot_join(rows: DataFrame, keyed: DataFrame, by: list[str], many: str) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key and, as ``many``, how many of ``rows`` hold it.
+
+    A key of more than a ten-thousandth of all rows would load one task, so such keys, 10,000 at most by that bound,
+    are broadcast and their rows stay where they are; the others are shuffled.  Both inputs must be written tables.
+    """
+    limit = rows.count() // 10_000
+    hot = keyed.where(F.col(many) > limit)
+    few = F.broadcast(hot)
+    rest = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(keyed.where(F.col(many) <= limit), by)
+    return rows.join(few, by).unionByName(rest)
+
+
+# ---------------------------------------------------------------- side tables by block of rows
+
+
+#: Rows of a file that form a block.  A block is the same whatever splits a scan cuts the file into.
+BLOCK_ROWS = 8192
 
 
 def scanned(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` as a plain file scan: itself where it is one (with projections and filters), else written first."""
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        docs.explain()
-    plain = not any(w in out.getvalue() for w in ("Exchange", "Join", "Aggregate", "Python", "Arrow", "Pandas", "Union", "Generate", "Limit"))
-    return docs if plain and docs.inputFiles() else written(docs, name)
+    """``docs`` as a plain Parquet scan, whose rows have a fixed place in a file: itself where it is one (with
+    projections and filters), else written first."""
+    plan = docs._jdf.queryExecution()
+    nodes = re.findall(r"^[\s:+*()\d-]*(\w+ ?\w*)", plan.executedPlan().toString(), re.M)
+    plain = all(n.split()[0] in ("Project", "Filter", "ColumnarToRow") or n == "FileScan parquet" for n in nodes)
+    return docs if plain and nodes.count("FileScan parquet") == 1 and plan.analyzed().deterministic() else written(docs, name)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``scanned`` rows with ``block``, a hash of file and block of rows, and ``ord``, the row's number in the block.
 
+    Both come from the row's place in its file, so they are the same in every scan, however it is split.
+    """
+    at = F.col("_metadata.row_index")
+    block = F.xxhash64(F.col("_metadata.file_path"), F.floor(at / BLOCK_ROWS))
+    return docs.select("*", block.alias("block"), (at % BLOCK_ROWS).cast("int").alias("ord"))
+
+
+def filesystem(uri: str):
+    """(file system, path) of a folder as Spark names it; what pyarrow doesn't know by that name goes by Hadoop's client."""
+    import pyarrow.fs as pafs
 
-def block_id() -> Column:
-    """The input split that a scanned row comes from.  Use it on ``scanned`` frames only."""
-    return F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block")
+    scheme = uri.split("://")[0]
+    if scheme in ("s3a", "s3n"):
+        uri = "s3" + uri[len(scheme) :]
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid:
+        host = uri.split("/", 3)
+        return pafs.HadoopFileSystem("/".join(host[:3])), "/" + host[3]
 
 
 class SideTable:
-    """Rows keyed by input split, written once and read by whichever task scans that split.
+    """Rows keyed by block, written once and read by whichever task scans that block.
 
-    It stands in for a join that would shuffle the texts: the small side travels to the splits instead.  A split is
-    bounded by ``spark.sql.files.maxPartitionBytes``, so what a task loads is bounded as well.
+    It stands in for a join that would shuffle the texts: the small side travels to the blocks instead.  Many blocks
+    share a bucket folder; within it they are sorted, in small row groups, so a task reads little besides its block.
+    A table that isn't there, or isn't whole, is an error in the task, never an empty answer.
     """
 
     def __init__(self, rows: DataFrame, name: str):
         spark = rows.sparkSession
         self.path = scratch(spark, name)
+        self.buckets = 4 * spread(spark)
         self.columns = [c for c in rows.columns if c != "block"]
+        self.whole = False
         (
-            rows.repartition(spread(spark), "block")
-            .sortWithinPartitions("block")
-            .write.partitionBy("block")
+            rows.withColumn("bucket", F.pmod("block", F.lit(self.buckets)).cast("int"))
+            .repartition(spread(spark), "bucket")
+            .sortWithinPartitions("bucket", "block")
+            .write.partitionBy("bucket")
             .option("compression", "zstd")
+            .option("parquet.block.size", 2 << 20)
             .parquet(self.path)
         )
 
     def load(self, block: int) -> pa.Table | None:
-        """The rows of one split, in a task; None where there are none."""
+        """The rows of one block, in a task; None where there are none."""
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
-        fs, root = pafs.FileSystem.from_uri(self.path)
-        folder = f"{root}/block={block}"
-        found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+        fs, root = filesystem(self.path)
+        if not self.whole:
+            if fs.get_file_info(f"{root}/_SUCCESS").type == pafs.FileType.NotFound:
+                raise FileNotFoundError(f"no whole side table at {self.path}: is spark.checkpoint.dir shared by all machines?")
+            self.whole = True
+        found = fs.get_file_info(pafs.FileSelector(f"{root}/bucket={block % self.buckets}", allow_not_found=True))
         parts = []
         for f in sorted((x for x in found if x.path.endswith(".parquet")), key=lambda x: x.path):
             with fs.open_input_file(f.path) as stream:
-                parts.append(pq.ParquetFile(stream).read())
+                file = pq.ParquetFile(stream)
+                at = file.schema_arrow.get_field_index("block")
+                for g in range(file.num_row_groups):
+                    held = file.metadata.row_group(g).column(at).statistics
+                    if held is None or not held.has_min_max or held.min <= block <= held.max:
+                        t = file.read_row_group(g)
+                        parts.append(t.filter(pc.equal(t.column("block"), block)).select(self.columns))
+        parts = [p for p in parts if p.num_rows]
         return pa.concat_tables(parts) if parts else None
 
 
+def by_block(batch: pa.RecordBatch, column: str = "block") -> Iterator[pa.RecordBatch]:
+    """Runs of rows of one block (a task may scan several, one after the other)."""
+    b = np.asarray(batch.column(column))
+    cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
 # ---------------------------------------------------------------- texts as bytes
 
 
@@ -154,34 +219,88 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^i and B^-i modulo 2^64 for i < n; kept for the next call of a task."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        with np.errstate(over="ignore"):
-            up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def prefix_hashes(raw: np.ndarray) -> np.ndarray:
-    """S[i] = sum of value(byte j) * B^j for j < i, modulo 2^64: any substring's hash is one difference away."""
-    up, _ = powers(len(raw) + 1)
-    s = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUE[raw] * up[: len(raw)], dtype=np.uint64, out=s[1:])
+#: The prime of the polynomial hashes and two bases, drawn once; two different strings of n bytes have equal values
+#: under at most n of all bases, so a pair is taken for equal with a chance of n / 2^61 in one lane, its square in two.
+PRIME = (1 << 61) - 1
+BASES = (0x1A6B5C3D7E8F9021, 0x0C3F7A915D2B6E47)
+_P, _M31, _M30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_31, _30, _61, _1 = np.uint64(31), np.uint64(30), np.uint64(61), np.uint64(1)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Values worked on at a time, so that what lies between stays in the cache; so many products of 39 bits stay under 2^64.
+_AT_ONCE = 1 << 14
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Under the prime; what is too small wraps round and loses the comparison."""
+    x = (x & _P) + (x >> _61)
+    return np.minimum(x, x - _P)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a1, a0, b1, b0 = a >> _31, a & _M31, b >> _31, b & _M31
+    mid = a1 * b0
+    mid += a0 * b1
+    a1 *= b1
+    a1 <<= _1
+    a0 *= b0
+    a1 += a0
+    a1 += mid >> _30
+    mid &= _M30
+    mid <<= _31
+    a1 += mid
+    return _reduced(a1)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for values under it: halves of 31 bits, of which no sum of products passes 2^64."""
+    out = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), _AT_ONCE):
+        out[i : i + _AT_ONCE] = _times(a[i : i + _AT_ONCE], b if b.ndim == 0 else b[i : i + _AT_ONCE])
+    return out
+
+
+def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """B^i and B^-i modulo the prime for i < n; kept for the next call of a task."""
+    if lane not in _POWERS or len(_POWERS[lane][0]) < n:
+        size = max(n, (SLICE_BYTES >> 1) + 1)
+        both = []
+        for base in (BASES[lane], pow(BASES[lane], -1, PRIME)):
+            p, k = np.ones(size, np.uint64), 1
+            while k < size:
+                p[k : 2 * k] = times(p[: min(k, size - k)], np.array(pow(base, k, PRIME), np.uint64))
+                k *= 2
+            both.append(p)
+        _POWERS[lane] = (both[0], both[1])
+    up, down = _POWERS[lane]
+    return up[:n], down[:n]
+
+
+def prefix_hashes(raw: np.ndarray, lane: int = 0) -> np.ndarray:
+    """S[i] = sum of (byte j + 1) * B^j for j < i, modulo the prime: any substring's hash is one difference away.
+
+    Of a matrix, each row's.
+    """
+    n = raw.shape[-1]
+    up, _ = powers(n + 1, lane)
+    s = np.zeros((*raw.shape[:-1], n + 1), np.uint64)
+    for a in range(0, n, _AT_ONCE):
+        part, u = raw[..., a : a + _AT_ONCE].astype(np.uint64) + _1, up[a : min(n, a + _AT_ONCE)]
+        high = _reduced(np.cumsum(part * (u >> _31), axis=-1, dtype=np.uint64))
+        low = np.cumsum(part * (u & _M31), axis=-1, dtype=np.uint64)
+        high = ((high & _M30) << _31) + (high >> _30)  # times 2^31
+        s[..., a + 1 : a + 1 + part.shape[-1]] = _reduced(high + _reduced(low) + s[..., a : a + 1])
     return s
 
 
-def span_hashes(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(s: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
     """Hashes of the byte spans [start, end), independent of where they lie."""
-    _, down = powers(len(s))
-    return mix((s[end] - s[start]) * down[start] + (end - start).astype(np.uint64))
+    _, down = powers(len(s), lane)
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), _AT_ONCE):
+        x, y = start[i : i + _AT_ONCE], end[i : i + _AT_ONCE]
+        d = s[y] + (_P - s[x])
+        out[i : i + _AT_ONCE] = mix(_times(np.minimum(d, d - _P), down[x]))
+    return out
 
 
 def word_spans(raw: np.ndarray, off: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,19 +4,19 @@ Every string of ``LENGTH`` bytes holds an anchor, a position chosen by content a
 occurrences.  So it is enough to compare the surroundings of equal anchors:
 
 1. each task finds its anchors and drops those whose whole surroundings it has seen before;
-2. equal anchors meet in one shuffle of hashes; equal surroundings are settled there;
+2. equal anchors meet in one shuffle of hashes; equal surroundings are settled there, by two independent hashes modulo
+   a prime of 61 bits: two different ones of 176 bytes pass for equal with a chance of (176 / 2^61)^2, about 6e-33;
 3. anchors that meet in different surroundings are fetched as bytes, and their suffixes and reversed prefixes are
    sorted by a mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes;
    the extensions of neighbours are then verified on the bytes;
 4. what is covered goes back to the splits that hold the texts, and is cut out there.
 
-Texts are scanned three times and never shuffled.
+Texts are scanned three times and never shuffled.  Memory in a task depends on the anchors it holds, not on a text's length.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SideTable, block_id, mix, powers, prefix_hashes, scanned, slices, small_batches, span_hashes, spread, written
+from .common import BLOCK_ROWS, PRIME, SideTable, by_block, hot_join, mix, placed, powers, prefix_hashes, scanned, slices, small_batches, span_hashes, spread, times, written
 
 #: Length of a string that counts, of the piece that is an anchor, and the most bytes of a string before its anchor.
 LENGTH, ANCHOR = 100, 24
@@ -44,22 +44,21 @@ def _sliding(a: np.ndarray, width: int, best) -> np.ndarray:
     return a
 
 
-def find_anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes of the anchors, hashes of their surroundings) in texts laid end to end.
+def find_anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes of the anchors, two hashes of their surroundings) in texts laid end to end.
 
     A position is an anchor if its piece has the least hash of some string of ``LENGTH`` bytes (all, on ties).  The
     surroundings are the bytes that a string around the anchor can reach, cut at the text's borders.
     """
     n = len(raw)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 3
     s = prefix_hashes(raw)
     lens = np.diff(off)
     begin, end = np.repeat(off[:-1], lens), np.repeat(off[1:], lens)
     i = np.arange(n)
-    _, down = powers(n + 1)
     g = np.full(n, _TOP, np.uint64)
-    g[: n - ANCHOR + 1] = mix((s[ANCHOR:] - s[: n - ANCHOR + 1]) * down[: n - ANCHOR + 1])
+    g[: n - ANCHOR + 1] = span_hashes(s, i[: n - ANCHOR + 1], i[: n - ANCHOR + 1] + ANCHOR)
     whole = i + ANCHOR <= end
     g[~whole] = _TOP
     least = _sliding(g, LEFT + 1, np.minimum)
@@ -67,31 +66,43 @@ def find_anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     most = _sliding(least[::-1], LEFT + 1, np.maximum)[::-1]
     at = np.flatnonzero((most == g) & whole)
     lo, hi = np.maximum(at - LEFT, begin[at]), np.minimum(at + LENGTH, end[at])
-    around = mix(span_hashes(s, lo, hi) + (at - lo).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    return at, g[at], around
+    place = (at - lo).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    around = [mix(span_hashes(prefix_hashes(raw, lane) if lane else s, lo, hi, lane) + place) for lane in (0, 1)]
+    return at, g[at], *around
 
 
-class _Rows:
-    """Numbers the rows of each split in the order in which they are scanned, the same in every scan."""
+def anchors_of(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``find_anchors`` of any amount of text in bounded memory: a long text is seen through windows of ``_STEP`` bytes.
 
-    def __init__(self) -> None:
-        self.seen: dict[int, int] = defaultdict(int)
-
-    def parts(self, batch: pa.RecordBatch, limit: int = _STEP) -> Iterator[tuple[int, int, pa.RecordBatch, np.ndarray, np.ndarray]]:
-        b = np.asarray(batch.column("block"))
-        cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
-        for i, j in zip(cuts, cuts[1:]):
-            if j > i:
-                for part, raw, off in slices(batch.slice(i, j - i), "text", limit):
-                    block = int(b[i])
-                    yield block, self.seen[block], part, raw, off
-                    self.seen[block] += part.num_rows
-
-
-_HITS = ["h", "around", "doc_id", "block", "ord", "start", "end"]
-_HITS_SCHEMA = "h long, around long, doc_id long, block long, ord int, start int, end int"
-_HITS_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    What decides about a position lies within ``LENGTH`` bytes of it, so windows that reach so far beyond what they
+    answer for give what the whole text would.
+    """
+    n = int(off[-1])
+    if n <= 2 * _STEP:
+        yield find_anchors(raw, off)
+        return
+    for a in range(0, n, _STEP):
+        lo, hi = max(0, a - LENGTH), min(n, a + _STEP + LENGTH)
+        inner = off[(off > lo) & (off < hi)]
+        at, *hashes = find_anchors(raw[lo:hi], np.concatenate([[0], inner - lo, [hi - lo]]))
+        mine = (at + lo >= a) & (at + lo < a + _STEP)
+        yield at[mine] + lo, *(h[mine] for h in hashes)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(block, rows' numbers, rows, bytes, offsets) of bounded parts of a batch, each within one block."""
+    for same in by_block(batch):
+        block = same.column("block")[0].as_py()
+        for part, raw, off in slices(same, "text", _STEP):
+            yield block, np.asarray(part.column("ord")).astype(np.int64), part, raw, off
+
+
+_HITS = ["h", "around", "again", "doc_id", "block", "ord", "start", "end"]
+_HITS_SCHEMA = "h long, around long, again long, doc_id long, block long, ord int, start int, end int"
+_HITS_TYPES = [*[pa.int64()] * 5, *[pa.int32()] * 3]
 _LAST_ID = 2**63 - 1
+#: Anchors that a task holds before it settles them among themselves.
+_HELD = 1 << 20
 
 
 def _batch(columns: list, names: list[str] = _HITS, types: list = _HITS_TYPES) -> pa.RecordBatch:
@@ -115,49 +126,51 @@ def _join_spans(ords: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: anchors (end 0), the first of each surroundings within a split; spans of the others (start < end)."""
-    rows = _Rows()
+    """Task: anchors (end 0), the first of each surroundings among up to ``_HELD``; spans of the others (start < end)."""
     held: list[tuple] = []
-    at_block = None
+    count = 0
 
     def settle() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        h, around, doc, ords, pos = (np.concatenate(x) for x in zip(*held))
+        h, around, again, doc, block, ords, pos = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        order = np.lexsort((pos, doc, around, h))
-        h, around, doc, ords, pos = h[order], around[order], doc[order], ords[order], pos[order]
+        order = np.lexsort((pos, doc, again, around, h))
+        h, around, again, doc, block, ords, pos = (x[order] for x in (h, around, again, doc, block, ords, pos))
         first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
+        first[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1]) | (again[1:] != again[:-1])
         head = np.flatnonzero(first)[np.cumsum(first) - 1]
         later = ~first & ((doc != doc[head]) | (pos != pos[head]))  # a repeated id's equal start isn't earlier
-        k, lo, hi = _join_spans(ords[later], np.maximum(pos[later] - LEFT, 0), pos[later] + LENGTH)
-        yield _batch([mix(k.astype(np.uint64)).view(np.int64), np.zeros(len(k), int), np.zeros(len(k), int), np.full(len(k), at_block), k, lo, hi])
-        stay = ~later
-        for i in range(0, int(stay.sum()), 50_000):
-            q = np.flatnonzero(stay)[i : i + 50_000]
-            yield _batch([h[q].view(np.int64), around[q].view(np.int64), doc[q], np.full(len(q), at_block), ords[q], pos[q], np.zeros(len(q), int)])
+        blocks, number = np.unique(block[later], return_inverse=True)
+        k, lo, hi = _join_spans(number << 13 | ords[later], np.maximum(pos[later] - LEFT, 0), pos[later] + LENGTH)
+        zero = np.zeros(len(k), int)
+        yield _batch([mix(k.astype(np.uint64)).view(np.int64), zero, zero, zero, blocks[k >> 13] if len(k) else zero, k & (BLOCK_ROWS - 1), lo, hi])
+        stay = np.flatnonzero(~later)
+        for i in range(0, len(stay), 50_000):
+            q = stay[i : i + 50_000]
+            yield _batch([*(x[q].view(np.int64) for x in (h, around, again)), doc[q], block[q], ords[q], pos[q], np.zeros(len(q), int)])
 
     for batch in batches:
-        for block, base, part, raw, off in rows.parts(batch):
-            if block != at_block:
-                yield from settle()
-                at_block = block
-            at, h, around = find_anchors(raw, off)
-            if len(at):
-                text = np.searchsorted(off, at, side="right") - 1
-                ids = np.asarray(part.column("doc_id").fill_null(_LAST_ID))
-                held.append((h, around, ids[text], base + text, at - off[text]))
+        for block, ords, part, raw, off in _parts(batch):
+            ids = np.asarray(part.column("doc_id").fill_null(_LAST_ID))
+            for at, h, around, again in anchors_of(raw, off):
+                if len(at):
+                    text = np.searchsorted(off, at, side="right") - 1
+                    held.append((h, around, again, ids[text], np.full(len(at), block), ords[text], at - off[text]))
+                    count += len(at)
+                    if count >= _HELD:
+                        yield from settle()
+                        count = 0
     yield from settle()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task over rows sorted by (h, around, doc_id, start): spans of repeated surroundings, and anchors to look into.
+    """Task over rows sorted by (h, around, again, doc_id, start): spans of repeated surroundings, and anchors to look into.
 
     A stream: of a key's rows only the first is kept.  Out come spans (start < end) and wanted anchors (end 0): the
     first of each surroundings, where the anchor has several.
     """
-    last = None  # h, around of the last row; doc and pos of the first with them
+    last = None  # h, around, again of the last row; doc and pos of the first with them
     pending, pending_h = None, None  # the last surroundings' first row, not yet wanted
     for batch in batches:
         c = {n: np.asarray(batch.column(n)) for n in _HITS}
@@ -167,18 +180,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(c["h"])
         if not m:
             continue
-        h, around = c["h"], c["around"]
+        h, key = c["h"], (c["h"], c["around"], c["again"])
         new = np.ones(m, bool)
-        new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
+        new[1:] = np.any([x[1:] != x[:-1] for x in key], axis=0)
         if last is not None:
-            new[0] = (h[0], around[0]) != last[:2]
+            new[0] = tuple(x[0] for x in key) != last[:3]
         reps = np.flatnonzero(new)
         group = np.cumsum(new) - 1  # -1: goes on from the batch before
-        doc0 = np.where(group >= 0, c["doc_id"][reps[np.maximum(group, 0)]] if len(reps) else 0, last[2] if last else 0)
-        pos0 = np.where(group >= 0, c["start"][reps[np.maximum(group, 0)]] if len(reps) else 0, last[3] if last else 0)
+        doc0 = np.where(group >= 0, c["doc_id"][reps[np.maximum(group, 0)]] if len(reps) else 0, last[3] if last else 0)
+        pos0 = np.where(group >= 0, c["start"][reps[np.maximum(group, 0)]] if len(reps) else 0, last[4] if last else 0)
         later = ~new & ((c["doc_id"] != doc0) | (c["start"] != pos0))
         q = np.flatnonzero(later)
-        yield _batch([h[q], around[q], c["doc_id"][q], c["block"][q], c["ord"][q], np.maximum(c["start"][q] - LEFT, 0), c["start"][q] + LENGTH])
+        yield _batch([*(c[n][q] for n in _HITS[:6]), np.maximum(c["start"][q] - LEFT, 0), c["start"][q] + LENGTH])
         same = ~new & ~later  # another row of the same id: as good as the first
         take = np.zeros(m, bool)
         if len(reps):
@@ -194,32 +207,49 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take |= same
         w = np.flatnonzero(take)
         yield _batch([c[n][w] for n in _HITS[:-1]] + [np.zeros(len(w), int)])
-        last = (h[-1], around[-1], doc0[-1], pos0[-1])
+        last = (*(x[-1] for x in key), doc0[-1], pos0[-1])
 
 
 _SIDES = ["h", "doc_id", "block", "ord", "pos", "before", "piece"]
 _SIDES_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 #: Anchors with so many different surroundings aren't sorted as one group, which would grow with the corpus: each of
-#: their strings goes to the task of its own hash instead.
+#: their strings goes to the task of its own hash instead, and two independent hashes of 61 bits decide there.
 CROWD = 8192
 
 
-def _strings(s: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which anchor, start, hash) of every whole string around the anchors ``at``; lo and hi border their texts."""
+def _strings(pieces: np.ndarray, at: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which anchor, start in its row, two hashes) of every whole string around anchors, whose surroundings are rows."""
     start = at[:, None] - np.arange(LEFT + 1)
-    fits = (start >= lo[:, None]) & (start + LENGTH <= hi[:, None])
-    which = np.nonzero(fits)[0]
-    start = start[fits]
-    return which, start, span_hashes(s, start, start + LENGTH)
+    fits = (start >= 0) & (start + LENGTH <= lens[:, None])
+    which, start = np.nonzero(fits)[0], start[fits]
+    width = pieces.shape[1] + 1
+    flat = [prefix_hashes(pieces, lane).ravel() for lane in (0, 1)]
+    down = which * width + start
+    # every row's sums begin at its own first byte, so a span is taken back to that by its start within the row
+    return which, start, *(row_spans(flat[lane], down, start, lane) for lane in (0, 1))
+
+
+def row_spans(flat: np.ndarray, at: np.ndarray, start: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes of the strings at ``at`` in the laid-out sums of many rows, at ``start`` within their rows."""
+    diff = flat[at + LENGTH] + (np.uint64(PRIME) - flat[at])
+    return mix(times(np.minimum(diff, diff - np.uint64(PRIME)), powers(LENGTH + LEFT + 1, lane)[1][start]))
+
+
+def _wanted_here(table: dict[str, np.ndarray], ords: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of a table sorted by ord, positions in ``ords``) of those that lie in a part of a scan."""
+    i, j = np.searchsorted(table["ord"], [ords[0], ords[-1] + 1])
+    text = np.minimum(np.searchsorted(ords, table["ord"][i:j]), len(ords) - 1)
+    found = ords[text] == table["ord"][i:j]
+    return np.arange(i, j)[found], text[found]
 
 
 def _fetch(wanted: SideTable, crowd: bool):
-    """Task: the bytes around the wanted anchors of its splits; or, for crowded anchors, the hashes of their strings."""
+    """Task: the bytes around the wanted anchors of its blocks; or, for crowded anchors, the hashes of their strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, at_block, table = _Rows(), None, None
+        at_block, table = None, None
         for batch in batches:
-            for block, base, part, raw, off in rows.parts(batch):
+            for block, ords, part, raw, off in _parts(batch):
                 if block != at_block:
                     at_block, t = block, wanted.load(block)
                     table = None
@@ -230,40 +260,40 @@ def _fetch(wanted: SideTable, crowd: bool):
                         table = {n: v[order] for n, v in c.items()}
                 if table is None:
                     continue
-                i, j = np.searchsorted(table["ord"], [base, base + part.num_rows])
-                if i == j:
-                    continue
-                text = table["ord"][i:j] - base
-                at = off[text] + table["start"][i:j]
-                lo, hi = np.maximum(at - LEFT, off[text]), np.minimum(at + LENGTH, off[text + 1])
-                if crowd:
-                    which, start, h = _strings(prefix_hashes(raw), at, lo, hi)
-                    doc, ords, begin = table["doc_id"][i:j][which], table["ord"][i:j][which], start - off[text][which]
-                    first = np.lexsort((begin, doc, h))
-                    _, pick = np.unique(np.stack([h[first].view(np.int64), doc[first], begin[first]]), axis=1, return_index=True)
-                    q = first[pick]
-                    yield _batch([h[q].view(np.int64), np.zeros(len(q), int), doc[q], np.full(len(q), block), ords[q], begin[q], np.zeros(len(q), int)])
-                    continue
-                data = raw.tobytes()
-                piece = [data[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
-                yield _batch([table["h"][i:j], table["doc_id"][i:j], np.full(j - i, block), table["ord"][i:j], table["start"][i:j], at - lo, piece], _SIDES, _SIDES_TYPES)
+                rows, text = _wanted_here(table, ords)
+                for k in range(0, len(rows), 2048):
+                    q, own = rows[k : k + 2048], text[k : k + 2048]
+                    at = off[own] + table["start"][q]
+                    lo, hi = np.maximum(at - LEFT, off[own]), np.minimum(at + LENGTH, off[own + 1])
+                    if not crowd:
+                        piece = [raw[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist())]
+                        yield _batch([table["h"][q], table["doc_id"][q], np.full(len(q), block), table["ord"][q], table["start"][q], at - lo, piece], _SIDES, _SIDES_TYPES)
+                        continue
+                    bytes_ = raw[np.minimum(lo[:, None] + np.arange(LENGTH + LEFT), len(raw) - 1)]
+                    which, start, h, again = _strings(bytes_, at - lo, hi - lo)
+                    doc, number, begin = table["doc_id"][q][which], table["ord"][q][which], start + (lo - off[own])[which]
+                    first = np.lexsort((begin, doc, again, h))  # neighbouring anchors share strings: each once
+                    h, again, doc, number, begin = (x[first] for x in (h, again, doc, number, begin))
+                    new = np.append(True, (h[1:] != h[:-1]) | (again[1:] != again[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] != begin[:-1]) | (number[1:] != number[:-1]))
+                    m = int(new.sum())
+                    yield _batch([h[new].view(np.int64), np.zeros(m, int), again[new].view(np.int64), doc[new], np.full(m, block), number[new], begin[new], np.zeros(m, int)])
 
     return run
 
 
 def _repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task over strings sorted by (h, doc_id, start): spans of all but the first of each hash.  A stream, too."""
+    """Task over strings sorted by (h, again, doc_id, start): spans of all but the first of each.  A stream, too."""
     last = None
     for batch in batches:
-        h, doc, start, block, ords = (np.asarray(batch.column(n)) for n in ("h", "doc_id", "start", "block", "ord"))
+        h, again, doc, start, block, ords = (np.asarray(batch.column(n)) for n in ("h", "again", "doc_id", "start", "block", "ord"))
         if not len(h):
             continue
-        new = np.append(last is None or h[0] != last[0], h[1:] != h[:-1])
+        new = np.append(last is None or (h[0], again[0]) != last[:2], (h[1:] != h[:-1]) | (again[1:] != again[:-1]))
         head = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-        doc0 = np.where(head >= 0, doc[head], last[1] if last else 0)
-        pos0 = np.where(head >= 0, start[head], last[2] if last else 0)
+        doc0 = np.where(head >= 0, doc[head], last[2] if last else 0)
+        pos0 = np.where(head >= 0, start[head], last[3] if last else 0)
         q = np.flatnonzero((doc != doc0) | (start != pos0))
-        last = (h[-1], doc0[-1], pos0[-1])
+        last = (h[-1], again[-1], doc0[-1], pos0[-1])
         yield pa.RecordBatch.from_arrays([pa.array(block[q]), pa.array(ords[q]), pa.array(start[q], pa.int32()), pa.array(start[q] + LENGTH, pa.int32())], names=["block", "ord", "start", "end"])
 
 
@@ -275,12 +305,9 @@ class Suffixes:
 
     def __init__(self, rows: np.ndarray, lens: np.ndarray):
         self.rows, self.lens = rows, lens
-        width = rows.shape[1]
-        up, _ = powers(width + 1)
-        values = mix(np.arange(1, 257, dtype=np.uint64))
-        self.hashes = np.zeros((len(rows), width + 1), np.uint64)
-        for i in range(0, len(rows), 2048):
-            np.cumsum(values[rows[i : i + 2048]] * up[:width], axis=1, out=self.hashes[i : i + 2048, 1:])
+        self.hashes = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
+        for i in range(0, len(rows), 128):
+            self.hashes[i : i + 128] = prefix_hashes(rows[i : i + 128])
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common prefix lengths of rows x and y: a logarithmic number of hash comparisons each."""
@@ -439,33 +466,27 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- cutting out
 
 
-def covered(off: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether each byte of the texts lies in one of the spans (ends are cut at the text's)."""
-    change = np.zeros(int(off[-1]) + 1, np.int32)
-    np.add.at(change, off[text] + start, 1)
-    np.add.at(change, np.minimum(off[text] + end, off[text + 1]), -1)
-    return np.cumsum(change[:-1]) > 0
-
-
 def _cut(spans: SideTable, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, at_block, table = _Rows(), None, None
+        at_block, table = None, None
         for batch in batches:
-            for block, base, part, raw, off in rows.parts(batch, 1 << 20):
+            for block, ords, part, raw, off in _parts(batch):
                 if block != at_block:
                     at_block, t = block, spans.load(block)
-                    table = tuple(np.asarray(t.column(n)).astype(np.int64) for n in ("ord", "start", "end")) if t else (np.zeros(0, np.int64),) * 3
-                    table = _join_spans(*table)
-                i, j = np.searchsorted(table[0], [base, base + part.num_rows])
-                gone = covered(off, table[0][i:j] - base, table[1][i:j], table[2][i:j])
-                opens = gone.copy()
-                inner = np.ones(len(gone), bool)
-                inner[off[:-1][off[:-1] < len(gone)]] = False
-                opens[1:] &= ~(gone[:-1] & inner[1:])
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (gone, opens)]
-                removed, runs = (x[off[1:]] - x[off[:-1]] for x in sums)
-                kept = [raw[a:b][~gone[a:b]].tobytes() if r else raw[a:b].tobytes() for a, b, r in zip(off[:-1].tolist(), off[1:].tolist(), removed.tolist())]
-                out = [part.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+                    o, a, b = _join_spans(*(np.asarray(t.column(n)).astype(np.int64) for n in ("ord", "start", "end"))) if t else (np.zeros(0, np.int64),) * 3
+                    table = {"ord": o, "start": a, "end": b}
+                rows, text = _wanted_here(table, ords)
+                lens = np.diff(off)
+                a, b = table["start"][rows], np.minimum(table["end"][rows], lens[text])
+                runs = np.bincount(text, minlength=len(lens))
+                removed = np.bincount(text, b - a, minlength=len(lens)).astype(np.int64)
+                kept, k = [], 0
+                for i, (x, y, n) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), runs.tolist())):
+                    cuts = [x, *np.stack([a[k : k + n], b[k : k + n]], 1).ravel().tolist(), y]
+                    cuts[1:-1] = [c + x for c in cuts[1:-1]]
+                    kept.append(b"".join(raw[u:v].tobytes() for u, v in zip(cuts[::2], cuts[1::2])))
+                    k += n
+                out = [part.column("doc_id"), pa.array(lens, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(kept, pa.binary())] if texts else out, names=[*names, "kept"] if texts else names)
 
@@ -483,19 +504,19 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "suffix")
-    rows = docs.select("doc_id", "text", block_id())
-    met = written(
-        rows.mapInArrow(_anchors, _HITS_SCHEMA).repartition(spread(spark), "h").sortWithinPartitions("h", "around", "doc_id", "start").mapInArrow(_meet, _HITS_SCHEMA), "suffix"
-    )
+    rows = placed(docs)
+    order = ["h", "around", "again", "doc_id", "start"]
+    met = written(rows.mapInArrow(_anchors, _HITS_SCHEMA).repartition(spread(spark), "h").sortWithinPartitions(*order).mapInArrow(_meet, _HITS_SCHEMA), "suffix")
     ask = met.where("end = 0").select("h", "doc_id", "block", "ord", "start")
-    crowds = ask.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h", F.lit(True).alias("crowd"))
-    wanted = SideTable(ask.join(crowds, "h", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))), "suffix")
+    counts = written(ask.groupBy("h").agg(F.count("*").alias("many")), "suffix")
+    crowds = counts.where(F.col("many") > CROWD)
+    wanted = SideTable(hot_join(ask, counts, ["h"], "many").select("h", "doc_id", "block", "ord", "start", (F.col("many") > CROWD).alias("crowd")), "suffix")
     pieces = rows.mapInArrow(_fetch(wanted, False), "h long, doc_id long, block long, ord int, pos int, before int, piece binary")
     spans_schema = "block long, ord int, start int, end int"
     more = pieces.repartition(spread(spark), "h").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(_extend, spans_schema)
     found = met.where("end > 0").select("block", "ord", "start", "end").unionByName(more)
     if not crowds.isEmpty():
-        strings = rows.mapInArrow(_fetch(wanted, True), _HITS_SCHEMA).repartition(spread(spark), "h").sortWithinPartitions("h", "doc_id", "start")
+        strings = rows.mapInArrow(_fetch(wanted, True), _HITS_SCHEMA).repartition(spread(spark), "h").sortWithinPartitions("h", "again", "doc_id", "start")
         found = found.unionByName(strings.mapInArrow(_repeat, spans_schema))
     spans = SideTable(found, "suffix")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
