@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from .common import written
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): each node of an edge with the smallest node it reaches.
 
     ``edges`` has columns a and b of one orderable type.  Each round hangs every node's larger neighbours on its
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current = written(pairs, "cc")
     before = None
-    for _ in range(rounds):
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         # large star: neighbours above a move to the lowest of a and its neighbours
@@ -35,7 +35,5 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

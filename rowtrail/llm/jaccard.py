@@ -14,10 +14,11 @@ from math import comb, isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SideTable, block_id, mix, prefix_hashes, scanned, slices, small_batches, span_hashes, word_spans, written
+from .common import LOWER, SideTable, by_block, hot_join, mix, placed, prefix_hashes, scanned, slices, small_batches, span_hashes, word_spans, written
 from .components import connected_components
 
 #: Counters of the shingle frequency sketch: 2 MB, whatever the corpus.
@@ -53,12 +54,16 @@ class Likeness:
         return sum(comb(n, c) for c in self.subset_sizes(n))
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, n+1 offsets) of each text's distinct shingles, sorted: k consecutive words, or the whole of a shorter text."""
+def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, second hashes, n+1 offsets) of each text's distinct shingles, sorted by the first: k consecutive words,
+    or the whole of a shorter text.
+
+    The first hash has 61 bits modulo a prime and stands for the shingle; two of up to 1,000 bytes are taken for the
+    same with a chance of 1,000 / 2^61.  The second, of another base, goes into the names of sets, so two different
+    sets share a name with the square of that chance.
+    """
     low = LOWER[raw]
-    s = prefix_hashes(low)
     starts, ends, first = word_spans(low, off)
-    h = span_hashes(s, starts, ends)
     texts = len(off) - 1
     words = np.diff(first)
     count = np.where(words >= k, words - k + 1, np.minimum(words, 1))
@@ -66,52 +71,52 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     owner = np.repeat(np.arange(texts), count)
     at = first[owner] + np.arange(bounds[-1]) - bounds[owner]
     length = np.minimum(words[owner], k)
-    value = length.astype(np.uint64)
-    for j in range(k):
-        more = j < length
-        value[more] = mix(value[more] * np.uint64(0x9FB21C651E98DF25) + h[at[more] + j])
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
+    both = []
+    for lane in (0, 1):
+        h = span_hashes(prefix_hashes(low, lane), starts, ends, lane)
+        value = length.astype(np.uint64)
+        for j in range(k):
+            more = j < length
+            value[more] = mix(value[more] * np.uint64(0x9FB21C651E98DF25) + h[at[more] + j])
+        both.append(value)
+    order = np.lexsort((both[0], owner))
+    value, again, owner = both[0][order], both[1][order], owner[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    value, owner = value[new], owner[new]
-    return value, np.searchsorted(owner, np.arange(texts + 1))
+    value, again, owner = value[new], again[new], owner[new]
+    return value, again, np.searchsorted(owner, np.arange(texts + 1))
 
 
-def set_names(value: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
-    """A 128-bit name for each set from its size and two sums over its members; None for an empty set."""
+def set_names(value: np.ndarray, again: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """A 128-bit name for each set from its size and a sum over each hash of its members; None for an empty set."""
     n = np.diff(bounds)
     total = np.zeros((2, len(value) + 1), np.uint64)
     np.cumsum(mix(value ^ np.uint64(0x5851F42D4C957F2D)), out=total[0, 1:])
-    np.cumsum(mix(value + np.uint64(0x14057B7EF767814F)), out=total[1, 1:])
-    with np.errstate(over="ignore"):
-        a = mix(total[0, bounds[1:]] - total[0, bounds[:-1]] + n.astype(np.uint64))
-        b = mix(total[1, bounds[1:]] - total[1, bounds[:-1]])
+    np.cumsum(mix(again + np.uint64(0x14057B7EF767814F)), out=total[1, 1:])
+    a = mix(total[0, bounds[1:]] - total[0, bounds[:-1]] + n.astype(np.uint64))
+    b = mix(total[1, bounds[1:]] - total[1, bounds[:-1]])
     joined = np.stack([a, b], 1).tobytes()
     return [joined[16 * i : 16 * i + 16] if n[i] else None for i in range(len(n))]
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+_META = "doc_id long, block long, ord int, n long, name binary, signature binary, sketch binary"
+_META_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _sizes(k: int):
     """Task: each text's set size, name and signature, and the task's frequency sketch in its last row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "block", "n", "name", "signature", "sketch"]
+        names = [x.split()[0] for x in _META.split(", ")]
         sketch = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for part, raw, off in slices(batch, "text"):
-                value, bounds = shingle_sets(raw, off, k)
+                value, again, bounds = shingle_sets(raw, off, k)
                 np.add.at(sketch, (value & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("block"), pa.array(np.diff(bounds), pa.int64()), pa.array(set_names(value, bounds), pa.binary()), pa.array(_signature(value, bounds), pa.binary()), pa.nulls(n, pa.binary())],
-                    names=names,
-                )
+                cells = [np.diff(bounds), set_names(value, again, bounds), _signature(value, bounds), [None] * part.num_rows]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), *(pa.array(c, t) for c, t in zip(cells, _META_TYPES[3:]))], names=names)
         packed = np.minimum(sketch, 255).astype(np.uint8).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in _META_TYPES[:-1]), pa.array([packed], pa.binary())], names=names)
 
     return run
 
@@ -137,38 +142,39 @@ def _signature(value: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [table[128 * i : 128 * i + 128] for i in range(texts)]
 
 
-def _reps(part: pa.RecordBatch, value: np.ndarray, bounds: np.ndarray, known: dict[bytes, int]) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
-    """(class ids, sizes, members, bounds) of the texts that stand for their class in this split, each class once."""
-    rows, ids = [], []
-    for i, name in enumerate(set_names(value, bounds)):
-        if name is not None and (c := known.pop(name, None)) is not None:
-            rows.append(i)
-            ids.append(c)
-    n = np.diff(bounds)[rows] if rows else np.zeros(0, np.int64)
-    at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in rows]) if rows else np.zeros(0, np.int64)
-    return ids, n.tolist(), value[at], np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-
-
-class _Known:
-    """The classes that a split stands for, loaded from the side table when its first row comes."""
+class _Wanted:
+    """The rows of each block that stand for a class, by their numbers; loaded when a block's first row comes."""
 
     def __init__(self, side: SideTable):
-        self.side, self.by_block = side, {}
+        self.side, self.block, self.ords, self.cids = side, None, None, None
 
-    def of(self, block: int) -> dict[bytes, int]:
-        if block not in self.by_block:
+    def of(self, same: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        """(the wanted rows, their classes) of rows of one block."""
+        block = same.column("block")[0].as_py()
+        if block != self.block:
             t = self.side.load(block)
-            self.by_block = {block: dict(zip(t.column("name").to_pylist(), t.column("cid").to_pylist())) if t else {}}
-        return self.by_block[block]
-
-
-def _by_block(batch: pa.RecordBatch, column: str = "block") -> Iterator[pa.RecordBatch]:
-    """Runs of rows of one split (a task may scan several splits, one after the other)."""
-    b = np.asarray(batch.column(column))
-    cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
-    for i, j in zip(cuts, cuts[1:]):
-        if j > i:
-            yield batch.slice(i, j - i)
+            ords, cids = (np.asarray(t.column(c)) for c in ("ord", "cid")) if t else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            order = np.argsort(ords)
+            self.block, self.ords, self.cids = block, ords[order], cids[order]
+        mine = np.asarray(same.column("ord"))
+        at = np.searchsorted(self.ords, mine)
+        found = np.zeros(len(mine), bool)
+        inside = at < len(self.ords)
+        found[inside] = self.ords[at[inside]] == mine[inside]
+        return same.filter(pa.array(found)), self.cids[at[found]]
+
+
+def _wanted_sets(batches: Iterator[pa.RecordBatch], side: SideTable, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(classes, members, n+1 bounds) of the wanted rows; only their texts are cut into shingles."""
+    wanted = _Wanted(side)
+    for batch in batches:
+        for same in by_block(batch):
+            rows, cids = wanted.of(same)
+            done = 0
+            for part, raw, off in slices(rows, "text") if len(cids) else ():
+                value, _, bounds = shingle_sets(raw, off, k)
+                yield cids[done : done + part.num_rows], value, bounds
+                done += part.num_rows
 
 
 def _keys(side: SideTable, sketch, like: Likeness, border: int):
@@ -179,34 +185,28 @@ def _keys(side: SideTable, sketch, like: Likeness, border: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, known = np.frombuffer(sketch.value, np.uint16), _Known(side)
+        often = np.frombuffer(sketch.value, np.uint16)
         heavy_from = like.least_own(border + 1)
         names = ["key", "c", "cid", "n", "pos", "own"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-        for batch in batches:
-            for same in _by_block(batch):
-                held = known.of(same.column("block")[0].as_py())
-                for part, raw, off in slices(same, "text"):
-                    ids, sizes, value, bounds = _reps(part, *shingle_sets(raw, off, like.k), held)
-                    if not ids:
-                        continue
-                    n, cid = np.array(sizes), np.array(ids)
-                    owner = np.repeat(np.arange(len(ids)), n)
-                    rank = often[(value & np.uint64(SKETCH - 1)).astype(np.int64)]
-                    value = value[np.lexsort((value, rank, owner))]
-                    pos = np.arange(len(value)) - bounds[owner]
-                    long = n + like_neg(like.num, like.den, n) + 1
-                    short = n + like_neg(2 * like.num, like.num + like.den, n) + 1
-                    long = np.where(n > border, long, short)
-                    use = (pos < long[owner]) & (n[owner] >= heavy_from)
-                    o = owner[use]
-                    cols = [value[use].view(np.int64), np.zeros(len(o), np.int32), cid[o], n[o], pos[use], pos[use] < short[o]]
-                    light = [(k, c, ids[i], sizes[i]) for i in np.flatnonzero(n <= border).tolist() for k, c in subsets(value[bounds[i] : bounds[i + 1]], like)]
-                    if light:
-                        k, c, i, m = zip(*light)
-                        extra = [np.array(k, np.uint64).view(np.int64), np.array(c), np.array(i), np.array(m), np.zeros(len(k), int), np.ones(len(k), bool)]
-                        cols = [np.concatenate([a, b]) for a, b in zip(cols, extra)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=names)
+        for cid, value, bounds in _wanted_sets(batches, side, like.k):
+            n = np.diff(bounds)
+            owner = np.repeat(np.arange(len(cid)), n)
+            rank = often[(value & np.uint64(SKETCH - 1)).astype(np.int64)]
+            value = value[np.lexsort((value, rank, owner))]
+            pos = np.arange(len(value)) - bounds[owner]
+            long = n + like_neg(like.num, like.den, n) + 1
+            short = n + like_neg(2 * like.num, like.num + like.den, n) + 1
+            long = np.where(n > border, long, short)
+            use = (pos < long[owner]) & (n[owner] >= heavy_from)
+            o = owner[use]
+            cols = [value[use].view(np.int64), np.zeros(len(o), np.int32), cid[o], n[o], pos[use], pos[use] < short[o]]
+            light = [(k, c, cid[i], n[i]) for i in np.flatnonzero(n <= border).tolist() for k, c in subsets(value[bounds[i] : bounds[i + 1]], like)]
+            if light:
+                k, c, i, m = zip(*light)
+                extra = [np.array(k, np.uint64).view(np.int64), np.array(c), np.array(i), np.array(m), np.zeros(len(k), int), np.ones(len(k), bool)]
+                cols = [np.concatenate([a, b]) for a, b in zip(cols, extra)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=names)
 
     return run
 
@@ -226,21 +226,12 @@ def subsets(value: np.ndarray, like: Likeness) -> Iterator[tuple[int, int]]:
 
 
 def _sets(side: SideTable, like: Likeness):
-    """Task: (cid, n, members) of the wanted classes of the split."""
+    """Task: (cid, n, members) of the wanted classes of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(side)
-        for batch in batches:
-            for same in _by_block(batch):
-                held = known.of(same.column("block")[0].as_py())
-                for part, raw, off in slices(same, "text"):
-                    if not held:
-                        break
-                    ids, sizes, value, bounds = _reps(part, *shingle_sets(raw, off, like.k), held)
-                    if ids:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value.view(np.int64)))], names=["cid", "n", "members"]
-                        )
+        for cid, value, bounds in _wanted_sets(batches, side, like.k):
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(np.diff(bounds), pa.int64()), lists], names=["cid", "n", "members"])
 
     return run
 
@@ -273,7 +264,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, like: Liken
     if close.isEmpty():
         return close, None
     wanted = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    need = SideTable(classes.join(wanted, "cid").select("block", "name", "cid"), "jaccard")
+    need = SideTable(classes.join(wanted, "cid").select("block", "ord", "cid"), "jaccard")
     whole = written(rows.mapInArrow(_sets(need, like), "cid long, n long, members array<long>"), "jaccard")
     y = close.join(whole.toDF("a", "n_a", "set_a"), "a").join(whole.toDF("b", "n_b", "set_b"), "b")
     return y.where(like.linked(F.size(F.array_intersect("set_a", "set_b")), F.col("n_a"), F.col("n_b"))).select("a", "b"), whole
@@ -367,10 +358,8 @@ def choose_border(sizes: dict[int, int], like: Likeness, most: int = 40) -> int:
     return min(range(0, most + 1), key=cost)
 
 
-def _scan_rows(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    docs = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "jaccard")
-    return docs.select("doc_id", "text", block_id())
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def group_classes(rows: DataFrame, like: Likeness, links: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -380,22 +369,24 @@ def group_classes(rows: DataFrame, like: Likeness, links: bool = False) -> tuple
     compared within each list, so a group of copies costs one pair a member and no link is lost.
     """
     spark = rows.sparkSession
-    meta = written(rows.mapInArrow(_sizes(like.k), "doc_id long, block long, n long, name binary, signature binary, sketch binary"), "jaccard")
+    small_batches(spark)
+    meta = written(rows.mapInArrow(_sizes(like.k), _META), "jaccard")
     sketches = meta.where("sketch is not null").select("sketch")
     fan = max(1, isqrt(sketches.count()))  # a tree of two levels: no task reads more than the root of their number
     sketches = sketches.repartition(fan).mapInArrow(_add_sketches, "sketch binary").repartition(1).mapInArrow(_add_sketches, "sketch binary").first()
     sketch = spark.sparkContext.broadcast(sketches.sketch if sketches else bytes(2 * SKETCH))
     meta = meta.where("sketch is null").drop("sketch")
     classes = written(
-        meta.where("name is not null").groupBy("name", "n").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("low"), "block", "signature")).alias("first")).select("name", "n", "first.*", F.monotonically_increasing_id().alias("cid")),
+        meta.where("name is not null").groupBy("name", "n").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("low"), "block", "ord", "signature")).alias("first")).select("name", "n", "first.*", F.monotonically_increasing_id().alias("cid")),
         "jaccard",
     )
     border = choose_border({r.n: r["count"] for r in classes.where("n <= 40").groupBy("n").count().collect()}, like)
-    side = SideTable(classes.select("block", "name", "cid"), "jaccard")
-    keys = rows.mapInArrow(_keys(side, sketch, like, border), "key long, c int, cid long, n int, pos int, own boolean")
+    side = SideTable(classes.select("block", "ord", "cid"), "jaccard")
+    keys = written(rows.mapInArrow(_keys(side, sketch, like, border), "key long, c int, cid long, n int, pos int, own boolean"), "jaccard")
     # every key that two classes share, with its pivot
     pivots = keys.groupBy("key", "c").agg(F.min(F.struct("pos", "n", "cid")).alias("pivot"), F.count("*").alias("many")).where("many > 1")
-    lists = written(keys.join(pivots.select("key", "c", F.col("pivot.cid").alias("pivot"), F.col("pivot.n").alias("pivot_n")), ["key", "c"]), "jaccard")
+    pivots = written(pivots.select("key", "c", F.col("pivot.cid").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "many"), "jaccard")
+    lists = written(hot_join(keys, pivots, ["key", "c"], "many").drop("many"), "jaccard")
 
     def sized(a: str, b: str) -> Column:
         return F.least(a, b) * like.den >= F.greatest(a, b) * like.num
@@ -421,7 +412,7 @@ def group_classes(rows: DataFrame, like: Likeness, links: bool = False) -> tuple
     second, more = _verified(rest.join(stars, ["a", "b"], "left_anti"), classes, rows, like)
     edges = written(first.unionByName(written(second, "jaccard")), "jaccard")
     final = connected_components(edges).toDF("cid", "component")
-    named = classes.select("cid", "name", "n", "low", "block").join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = classes.select("cid", "name", "n", "low", "block", "ord").join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     if links:
         # in a component of two the one edge is all; larger ones are counted
         n_links = edges.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
@@ -443,7 +434,7 @@ def jaccard_components(docs: DataFrame, like: Likeness | None = None) -> DataFra
     nothing; repeated rows are equal sets; a null doc_id takes part but is no component's name unless alone; extra
     columns are ignored; an empty table gives an empty result.
     """
-    meta, classes = group_classes(_scan_rows(docs), like or Likeness(), links=True)
+    meta, classes = group_classes(placed(scanned(_texts(docs), "jaccard")), like or Likeness(), links=True)
     answer = classes.select("name", "n", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"), "n_links")
     return meta.join(answer, ["name", "n"], "left").select(
         "doc_id",
@@ -453,26 +444,17 @@ def jaccard_components(docs: DataFrame, like: Likeness | None = None) -> DataFra
     )
 
 
-def _keepers(side: SideTable, k: int, columns: list[str], block_column: str):
-    """Task: rows that stand for their component, and rows without shingles."""
+def _keepers(side: SideTable, columns: list[str], block: str, number: str):
+    """Task: the rows of each block that the side table names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_block, low = None, {}
+        at_block, ords = None, None
         for batch in batches:
-            for same in _by_block(batch, block_column):
-                block = same.column(block_column)[0].as_py()
-                if block != at_block:
-                    at_block, t = block, side.load(block)
-                    low = dict(zip(t.column("name").to_pylist(), t.column("low").to_pylist())) if t else {}
-                for part, raw, off in slices(same, "text"):
-                    ids = part.column("doc_id").cast(pa.int64()).fill_null(LAST_ID).to_pylist()
-                    keep = []
-                    for name, doc_id in zip(set_names(*shingle_sets(raw, off, k)), ids):
-                        stays = name is None or low.get(name) == doc_id
-                        if stays and name is not None:
-                            del low[name]  # a repeated row goes
-                        keep.append(stays)
-                    yield part.select(columns).filter(pa.array(keep, pa.bool_()))
+            for same in by_block(batch, block):
+                if (now := same.column(block)[0].as_py()) != at_block:
+                    at_block, t = now, side.load(now)
+                    ords = t.column("ord").combine_chunks() if t else pa.array([], pa.int32())
+                yield same.select(columns).filter(pc.is_in(same.column(number), ords))
 
     return run
 
@@ -483,14 +465,15 @@ def keep_one_of_each(docs: DataFrame, like: Likeness) -> DataFrame:
     Rows without shingles all stay.  Of rows that repeat a doc_id and its set one stays.
     """
     docs = scanned(docs, "jaccard")
-    block_column = "block"
-    while block_column in docs.columns:
-        block_column += "_"
-    rows = _scan_rows(docs)
-    _, classes = group_classes(rows, like)
-    keepers = classes.groupBy("component").agg(F.min(F.struct("low", "name", "block")).alias("kept")).select("kept.*")
-    side = SideTable(keepers, "jaccard")
-    return docs.select("*", block_id().alias(block_column)).mapInArrow(_keepers(side, like.k, docs.columns, block_column), docs.schema)
+    meta, classes = group_classes(placed(_texts(docs)), like)
+    first = classes.groupBy("component").agg(F.min(F.struct("low", "name", "block", "ord")).alias("kept")).select("kept.block", "kept.ord")
+    side = SideTable(first.unionByName(meta.where("name is null").select("block", "ord")), "jaccard")
+    free = "_"
+    while any(c.startswith(free) for c in docs.columns):
+        free += "_"
+    held = placed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    flat = held.select("row.*", F.col("block").alias(f"{free}block"), F.col("ord").alias(f"{free}ord"))
+    return flat.mapInArrow(_keepers(side, docs.columns, f"{free}block", f"{free}ord"), docs.schema)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -503,15 +486,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: The same in plain SQL: all pairs that share a shingle, then reachability.
+#: The same in plain SQL: all pairs that share a shingle, then reachability; n_links counts different sets.
 OP3_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM w WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n, string_agg(g, chr(10) ORDER BY g) AS whole FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+l AS (SELECT a, b, x.whole = y.whole AS equal, y.whole AS other FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+k AS (SELECT a AS doc_id, count(DISTINCT other) AS n_links FROM l WHERE NOT equal GROUP BY a),
 r AS (SELECT a AS doc_id, b AS seen FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen)
-SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(w.doc_id, coalesce(c.low, w.doc_id)) AS BIGINT) AS component_id
-FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(seen) AS low FROM r GROUP BY doc_id) c USING (doc_id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(w.doc_id, coalesce(c.low, w.doc_id)) AS BIGINT) AS component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(seen) AS low FROM r GROUP BY doc_id) c USING (doc_id) LEFT JOIN k USING (doc_id)
 """

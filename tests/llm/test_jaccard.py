@@ -111,3 +111,38 @@ def test_every_link_is_counted(documents, corpus, monkeypatch, sets):
     rows += [(3000, "p q r s t u v w x y z a b"), (3001, "p q r s t u v w x y z a c"), (3002, "p q r s t u v w x y z a d")]
     got = jaccard.jaccard_components(documents(rows)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_links) for r in got) == brute_links(rows, 90, 100, 3)
+
+
+def test_words_that_collide_modulo_a_power_of_two(documents):
+    """A Thue-Morse word of 1,024 letters and its complement: equal sums modulo 2^64 under every odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits)), (3, "other")]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.jaccard_components(documents(rows)).collect()}
+    assert got == {1: (1, 0), 2: (2, 0), 3: (3, 0)}
+
+
+def test_all_white_space_parts_words(documents):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, s.join(words)) for i, s in enumerate(" \t\n\x0b\x0c\r")] + [(9, "\x1c".join(words))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(rows)).collect()}
+    assert got == {**{i: (28, 0) for i in range(6)}, 9: (1, 9)}
+
+
+def test_other_splits_between_scans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    key_, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    sizes = iter(["200k", "1m", "90k", "128m"] * 20)
+    whole = jaccard.keep_one_of_each(docs, jaccard.Likeness(80, 100, 5))
+    want = sorted(whole.select("doc_id").collect())
+    real = jaccard.written
+
+    def cut(df, name):
+        spark.conf.set(key_, next(sizes))
+        return real(df, name)
+
+    try:
+        jaccard.written = cut
+        assert sorted(jaccard.keep_one_of_each(docs, jaccard.Likeness(80, 100, 5)).select("doc_id").collect()) == want
+    finally:
+        jaccard.written = real
+        spark.conf.set(key_, before)
