@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import hot_join, written
 
 #: Words that a run holds at least to be deleted as a copy.
 MIN_WORDS = 50
@@ -24,12 +24,13 @@ def word_count(line: Column) -> Column:
 
 
 def _named(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Rows whose ``by`` values occur more than once, with the first place of those values as ``name``.
+    """Written rows whose ``by`` values occur more than once, with the first place of those values as ``name``.
 
-    The first places come from a partial aggregate; a value that many rows hold is joined back, never gathered.
+    The first places come from a partial aggregate; they are joined back with frequent values broadcast, so the rows
+    of a value are never gathered.
     """
-    firsts = rows.groupBy(*by).agg(F.min("place").alias(name), F.count("*").alias("many")).where("many > 1").drop("many")
-    return rows.join(firsts, by)
+    firsts = rows.groupBy(*by).agg(F.min("place").alias(name), F.count("*").alias("many")).where("many > 1")
+    return hot_join(rows, written(firsts, "lines"), by, "many").drop("many")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -52,7 +53,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     split = split.select("doc_id", "th", "row", "last", "idx", F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.coalesce(word_count(F.col("line")), F.lit(0)).alias("words"))
     by_row = W.partitionBy("row")
     before = F.coalesce(F.sum("words").over(by_row.orderBy("idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    stop = F.min("idx").over(by_row.orderBy("before").rangeBetween(min_words, W.unboundedFollowing))
+    # the first line with so many words before it; in falling order the frame only grows, so each row is taken in once
+    stop = F.min("idx").over(by_row.orderBy(F.desc("before")).rangeBetween(W.unboundedPreceding, -min_words))
     # m: lines of the shortest run from here; most: of the longest run for which no later start makes a shorter one
     until = F.coalesce(F.lead("stop").over(by_row.orderBy("idx")), F.col("last") + 1) - 1
     lines = split.withColumn("before", before).withColumn("stop", stop).withColumn("until", F.greatest("stop", until))
@@ -68,7 +70,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         runs.append(here.join(at, ["row", "end"]).select("doc_id", "th", "idx", "m", "place", F.col("name").alias("head"), "tail"))
         if 2 * size <= deepest:
             after = level.select("row", (F.col("idx") - size).alias("idx"), F.col("name").alias("next"))
-            pairs = level.join(after, ["row", "idx"]).withColumnRenamed("name", "first")
+            pairs = written(level.join(after, ["row", "idx"]).withColumnRenamed("name", "first"), "lines")
             level = written(_named(pairs, ["first", "next"], "name").drop("first", "next"), "lines")
         size *= 2
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("gone", T.ArrayType(T.IntegerType()))])
@@ -119,17 +121,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.select(*docs.columns)
 
 
-#: In plain SQL, from an earlier form: only the shortest run of 50 words from each line, compared as text.  It leaves the
-#: lines after a repeated run's last such window, which the query deletes.
+#: The same in plain SQL by another way: all pairs of equal lines, in runs along their diagonals; a run of 50 words that
+#: also starts earlier goes.
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 e AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
-w AS (SELECT doc_id, l, i, l[i] AS line, len(list_filter(string_split_regex(l[i], '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM e),
-c AS (SELECT doc_id, l, i, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto, words FROM w),
-m AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.words >= 50 GROUP BY ALL),
-r AS (SELECT m.doc_id, m.i, m.j, array_to_string(d.l[m.i:m.j], chr(10)) AS run FROM m JOIN d USING (doc_id)),
-f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS copy FROM r),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE copy > 1),
+w AS (SELECT doc_id, i, l[i] AS line, len(list_filter(string_split_regex(l[i], '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM e),
+p AS (SELECT b.doc_id, b.i, a.doc_id AS other, b.i - a.i AS shift, b.words FROM w a JOIN w b ON a.line = b.line AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i))),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS run FROM p),
+h AS (SELECT doc_id, i, sum(words) OVER (PARTITION BY doc_id, other, shift, run) AS held FROM r),
+g AS (SELECT DISTINCT doc_id, i FROM h WHERE held >= 50),
 k AS (SELECT w.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY w.i), '') AS text
       FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,

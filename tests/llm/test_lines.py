@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from rowtrail.llm.lines import dedup_lines, drop_repeated_lines
 
@@ -92,3 +93,16 @@ def test_every_run_by_brute_force(documents):
     for least in (50, 12, 1):
         got = sorted((d.doc_id, d.n_removed, d.text) for d in dedup_lines(documents(rows), least).collect())
         assert got == every_run(rows, least)
+
+
+def test_very_many_lines_in_one_text(spark, documents):
+    """Time grows with the number of lines, not with its square."""
+    def seconds(n):
+        text = "\n".join(f"line {i} of a very long text" for i in range(n))
+        docs = documents([(1, text), (2, "\n".join(text.split("\n")[5:25]))])
+        start = time.time()
+        assert {r.doc_id: r.n_removed for r in dedup_lines(docs).select("doc_id", "n_removed").collect()} == {1: 0, 2: 20}
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(300_000) < 60
