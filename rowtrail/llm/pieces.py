@@ -1,13 +1,13 @@
 """SentencePiece encoding and decoding over a relational lattice of the corpus's distinct words.
 
-1. Each input split lists its distinct words.  A word is a run of spaces with what follows up to the next space, line
+1. Each block of rows lists its distinct words.  A word is a run of spaces with what follows up to the next space, line
    break, or change between punctuation and other characters, as far as no piece of the model crosses such a border.
 2. Each distinct word of the corpus explodes into its substrings of bounded length; an equi-join with the piece table
    (of the model's fixed size, broadcast) leaves the lattice's edges, which are grouped by word.
 3. A fold turns a word's edges into its segmentation.  For a unigram model that is Viterbi with Spark's ``aggregate``.
    A BPE model does not define the best-scored path: it merges the best-ranked adjacent pair again and again, so
    there the fold does that over the same edges, for all words of an Arrow batch in step.  The state is a bit mask of the borders that still stand.
-4. The segmentations go back to the splits that have the words, and every text is put together from them.
+4. The segmentations go back to the blocks that have the words, and every text is put together from them.
 
 Texts are scanned twice and never shuffled.
 """
@@ -25,18 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SideTable, block_id, scanned, small_batches, written
+from .common import SideTable, by_block, placed, scanned, small_batches, written
 
 SPACE = "▁"
 #: Words of up to so many characters are folded in Spark (the mask has 64 bits); longer ones are merged in the task.
 FOLD_CHARS = 60
 
 
-def default_model() -> str:
-    """Path of the public 32k model where the tokenizer files are installed."""
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
+#: Where the public 32k model lies unless another path is given; the driver alone reads it.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 class Pieces:
@@ -78,6 +75,9 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        probe = "\ufb01 \u2460\uff21  x\u00e9e\u0301 "
+        if sp.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+            raise ValueError("models that normalise texts, or add no leading space, are not supported")
         n = sp.get_piece_size()
         texts = [sp.id_to_piece(i) for i in range(n)]
         plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(n)]
@@ -269,7 +269,7 @@ class Encoder:
 
 
 def _vocabulary(pieces):
-    """Task: the distinct words of each split that are short enough to be folded."""
+    """Task: the distinct words of each block that are short enough to be folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _split_words(batches, pieces.value)
@@ -288,43 +288,57 @@ def _split_words(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array([at_block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
 
     for batch in batches:
-        for block, text in zip(batch.column("block").to_pylist(), batch.column("text")):
-            if block != at_block:
+        for same in by_block(batch):
+            if (block := same.column("block")[0].as_py()) != at_block:
                 yield from out()
                 seen.clear()
                 at_block = block
-            if (t := text.as_py()):
-                seen.update(pieces.words(t))
+            for text in same.column("text"):
+                if t := text.as_py():
+                    seen.update(pieces.words(t))
     yield from out()
 
 
+class _Words:
+    """What is known of a block's words: a word's mask as loaded, then, from its first use on, its ids."""
+
+    def __init__(self, encoder: Encoder, side: SideTable):
+        self.encoder, self.side, self.block, self.known = encoder, side, None, {}
+
+    def open(self, block: int) -> None:
+        if block == self.block:
+            return
+        self.block, self.known = block, {}
+        table = self.side.load(block)
+        for chunk in table.to_batches(max_chunksize=20_000) if table is not None else []:
+            words = (w.replace(SPACE, " ") for w in chunk.column("word").to_pylist())
+            self.known.update(zip(words, chunk.column("mask").to_pylist()))
+
+    def ids(self, word: str) -> tuple[int, ...]:
+        got = self.known.get(word)
+        if not isinstance(got, tuple):
+            got = self.known[word] = self.encoder.of_word(word, got)
+        return got
+
+
 def _assemble(pieces, side: SideTable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces.value)
-        known: dict[str, tuple[int, ...]] = {}
-        at_block, masks = None, {}
+        words = _Words(encoder, side)
         for batch in batches:
-            ids, bounds, decoded = [], [0], []
-            flush: list[np.ndarray] = []
-            for block, cell in zip(batch.column("block").to_pylist(), batch.column("text")):
-                if block != at_block:
-                    at_block, masks, known = block, {}, {}
-                    t = side.load(block)
-                    for chunk in t.to_batches(max_chunksize=20_000) if t is not None else []:
-                        masks.update(zip(chunk.column("word").to_pylist(), chunk.column("mask").to_pylist()))
-                    t = None
-                ids = []
-                for w in pieces.value.words(cell.as_py() or ""):
-                    got = known.get(w)
-                    if got is None:
-                        got = known[w] = encoder.of_word(w, masks.pop(w.replace(" ", SPACE), None))
-                    ids += got
-                decoded.append(encoder.decode(ids))
-                flush.append(np.array(ids, np.int32))
-                bounds.append(bounds[-1] + len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flush) if flush else np.zeros(0, np.int32)))
-            rest = [batch.column(n) for n in batch.schema.names if n != "block"]
-            yield pa.RecordBatch.from_arrays([*rest, lists, pa.array(decoded, pa.string())], names=[*(n for n in batch.schema.names if n != "block"), "pieces", "decoded"])
+            for same in by_block(batch):
+                words.open(same.column("block")[0].as_py())
+                bounds, decoded, flat = [0], [], []
+                for cell in same.column("text"):
+                    ids: list[int] = []
+                    for w in pieces.value.words(cell.as_py() or ""):
+                        ids += words.ids(w)
+                    decoded.append(encoder.decode(ids))
+                    flat.append(np.array(ids, np.int32))
+                    bounds.append(bounds[-1] + len(ids))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat)))
+                rest = [n for n in same.schema.names if n not in ("block", "ord")]
+                yield pa.RecordBatch.from_arrays([*(same.column(n) for n in rest), lists, pa.array(decoded, pa.string())], names=[*rest, "pieces", "decoded"])
 
     return run
 
@@ -337,10 +351,10 @@ def encode_texts(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    pieces = pieces or Pieces.load(default_model())
+    pieces = pieces or Pieces.load(MODEL)
     small_batches(spark)
     docs = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "pieces")
-    rows = docs.select("doc_id", "text", block_id())
+    rows = placed(docs)
     shared = spark.sparkContext.broadcast(pieces)
     lists = written(rows.mapInArrow(_vocabulary(shared), "block long, word string"), "pieces")
     distinct = lists.select("word").distinct()
@@ -351,7 +365,7 @@ def encode_texts(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
 
 def decode_pieces(encoded: DataFrame, pieces: Pieces | None = None, column: str = "pieces") -> DataFrame:
     """The rows with a column ``decoded`` of the texts that ids stand for; null ids give null."""
-    pieces = pieces or Pieces.load(default_model())
+    pieces = pieces or Pieces.load(MODEL)
     shared = encoded.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

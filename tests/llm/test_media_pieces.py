@@ -59,7 +59,7 @@ def test_broken_media_is_refused():
 
 def library():
     sentencepiece = pytest.importorskip("sentencepiece")
-    return sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
 
 
 def test_pieces_equal_the_library(documents, corpus):
