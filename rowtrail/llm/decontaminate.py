@@ -1,10 +1,16 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows, one pass over the texts."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows, one pass over the texts.
+
+The automaton holds every fifth run of five words of an item: any ten consecutive words contain one whole.  A hit is
+carried on to both sides along its item; where ten words or more agree, all of them are hit.  That takes a tenth of the
+states of all windows.  It reads numbers of words, not their letters: each word of the benchmark is two or three digits,
+the first of an alphabet of its own, so that a match begins with a word; other words match nothing.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,8 +23,12 @@ from .common import small_batches
 ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 TO_WORDS = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 WINDOW = 10
-#: Bytes of normalised benchmark text in one automaton; a larger benchmark is scanned for in several passes.
-BLOCK_BYTES = 8 << 20
+#: Words of a seed; a window holds one that begins at a multiple of so many words in its item.
+SEED = WINDOW // 2
+#: Words of the benchmark in one automaton, some 200 bytes each; a larger benchmark is scanned for in several passes.
+WORDS = 1_000_000
+#: Digits of a word's number.
+BASE = 64
 SCHEMA = "doc_id long, row long, n_words long, hits array<struct<start:int,end:int>>, items array<string>, spans array<struct<start:int,end:int>>"
 
 
@@ -27,28 +37,63 @@ def normalise(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(TO_WORDS).split() if text else []
 
 
-def windows_of(words: list[bytes], n: int = WINDOW) -> set[bytes]:
-    """The item's windows, each a space-bordered string; an item of fewer than n words is one window, of none has none."""
-    if not words:
-        return set()
-    return {b" %b " % b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
-
-
-def automaton(items: list[tuple[str, str]]):
-    """The automaton over all windows of the items; a state's value is (words of the window, items that have it)."""
-    import ahocorasick
-
-    owners: dict[bytes, set[str]] = {}
-    for item_id, text in items:
-        for w in windows_of(normalise(text)):
-            owners.setdefault(w, set()).add(item_id)
-    if not owners:
-        return None
-    a = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        a.add_word(w.decode("utf-8", "surrogatepass"), (w.count(b" ") - 1, tuple(sorted(ids))))
-    a.make_automaton()
-    return a
+class Windows:
+    """The automaton over the items' seeds; a state's value is (words of the seed, its places: item and first word)."""
+
+    def __init__(self, items: list[tuple[str | None, str]]):
+        import ahocorasick
+
+        self.names = [i for i, _ in items]
+        known: dict[bytes, bytes] = {}
+        self.words = [[known.setdefault(w, w) for w in normalise(t)] for _, t in items]
+        number = {w: i for i, w in enumerate(known)}
+        self.digits = 2 if len(number) <= BASE**2 else 3 if len(number) <= BASE**3 else 5
+        self.code = {w: self._code(i) for w, i in number.items()}
+        self.other = "\x01" * self.digits
+        seeds: dict[str, list[tuple[int, int]]] = {}
+        for i, words in enumerate(self.words):
+            n = SEED if len(words) >= WINDOW else len(words)  # a short item is its own seed
+            for at in range(0, len(words) - n + 1, n) if n else ():
+                seeds.setdefault("".join(map(self.code.__getitem__, words[at : at + n])), []).append((i, at))
+        self.found = ahocorasick.Automaton() if seeds else None
+        for seed, places in seeds.items():
+            self.found.add_word(seed, (len(seed) // self.digits, tuple(places)))
+        if seeds:
+            self.found.make_automaton()
+
+    def _code(self, i: int) -> str:
+        low = [chr(32 + i // BASE**k % BASE) for k in range(self.digits - 1)]
+        return chr(128 + i // BASE ** (self.digits - 1)) + "".join(low)
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str | None]]:
+        """(words, merged hit ranges in words, items) of a text in one pass."""
+        words = normalise(text)
+        spans, items, reached = [], set(), {}
+        if words and self.found is not None:
+            code, other = self.code.get, self.other
+            for end, (n, places) in self.found.iter("".join([code(w, other) for w in words])):
+                stop = end // self.digits + 1
+                start = stop - n
+                for item, at in places:
+                    if reached.get((item, start - at), 0) > start:
+                        continue  # inside a run of this item that is known already
+                    lo, hi = self.run(words, start, stop, self.words[item], at)
+                    reached[item, start - at] = hi
+                    if hi - lo >= min(WINDOW, len(self.words[item])):
+                        spans.append((lo, hi))
+                        items.add(item)
+        names = {self.names[i] for i in items}
+        return len(words), merge(spans), sorted(names, key=lambda x: (x is None, x))
+
+    @staticmethod
+    def run(words: list[bytes], lo: int, hi: int, item: list[bytes], at: int) -> tuple[int, int]:
+        """The longest run of words around [lo, hi) that agrees with the item, of which words[lo] is word ``at``."""
+        shift = at - lo
+        while lo > 0 and lo + shift > 0 and words[lo - 1] == item[lo - 1 + shift]:
+            lo -= 1
+        while hi < len(words) and hi + shift < len(item) and words[hi] == item[hi + shift]:
+            hi += 1
+        return lo, hi
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -62,32 +107,31 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(text: str | None, a) -> tuple[int, list[tuple[int, int]], list[str]]:
-    """(words, merged hit ranges in words, items) of a text in one pass."""
-    words = normalise(text)
-    if a is None or not words:
-        return len(words), [], []
-    line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    borders = None
-    spans, items = [], set()
-    for end, (n, ids) in a.iter(line):
-        if borders is None:
-            borders = [m.start() for m in re.finditer(" ", line)]
-        last = bisect_left(borders, end)
-        spans.append((last - n, last))
-        items.update(ids)
-    return len(words), merge(spans), sorted(items)
-
-
 def original_spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Hit word ranges as code-point ranges of the text as it was."""
     at = [m.span() for m in ORIGINAL_WORD.finditer(text)]
     return [(at[s][0], at[e - 1][1]) for s, e in hits]
 
 
-def _scanner(items: list[tuple[str, str]]):
+_BUILT: dict[str, Windows] = {}
+
+
+class Shared:
+    """A block of items on every executor; a worker builds its automaton once, and forgets that of the block before."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[str | None, str]]):
+        self.name, self.items = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
+
+    def get(self) -> Windows:
+        if self.name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[self.name] = Windows(self.items.value)
+        return _BUILT[self.name]
+
+
+def _scanner(block: Shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(items)
+        windows = block.get()
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("hits", span), ("items", pa.list_(pa.string())), ("spans", span)])
         as_struct = lambda spans: [{"start": s, "end": e} for s, e in spans]
@@ -95,7 +139,7 @@ def _scanner(items: list[tuple[str, str]]):
             counts, hits, names, spans = [], [], [], []
             for text in batch.column("text"):
                 t = text.as_py()
-                n, found, ids = scan(t, a)
+                n, found, ids = windows.scan(t)
                 counts.append(n)
                 hits.append(as_struct(found))
                 names.append(ids)
@@ -116,30 +160,31 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def item_blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def item_blocks(benchmark: DataFrame, id_column: str, text_column: str, words: int) -> Iterator[Shared]:
     """The benchmark in blocks of bounded size, one at a time on the driver; the usual benchmark is one block."""
-    items = benchmark.select(F.col(id_column).cast("string").alias("item"), F.col(text_column).cast("string").alias("text")).where("text is not null and item is not null")
+    items = benchmark.select(F.col(id_column).cast("string").alias("item"), F.col(text_column).cast("string").alias("text")).where("text is not null")
     block, held = [], 0
     for row in items.toLocalIterator():
         block.append((row.item, row.text))
-        held += len(row.text.encode("utf-8", "surrogatepass"))
-        if held >= block_bytes:
-            yield block
+        held += len(normalise(row.text))
+        if held >= words:
+            yield Shared(benchmark.sparkSession, block)
             block, held = [], 0
-    yield block
+    yield Shared(benchmark.sparkSession, block)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, item_column: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, item_column: str = "item_id", words: int = WORDS) -> DataFrame:
     """Benchmark windows in every text: doc_id, n_words, n_hit, n_items, items, spans (code points of the original).
 
     A window is ``WINDOW`` consecutive item words, or the whole of a shorter item.  A word inside any occurrence is
-    hit.  Null and empty texts have no words; items without words or with a null id match nothing; items that share a
-    window are all reported; repeated documents are judged each; extra columns are ignored.  The texts are scanned
-    once per block of ``block_bytes`` benchmark text, and nothing of them is shuffled unless there are several blocks.
+    hit.  Null and empty texts have no words; items without words match nothing; items with a null id count as one item
+    without a name; items that share a window are all reported; repeated documents are judged each; extra columns are
+    ignored.  The texts are scanned once per automaton of ``words`` benchmark words, and nothing of them is shuffled unless there are
+    several.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    passes = [rows.mapInArrow(_scanner(block), SCHEMA) for block in item_blocks(benchmark, item_column, "text", block_bytes)]
+    passes = [rows.mapInArrow(_scanner(block), SCHEMA) for block in item_blocks(benchmark, item_column, "text", words)]
     found = passes[0]
     if len(passes) > 1:
         for p in passes[1:]:
@@ -152,11 +197,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_column: str =
     return found.select("doc_id", "row", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
 
 
-def _clean(items: list[tuple[str, str]]):
+def _clean(block: Shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(items)
+        windows = block.get()
         for batch in batches:
-            yield batch.filter(pa.array([not scan(t.as_py(), a)[1] for t in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([not windows.scan(t.as_py())[1] for t in batch.column("text")], pa.bool_()))
 
     return run
 
@@ -165,7 +210,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Pipeline stage: the documents without any benchmark window, with their columns as they came."""
     small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    for block in item_blocks(benchmark, "item_id", "text", BLOCK_BYTES):
+    for block in item_blocks(benchmark, "item_id", "text", WORDS):
         docs = docs.mapInArrow(_clean(block), docs.schema)
     return docs
 
