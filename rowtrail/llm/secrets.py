@@ -9,15 +9,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import hot_join, small_batches, written
 
 #: The base kinds, in the order in which ties are listed.
 BASE = {
@@ -56,16 +57,29 @@ def scan_text(text: str, least_entropy: float = 3.5) -> list[tuple[str, int, int
     found = []
     for kind, (pattern, group, least) in _BASE.items():
         found += [(kind, m.start(), m.end(), m[group]) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-    taken = sorted((s, e) for _, s, e, _ in found)
     for kind, (pattern, group, least) in _OWNED.items():
+        taken = joined((s, e) for _, s, e, _ in found)
+        starts = [s for s, _ in taken]
         for m in pattern.finditer(text):
             s, e = m.span()
-            if e - s >= least and entropy(m[group]) >= least_entropy and not any(a < e and s < b for a, b in taken):
+            at = bisect_right(starts, s)
+            free = (at == 0 or taken[at - 1][1] <= s) and (at == len(taken) or starts[at] >= e)
+            if free and e - s >= least and entropy(m[group]) >= least_entropy:
                 found.append((kind, s, e, m[group]))
-                taken.append((s, e))
     return found
 
 
+def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = hashlib.sha256(b"").hexdigest()
     order = {k: i for i, k in enumerate(KINDS)}
@@ -123,7 +137,7 @@ def scan_secrets(docs: DataFrame, owner_column: str = "source", shared_owners: i
     # a row number of the scan keeps repeated doc_ids apart
     rows = written(find_candidates(docs, owner_column).withColumn("row", F.monotonically_increasing_id()), "secrets")
     found = rows.where(F.size("found") > 0).select("row", "doc_id", "owner", F.explode("found").alias("f")).select("row", "doc_id", "owner", "f.*")
-    judged = found.join(ownership(found), "value")
+    judged = hot_join(found, written(ownership(found), "secrets"), ["value"], "occurrences")
     live = (F.col("owners") == 1) & (F.col("repositories") < shared_repositories)
     copied = (F.col("owners") >= shared_owners) | (F.col("repositories") >= shared_repositories)
     extra = F.col("kind").isin(*OWNED) & live
