@@ -18,12 +18,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices, small_batches
 
-#: Elements without text of their own, void elements, elements that stay inside a line of text.
-HIDDEN = {"script", "style", "head", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video", "math", "map"}
+#: Elements whose text is never shown, what may stand in a head, void elements, elements that stay inside
+#: a line of text.
+HIDDEN = {"script", "style", "head", "template"}
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "script", "style", "template", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mrow", "mi", "mo", "mn", "ms", "mtext", "msup", "msub", "mfrac", "msqrt", "svg", "object", "map", "canvas", "audio", "video"}
 #: Elements whose start ends an open paragraph, and those that end an open element of their kind.
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -43,6 +45,8 @@ TOKENS = [
     {"share", "social", "follow", "sharing", "tags", "tools", "toolbar", "print"},
 ]
 ABOVE = [{"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "button", "label", "select"}, {"article", "main"}]
+#: Bytes of pages that a task parses at a time; one longer page is alone.
+PAGE_BYTES = 1 << 19
 N_FEATURES = 1 + len(TAGS) + 2 * len(TOKENS) + len(ABOVE) + 12
 
 
@@ -53,6 +57,7 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.depth, self.tokens, self.text, self.linked = ["#root"], [-1], [0], [frozenset()], [None], [0]
         self.stack: list[tuple[str, int]] = [("#root", 0)]
+        self.open: dict[str, list[int]] = {}  # depths in the stack at which a tag is open
         self.line: list[str] = []
         self.links = self.in_link = self.hidden = 0
 
@@ -76,6 +81,7 @@ class Dom(HTMLParser):
 
     def close_to(self, depth: int) -> None:
         for tag, _ in self.stack[depth:]:
+            self.open[tag].pop()
             self.in_link -= tag == "a"
             self.hidden -= tag in HIDDEN
         if any(tag not in INLINE for tag, _ in self.stack[depth:]):
@@ -84,14 +90,17 @@ class Dom(HTMLParser):
 
     def find(self, wanted: set[str] | frozenset, stop: set[str]) -> int:
         """Depth of the innermost open element of a wanted tag, not looking past ``stop``; 0 if none."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] in wanted:
-                return k
-            if self.stack[k][0] in stop:
-                return 0
-        return 0
+        innermost = lambda tags: max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        k = innermost(wanted)
+        return k if k and k >= innermost(stop) else 0
+
+    def enter(self, tag: str, at: int) -> None:
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, at))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD and self.open.get("head"):  # its end tag may be left out
+            self.close_to(self.open["head"][0])
         if tag in VOID:
             if tag == "br":
                 self.line.append(" ")
@@ -104,13 +113,13 @@ class Dom(HTMLParser):
             self.close_to(k)
         if tag in INLINE:
             self.in_link += tag == "a"
-            self.stack.append((tag, self.stack[-1][1]))
+            self.enter(tag, self.stack[-1][1])
             return
         self.flush()
         self.hidden += tag in HIDDEN
         words = " ".join(str(v) for k, v in attrs if v and k in ("class", "id", "role", "aria-label", "itemprop"))
         named = frozenset(re.sub(r"([a-z])([A-Z])", r"\1 \2", words).lower().replace("_", " ").replace("-", " ").split())
-        self.stack.append((tag, self.node(tag, named)))
+        self.enter(tag, self.node(tag, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -370,25 +379,24 @@ def log_odds(trees: list, x: np.ndarray) -> np.ndarray:
     return 2 * sum(w * value(t) for w, t in trees) + np.zeros(len(x))
 
 
-def main_text(html: str | None, trees: list) -> str:
-    dom = parse(html)
-    if not any(t is not None for t in dom.text):
-        return ""
-    kept = decode(dom.parent, log_odds(trees, node_features(dom)))
-    return " ".join(t for t, k in zip(dom.text, kept) if k and t is not None)
+def main_texts(pages: list[str | None], trees: list) -> list[str]:
+    """The main text of each page, scored together."""
+    doms = [parse(p) for p in pages]
+    scores, at, texts = log_odds(trees, np.concatenate([node_features(d) for d in doms])), 0, []
+    for d in doms:
+        kept = decode(d.parent, scores[at : at + len(d.tag)])
+        at += len(d.tag)
+        texts.append(" ".join(t for t, k in zip(d.text, kept) if k and t is not None))
+    return texts
 
 
 def _extractor(trees: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doms = [parse(h.as_py()) for h in batch.column("html")]
-            x = np.concatenate([node_features(d) for d in doms]) if doms else np.zeros((0, N_FEATURES))
-            scores, at, texts = log_odds(trees, x), 0, []
-            for d in doms:
-                kept = decode(d.parent, scores[at : at + len(d.tag)])
-                at += len(d.tag)
-                texts.append(" ".join(t for t, k in zip(d.text, kept) if k and t is not None))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
+            for part, _, _ in slices(batch, "html", PAGE_BYTES):  # so many bytes' nodes have features at a time
+                texts = main_texts(part.column("html").to_pylist(), trees)
+                rest = [n for n in part.schema.names if n != "html"]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*rest, "text", "n_chars"])
 
     return run
 
