@@ -15,13 +15,17 @@ from .common import LOWER, buffers, prefix_hashes, slices, small_batches, span_h
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1500, 4500, 20_000
 #: Word beginnings, in bytes, that are features beside the whole word.
 PREFIXES = (4, 5, 6)
-SLOTS = 1 << 20
 BIAS = -7.0
+#: Share of labels taken to be wrong, the weight of the sum of weights, and a feature's least number of documents.
+WRONG_LABELS, SPARSE, LEAST_DOCS = 0.02, 1e-5, 3
+#: What a sentence must exceed, in the noisy-or's logarithm, to have a share: about a chance of 5 %.
+FLOOR = 0.05
 SENTENCE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 #: Bytes between words, and bytes that end a sentence.
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_LAST = np.uint64(2**64 - 1)
 _STOP = np.zeros(256, bool)
 _STOP[[ord("."), ord("!"), ord("?"), ord("\n")]] = True
 
@@ -59,22 +63,31 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0.0, -z))
 
 
-def fit(ids: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int, rounds: int = 60, rate: float = 0.35, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def shares(z: np.ndarray) -> np.ndarray:
+    """Each sentence's part in -log(1 - P(document)): none up to ``FLOOR``, so harmless ones don't add up."""
+    return np.maximum(0.0, softplus(z) - FLOOR)
+
+
+def fit(ids: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int, rounds: int = 60, rate: float = 0.35) -> tuple[np.ndarray, float]:
     """Weights by Adam on the noisy-or likelihood: P(doc) = 1 - prod(1 - sigmoid(bias + sum of the sentence's weights)).
 
-    ids/sentence: a feature and its sentence; doc: each sentence's document; y: each document's label.
+    ids/sentence: a feature and its sentence; doc: each sentence's document; y: each document's label.  Weights stay at
+    0 or more: a word can make a sentence toxic, none can excuse it, so harmless words learn nothing by heart.  A label
+    counts as wrong with a small chance, so one that nothing in its text explains doesn't bend the weights.
     """
     w, bias = np.zeros(n), BIAS
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
+    right = 1 - 2 * WRONG_LABELS
     for t in range(1, rounds + 1):
         z = bias + np.bincount(sentence, w[ids], len(doc))
-        total = np.bincount(doc, softplus(z), len(y))
-        slope = np.where(y == 1, -1.0 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
+        clean = np.exp(-np.bincount(doc, softplus(z), len(y)))
+        said = WRONG_LABELS + right * (1 - clean)
+        slope = np.where(y == 1, -1 / said, 1 / (1 - said)) * right * clean
         dz = slope[doc] * sigmoid(z) / len(y)
-        g, gb = np.bincount(ids, dz[sentence], n) + l2 * w / len(y), dz.sum()
+        g, gb = np.bincount(ids, dz[sentence], n) + SPARSE, dz.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.99**t
-        w -= rate * (m / a) / (np.sqrt(v / c) + 1e-6)
+        w = np.maximum(0.0, w - rate * (m / a) / (np.sqrt(v / c) + 1e-6))
         bias -= 0.05 * (mb / a) / (np.sqrt(vb / c) + 1e-6)
     return w, bias
 
@@ -95,14 +108,15 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, weights, bias = np.zeros(0, np.uint64), np.zeros(0), BIAS if not labels or not labels[0] else 0.0
     else:
         h, s = np.concatenate(hashes), np.concatenate(owners)
-        keys, ids, often = np.unique(h, return_inverse=True, return_counts=True)
-        kept = often >= 3
+        keys, ids = np.unique(h, return_inverse=True)
+        seen = np.unique(ids.astype(np.int64) * len(labels) + np.concatenate(docs)[s])
+        kept = np.bincount(seen // len(labels), minlength=len(keys)) >= LEAST_DOCS
         new = np.cumsum(kept) - 1
         use = kept[ids]
         worded, s = np.unique(s, return_inverse=True)  # sentences without words have no share
         weights, bias = fit(new[ids[use]], s[use], np.concatenate(docs)[worded], np.array(labels), int(kept.sum()))
         keys = keys[kept]
-        strong = np.abs(weights) > 0.02
+        strong = weights > 0.02
         keys, weights = keys[strong], weights[strong]
     yield pa.RecordBatch.from_arrays(
         [pa.array([keys.tobytes()], pa.binary()), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([float(bias)])], names=["keys", "weights", "bias"]
@@ -110,18 +124,16 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Weights in a table of fixed size; a feature that isn't in it has weight 0.  At most 16 MB, whatever the corpus."""
+    """Weights by feature; one that isn't there has weight 0.  Bounded by the training sample, whatever the corpus."""
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
-        self.keys, self.weights, self.bias = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32), bias
-        order = np.argsort(np.abs(weights), kind="stable")  # where two fall on a slot, the stronger stays
-        at = (keys[order] & np.uint64(SLOTS - 1)).astype(np.int64)
-        self.keys[at], self.weights[at] = keys[order], weights[order]
+        order = np.argsort(keys)
+        self.keys, self.weights, self.bias = np.append(keys[order], _LAST), np.append(weights[order], 0).astype(float), bias
 
     def sentences(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(margin of each sentence, first sentence of each text); minus infinity, so no share, for one without words."""
         h, s, first = features(raw, off)
-        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        at = np.searchsorted(self.keys, h)
         hit = np.flatnonzero(self.keys[at] == h)
         z = self.bias + np.bincount(s[hit], self.weights[at[hit]], int(first[-1]))
         z[np.bincount(s, minlength=len(z)) == 0] = -np.inf
@@ -164,7 +176,7 @@ def _scorer(model):
         for batch in batches:
             for part, raw, off in slices(batch, "text"):
                 z, first = m.sentences(raw, off)
-                total = np.add.reduceat(softplus(z), first[:-1]) if part.num_rows else np.zeros(0)
+                total = np.add.reduceat(shares(z), first[:-1]) if part.num_rows else np.zeros(0)
                 score = -np.expm1(-total)
                 p = sigmoid(z)
                 bad = np.flatnonzero(p >= 0.5)
@@ -183,8 +195,8 @@ def _scorer(model):
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, sentences): the noisy-or of all sentences of the whole text, and the sentences of 0.5 or more.
 
-    Sentence ranges are code points, end exclusive.  Sentences without words have no share, so texts without
-    words, null and empty ones included, score 0.  Repeated rows score alike; extra columns are ignored; an empty table gives an empty result.
+    Sentence ranges are code points, end exclusive.  Sentences without words, and those under ``FLOOR``, have no share,
+    so texts without words, null and empty ones included, score 0, and a clean text scores low however long it is.  Repeated rows score alike; extra columns are ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -208,7 +220,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             for part, raw, off in slices(batch, "text"):
                 z, first = model.value.sentences(raw, off)
-                clean = -np.expm1(-np.add.reduceat(softplus(z), first[:-1])) < 0.5
+                clean = -np.expm1(-np.add.reduceat(shares(z), first[:-1])) < 0.5
                 yield part.filter(pa.array(clean))
 
     return docs.mapInArrow(keep, docs.schema)
