@@ -1,11 +1,12 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
 from rowtrail.llm import decontaminate, secrets, toxicity, urls
-from rowtrail.llm.html_text import decode, labelled_nodes, log_odds, main_text, train
+from rowtrail.llm.html_text import decode, extract_text, labelled_nodes, log_odds, main_texts, parse, train
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -14,15 +15,15 @@ def words(t):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_decontamination_against_brute_force(spark, documents, corpus, block_bytes):
+@pytest.mark.parametrize("size", [1 << 20, 60])
+def test_decontamination_against_brute_force(spark, documents, corpus, size):
     texts = [t for _, t in corpus if t]
     r = random.Random(3)
     items = [(k, " ".join(texts[k].split()[:14])) for k in range(0, 30, 3)] + [(100, "A"), (101, ""), (102, None), (103, texts[4]), (104, "no such words here at all, really none of them")]
     items += [(105, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {}
-    for row in decontaminate.find_contamination(documents(corpus), bench, block_bytes=block_bytes).collect():
+    for row in decontaminate.find_contamination(documents(corpus), bench, words=size).collect():
         got.setdefault(row.doc_id, []).append((row.n_words, row.n_hit, sorted(row["items"]), [tuple(s) for s in row.spans]))
     for d, t in corpus:
         w, hit, names = words(t), set(), set()
@@ -41,6 +42,31 @@ def test_decontamination_against_brute_force(spark, documents, corpus, block_byt
     assert r
 
 
+def test_windows_by_brute_force():
+    r = random.Random(2)
+    for _ in range(300):
+        some = ["a", "b", "c", "d"][: r.randint(1, 4)]
+        line = lambda n: [r.choice(some) for _ in range(n)]
+        items = [line(r.choice([0, 1, 4, 5, 9, 10, 11, 23])) for _ in range(4)]
+        text = line(30) + items[2] + items[3][2:] + line(3)
+        hit, names = set(), set()
+        for k, iw in enumerate(items):
+            n = min(10, len(iw))
+            for i in range(len(iw) - n + 1) if iw else []:
+                for p in range(len(text) - n + 1):
+                    if text[p : p + n] == iw[i : i + n]:
+                        hit |= set(range(p, p + n))
+                        names.add(str(k))
+        n, spans, found = decontaminate.Windows([(str(k), " ".join(x)) for k, x in enumerate(items)]).scan(" ".join(text))
+        assert (n, {p for s, e in spans for p in range(s, e)}, found) == (len(text), hit, sorted(names))
+
+
+def test_item_without_a_name_hits(spark, documents):
+    bench = spark.createDataFrame([(None, "some words of it"), (7, "words of")], "item_id long, text string")
+    row = decontaminate.find_contamination(documents([(1, "here are some words of it")]), bench).first()
+    assert (row.n_hit, row.n_items, row["items"]) == (4, 2, ["7", None])
+
+
 def test_decontamination_stage(spark, documents, tmp_path):
     text = " ".join(f"w{i}" for i in range(12))
     spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -156,6 +182,46 @@ def test_toxicity_of_wordless_sentences(documents):
     assert got[4].score == pytest.approx(got[5].score) and got[4].score >= 0.5 and len(got[4].sentences) == 1
 
 
+def test_noisy_or_by_brute_force(documents):
+    """Scores against sentences judged one by one, from the words' weights alone."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from rowtrail.llm.common import buffers
+
+    weights = {"idiot": 9.0, "bad": 4.0, "grumbl": 3.0, "fool": 2.5}
+    hashes = {w: toxicity.features(*buffers(pa.array([w + ("e" if len(w) == 6 else "")])))[0] for w in weights}
+    # the whole word, or, for the six letters, the prefix of that length, which only longer words have
+    keys = np.array([h[-1] if w == "grumbl" else h[0] for w, h in hashes.items()], np.uint64)
+    model = toxicity.Model(keys, np.array(list(weights.values()), np.float32), -7.0)
+    r = random.Random(8)
+    vocabulary = ["IDIOT", "bad", "fool", "grumbly", "grumblings", "grumbl", "fine", "is", "é", "baddest"]
+    rows = [(i, "".join(r.choice(vocabulary) + r.choice([" ", " ", ". ", "!", "\n", "?"]) for _ in range(r.randint(0, 40)))) for i in range(60)]
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(documents(rows), model).collect()}
+    for i, t in rows:
+        total = 0.0
+        for sentence in re.split(r"[.!?\n]", t.lower()):
+            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence)
+            z = -7.0 + sum(weights.get(w, 0) for w in words if w != "grumbl") + sum(3.0 for w in words if w.startswith("grumbl") and len(w) > 6)
+            total += max(0.0, math.log1p(math.exp(z)) - toxicity.FLOOR) if words else 0.0
+        assert got[i] == pytest.approx(-math.expm1(-total), abs=1e-6)
+
+
+def test_long_clean_texts_stay_clean(documents):
+    import numpy as np
+    import pyarrow as pa
+
+    from rowtrail.llm.common import buffers
+
+    h, _, _ = toxicity.features(*buffers(pa.array(["idiot"])))
+    model = toxicity.Model(h, np.full(len(h), 9.0, np.float32), toxicity.BIAS)
+    long = "Some words of a harmless sentence. " * 150_000  # over 5 MB
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(documents([(1, long), (2, long + "idiot")]), model).collect()}
+    assert got[1] == 0 and got[2] >= 0.5
+
+
 def test_toxicity_batches_do_not_matter(documents):
     """A text's score is its own, whatever lies beside it in a batch, empty texts included."""
     import numpy as np
@@ -188,9 +254,57 @@ def test_html(spark):
         "<article><h1>A &amp; B</h1><p>First  paragraph <b>bold</b>text\n of some length, with words.<p>Second &eacute; paragraph, which goes on for a while.<br>And on.</article>"
         "<div class=comments><div class=comment>I do not agree with this.</div></div><footer>&copy; all</footer></body></html>"
     )
-    assert main_text(page, trees) == "A & B First paragraph boldtext of some length, with words. Second é paragraph, which goes on for a while. And on."
-    assert main_text(None, trees) == main_text("", trees) == main_text("<p>", trees) == ""
-    assert main_text("<div>" * 3000 + "deep", trees) in ("", "deep")
+    assert main_texts([page], trees) == ["A & B First paragraph boldtext of some length, with words. Second é paragraph, which goes on for a while. And on."]
+    assert main_texts([None, "", "<p>"], trees) == [""] * 3
+    assert main_texts(["<div>" * 3000 + "deep"], trees)[0] in ("", "deep")
+    open_head = page.replace("</head><body>", "")
+    assert main_texts([open_head, page.replace("</head>", "")], trees) == main_texts([page, page], trees)
+    shown = page.replace("of some length", "of <noscript>some</noscript> <math><mi>x</mi><mo>=</mo><mn>1</mn></math> length")
+    assert "x=1 length" in main_texts([shown], trees)[0]
+    rows = [(1, "u", page, "x", 5), (1, "u", page, "x", 5), (2, None, None, "x", 5), (3, "v", "", None, None), (4, "w", page * 400, "x", 5), (None, "n", page, "x", 5)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = sorted(extract_text(frame, trees).collect(), key=str)
+    assert extract_text(frame, trees).columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((str(r.page_id), r.url) for r in got) == sorted((str(r[0]), r[1]) for r in rows) or len(got) == len(rows)
+    texts = {r.page_id: r.text for r in got}
+    assert texts[1] == texts[None] == main_texts([page], trees)[0] and texts[2] == texts[3] == ""
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert extract_text(frame.limit(0), trees).count() == 0
+
+
+def test_parsing_is_linear():
+    """End tags without a partner don't search the open elements."""
+    for page in (lambda n: "<div>" * n + "</b>" * n, lambda n: "<b><body>" + "<div>" * n + "</b>" * n):
+        times = []
+        for n in (5_000, 40_000):
+            start = time.process_time()
+            parse(page(n))
+            times.append(time.process_time() - start)
+        assert times[1] < 24 * max(times[0], 0.01)
+
+
+def test_secret_spans_are_linear():
+    token = "Qx7bZ9kLm2Rt5Vw8Yp3Nc6Hd1Jf4Gs0 "
+    times = []
+    for n in (2_000, 16_000):
+        start = time.process_time()
+        assert len(secrets.scan_text(token * n)) == n
+        times.append(time.process_time() - start)
+    assert times[1] < 24 * max(times[0], 0.01)
+
+
+def test_decoding_by_trying_all_sets():
+    import numpy as np
+
+    r = random.Random(4)
+    for _ in range(200):
+        n = r.randint(1, 9)
+        parent = [-1] + [r.randrange(k) for k in range(1, n)]
+        score = np.array([r.uniform(-2, 2) for _ in range(n)])
+        sets = [s for s in range(1 << n) if all(not s >> k & 1 or s >> parent[k] & 1 for k in range(1, n))]
+        best = max(sum(score[k] for k in range(n) if s >> k & 1) for s in sets)
+        kept = decode(parent, score)
+        assert all(not kept[k] or kept[parent[k]] for k in range(1, n)) and score[kept].sum() == pytest.approx(best)
 
 
 def test_decoding_is_hierarchical():
