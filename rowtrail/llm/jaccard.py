@@ -314,18 +314,19 @@ def count_links(groups: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame
     large for one block is cut by size, where only equal and neighbouring bands can link, and by a hash within a band;
     each pair of blocks is a group of its own, so a large component is spread over many tasks.
     """
-    placed = sets.select("cid", "n", "members").join(groups, "cid")
-    total = groups.join(sets.select("cid", "n"), "cid").groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("held")).where("many > 2")
+    known = written(groups.join(sets.select("cid", "n"), "cid"), "jaccard")
+    total = written(known.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("held")), "jaccard")
+    known = hot_join(known, total, ["component"], "many").where("many > 2")
     small = (F.col("many") <= BLOCK_SETS) & (F.col("held") <= BLOCK_MEMBERS)
     width = float(np.log(like.den / like.num)) * (1 + 1e-6) + 1e-6  # linked sizes are at most one band apart
     band = F.when(small, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.col("n").cast("double")) / width).cast("long")).alias("band")
-    sizes = groups.join(sets.select("cid", "n"), "cid").join(total, "component").select("component", "n", band)
+    sizes = written(known.select("component", "cid", "n", band), "jaccard")
     slots = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("slots")
-    cells = written(sizes.groupBy("component", "band").agg(slots), "jaccard")
+    cells = written(sizes.groupBy("component", "band").agg(slots, F.count("*").alias("many")), "jaccard")
     above = cells.select("component", (F.col("band") - 1).alias("band"), F.col("slots").alias("above"))
     below = cells.select("component", (F.col("band") + 1).alias("band"), F.col("slots").alias("below"))
     around = cells.join(above, ["component", "band"], "left").join(below, ["component", "band"], "left").na.fill(0, ["above", "below"])
-    held = placed.join(total, "component").select("cid", "n", "members", "component", band).join(around, ["component", "band"])
+    held = sets.select("cid", "members").join(hot_join(sizes, written(around, "jaccard"), ["component", "band"], "many"), "cid")
     slot = F.pmod(F.xxhash64("cid"), "slots").cast("int")
     held = held.withColumn("slot", slot)
 
