@@ -119,7 +119,7 @@ class SideTable:
     A table that isn't there, or isn't whole, is an error in the task, never an empty answer.
     """
 
-    def __init__(self, rows: DataFrame, name: str):
+    def __init__(self, rows: DataFrame, name: str, order: list[str] | None = None):
         spark = rows.sparkSession
         self.path = scratch(spark, name)
         self.buckets = 4 * spread(spark)
@@ -128,7 +128,7 @@ class SideTable:
         (
             rows.withColumn("bucket", F.pmod("block", F.lit(self.buckets)).cast("int"))
             .repartition(spread(spark), "bucket")
-            .sortWithinPartitions("bucket", "block")
+            .sortWithinPartitions("bucket", "block", *(order or []))
             .write.partitionBy("bucket")
             .option("compression", "zstd")
             .option("parquet.block.size", 2 << 20)

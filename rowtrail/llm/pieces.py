@@ -282,7 +282,7 @@ def _split_words(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[
     at_block = None
 
     def out() -> Iterator[pa.RecordBatch]:
-        words = [w.replace(" ", SPACE) for w in seen if 1 < len(w) <= FOLD_CHARS]
+        words = sorted(w.replace(" ", SPACE) for w in seen if 1 < len(w) <= FOLD_CHARS)  # neighbours pack well
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array([at_block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
@@ -299,25 +299,26 @@ def _split_words(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[
     yield from out()
 
 
-class _Words:
-    """What is known of a block's words: a word's mask as loaded, then, from its first use on, its ids."""
+class _Words(dict):
+    """Ids of a block's words, packed as 32-bit numbers; made from the loaded masks when a word is first asked for."""
 
     def __init__(self, encoder: Encoder, side: SideTable):
-        self.encoder, self.side, self.block, self.known = encoder, side, None, {}
+        super().__init__()
+        self.encoder, self.side, self.block, self.masks = encoder, side, None, {}
 
     def open(self, block: int) -> None:
         if block == self.block:
             return
-        self.block, self.known = block, {}
+        self.block = block
+        self.clear()
+        self.masks.clear()
         table = self.side.load(block)
         for chunk in table.to_batches(max_chunksize=20_000) if table is not None else []:
             words = (w.replace(SPACE, " ") for w in chunk.column("word").to_pylist())
-            self.known.update(zip(words, chunk.column("mask").to_pylist()))
+            self.masks.update(zip(words, chunk.column("mask").to_pylist()))
 
-    def ids(self, word: str) -> tuple[int, ...]:
-        got = self.known.get(word)
-        if not isinstance(got, tuple):
-            got = self.known[word] = self.encoder.of_word(word, got)
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = np.array(self.encoder.of_word(word, self.masks.pop(word, None)), np.int32).tobytes()
         return got
 
 
@@ -325,17 +326,13 @@ def _assemble(pieces, side: SideTable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces.value)
         words = _Words(encoder, side)
+        ids_of, cut = words.__getitem__, pieces.value.words
         for batch in batches:
             for same in by_block(batch):
                 words.open(same.column("block")[0].as_py())
-                bounds, decoded, flat = [0], [], []
-                for cell in same.column("text"):
-                    ids: list[int] = []
-                    for w in pieces.value.words(cell.as_py() or ""):
-                        ids += words.ids(w)
-                    decoded.append(encoder.decode(ids))
-                    flat.append(np.array(ids, np.int32))
-                    bounds.append(bounds[-1] + len(ids))
+                flat = [np.frombuffer(b"".join(map(ids_of, cut(cell.as_py() or ""))), np.int32) for cell in same.column("text")]
+                decoded = [encoder.decode(ids.tolist()) for ids in flat]
+                bounds = np.cumsum([0, *map(len, flat)])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat)))
                 rest = [n for n in same.schema.names if n not in ("block", "ord")]
                 yield pa.RecordBatch.from_arrays([*(same.column(n) for n in rest), lists, pa.array(decoded, pa.string())], names=[*rest, "pieces", "decoded"])
@@ -359,7 +356,7 @@ def encode_texts(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     lists = written(rows.mapInArrow(_vocabulary(shared), "block long, word string"), "pieces")
     distinct = lists.select("word").distinct()
     masks = segment_words(distinct, pieces)
-    side = SideTable(lists.join(masks, "word").select("block", "word", "mask"), "pieces")
+    side = SideTable(lists.join(masks, "word").select("block", "word", "mask"), "pieces", ["word"])
     return rows.mapInArrow(_assemble(shared, side), "doc_id long, text string, pieces array<int>, decoded string")
 
 
