@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -231,6 +232,7 @@ class Encoder:
     def __init__(self, pieces: Pieces):
         self.pieces, self.ids = pieces, pieces.ids()
         self.scores = {t: s for t, s, p in zip(pieces.texts, pieces.scores, pieces.plain) if p}
+        self.cuts: dict[int, list[tuple[int, int]]] = {}  # the pieces' borders of a mask
         self.back = [t.replace(SPACE, " ") if p else "" for t, p in zip(pieces.texts, pieces.plain)]
         if pieces.byte_first is not None:
             self.back[pieces.byte_first : pieces.byte_first + 256] = [chr(b) if b < 128 else chr(0xDC00 + b) for b in range(256)]
@@ -257,8 +259,17 @@ class Encoder:
             return self.of_segments(best_path(w, self.scores, self.pieces.longest, lowest - 10.0))
         if mask is None:
             return self.of_segments(list(w))
-        cuts = [i for i in range(len(w) + 1) if mask >> i & 1]
-        return self.of_segments([w[a:b] for a, b in zip(cuts, cuts[1:])])
+        pairs = self.cuts.get(mask)
+        if pairs is None:
+            cuts = [i for i in range(64) if mask >> i & 1]
+            if len(self.cuts) > 1 << 16:
+                self.cuts.clear()
+            pairs = self.cuts[mask] = list(zip(cuts, cuts[1:]))
+        segments = [w[a:b] for a, b in pairs]
+        try:
+            return tuple(map(self.ids.__getitem__, segments))
+        except KeyError:
+            return self.of_segments(segments)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the leading dummy space; bytes that are no UTF-8 become replacement characters."""
@@ -318,7 +329,7 @@ class _Words(dict):
             self.masks.update(zip(words, chunk.column("mask").to_pylist()))
 
     def __missing__(self, word: str) -> bytes:
-        got = self[word] = np.array(self.encoder.of_word(word, self.masks.pop(word, None)), np.int32).tobytes()
+        got = self[word] = array("i", self.encoder.of_word(word, self.masks.pop(word, None))).tobytes()
         return got
 
 
