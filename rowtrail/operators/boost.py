@@ -1,8 +1,10 @@
 """Second-order gradient boosting over statics and series, grown level by level.
 
-A round evaluates its candidate features in one pass over the rows, writes (row, features, gradients) once, and then
-grows the trees of all outputs together: one aggregation job a level, whatever the number of nodes, outputs and
-candidates.  What comes to the driver is one best split a node.
+A round draws candidate features.  A bounded sample of rows (all of them, where they are few) gives each candidate its
+bins: every distinct value it takes there, or equal steps in rank where those are many.  One narrow pass then turns rows
+into bin numbers and gradients.  A level is one job: tasks add up gradients by (tree, node, candidate, bin), those sums
+meet by candidate, and one best split a node comes to the driver.  Rows are never shuffled, and nothing is written but
+the rows' scores every few rounds.
 """
 
 from __future__ import annotations
@@ -11,16 +13,27 @@ import math
 import random
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.losses import Loss, logistic, softmax_loss, squared_error
-from ..functions.scalar import goes_left, uniform
-from .kernel import features_column
+from ..functions.scalar import uniform
+from ..functions.stats import STAT_NAMES
+from .bank import Bank, frozen
+from .kernel import blocks, evaluate
+from .sampling import exact_subsample, some_columns, thinned
 from .specs import Draws, Spec, draw_interval, draw_shapelet
-from .split import ScanRules, best_splits
+from .split import ScanRules
+
+#: Rounds between tables of scores; the trees since the last one are applied anew.
+KEPT = 10
+#: The bin of a missing value.
+MISSING = 65535
 
 
 @dataclass
@@ -38,6 +51,15 @@ class Node:
 
 @dataclass
 class Params:
+    """Settings of a fit; ``check`` says what is out of range.
+
+    bins: the most distinct values of a candidate that are told apart; sample: rows that give the bins, the templates
+    and the bank's columns.  charge: weight of the gain that the best of many useless candidates would show, which a
+    split has to beat.  thin and columns: shares of drawn candidates and of static columns that a tree tries.  bank:
+    features kept to be tried again (0 for none), a share of them a tree, screened to the ``screen`` best on a part of
+    the rows; products: candidates that multiply a banked feature with a static.
+    """
+
     rounds: int = 20
     depth: int = 3
     rate: float = 0.1
@@ -46,18 +68,37 @@ class Params:
     stale: int = 0  # rounds without improvement before stopping; 0 for none
     subsample: float = 1.0
     seed: int = 0
+    bins: int = 4096
+    sample: int = 50_000
+    charge: float = 0.0
+    thin: float = 1.0
+    columns: float = 1.0
+    bank: int = 0
+    bank_share: float = 1.0
+    screen: int = 0
+    products: int = 0
 
     def check(self) -> None:
-        bad = [n for n, ok in {"rounds": self.rounds >= 1, "depth": self.depth >= 1, "rate": 0 < self.rate <= 1, "subsample": 0 < self.subsample <= 1, "l2": self.rules.l2 >= 0, "stale": self.stale >= 0}.items() if not ok]
+        ok = {
+            "rounds": self.rounds >= 1, "depth": self.depth >= 1, "rate": 0 < self.rate <= 1, "subsample": 0 < self.subsample <= 1, "l2": self.rules.l2 >= 0, "stale": self.stale >= 0,
+            "bins": 2 <= self.bins < MISSING, "sample": self.sample >= 1, "charge": self.charge >= 0, "thin": 0 < self.thin <= 1, "columns": 0 < self.columns <= 1, "bank": self.bank >= 0,
+            "bank_share": 0 < self.bank_share <= 1, "screen": self.screen >= 0, "products": self.products >= 0, "gamma": self.rules.gamma >= 0, "min_samples_leaf": self.rules.min_samples_leaf >= 1,
+        }
+        bad = [n for n, good in ok.items() if not good]
         if bad:
             raise ValueError(f"out of range: {', '.join(bad)}")
+        unknown = [s for s in self.draws.stats if s not in STAT_NAMES]
+        if unknown:
+            raise ValueError(f"unknown statistics: {', '.join(unknown)}")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder (a temporary one where none is set)."""
+    """Cut the lineage with a table in the shared folder; a temporary one is set in a local session without."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="rowtrail-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/boost-{uuid.uuid4().hex}"
@@ -65,19 +106,197 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _node_of(tree: list[Node], feature: dict[Spec, Column], at: int = 0) -> Column:
-    """The leaf that a row reaches, as an expression."""
-    node = tree[at]
-    if node.spec is None:
-        return F.lit(at)
-    return F.when(goes_left(feature[node.spec], node.threshold, node.missing_left), _node_of(tree, feature, node.left)).otherwise(_node_of(tree, feature, node.right))
+# ---------------------------------------------------------------- in the tasks
+
+
+def tree_values(tree: list[Node], x: np.ndarray, at: dict[Spec, int]) -> np.ndarray:
+    """The value of the leaf that each row reaches; all rows go down in step."""
+    node = np.zeros(len(x), np.int64)
+    inner = np.array([n.spec is not None for n in tree])
+    column = np.array([at[n.spec] if n.spec is not None else 0 for n in tree])
+    cut, left, right = (np.array([getattr(n, k) for n in tree]) for k in ("threshold", "left", "right"))
+    lost = np.array([n.missing_left for n in tree])
+    while (go := np.flatnonzero(inner[node])).size:
+        k = node[go]
+        v = x[go, column[k]]
+        node[go] = np.where(np.where(np.isfinite(v), v <= cut[k], lost[k]), left[k], right[k])
+    return np.array([n.value for n in tree])[node]
+
+
+def _specs_of(trees: list[list[list[Node]]]) -> list[Spec]:
+    return list(dict.fromkeys(n.spec for r in trees for t in r for n in t if n.spec is not None))
+
+
+class Scorer:
+    """Trees applied to Arrow batches of rows."""
+
+    def __init__(self, trees: list[list[list[Node]]], rate: float, shape: tuple[int, int, int]):
+        self.trees, self.rate, self.shape = trees, rate, shape
+        self.specs = _specs_of(trees)
+        self.at = {s: i for i, s in enumerate(self.specs)}
+
+    def add(self, raw: np.ndarray, static: np.ndarray, series: np.ndarray) -> np.ndarray:
+        x = evaluate(self.specs, static, series)
+        raw = raw.copy()
+        for r in self.trees:
+            for k, t in enumerate(r):
+                raw[:, k] += self.rate * tree_values(t, x, self.at)
+        return raw
+
+    def blocks(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return blocks(batch.column("static"), batch.column("series"), self.shape)
+
+
+def _lists(values: np.ndarray, kind: pa.DataType = pa.float64()) -> pa.ListArray:
+    n, w = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * w, pa.int32()), pa.array(values.ravel(), kind))
+
+
+def _raw_of(batch: pa.RecordBatch, outputs: int) -> np.ndarray:
+    return np.asarray(batch.column("raw").flatten(), float).reshape(batch.num_rows, outputs)
+
+
+def _coded(scorer: Scorer, specs: list[Spec], values: list[np.ndarray], outputs: int):
+    """Task: row_id, y, raw with the latest trees, and the candidates' bins as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            static, series = scorer.blocks(b)
+            raw = scorer.add(_raw_of(b, outputs), static, series)
+            x = evaluate(specs, static, series)
+            codes = np.empty((len(x), len(specs)), np.uint16)
+            for j, v in enumerate(values):
+                seen = np.isfinite(x[:, j])
+                # the last bin whose lowest value isn't above; values under the first bin count as its own
+                at = np.maximum(np.searchsorted(v, x[:, j], side="right") - 1, 0)
+                codes[:, j] = np.where(seen & (len(v) > 0), at, MISSING)
+            data = [r.tobytes() for r in codes]
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("y"), _lists(raw), pa.array(data, pa.binary())], names=["row_id", "y", "raw", "codes"])
+
+    return run
 
 
-def _value_of(tree: list[Node], feature: dict[Spec, Column], at: int = 0) -> Column:
-    node = tree[at]
-    if node.spec is None:
-        return F.lit(float(node.value))
-    return F.when(goes_left(feature[node.spec], node.threshold, node.missing_left), _value_of(tree, feature, node.left)).otherwise(_value_of(tree, feature, node.right))
+@dataclass
+class _Coded:
+    """A node while its tree grows: the split by bins."""
+
+    column: int = -1
+    code: int = 0
+    missing_left: bool = True
+    left: int = -1
+    right: int = -1
+
+
+def _route(tree: list[_Coded], codes: np.ndarray) -> np.ndarray:
+    node = np.zeros(len(codes), np.int64)
+    column, code, left, right = (np.array([getattr(n, k) for n in tree]) for k in ("column", "code", "left", "right"))
+    lost = np.array([n.missing_left for n in tree])
+    while (go := np.flatnonzero(column[node] >= 0)).size:
+        k = node[go]
+        c = codes[go, column[k]].astype(np.int64)
+        node[go] = np.where(np.where(c == MISSING, lost[k], c <= code[k]), left[k], right[k])
+    return node
+
+
+_SUMS = "output int, node int, candidate int, code int, g double, h double, n long, gg double, gh double, hh double"
+
+
+def _level(trees: list[list[_Coded]], open_: set[tuple[int, int]], width: int):
+    """Task: sums of gradients by (output, open node, candidate, bin), added up before they leave the task."""
+    keys = sorted(open_)
+    slot = {k: i for i, k in enumerate(keys)}
+    base = MISSING + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def packed() -> None:
+            key, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            sums = np.concatenate([v for _, v in held])
+            held[:] = [(key, np.stack([np.bincount(inverse, sums[:, i], len(key)) for i in range(sums.shape[1])], 1))]
+
+        def out() -> pa.RecordBatch:
+            packed()
+            key, v = held.pop()
+            problem, code = np.divmod(key, base)
+            place, candidate = np.divmod(problem, width)
+            o, node = (np.array([k[i] for k in keys])[place] for i in (0, 1))
+            cols = [o, node, candidate, code, v[:, 0], v[:, 1], v[:, 2].astype(np.int64), v[:, 3], v[:, 4], v[:, 5]]
+            kinds = [pa.int32()] * 4 + [pa.float64()] * 2 + [pa.int64()] + [pa.float64()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in _SUMS.split(", ")])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint16).reshape(b.num_rows, width)
+            d = b.column("d").flatten()
+            gs, hs = (np.asarray(d.field(i), float).reshape(b.num_rows, -1) for i in (0, 1))
+            for k, tree in enumerate(trees):
+                node = _route(tree, codes)
+                place = np.array([slot.get((k, i), -1) for i in range(len(tree))])[node]
+                q = np.flatnonzero(place >= 0)
+                if not len(q):
+                    continue
+                g, h = gs[q, k], hs[q, k]
+                each = np.stack([g, h, np.ones(len(q)), g * g, g * h, h * h], 1)
+                key = (place[q, None] * width + np.arange(width)) * base + codes[q]
+                held.append((key.ravel(), np.repeat(each, width, 0)))
+                size += key.size
+            if size > 1 << 20:
+                packed()
+                size = len(held[0][0])
+                if size > 1 << 21:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    return run
+
+
+_FOUND = "output int, node int, candidate int, below int, above int, missing_left boolean, gain double, gl double, hl double, gr double, hr double, g double, h double, n long, scale double"
+
+
+def _best_cut(rules: ScanRules):
+    """Group: the bins of one candidate in one node, at most ``bins`` of them; its best allowed cut, or a gain of 0.
+
+    The same choice as ``split.best_splits`` makes over values: ties by missing-left first, then the lowest cut.
+    """
+    score = lambda g, h: np.where(h + rules.l2 > 0, g * g / np.where(h + rules.l2 > 0, h + rules.l2, 1), 0.0)
+
+    def run(t: pa.Table) -> pa.Table:
+        c = {k: t.column(k).to_numpy() for k in ("code", "g", "h", "n", "gg", "gh", "hh")}
+        order = np.argsort(c["code"])
+        c = {k: v[order] for k, v in c.items()}
+        g, h, n = (float(c[k].sum()) for k in ("g", "h", "n"))
+        mean = g / h if h else 0.0
+        scale = (c["gg"].sum() - 2 * mean * c["gh"].sum() + mean * mean * c["hh"].sum()) / max(h + rules.l2, 1e-16)
+        seen = c["code"] != MISSING
+        lost = [float(c[k][~seen].sum()) for k in ("g", "h", "n")]
+        code = c["code"][seen]
+        runs = [np.cumsum(c[k][seen])[:-1] for k in ("g", "h", "n")]
+        best = (0.0, True, -1, -1, 0.0, 0.0, 0.0, 0.0)
+        for left in (True, False) if lost[2] else (True,):
+            gl, hl, nl = (r + (x if left else 0.0) for r, x in zip(runs, lost))
+            gr, hr, nr = g - gl, h - hl, n - nl
+            gain = 0.5 * (score(gl, hl) + score(gr, hr) - score(np.array(g), np.array(h))) - rules.gamma
+            ok = (hl >= rules.min_child_weight) & (hr >= rules.min_child_weight) & (nl >= rules.min_samples_leaf) & (nr >= rules.min_samples_leaf)
+            gain = np.where(ok, np.round(gain, 9), 0.0)
+            if len(gain) and gain.max() > best[0]:
+                i = int(gain.argmax())
+                best = (float(gain[i]), left, int(code[i]), int(code[i + 1]), float(gl[i]), float(hl[i]), float(gr[i]), float(hr[i]))
+        gain, left, below, above, *sides = best
+        row = [*(t.column(k)[0].as_py() for k in ("output", "node", "candidate")), below, above, left, gain, *sides, g, h, int(n), float(scale)]
+        kinds = [pa.int32()] * 5 + [pa.bool_()] + [pa.float64()] * 7 + [pa.int64(), pa.float64()]
+        return pa.table([pa.array([v], k) for v, k in zip(row, kinds)], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    return run
+
+
+# ---------------------------------------------------------------- the model
 
 
 @dataclass
@@ -92,117 +311,210 @@ class Booster:
     best_round: int = -1
     labels: list | None = None
     shape: tuple[int, int, int] = (0, 0, 0)
+    bank: Bank | None = None
 
     # ------------------------------------------------------------ training
 
-    def fit(self, rows: DataFrame, evaluation: DataFrame | None = None) -> Booster:
-        """``rows``: row_id, y (double), static (array), series (array of channels of one length)."""
+    def fit(self, rows: DataFrame, evaluation: DataFrame | None = None, start: str | None = None) -> Booster:
+        """``rows``: row_id, y (double), static (array), series (array of channels of one length).
+
+        ``start`` names an array column of margins, one an output, from which the scores begin (a base's held-out
+        margins, say); without it they begin at the loss's own first score.
+        """
         self.params.check()
         p, rng = self.params, random.Random(self.params.seed)
-        first = rows.select(F.size("static").alias("p"), F.size("series").alias("c"), F.coalesce(F.size(F.get("series", F.lit(0))), F.lit(0)).alias("t")).first()
-        if first is None:
+        rows = rows.withColumns({"static": F.col("static").cast("array<double>"), "series": F.col("series").cast("array<array<double>>")})
+        first = rows.agg(F.max(F.size("static")).alias("p"), F.max(F.size("series")).alias("c"), F.max(F.coalesce(F.size(F.get("series", F.lit(0))), F.lit(0))).alias("t"), F.count(F.lit(1)).alias("n")).first()
+        if not first.n:
             raise ValueError("no rows to fit on")
         self.shape = (max(first.p, 0), max(first.c, 0), max(first.t, 0))
-        self.base = self.loss.init_scores(rows)
-        start = F.array(*[F.lit(float(b)) for b in self.base])
-        state = stored(rows.select("row_id", "y", start.alias("raw")))
-        judged = stored(evaluation.select("row_id", "y", start.alias("raw"))) if evaluation is not None else None
-        donors = [r.series for r in rows.select("series").orderBy(uniform(p.seed, F.col("row_id"))).limit(64).collect()] if p.draws.shapelets and self.shape[1] else []
-        best, waited = math.inf, 0
+        self.base = [0.0] * self.loss.outputs if start else self.loss.init_scores(rows)
+        begin = F.col(start).cast("array<double>") if start else F.array(*[F.lit(float(b)) for b in self.base])
+        keep = ["row_id", "y", "static", "series", "raw"]
+        state = stored(rows.withColumn("raw", begin).select(*keep))
+        judged = stored(evaluation.withColumn("raw", begin).select(*keep)) if evaluation is not None else None
+        share = min(1.0, p.sample / first.n)
+        self.bank = Bank(p.bank) if p.bank or p.products else None
+        best, waited, since = math.inf, 0, 0
         for r in range(p.rounds):
-            specs = self._candidates(rng, donors)
-            features = rows.select("row_id", features_column(specs, F.col("static"), F.col("series")).alias("x"))
-            work = features.join(state, "row_id").withColumn("d", self.loss.gradients(F.col("y"), F.col("raw")))
+            scorer = Scorer(self.trees[since:], p.rate, self.shape)
+            sample = self._sample(state, scorer, share)
+            specs, x, values = self._candidates(rng, sample)
+            work = state.mapInArrow(_coded(scorer, specs, values, len(self.base)), f"row_id {dict(state.dtypes)['row_id']}, y double, raw array<double>, codes binary")
+            work = work.withColumn("d", self.loss.gradients(F.col("y"), F.col("raw")))
             if p.subsample < 1:
-                work = work.withColumn("used", uniform(p.seed, r, F.col("row_id")) < p.subsample)
-            else:
-                work = work.withColumn("used", F.lit(True))
-            work = stored(work)
-            grown = self._grow(work, specs)
-            self.trees.append(grown)
-            at = {s: F.get("x", F.lit(i)) for i, s in enumerate(specs)}
-            state = stored(work.select("row_id", "y", self._added(F.col("raw"), grown, at).alias("raw")))
-            told = {"train": state.agg(self.loss.metric(F.col("y"), F.col("raw"))).first()[0]}
+                used = exact_subsample(state.select("row_id"), "row_id", p.subsample, p.seed * 7919 + r)
+                work = work.join(used, "row_id", "left_semi")
+            work = work.persist()
+            try:
+                told = self._told(work) if p.subsample == 1 else self._told_by(state, scorer)
+                if r:
+                    self.history[-1]["train"] = told
+                self.trees.append(self._grow(work, specs, x, values, r))
+            finally:
+                work.unpersist()
+            self.history.append({"train": math.nan})
             if judged is not None:
-                used = sorted({n.spec for t in grown for n in t if n.spec is not None}, key=repr)
-                new = evaluation.select("row_id", features_column(used, F.col("static"), F.col("series")).alias("x")).join(judged, "row_id")
-                judged = stored(new.select("row_id", "y", self._added(F.col("raw"), grown, {s: F.get("x", F.lit(i)) for i, s in enumerate(used)}).alias("raw")))
-                told["eval"] = judged.agg(self.loss.metric(F.col("y"), F.col("raw"))).first()[0]
-            self.history.append(told)
-            now = told.get("eval", -r)
+                self.history[-1]["eval"] = self._told_by(judged, Scorer(self.trees[since:], p.rate, self.shape))
+            if len(self.trees) - since >= KEPT:
+                state, judged = (self._advanced(f, since) if f is not None else None for f in (state, judged))
+                since = len(self.trees)
+            now = self.history[-1].get("eval", -r)
             if now < best - 1e-12:
                 best, waited, self.best_round = now, 0, r
             else:
                 waited += 1
                 if judged is not None and p.stale and waited >= p.stale:
                     break
+        if self.history:
+            self.history[-1]["train"] = self._told_by(state, Scorer(self.trees[since:], p.rate, self.shape))
         return self
 
-    def _added(self, raw: Column, grown: list[list[Node]], feature: dict[Spec, Column]) -> Column:
-        return F.array(*[F.get(raw, F.lit(k)) + self.params.rate * _value_of(t, feature) for k, t in enumerate(grown)])
-
-    def _candidates(self, rng: random.Random, donors: list) -> list[Spec]:
-        p, c, t = self.shape
-        specs = [Spec("static", column=i) for i in range(p)]
-        if c and t:
-            specs += [draw_interval(rng, c, t, self.params.draws) for _ in range(self.params.draws.intervals)]
-            for _ in range(self.params.draws.shapelets):
-                specs += draw_shapelet(rng, donors, c, t, self.params.draws)
-        return list(dict.fromkeys(specs))
-
-    def _grow(self, work: DataFrame, specs: list[Spec]) -> list[list[Node]]:
-        """One tree an output; a level is one job over (output, node, candidate, value)."""
-        p, k_all = self.params, len(self.base)
-        trees = [[Node()] for _ in range(k_all)]
-        at = {s: F.get("x", F.lit(i)) for i, s in enumerate(specs)}
-        open_ = {(k, 0) for k in range(k_all)}
-        used = work.where("used")
-
-        def placed() -> DataFrame:
-            """(x, output, node, g, h) of each row in each output's tree."""
-            one = F.array(*[F.struct(F.lit(k).alias("output"), _node_of(t, at).alias("node"), F.get("d", F.lit(k))["g"].alias("g"), F.get("d", F.lit(k))["h"].alias("h")) for k, t in enumerate(trees)])
-            return used.select("x", F.explode(one).alias("o")).select("x", "o.*")
-
-        for _ in range(p.depth):
+    def _told(self, work: DataFrame) -> float:
+        return work.agg(self.loss.metric(F.col("y"), F.col("raw"))).first()[0]
+
+    def _told_by(self, state: DataFrame, scorer: Scorer) -> float:
+        return self._told(_scored(state.select("y", "static", "series", "raw"), scorer, len(self.base), "raw"))
+
+    def _advanced(self, state: DataFrame, since: int) -> DataFrame:
+        return stored(_scored(state, Scorer(self.trees[since:], self.params.rate, self.shape), len(self.base), "raw"))
+
+    def _sample(self, state: DataFrame, scorer: Scorer, share: float) -> pa.Table:
+        """Rows of the sample with their blocks and gradients; the same rows in every round."""
+        some = state if share >= 1 else state.where(uniform(self.params.seed, F.col("row_id")) < share)
+        scored = _scored(some, scorer, len(self.base), "raw")
+        return scored.withColumn("d", self.loss.gradients(F.col("y"), F.col("raw"))).select("row_id", "static", "series", "d").toArrow()
+
+    def _candidates(self, rng: random.Random, sample: pa.Table) -> tuple[list[Spec], np.ndarray, list[np.ndarray]]:
+        """(specs, their columns over the sample, the lowest value of each bin)."""
+        p, (width, channels, steps) = self.params, self.shape
+        sample = sample.sort_by("row_id").combine_chunks()
+        static, series = blocks(sample.column("static").combine_chunks(), sample.column("series").combine_chunks(), self.shape) if sample.num_rows else (np.zeros((0, width)), np.zeros((0, channels, steps)))
+        specs = [Spec("static", column=i) for i in (some_columns(width, p.columns, rng) if p.columns < 1 else range(width))]
+        if channels and steps:
+            specs += [draw_interval(rng, channels, steps, p.draws) for _ in range(thinned(p.draws.intervals, p.thin))]
+            donors = self._donors(sample, series, thinned(p.draws.shapelets, p.thin), rng)
+            for d in donors:
+                specs += draw_shapelet(rng, [d], channels, steps, p.draws)
+        if self.bank is not None and self.bank.entries:
+            entries = self._banked(sample, rng)
+            specs += [e.spec for e in entries]
+            for _ in range(p.products if width else 0):
+                e, i = rng.choice(entries), rng.randrange(width)
+                specs.append(Spec("product", column=i, inner=e.spec, frozen=(*e.frozen(), *frozen(static[:, i]))))
+        specs = list(dict.fromkeys(specs))
+        x = evaluate(specs, static, series)
+        return specs, x, [self._bins(x[:, j]) for j in range(len(specs))]
+
+    def _bins(self, column: np.ndarray) -> np.ndarray:
+        seen = np.sort(column[np.isfinite(column)])
+        values = np.unique(seen)
+        if len(values) > self.params.bins:
+            values = np.unique(seen[np.linspace(0, len(seen) - 1, self.params.bins).round().astype(int)])
+        return values
+
+    def _gradients(self, sample: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        d = sample.column("d").combine_chunks().flatten()
+        return tuple(np.asarray(d.field(i), float).reshape(sample.num_rows, -1) for i in (0, 1))
+
+    def _donors(self, sample: pa.Table, series: np.ndarray, many: int, rng: random.Random) -> list:
+        """Rows to cut templates from, drawn by how far their residual stands out from the mean of their output."""
+        if not many or not len(series):
+            return []
+        g, h = self._gradients(sample)
+        k = rng.randrange(g.shape[1])
+        w = h[:, k] * (-g[:, k] / np.maximum(h[:, k], 1e-16) + g[:, k].sum() / max(h[:, k].sum(), 1e-16)) ** 2
+        chosen = rng.choices(range(len(w)), weights=w.tolist() if w.sum() > 0 else None, k=many)
+        return [[[None if v != v else v for v in c] for c in series[i].tolist()] for i in chosen]
+
+    def _banked(self, sample: pa.Table, rng: random.Random) -> list:
+        p = self.params
+        if p.screen:
+            g, h = self._gradients(sample)
+            k = rng.randrange(g.shape[1])
+            fold = np.array([rng.random() < 0.5 for _ in range(len(g))])
+            if all(len(e.column) == len(g) for e in self.bank.entries):
+                return self.bank.screened(-g[:, k] / (h[:, k] + p.rules.l2), fold, p.screen, p.rules.min_samples_leaf)
+        return self.bank.drawn(p.bank_share, rng)
+
+    def _grow(self, work: DataFrame, specs: list[Spec], x: np.ndarray, values: list[np.ndarray], round_: int) -> list[list[Node]]:
+        """One tree an output; a level is one job over (output, node, candidate, bin)."""
+        p, outputs = self.params, len(self.base)
+        trees, coded = [[Node()] for _ in range(outputs)], [[_Coded()] for _ in range(outputs)]
+        leaf = lambda g, h: -g / max(h + p.rules.l2, 1e-16)
+        if not specs:
+            totals = work.agg(*[F.sum(F.get("d", F.lit(k))[c]) for k in range(outputs) for c in ("g", "h")]).first()
+            for k in range(outputs):
+                trees[k][0].value = leaf(totals[2 * k] or 0.0, totals[2 * k + 1] or 0.0)
+            return trees
+        open_ = {(k, 0) for k in range(outputs)}
+        problem = ["output", "node", "candidate"]
+        for level in range(p.depth):
             if not open_:
                 break
-            keys = [F.struct(F.lit(k).alias("a"), F.lit(n).alias("b")) for k, n in sorted(open_)]
-            rows = placed().where(F.array_contains(F.array(*keys), F.struct(F.col("output").alias("a"), F.col("node").alias("b"))))
-            long = rows.select("output", "node", "g", "h", F.posexplode("x").alias("candidate", "f"))
-            best = best_splits(long, ["output", "node", "candidate"], p.rules)
-            top = best.groupBy("output", "node").agg(F.max_by(F.struct("candidate", "threshold", "missing_left", "gain"), F.struct(F.round("gain", 9).alias("g"), (-F.col("candidate")).alias("c"))).alias("s"))
+            sums = work.mapInArrow(_level(coded, open_, len(specs)), _SUMS).repartition(*problem)
+            bins = sums.groupBy(*problem, "code").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n", "gg", "gh", "hh")])
+            # one row a candidate and node comes back, so few that the driver picks each node's best
+            found = bins.groupBy(*problem).applyInArrow(_best_cut(p.rules), _FOUND).collect()
             open_ = set()
-            for row in sorted(top.select("output", "node", "s.*").where("gain > 1e-12").collect(), key=lambda r: (r.output, r.node)):
-                tree, node = trees[row.output], trees[row.output][row.node]
-                node.spec, node.threshold, node.missing_left, node.gain = specs[row.candidate], row.threshold, row.missing_left, row.gain
+            for key in sorted({(r.output, r.node) for r in found}):
+                mine = sorted((r for r in found if (r.output, r.node) == key), key=lambda r: (-r.gain, r.candidate))
+                row = mine[0]
+                tree, codes = trees[row.output], coded[row.output]
+                node, v = tree[row.node], values[row.candidate]
+                if level == 0:
+                    node.value = leaf(row.g, row.h)
+                charge = p.charge * row.scale * (math.log(len(specs)) + 0.4 * math.log(max(row.n, 1)))
+                if row.gain <= max(1e-12, charge):
+                    continue
+                low, high = v[row.below], v[row.above]
+                node.spec, node.threshold, node.missing_left, node.gain = specs[row.candidate], float(low + (high - low) / 2), row.missing_left, row.gain
                 node.left, node.right = len(tree), len(tree) + 1
-                tree += [Node(), Node()]
+                tree += [Node(leaf(row.gl, row.hl)), Node(leaf(row.gr, row.hr))]
+                codes[row.node] = _Coded(row.candidate, row.below, row.missing_left, node.left, node.right)
+                codes += [_Coded(), _Coded()]
                 open_ |= {(row.output, node.left), (row.output, node.right)}
-        sums = placed().groupBy("output", "node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        for row in sums:
-            trees[row.output][row.node].value = -row.g / max(row.h + p.rules.l2, 1e-16)
+                if self.bank is not None and node.spec.kind not in ("static", "product"):
+                    self.bank.promote(node.spec, x[:, row.candidate], row.gain, round_)
         return trees
 
     # ------------------------------------------------------------ prediction
 
+    def _fitted(self) -> None:
+        if not self.base:
+            raise RuntimeError("fit the model first")
+
     @property
     def rounds_used(self) -> int:
         return self.best_round + 1 if any("eval" in h for h in self.history) else len(self.trees)
 
-    def raw(self, rows: DataFrame, rounds: int | None = None, out: str = "raw") -> DataFrame:
-        """The rows with their scores: one projection, every distinct feature computed once."""
+    def curve(self, name: str = "train") -> list[float]:
+        """The metric after each round; an error before the fit, or where it wasn't measured."""
+        self._fitted()
+        if not all(name in h for h in self.history):
+            raise RuntimeError(f"no {name} history")
+        return [h[name] for h in self.history]
+
+    def raw(self, rows: DataFrame, rounds: int | None = None, out: str = "raw", start: str | None = None) -> DataFrame:
+        """The rows with their scores after so many rounds: one narrow pass over Arrow batches.
+
+        Blocks must have the shape of the fit; shorter series are padded with missing steps.
+        """
+        self._fitted()
         trees = self.trees[: self.rounds_used if rounds is None else rounds]
-        specs = list(dict.fromkeys(n.spec for r in trees for t in r for n in t if n.spec is not None))
-        wide = rows.withColumn("_x", features_column(specs, F.col("static"), F.col("series")))
-        at = {s: F.get("_x", F.lit(i)) for i, s in enumerate(specs)}
-        score = [F.lit(float(b)) for b in self.base]
-        for r in trees:
-            score = [s + self.params.rate * _value_of(t, at) for s, t in zip(score, r)]
-        return wide.withColumn(out, F.array(*score)).drop("_x")
-
-    def predict(self, rows: DataFrame) -> DataFrame:
+        begin = F.col(start).cast("array<double>") if start else F.array(*[F.lit(float(b)) for b in self.base])
+        none = F.array().cast("array<array<double>>")
+        kinds = dict(rows.dtypes)
+        series = F.col("series").cast("array<array<double>>") if "series" in kinds else none
+        static = F.col("static").cast("array<double>") if "static" in kinds else F.array().cast("array<double>")
+        wide = rows.withColumns({"_static": static, "_series": series, "_raw": begin})
+        scored = _scored(wide, Scorer(trees, self.params.rate, self.shape), len(self.base), "_raw", "_static", "_series")
+        done = scored.drop("_static", "_series")
+        return done if out == "_raw" else done.drop(out).withColumnRenamed("_raw", out)
+
+    def predict(self, rows: DataFrame, start: str | None = None) -> DataFrame:
         """Adds prediction, and probability for classifiers."""
-        scored = self.raw(rows, out="_raw")
+        scored = self.raw(rows, out="_raw", start=start)
         if self.loss.name == "squared":
             return scored.withColumn("prediction", F.get("_raw", F.lit(0))).drop("_raw")
         p = scored.withColumn("probability", self.loss.transform(F.col("_raw"))).drop("_raw")
@@ -211,6 +523,7 @@ class Booster:
 
     def splits(self, top: int | None = None) -> list[dict]:
         """The splits of the rounds used, the largest gain first."""
+        self._fitted()
         out = [
             {"round": r, "output": k, "feature": n.spec.name, "family": n.spec.family, "gain": n.gain, "text": n.spec.describe(n.threshold, n.missing_left)}
             for r, trees in enumerate(self.trees[: self.rounds_used]) for k, t in enumerate(trees) for n in t if n.spec is not None
@@ -218,19 +531,38 @@ class Booster:
         return sorted(out, key=lambda s: -s["gain"])[:top]
 
 
-def fit_regressor(rows: DataFrame, params: Params | None = None, evaluation: DataFrame | None = None) -> Booster:
-    return Booster(squared_error(), params or Params()).fit(rows, evaluation)
+def _scored(rows: DataFrame, scorer: Scorer, outputs: int, raw: str, static: str = "static", series: str = "series") -> DataFrame:
+    """The rows with the trees' values added to the array column ``raw``."""
+    if not scorer.trees:
+        return rows
+    names = rows.columns
+    at = names.index(raw)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                columns = list(b.columns)
+                held = np.asarray(b.column(at).flatten(), float).reshape(b.num_rows, outputs)
+                columns[at] = _lists(scorer.add(held, *blocks(b.column(static), b.column(series), scorer.shape)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, rows.schema)
+
 
+def fit_regressor(rows: DataFrame, params: Params | None = None, evaluation: DataFrame | None = None, start: str | None = None) -> Booster:
+    return Booster(squared_error(), params or Params()).fit(rows, evaluation, start)
 
-def fit_classifier(rows: DataFrame, params: Params | None = None, evaluation: DataFrame | None = None, label: str = "label") -> Booster:
+
+def coded_labels(rows: DataFrame, labels: list, label: str = "label") -> DataFrame:
+    """The rows with y, the place of each label among ``labels``; an error for one that isn't there."""
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label))
+    return rows.withColumn("y", F.when(place > 0, (place - 1).cast("double")).otherwise(F.raise_error(F.concat(F.lit("unseen class "), F.col(label).cast("string")))))
+
+
+def fit_classifier(rows: DataFrame, params: Params | None = None, evaluation: DataFrame | None = None, label: str = "label", start: str | None = None) -> Booster:
     """Classes are the sorted distinct labels; two give the logistic loss, more the softmax."""
     labels = sorted(r[0] for r in rows.select(label).distinct().collect())
     if len(labels) < 2:
         raise ValueError("at least two classes are needed")
     loss = logistic() if len(labels) == 2 else softmax_loss(len(labels))
-
-    def coded(df: DataFrame) -> DataFrame:
-        place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label))
-        return df.withColumn("y", F.when(place > 0, (place - 1).cast("double")).otherwise(F.raise_error(F.lit("unseen class"))))
-
-    return Booster(loss, params or Params(), labels=labels).fit(coded(rows), coded(evaluation) if evaluation is not None else None)
+    return Booster(loss, params or Params(), labels=labels).fit(coded_labels(rows, labels, label), coded_labels(evaluation, labels, label) if evaluation is not None else None, start)

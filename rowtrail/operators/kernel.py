@@ -6,6 +6,7 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +80,36 @@ def evaluate(specs: list[Spec], static: np.ndarray, series: np.ndarray) -> np.nd
     return out
 
 
+def blocks(static: pa.Array, series: pa.Array, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Both blocks of an Arrow batch as matrices of a frozen shape (columns, channels, steps), NaN for missing.
+
+    Shorter series are padded; other shapes, and a block that is there where the fit had none or the other way round,
+    are errors.
+    """
+    p, c, t = shape
+    n = len(static)
+
+    def numbers(a: pa.Array) -> np.ndarray:
+        return a.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+
+    sizes = np.diff(np.asarray(static.offsets))
+    if static.null_count or (sizes != p).any():
+        raise ValueError(f"rows must have {p} static columns, as in the fit")
+    x = numbers(static.flatten()).reshape(n, p)
+    if series.null_count or (np.diff(np.asarray(series.offsets)) != c).any():
+        raise ValueError(f"rows must have {c} channels, as in the fit" if c else "the fit had no series")
+    channels = series.flatten()
+    lengths = np.diff(np.asarray(channels.offsets)) if len(channels) else np.zeros(0, int)
+    if (lengths > t).any():
+        raise ValueError(f"series must have {t} steps at most, as in the fit")
+    flat = numbers(channels.flatten()) if len(channels) else np.zeros(0)
+    if (lengths == t).all():
+        return x, flat.reshape(n, c, t)
+    y = np.full((n * c, t), np.nan)
+    y[np.arange(t)[None, :] < lengths[:, None]] = flat
+    return x, y.reshape(n, c, t)
+
+
 def features_column(specs: list[Spec], static: Column, series: Column) -> Column:
     """The features of all specs as one array column with NULL for missing."""
 

@@ -586,12 +586,11 @@ def mean_rank(spark, sf_dir):
 
 
 @query(
-    "WITH a AS (SELECT DISTINCT o_custkey % 50 AS seed FROM orders WHERE o_orderkey % 97 = 1), b AS (SELECT DISTINCT o_custkey % 50 AS seed FROM orders WHERE o_orderkey % 89 = 2) "
+    "WITH a AS (SELECT DISTINCT o_custkey AS seed FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT DISTINCT o_custkey AS seed FROM orders WHERE o_orderstatus <> 'P') "
     "SELECT seed, 'a' AS only FROM a WHERE seed NOT IN (SELECT seed FROM b) UNION ALL SELECT seed, 'b' FROM b WHERE seed NOT IN (SELECT seed FROM a)"
 )
 def unpaired_seeds(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("seed", F.col("o_custkey") % 50)
-    arms = o.where("o_orderkey % 97 = 1").select(F.lit("a").alias("model"), "seed").unionByName(o.where("o_orderkey % 89 = 2").select(F.lit("b").alias("model"), "seed"))
+    arms = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "P", F.lit("a")).otherwise(F.lit("b")).alias("model"), F.col("o_custkey").alias("seed"))
     return reports.unpaired(arms, "a", "b", ["seed"])
 
 
@@ -628,7 +627,7 @@ def eav_statics(spark, sf_dir):
 
 @query(
     "WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN (c_custkey % 90) || ' yr FEMALE' WHEN c_custkey % 4 = 1 THEN 'Male, ' || (c_custkey % 90) || 'yr' WHEN c_custkey % 4 = 2 THEN 'unknown' END AS t FROM customer) "
-    "SELECT c_custkey, CAST(nullif(regexp_extract(lower(t), '(\\d+)\\s*yr', 1), '') AS DOUBLE) AS age, CASE WHEN lower(t) LIKE '%female%' THEN 1.0 WHEN lower(t) LIKE '%male%' THEN 0.0 END::DOUBLE AS sex FROM t"
+    "SELECT c_custkey, CAST(nullif(regexp_extract(lower(t), '(\\d+)\\s*yr', 1), '') AS DOUBLE) AS age, CASE WHEN lower(t) LIKE '%female%' THEN 0.0 WHEN lower(t) LIKE '%male%' THEN 1.0 END::DOUBLE AS sex FROM t"
 )
 def demographics_text(spark, sf_dir):
     k = F.col("c_custkey")

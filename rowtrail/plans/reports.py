@@ -19,10 +19,11 @@ def summarise(results: DataFrame, keys: list[str], score: str = "score") -> Data
 
 
 def paired_margins(results: DataFrame, arm: str, base: str, keys: list[str], model: str = "model", score: str = "score") -> DataFrame:
-    """arm minus base in points, per shared (keys); keys are usually dataset and seed."""
-    a = results.where(F.col(model) == arm).select(*keys, F.col(score).alias("_a"))
-    b = results.where(F.col(model) == base).select(*keys, F.col(score).alias("_b"))
-    return a.join(b, keys).select(*keys, (100 * (F.col("_a") - F.col("_b"))).alias("margin"))
+    """arm minus base in points, per shared (keys); keys are usually dataset and seed.  An arm with two rows is an error."""
+    of = lambda f, m: f(F.when(F.col(model) == m, F.col(score)))
+    both = results.where(F.col(model).isin(arm, base)).groupBy(*keys).agg(of(F.max, arm).alias("_a"), of(F.max, base).alias("_b"), F.greatest(of(F.count, arm), of(F.count, base)).alias("_n"))
+    once = F.when(F.col("_n") > 1, F.raise_error(F.lit("a result cell has several rows"))).otherwise(F.lit(True)).cast("boolean")
+    return both.where(once).where("_a is not null and _b is not null").select(*keys, (100 * (F.col("_a") - F.col("_b"))).alias("margin"))
 
 
 def unpaired(results: DataFrame, arm: str, base: str, keys: list[str], model: str = "model") -> DataFrame:

@@ -182,7 +182,7 @@ def dose_verdicts(margins: DataFrame, arms: list[str], bar: float = 3.0, seeds:
         falls = falls & (F.col(f"m_{x}") >= F.col(f"m_{y}"))
     word = lambda c: F.when(c, F.lit("PASS")).when(~c, F.lit("FAIL"))
     rows = F.array(
-        F.struct(F.lit("width").alias("hypothesis"), gap.alias("value"), word((gap >= bar) & (F.coalesce("agree", F.lit(0)) >= seeds)).alias("verdict")),
+        F.struct(F.lit("width").alias("hypothesis"), gap.alias("value"), F.when(gap.isNotNull(), word((gap >= bar) & (F.coalesce("agree", F.lit(0)) >= seeds))).alias("verdict")),
         F.struct(F.lit("order").alias("hypothesis"), gap.alias("value"), word(falls).alias("verdict")),
         F.struct(F.lit("control").alias("hypothesis"), F.col(f"m_{arms[-1]}").alias("value"), word(F.col(f"m_{arms[-1]}") > 0).alias("verdict")),
     )

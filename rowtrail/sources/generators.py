@@ -44,16 +44,19 @@ def _finish(rows: DataFrame, statics: list[Column], channels: list[Column], labe
 
 
 def bump_order(spark: SparkSession, n: int = 500, steps: int = 100, noise: float = 1.0, extra: int = 4, amp: float = 3.0, seed: int = 0) -> DataFrame:
-    """Which of two shapes comes first, exclusive-or a static flag."""
+    """Whether a zero-area doublet comes before its negative or after it, exclusive-or a static flag.
+
+    Both stand at random places that don't overlap, so neither whole-series nor fixed-window statistics hold the order.
+    """
     rows = _rows(spark, n)
-    flag, first = (_u(seed, 1) < 0.5), (_u(seed, 2) < 0.5)
-    a, b = _apart(seed, steps)
-    width = steps * 0.03
-    x = F.transform(
-        _noise(seed, 3, steps, noise),
-        lambda v, t: v + _bump(F.when(first, a).otherwise(b), width, F.lit(amp), t) + _doublet(F.when(first, b).otherwise(a), width, F.lit(amp), t),
-    )
-    return _finish(rows, [flag.cast("double"), *_statics(seed, extra)], [x], (first != flag).cast("int"))
+    flag, up = (_u(seed, 1) < 0.5), (_u(seed, 2) < 0.5)
+    width = max(1.5, steps / 50)
+    reach = 3 * width  # on either side of a centre
+    first = reach + _u(seed, 11) * max(steps - 6 * reach, 1)
+    second = first + 2.5 * reach + _u(seed, 12) * F.greatest(steps - reach - first - 2.5 * reach, F.lit(0.0))
+    sign = F.when(up, F.lit(amp * noise)).otherwise(F.lit(-amp * noise))
+    x = F.transform(_noise(seed, 3, steps, noise), lambda v, t: v + _doublet(first, width, sign, t) + _doublet(second, width, -sign, t))
+    return _finish(rows, [flag.cast("double"), *_statics(seed, extra)], [x], (up != flag).cast("int"))
 
 
 def timing(spark: SparkSession, n: int = 500, steps: int = 100, noise: float = 0.5, extra: int = 4, amp: float = 3.0, seed: int = 0) -> DataFrame:
@@ -64,11 +67,20 @@ def timing(spark: SparkSession, n: int = 500, steps: int = 100, noise: float = 0
 
 
 def slope_window(spark: SparkSession, n: int = 500, steps: int = 120, noise: float = 0.8, extra: int = 4, seed: int = 0) -> DataFrame:
-    """The sign of the slope inside a fixed window, exclusive-or a static gate over 0."""
+    """The sign of a drift inside a fixed window, exclusive-or a static gate over 0.
+
+    The series is noise over a sum of steps: their size is the sign's within the window, and random and up to two and a
+    half times as large in the three stretches around it, which govern the slope of the whole.
+    """
     gate, up = 2 * _u(seed, 1) - 1, _u(seed, 2) < 0.5
-    lo, hi = 0.38 * steps, 0.58 * steps
-    ramp = lambda t: F.when((t >= lo) & (t < hi), F.when(up, 1.0).otherwise(-1.0) * (t - (lo + hi) / 2) * (4.0 / (hi - lo))).otherwise(F.lit(0.0))
-    x = F.transform(_noise(seed, 3, steps, noise), lambda v, t: v + ramp(t))
+    borders = [0, round(0.38 * steps), round(0.58 * steps), round(0.79 * steps), steps]
+    slopes = [F.when(up, F.lit(0.12)).otherwise(F.lit(-0.12)) if k == 1 else 0.6 * _u(seed, 20 + k) - 0.3 for k in range(4)]
+
+    def drift(t: Column) -> Column:
+        parts = [s * F.greatest(F.lit(0), F.least(t + 1, F.lit(b)) - a) for s, a, b in zip(slopes, borders, borders[1:])]
+        return sum(parts[1:], parts[0])
+
+    x = F.transform(_noise(seed, 3, steps, noise), lambda v, t: v + drift(t))
     return _finish(_rows(spark, n), [gate, *_statics(seed, extra)], [x], (up != (gate > 0)).cast("int"))
 
 

@@ -147,7 +147,7 @@ def decode_files(files: DataFrame, decode, schema: str, path: str = "path", cont
 
 
 def demographics(text: Column) -> tuple[Column, Column]:
-    """(age, sex) from a free text: ``63 yr`` and the words female or male, female looked for first."""
+    """(age, sex) from a free text: ``63 yr``, and 0 for female, which is looked for first, or 1 for male."""
     low = F.lower(text)
     age = F.regexp_extract(low, r"(\d+)\s*yr", 1)
-    return F.when(age != "", age.cast("double")), F.when(low.contains("female"), F.lit(1.0)).when(low.contains("male"), F.lit(0.0))
+    return F.when(age != "", age.cast("double")), F.when(low.contains("female"), F.lit(0.0)).when(low.contains("male"), F.lit(1.0))
