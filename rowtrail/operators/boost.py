@@ -25,10 +25,11 @@ from ..functions.losses import Loss, logistic, softmax_loss, squared_error
 from ..functions.scalar import uniform
 from ..functions.stats import STAT_NAMES
 from .bank import Bank, frozen
-from .kernel import blocks, evaluate
+from .kernel import blocks, evaluate, pooled
 from .sampling import exact_subsample, some_columns, thinned
 from .specs import Draws, Spec, draw_interval, draw_shapelet
 from .split import ScanRules
+from .temporal import dct_basis, match_template, pyramid_levels, refit_template, unit_snippet
 
 #: Rounds between tables of scores; the trees since the last one are applied anew.
 KEPT = 10
@@ -396,6 +397,7 @@ class Booster:
             donors = self._donors(sample, series, thinned(p.draws.shapelets, p.thin), rng)
             for d in donors:
                 specs += draw_shapelet(rng, [d], channels, steps, p.draws)
+            specs += self._filters(sample, series, rng)
         if self.bank is not None and self.bank.entries:
             entries = self._banked(sample, rng)
             specs += [e.spec for e in entries]
@@ -418,14 +420,49 @@ class Booster:
         return tuple(np.asarray(d.field(i), float).reshape(sample.num_rows, -1) for i in (0, 1))
 
     def _donors(self, sample: pa.Table, series: np.ndarray, many: int, rng: random.Random) -> list:
-        """Rows to cut templates from, drawn by how far their residual stands out from the mean of their output."""
+        """Series to cut templates from, of drawn rows."""
         if not many or not len(series):
             return []
+        return [[[None if v != v else v for v in c] for c in series[i].tolist()] for i in self._drawn(sample, many, rng)]
+
+    def _drawn(self, sample: pa.Table, many: int, rng: random.Random) -> list[int]:
+        """Rows of the sample, drawn by how far their residual stands out from the mean of an output."""
         g, h = self._gradients(sample)
         k = rng.randrange(g.shape[1])
         w = h[:, k] * (-g[:, k] / np.maximum(h[:, k], 1e-16) + g[:, k].sum() / max(h[:, k].sum(), 1e-16)) ** 2
-        chosen = rng.choices(range(len(w)), weights=w.tolist() if w.sum() > 0 else None, k=many)
-        return [[[None if v != v else v for v in c] for c in series[i].tolist()] for i in chosen]
+        return rng.choices(range(len(w)), weights=w.tolist() if w.sum() > 0 else None, k=many)
+
+    def _filters(self, sample: pa.Table, series: np.ndarray, rng: random.Random) -> list[Spec]:
+        """Unit snippets of donors at a random level of the pyramid, for their response and its place.
+
+        The first ones are refitted: each row's best window is found, and the template that explains the residuals best
+        within the first cosine components takes the snippet's place, a few times over.
+        """
+        d, (_, channels, steps) = self.params.draws, self.shape
+        many = thinned(d.filters, self.params.thin)
+        if not many or not len(series):
+            return []
+        g, h = self._gradients(sample)
+        k = rng.randrange(g.shape[1])
+        residual = -g[:, k] / np.maximum(h[:, k], 1e-16)
+        out = []
+        for i, row in enumerate(self._drawn(sample, many, rng)):
+            c, scale = rng.randrange(channels), rng.randrange(len(pyramid_levels(steps, d.filter_length)))
+            x = series[:, c]
+            for _ in range(scale):
+                x = pooled(x)
+            length = min(d.filter_length, x.shape[1])
+            start = rng.randint(0, x.shape[1] - length)
+            t = unit_snippet(x[row, start : start + length].tolist())
+            for _ in range(d.refits if t is not None and i < d.fitted else 0):
+                _, place = match_template(x, t, "correlation")
+                seen = np.flatnonzero(np.isfinite(place))
+                at = np.round(place[seen] * (x.shape[1] - length)).astype(int)
+                w = x[seen[:, None], at[:, None] + np.arange(length)]
+                t = refit_template(w - w.mean(1, keepdims=True), residual[seen], h[seen, k], dct_basis(length, d.components), 1.0) or t
+            if t is not None:
+                out += [Spec(kind, channel=c, template=tuple(t), scale=scale) for kind in ("filter_resp", "filter_pos")]
+        return out
 
     def _banked(self, sample: pa.Table, rng: random.Random) -> list:
         p = self.params

@@ -59,11 +59,19 @@ def pivot_means(long: DataFrame, keys: list[str], column: str, values: list, val
     return long.groupBy(*keys).pivot(column, values).agg(F.avg(value))
 
 
-def stratified_holdout(rows: DataFrame, y: str, order: Column, share: float) -> DataFrame:
-    """Adds is_test: in each class the first max(1, round(share * n)) rows in the given order."""
-    w = W.partitionBy(y)
-    n = F.count(F.lit(1)).over(w)
-    return rows.withColumn("is_test", F.row_number().over(w.orderBy(order)) <= F.greatest(F.round(n * share), F.lit(1)))
+def stratified_holdout(rows: DataFrame, y: str, order: Column, share: float, bucket: Column | None = None) -> DataFrame:
+    """Adds is_test: in each class the first max(1, round(share * n)) rows in the given order.
+
+    ``bucket`` is a whole number that rises with the order and cuts a class into parts; places are then counted within
+    a part behind the sizes of those before it, so a class of any size is spread over tasks.
+    """
+    cut = rows.withColumn("_b", F.lit(0) if bucket is None else bucket)
+    counts = cut.groupBy(y, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    of_class = W.partitionBy(y)  # a row a bucket
+    before = F.coalesce(F.sum("_c").over(of_class.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = counts.select(y, "_b", before.alias("_before"), F.greatest(F.round(F.sum("_c").over(of_class) * share), F.lit(1)).alias("_quota"))
+    place = F.row_number().over(W.partitionBy(y, "_b").orderBy(order))
+    return cut.withColumn("_r", place).join(sizes, [y, "_b"]).withColumn("is_test", F.col("_before") + F.col("_r") <= F.col("_quota")).drop("_b", "_r", "_before", "_quota")
 
 
 def group_holdout(rows: DataFrame, group: str, order: Column, share: float) -> DataFrame:

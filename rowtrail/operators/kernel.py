@@ -5,7 +5,6 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,18 +110,18 @@ def blocks(static: pa.Array, series: pa.Array, shape: tuple[int, int, int]) -> t
 
 
 def features_column(specs: list[Spec], static: Column, series: Column) -> Column:
-    """The features of all specs as one array column with NULL for missing."""
+    """The features of all specs as one array column with NULL for missing, from the flat buffers of Arrow batches."""
 
-    @F.pandas_udf("array<double>")
-    def computed(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def computed(a: pa.Array, b: pa.Array) -> pa.Array:
         if not len(a):
-            return pd.Series([], dtype=object)
-        x = np.array([np.asarray(v, float) for v in a]).reshape(len(a), -1)
-        shapes = {tuple(len(c) for c in v) for v in b}
-        if len(shapes) > 1:
+            return pa.array([], pa.list_(pa.float64()))
+        channels = b.flatten()
+        shape = (len(a[0]), len(b[0]), len(channels[0]) if len(channels) else 0)
+        if (np.diff(np.asarray(channels.offsets)) != shape[2]).any() if len(channels) else False:
             raise ValueError("series of a batch differ in shape; pad them first")
-        y = np.array([[np.asarray(c, float) for c in v] for v in b]) if shapes != {()} else np.zeros((len(a), 0, 0))
-        got = evaluate(specs, x, y)
-        return pd.Series([[None if f != f else f for f in row] for row in got.tolist()])
+        got = evaluate(specs, *blocks(a, b, shape))
+        flat = pa.array(got.ravel(), mask=~np.isfinite(got.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * len(specs), pa.int32()), flat)
 
     return computed(static, series)

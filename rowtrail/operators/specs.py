@@ -111,8 +111,13 @@ class Draws:
     shapelets: int = 0
     stats: tuple[str, ...] = STAT_NAMES
     min_length: int = 3
-    whole: float = 0.15
+    whole: float = 0.25
     shapelet_share: float = 0.5
+    filters: int = 0  # templates of few steps on a pyramid, the first ``fitted`` of them refitted to the residuals
+    fitted: int = 0
+    refits: int = 2
+    filter_length: int = 9
+    components: int = 5
 
 
 def draw_interval(rng: random.Random, channels: int, steps: int, draws: Draws) -> Spec:

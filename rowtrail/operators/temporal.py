@@ -76,6 +76,20 @@ def _windows(x: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return np.lib.stride_tricks.sliding_window_view(z, length, axis=1), mean, sd, ok
 
 
+#: Templates longer than this are slid along by a Fourier transform.
+DIRECT = 64
+
+
+def _products(w: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Inner product of a template with each window, of which ``w`` is a view over rows with 0 for missing steps."""
+    if len(t) <= DIRECT:
+        return w @ t
+    rows = np.concatenate([w[:, :, 0], w[:, -1, 1:]], 1)
+    size = 1 << (rows.shape[1] + len(t) - 2).bit_length()
+    whole = np.fft.irfft(np.fft.rfft(rows, size, axis=1) * np.fft.rfft(t[::-1], size), size, axis=1)
+    return whole[:, len(t) - 1 : rows.shape[1]]
+
+
 def match_template(x: np.ndarray, template: list[float], kind: str = "distance", normalise: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Best match of a template along each row of x: (value, position in [0, 1]); NaN where there is none.
 
@@ -93,10 +107,10 @@ def match_template(x: np.ndarray, template: list[float], kind: str = "distance",
     centred = t - t.mean()
     t_sd = centred.std()
     if kind == "distance" and not normalise:
-        score = np.maximum((w**2).mean(2) - 2 * (w @ t) / length + (t**2).mean(), 0)
+        score = np.maximum(sd**2 + mean**2 - 2 * _products(w, t) / length + (t**2).mean(), 0)
     else:
         unit = centred / t_sd if t_sd > FLAT else np.zeros(length)
-        corr = np.where(flat, 0.0, (w @ unit) / length / np.where(flat, 1.0, sd))
+        corr = np.where(flat, 0.0, _products(w, unit) / length / np.where(flat, 1.0, sd))
         if kind == "distance":
             score = np.maximum(np.where(flat, 0.0, 1.0) - 2 * corr + (1.0 if t_sd > FLAT else 0.0), 0)
         else:

@@ -69,19 +69,34 @@ LAGGED = "SELECT *, lag(value) OVER (PARTITION BY {by} ORDER BY t) AS previous F
 # ---------------------------------------------------------------- interval statistics
 
 
+def sparse_series(spark, sf_dir) -> DataFrame:
+    """``user_series`` without its missing days: statistics over what is observed need no more."""
+    events = table(spark, sf_dir, "events").withColumnRenamed("event_type", "channel")
+    return series.binned_means(events, ["user_id", "channel"], F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")), "value").where(F.col("t").between(0, DAYS - 1))
+
+
+def every_series(spark, sf_dir, found: DataFrame, windows: int = 0) -> DataFrame:
+    """``found`` with a row of NULLs for each user and channel (and window) without any."""
+    keys = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("channel", F.explode(F.array(*[F.lit(c) for c in CHANNELS])))
+    by = ["user_id", "channel"]
+    if windows:
+        keys, by = keys.withColumn("window", F.explode(F.array(*[F.lit(w) for w in range(windows)]))), [*by, "window"]
+    return keys.join(found, by, "left")
+
+
 @query(f"{U} SELECT user_id, channel, {stats_sql(stats.STAT_NAMES)} FROM ({LAGGED.format(by='user_id, channel', rows='s')}) GROUP BY user_id, channel")
 def interval_stats_daily(spark, sf_dir):
-    return rounded(stats.interval_stats(user_series(spark, sf_dir), ["user_id", "channel"]))
+    return rounded(every_series(spark, sf_dir, stats.interval_stats(sparse_series(spark, sf_dir), ["user_id", "channel"])))
 
 
 @query(f"{U} SELECT user_id, channel, round(CASE WHEN count(value) >= 2 THEN regr_slope(value, t) END, 6) + 0.0 AS slope FROM s WHERE t >= 5 AND t < 20 GROUP BY ALL")
 def interval_slope_subwindow(spark, sf_dir):
-    return rounded(stats.interval_stats(user_series(spark, sf_dir), ["user_id", "channel"], 5, 20, ("slope",)))
+    return rounded(every_series(spark, sf_dir, stats.interval_stats(sparse_series(spark, sf_dir), ["user_id", "channel"], 5, 20, ("slope",))))
 
 
 @query(f"{U} SELECT user_id, channel, {stats_sql(stats.STAT10_NAMES)} FROM ({LAGGED.format(by='user_id, channel', rows='s')}) GROUP BY user_id, channel")
 def global_agg10(spark, sf_dir):
-    return rounded(stats.interval_stats(user_series(spark, sf_dir), ["user_id", "channel"], stats=stats.STAT10_NAMES))
+    return rounded(every_series(spark, sf_dir, stats.interval_stats(sparse_series(spark, sf_dir), ["user_id", "channel"], stats=stats.STAT10_NAMES)))
 
 
 @query(
@@ -89,7 +104,7 @@ def global_agg10(spark, sf_dir):
     f"SELECT user_id, channel, \"window\", {stats_sql(stats.STAT10_NAMES)} FROM ({LAGGED.format(by='user_id, channel, "window"', rows='w')}) GROUP BY user_id, channel, \"window\""
 )
 def windowed_agg4(spark, sf_dir):
-    return rounded(stats.windowed_stats(user_series(spark, sf_dir), ["user_id", "channel"], DAYS, 4))
+    return rounded(every_series(spark, sf_dir, stats.windowed_stats(sparse_series(spark, sf_dir), ["user_id", "channel"], DAYS, 4), 4))
 
 
 @query(f"{U} SELECT user_id, channel, {stats_sql(stats.STAT10_NAMES, 'count(value) = count(*)')} FROM ({LAGGED.format(by='user_id, channel', rows='s')}) GROUP BY user_id, channel")
@@ -191,12 +206,12 @@ def ncc_align(spark, sf_dir):
 
 
 @query(
-    "WITH e AS (SELECT vec_id, unnest(embedding[1:12]) AS f, unnest(range(0, 12)) AS pos FROM embeddings), c AS (SELECT vec_id, pos, CAST(f AS DOUBLE) - avg(CAST(f AS DOUBLE)) OVER (PARTITION BY vec_id) AS v FROM e) "
+    "WITH e AS (SELECT vec_id, unnest(embedding) AS f, unnest(range(0, 64)) AS pos FROM embeddings), c AS (SELECT vec_id, pos, CAST(f AS DOUBLE) - avg(CAST(f AS DOUBLE)) OVER (PARTITION BY vec_id) AS v FROM e) "
     "SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 6) + 0.0 AS col FROM c"
 )
 def znorm_snippet(spark, sf_dir):
     rows, _ = embedded(spark, sf_dir)
-    return rounded(rows.select("vec_id", F.posexplode(temporal.unit_snippet_column(F.slice("series", 1, 12)))))
+    return rounded(rows.select("vec_id", F.posexplode(temporal.unit_snippet_column(F.col("series")))))
 
 
 @query(
@@ -225,11 +240,11 @@ k1 AS (SELECT vec_id, i, 3 * sum(CASE WHEN j IN (0, 1, 3) THEN v ELSE 0 END) - s
   FROM (SELECT vec_id, x, unnest(range(0, 48)) AS i FROM e), (SELECT unnest(range(0, 9)) AS j)) GROUP BY ALL)"""
 
 
-@query(f"{TAPS} SELECT round(quantile_cont(r, 0.25), 6) + 0.0 AS q1, round(quantile_cont(r, 0.5), 6) + 0.0 AS q2, round(quantile_cont(r, 0.75), 6) + 0.0 AS q3 FROM k0 WHERE vec_id = 0")
+@query(f"{TAPS} SELECT vec_id, round(quantile_cont(r, 0.25), 6) + 0.0 AS q1, round(quantile_cont(r, 0.5), 6) + 0.0 AS q2, round(quantile_cont(r, 0.75), 6) + 0.0 AS q3 FROM k0 GROUP BY vec_id")
 def rocket_bias_quantiles(spark, sf_dir):
     rows, _ = embedded(spark, sf_dir)
-    responses = rows.where("vec_id = 0").select(F.explode(rocket.response_column(F.col("series"), 0, 1)).alias("r"))
-    return rounded(responses.agg(*[F.percentile("r", F.lit(q)).alias(n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]))
+    responses = rows.select("vec_id", F.explode(rocket.response_column(F.col("series"), 0, 1)).alias("r"))
+    return rounded(responses.groupBy("vec_id").agg(*[F.percentile("r", F.lit(q)).alias(n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]))
 
 
 @query(
@@ -346,7 +361,7 @@ def best_split_static(spark, sf_dir):
 
 @query(f"{U}{GRAD}, p AS (SELECT channel AS problem, avg(value) AS f, g FROM s JOIN gr USING (user_id) WHERE t < 4 GROUP BY channel, user_id, g)" + SCAN)
 def best_split_missing(spark, sf_dir):
-    f = stats.interval_stats(user_series(spark, sf_dir), ["user_id", "channel"], 0, 4, ("mean",))
+    f = every_series(spark, sf_dir, stats.interval_stats(sparse_series(spark, sf_dir), ["user_id", "channel"], 0, 4, ("mean",)))
     return best(f.join(user_gradients(spark, sf_dir), "user_id").select(F.col("channel").alias("problem"), F.col("mean").alias("f"), "g", "h"))
 
 
@@ -356,7 +371,7 @@ def best_split_missing(spark, sf_dir):
 )
 def best_split_per_stat(spark, sf_dir):
     names = ("mean", "min", "max", "slope")
-    f = stats.interval_stats(user_series(spark, sf_dir), ["user_id", "channel"], stats=names)
+    f = every_series(spark, sf_dir, stats.interval_stats(sparse_series(spark, sf_dir), ["user_id", "channel"], stats=names))
     long = f.select("user_id", "channel", F.explode(F.array(*[F.struct(F.lit(n).alias("s"), F.col(n).alias("f")) for n in names])).alias("x"))
     return best(long.join(user_gradients(spark, sf_dir), "user_id").select(F.concat_ws(".", "channel", "x.s").alias("problem"), F.col("x.f").alias("f"), "g", "h"))
 
@@ -395,7 +410,7 @@ def selection_charge(spark, sf_dir):
 )
 def bank_corr_topk(spark, sf_dir):
     names = ("mean", "std", "min", "max")
-    f = stats.interval_stats(user_series(spark, sf_dir), ["user_id", "channel"], stats=names)
+    f = every_series(spark, sf_dir, stats.interval_stats(sparse_series(spark, sf_dir), ["user_id", "channel"], stats=names))
     long = f.select("user_id", "channel", F.explode(F.array(*[F.struct(F.lit(n).alias("s"), F.col(n).alias("f")) for n in names])).alias("x"))
     pairs = long.join(user_gradients(spark, sf_dir), "user_id").select(F.concat_ws(".", "channel", "x.s").alias("spec"), F.col("x.f").alias("f"), "g").where("f is not null")
     r = F.when((F.count(F.lit(1)) < 3) | (F.stddev_pop("f") <= 1e-12), F.lit(0.0)).otherwise(F.abs(F.corr("f", "g")))
@@ -440,12 +455,15 @@ def balanced_accuracy(spark, sf_dir):
 
 
 @query(
-    "WITH e AS (SELECT label AS y, unnest(range(0, 10)) AS k, unnest(embedding[1:10]) AS s FROM embeddings), r AS (SELECT k, CASE WHEN y = k THEN 1 ELSE 0 END AS y, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2.0 AS rk FROM e), "
+    "WITH e AS (SELECT label AS y, unnest(range(0, 10)) AS k, unnest([list_sum(list_transform(embedding[j * 6 + 1 : j * 6 + CASE WHEN j = 9 THEN 10 ELSE 6 END], lambda v: CAST(v AS DOUBLE))) FOR j IN range(0, 10)]) AS s FROM embeddings), r AS (SELECT k, CASE WHEN y = k THEN 1 ELSE 0 END AS y, rank() OVER (PARTITION BY k ORDER BY round(s, 9)) + (count(*) OVER (PARTITION BY k, round(s, 9)) - 1) / 2.0 AS rk FROM e), "
     "a AS (SELECT k, (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auc FROM r GROUP BY k) SELECT round(avg(auc), 6) + 0.0 AS auc FROM a"
 )
 def ovr_auc(spark, sf_dir):
+    """Scores are sums over ten stretches of the vector, which are rounded so that both engines tie alike."""
     rows, _ = embedded(spark, sf_dir)
-    return rounded(metrics.one_vs_rest_auc(rows.select(F.col("label").alias("y"), F.slice("series", 1, 10).alias("scores"))))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    scores = F.array(*[F.round(total(F.slice("series", j * 6 + 1, 10 if j == 9 else 6)), 9) for j in range(10)])
+    return rounded(metrics.one_vs_rest_auc(rows.select(F.col("label").alias("y"), scores.alias("scores"))))
 
 
 # ---------------------------------------------------------------- sampling, joins, windows
@@ -462,7 +480,7 @@ def hash_sql(c: str) -> str:
 @query(f"WITH h AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {hash_sql('c_custkey')}, c_custkey) AS rn, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, c_mktsegment, rn <= greatest(round(n * 0.3), 1) AS is_test FROM h")
 def stratified_split(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return etl.stratified_holdout(c, "c_mktsegment", F.struct(mixed_hash(F.col("c_custkey")), "c_custkey"), 0.3)
+    return etl.stratified_holdout(c, "c_mktsegment", F.struct(mixed_hash(F.col("c_custkey")), "c_custkey"), 0.3, F.floor(mixed_hash(F.col("c_custkey")) / (1 << 22))).select("c_custkey", "c_mktsegment", "is_test")
 
 
 @query(f"WITH g AS (SELECT DISTINCT c_nationkey FROM customer), r AS (SELECT c_nationkey, row_number() OVER (ORDER BY {hash_sql('c_nationkey')}, c_nationkey) AS rn, count(*) OVER () AS n FROM g) SELECT c_custkey, c_nationkey, rn <= greatest(floor(n * 0.3 + 0.5), 1) AS is_test FROM customer JOIN r USING (c_nationkey)")

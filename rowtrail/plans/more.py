@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import mixed_hash
 from ..operators import design, ridge, sampling
 from ..sources import datasets
-from .catalogue import hash_sql, query, rounded, table, user_series
+from .catalogue import QUERIES, hash_sql, query, rounded, table, user_series
 
 # ---------------------------------------------------------------- coercion and blocks
 
@@ -138,7 +138,21 @@ def design_loo_margins(spark, sf_dir):
     return margin_of(ridge.fit_ridge(rows, penalties=1, z="z").leave_one_out(rows))
 
 
-# ---------------------------------------------------------------- samples and banks
+# ---------------------------------------------------------------- models and samples
+
+
+def boosted_fusion(spark, sf_dir):
+    """Boosting with templates, filters, a bank and products on embeddings as series: the class of every vector."""
+    from ..operators import boost
+    from ..operators.specs import Draws
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.array(F.col("embedding")[0].cast("double")).alias("static"), F.array(F.col("embedding").cast("array<double>")).alias("series"), (F.col("label") % 2).alias("label"))
+    rows = boost.stored(e)
+    params = boost.Params(rounds=4, depth=3, rate=0.4, bank=16, products=2, charge=0.02, draws=Draws(intervals=12, shapelets=4, filters=4, fitted=2))
+    return boost.fit_classifier(rows, params).predict(rows).select("row_id", "prediction")
+
+
+QUERIES["boosted_fusion"] = boosted_fusion
 
 
 @query(f"WITH h AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {hash_sql('c_custkey')}, c_custkey) - 1 AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, c_mktsegment FROM h WHERE r < greatest(round(n * 0.2), 1)")
@@ -211,3 +225,43 @@ def archive_rows(spark, sf_dir):
     texts = e.select(F.col("event_id").cast("string").alias("path"), F.concat(F.lit("@problemName x\n@data\n"), line).alias("content"))
     both = datasets.train_and_test(datasets.ts_rows(texts), datasets.ts_rows(texts.limit(0)))
     return rounded(both.select(F.col("path").cast("long").alias("row"), F.col("series")[0][0].alias("a"), F.col("series")[0][1].alias("b"), F.col("label").cast("int").alias("label")))
+
+
+# ---------------------------------------------------------------- running sums, differences, files side by side
+
+
+@query("SELECT user_id, event_id, round(sum(value - 250) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS drift FROM events")
+def cumulative_drift(spark, sf_dir):
+    """The running sum of a user's steps in the order of time."""
+    steps = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    return rounded(table(spark, sf_dir, "events").select("user_id", "event_id", F.sum(F.col("value") - 250).over(steps).alias("drift")))
+
+
+@query("SELECT DISTINCT o_orderpriority AS label FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderkey % 5000 = 7)")
+def unknown_classes(spark, sf_dir):
+    """Labels of one part that another doesn't have."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("label"), "o_orderstatus", "o_orderkey")
+    known = o.where("o_orderkey % 5000 = 7").select("label").distinct()
+    return o.where("o_orderstatus = 'P'").select("label").distinct().join(known, "label", "left_anti")
+
+
+@query("WITH a AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS k FROM customer), b AS (SELECT DISTINCT user_id, lpad(CAST(user_id AS VARCHAR), 6, '0') AS k FROM events) SELECT 'd/' || a.k || 'E0.edf' AS path, 'd/' || b.k || 'EC.hyp' AS beside_path FROM a JOIN b USING (k)")
+def files_beside(spark, sf_dir):
+    """Files of two kinds joined on the first six characters of their names."""
+    name = lambda c, end: F.concat(F.lit("d/"), F.lpad(c.cast("string"), 6, "0"), F.lit(end))
+    a = table(spark, sf_dir, "customer").select(name(F.col("c_custkey"), "E0.edf").alias("path"), F.lit(b"").alias("content"))
+    b = table(spark, sf_dir, "events").select("user_id").distinct().select(name(F.col("user_id"), "EC.hyp").alias("path"), F.lit(b"").alias("content"))
+    return datasets.beside(a, b, lambda n: F.substring(n, 1, 6)).select("path", "beside_path")
+
+
+@query(
+    "WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS record, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x, CAST(label AS INTEGER) AS label FROM embeddings), m AS (SELECT record, x, label, unnest([0, 4, 10]) AS s FROM e) "
+    "SELECT record, s AS start, label, " + ", ".join(f"round((x[s + {4 * i + 1}] + x[s + {4 * i + 2}] + x[s + {4 * i + 3}] + x[s + {4 * i + 4}]) / 4, 6) + 0.0 AS m{i}" for i in (0, 7, 14)) + " FROM m WHERE s + 60 <= 64"
+)
+def minute_segments(spark, sf_dir):
+    """Marked stretches that lie wholly in a signal, four samples averaged to one."""
+    e = table(spark, sf_dir, "embeddings")
+    marks = F.array(*[F.struct(F.lit(s).alias("start"), F.col("label").cast("int").alias("label")) for s in (0, 4, 10)])
+    rows = e.select(F.col("vec_id").cast("string").alias("record"), F.col("embedding").cast("array<double>").alias("samples"), marks.alias("marks"))
+    got = datasets.minute_segments(rows, rate=1, keep=4)
+    return rounded(got.select("record", "start", "label", *[F.col("series")[0][i].alias(f"m{i}") for i in (0, 7, 14)]))

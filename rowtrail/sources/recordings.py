@@ -124,7 +124,8 @@ def edf_signal(data: bytes, index: int) -> np.ndarray:
     at = sum(sizes[:index])
     s = h["signals"][index]
     x = body[:, at : at + sizes[index]].ravel().astype(float)
-    return (x - s["dmin"]) * (s["pmax"] - s["pmin"]) / (s["dmax"] - s["dmin"]) + s["pmin"]
+    span = s["dmax"] - s["dmin"] or 1.0  # a signal without a digital range is taken as it is
+    return (x - s["dmin"]) * (s["pmax"] - s["pmin"]) / span + s["pmin"]
 
 
 def edf_annotations(data: bytes) -> list[tuple[float, float, str]]:

@@ -240,7 +240,7 @@ def test_ridge_hold_outs_equal_refits(spark):
 def test_boosting_learns_saves_and_streams(spark, tmp_path):
     train, test = generators.slope_window(spark, 300, seed=1), generators.slope_window(spark, 300, seed=2)
     train, test = (boost.stored(x) for x in (train, test))
-    params = boost.Params(rounds=5, depth=3, rate=0.4, stale=3, draws=Draws(intervals=14, stats=("slope", "delta")))
+    params = boost.Params(rounds=5, depth=3, rate=0.4, stale=3, draws=Draws(intervals=14, stats=("slope", "delta"), whole=0.15))
     model = boost.fit_classifier(train, params, test)
     got = model.predict(test)
     assert got.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.8

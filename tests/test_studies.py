@@ -104,6 +104,26 @@ def test_boosting_options(spark):
     assert none.splits() == [] and len(none.trees[0][0]) == 1
 
 
+def test_filters_find_a_shape(spark):
+    """A bump at random places decides; templates refitted to the residuals find it."""
+    r = np.random.default_rng(9)
+    bump = np.exp(-0.5 * (np.arange(-4, 5) / 1.5) ** 2)
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            x, y = r.normal(0, 0.4, 40), i % 2
+            at = r.integers(0, 31)
+            x[at : at + 9] += 2.5 * bump * (1 if y else -1)
+            out.append((i, [], [x.tolist()], y))
+        return spark.createDataFrame(out, "row_id int, static array<double>, series array<array<double>>, label int")
+
+    params = boost.Params(rounds=3, depth=2, rate=0.7, draws=Draws(intervals=0, filters=4, fitted=2))
+    model = boost.fit_classifier(boost.stored(rows(160)), params)
+    assert {s["feature"].split("(")[0] for s in model.splits()} <= {"filter_resp", "filter_pos"}
+    assert model.predict(rows(100)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.85
+
+
 def test_first_tree_by_brute_force(spark):
     r = np.random.default_rng(4)
     n = 60
