@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import scratch, small_batches
+from .common import filesystem, scratch, small_batches
 
 #: Samples a line; payloads are padded with spaces to whole lines, at least one.
 LINE = 192
@@ -89,26 +89,26 @@ def feature_of(payload: bytes) -> str:
 # ---------------------------------------------------------------- writing
 
 
-def _files(uri: str):
-    import pyarrow.fs as pafs
-
-    return pafs.FileSystem.from_uri(uri)
-
-
 def _packer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        fs, root = _files(folder)
+        fs, root = filesystem(folder)
         part, attempt = task.partitionId(), task.taskAttemptId()
         archive, count, hidden = None, 0, f"{root}/_part-{part:06d}-{attempt}"
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                if archive is None:
-                    stream = fs.open_output_stream(hidden)
-                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
-                n, payload = payload_of(text.as_py())
-                archive.writestr(zipfile.ZipInfo(f"{'null' if doc_id is None else doc_id}.{n}.png"), encode_png(payload))
-                count += 1
+        try:
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                    if archive is None:
+                        stream = fs.open_output_stream(hidden)
+                        archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
+                    n, payload = payload_of(text.as_py())
+                    archive.writestr(zipfile.ZipInfo(f"{'null' if doc_id is None else doc_id}.{n}.png"), encode_png(payload))
+                    count += 1
+        except BaseException:
+            if archive is not None:
+                stream.close()
+                fs.delete_file(hidden)
+            raise
         if archive is not None:
             archive.close()
             stream.close()
@@ -125,7 +125,7 @@ def write_archives(docs: DataFrame, folder: str) -> int:
     repeated task leaves one.  Null texts are stored as one line of spaces; null ids as ``null``.
     """
     small_batches(docs.sparkSession)
-    fs, root = _files(folder)
+    fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_packer(folder), "members long").agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
@@ -165,7 +165,7 @@ class MediaReader(DataSourceReader):
         """Byte ranges from names and sizes; no archive is opened here."""
         import pyarrow.fs as pafs
 
-        fs, root = _files(self.folder)
+        fs, root = filesystem(self.folder)
         files = [f for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.is_file and f.base_name.endswith(".zip") and f.base_name[0] not in "._"]
         ranges = [ByteRange(f.path, s, min(f.size, s + self.range_bytes)) for f in sorted(files, key=lambda f: f.path) for s in range(0, f.size, self.range_bytes)]
         return ranges or [ByteRange("", 0, 0)]
@@ -173,12 +173,13 @@ class MediaReader(DataSourceReader):
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        fs, _ = _files(self.folder)
-        with fs.open_input_file(part.path) as stream, zipfile.ZipFile(stream) as archive:
-            members = sorted(((m.header_offset, m) for m in archive.infolist() if part.start <= m.header_offset < part.end), key=lambda x: x[0])
+        fs, _ = filesystem(self.folder)
+        with fs.open_input_file(part.path) as stream:
+            with zipfile.ZipFile(stream) as archive:
+                members = sorted(((m.header_offset, m) for m in archive.infolist() if part.start <= m.header_offset < part.end), key=lambda x: x[0])
             names, offsets, media, held = [], [], [], 0
             for offset, member in members:
-                data = self._member(fs, part.path, archive, member)
+                data = self._member(fs, part.path, stream, member)
                 names.append(member.filename)
                 offsets.append(offset)
                 media.append(data)
@@ -194,21 +195,35 @@ class MediaReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(offsets, pa.int64()), pa.array(media, pa.binary())], names=["name", "offset", "media"])
 
     @staticmethod
-    def _member(fs, path: str, archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> bytes:
-        """One member by its offset; the zip's checksum is verified, and each retry opens the archive anew."""
+    def _member(fs, path: str, stream, member: zipfile.ZipInfo) -> bytes:
+        """One stored member by its offset, checked by its sum; a retry opens the file anew and reads there alone."""
         for attempt in range(RETRIES + 1):
             try:
                 if not attempt:
-                    return archive.read(member)
-                with fs.open_input_file(path) as stream, zipfile.ZipFile(stream) as again:
-                    return again.read(member)
-            except (OSError, zipfile.BadZipFile, zlib.error):
+                    return read_at(stream, member)
+                with fs.open_input_file(path) as again:
+                    return read_at(again, member)
+            except (OSError, zipfile.BadZipFile):
                 if attempt == RETRIES:
                     raise
                 time.sleep(0.2 * 2**attempt)
         raise AssertionError
 
 
+def read_at(stream, member: zipfile.ZipInfo) -> bytes:
+    """The bytes of a stored member: behind its local header, whose names may differ in length from the directory's."""
+    stream.seek(member.header_offset)
+    head = stream.read(30)
+    if len(head) < 30 or head[:4] != b"PK\3\4" or member.compress_type != zipfile.ZIP_STORED:
+        raise zipfile.BadZipFile(f"no stored member at {member.header_offset}")
+    name, extra = struct.unpack("<HH", head[26:30])
+    stream.seek(member.header_offset + 30 + name + extra)
+    data = stream.read(member.file_size)
+    if len(data) != member.file_size or zlib.crc32(data) != member.CRC:
+        raise zipfile.BadZipFile(f"damaged member at {member.header_offset}")
+    return data
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
