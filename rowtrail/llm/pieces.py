@@ -14,11 +14,13 @@ Texts are scanned twice and never shuffled.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
+import itertools
+import operator
 import re
 import string
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -311,25 +313,34 @@ def _split_words(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[
 
 
 class _Words(dict):
-    """Ids of a block's words, packed as 32-bit numbers; made from the loaded masks when a word is first asked for."""
+    """Ids of a block's words, packed as 32-bit numbers; made from the loaded masks when a word is first asked for.
+
+    The masks lie in the order of their words and are looked up by bisection, which takes less room than a table.
+    """
 
     def __init__(self, encoder: Encoder, side: SideTable):
         super().__init__()
-        self.encoder, self.side, self.block, self.masks = encoder, side, None, {}
+        self.encoder, self.side, self.block, self.words, self.masks = encoder, side, None, [], np.zeros(0, np.int64)
 
     def open(self, block: int) -> None:
         if block == self.block:
             return
-        self.block = block
+        self.block, self.words, self.masks = block, [], np.zeros(0, np.int64)
         self.clear()
-        self.masks.clear()
         table = self.side.load(block)
-        for chunk in table.to_batches(max_chunksize=20_000) if table is not None else []:
-            words = (w.replace(SPACE, " ") for w in chunk.column("word").to_pylist())
-            self.masks.update(zip(words, chunk.column("mask").to_pylist()))
+        if table is not None:
+            for chunk in table.column("word").chunks:
+                self.words += chunk.to_pylist()
+            self.masks = table.column("mask").to_numpy()
+            if any(map(operator.gt, self.words, itertools.islice(self.words, 1, None))):
+                order = sorted(range(len(self.words)), key=self.words.__getitem__)
+                self.words, self.masks = [self.words[i] for i in order], self.masks[order]
 
     def __missing__(self, word: str) -> bytes:
-        got = self[word] = array("i", self.encoder.of_word(word, self.masks.pop(word, None))).tobytes()
+        held = word.replace(" ", SPACE)
+        i = bisect_left(self.words, held)
+        mask = int(self.masks[i]) if i < len(self.words) and self.words[i] == held else None
+        got = self[word] = array("i", self.encoder.of_word(word, mask)).tobytes()
         return got
 
 
