@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_benchmark_decontamination
+from .fim import OP13_SQL, op13_fill_in_middle
 from .html_text import op9_html_extraction
 from .jaccard import OP3_SQL, op3_ngram_jaccard_join
 from .lines import OP4_SQL, op4_line_dedup
 from .media import op2_media_columns
+from .periodic import OP11_SQL, op11_periodic_runs
 from .pieces import op5_sentencepiece
+from .quality import op12_quality
 from .secrets import op8_secret_scans
 from .suffix import op1_suffix_array_dedup
 from .toxicity import op7_toxicity
@@ -24,5 +27,14 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality": op12_quality,
+    "op13_fill_in_middle": op13_fill_in_middle,
+}
+ORACLE_SQL = {
+    "op3_ngram_jaccard_join": OP3_SQL,
+    "op4_line_dedup": OP4_SQL,
+    "op10_benchmark_decontamination": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
-ORACLE_SQL = {"op3_ngram_jaccard_join": OP3_SQL, "op4_line_dedup": OP4_SQL, "op10_benchmark_decontamination": OP10_SQL}
