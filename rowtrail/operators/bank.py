@@ -1,11 +1,12 @@
 """The feature bank: specs that won splits, credited with their gains, to be tried again and multiplied with statics.
 
-The bank is a small registry on the driver.  What it knows of values is their column over a fixed, bounded sample of
-rows (``Params.sample``), the same rows in every round.
+The bank is a small registry on the driver.  What it knows of values are their moments over all rows: tasks add up the
+pairwise sums of ``Moments``, so no row comes to the driver.  Where a column is at hand it serves as well.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,16 +19,56 @@ SAME = 0.995
 EPS = 1e-12
 
 
+class Moments:
+    """Of some features: for each pair, over the rows that have both, their number, sums, sums of squares and products;
+    of each, the least and the largest value.  All less a fixed ``shift``, near the values, which keeps sums precise."""
+
+    def __init__(self, specs: list[Spec], shift: np.ndarray, sums: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.place = {s: i for i, s in enumerate(specs)}
+        self.n, self.s, self.ss, self.xy = sums  # s[i, j]: sum of i where j is there too
+        self.shift, self.low, self.high = shift, low, high
+
+    def missing(self, spec: Spec) -> bool:
+        i = self.place[spec]
+        return self.n[i, i] == 0
+
+    def correlation(self, i: int, j: int) -> float:
+        """Absolute correlation over what both have; 0 for fewer than three pairs or a flat side."""
+        n = self.n[i, j]
+        if n < 3:
+            return 0.0
+        a, b = self.s[i, j] / n, self.s[j, i] / n
+        va, vb = (max(q / n - m * m, 0.0) for q, m in ((self.ss[i, j], a), (self.ss[j, i], b)))
+        if va**0.5 <= EPS or vb**0.5 <= EPS:
+            return 0.0
+        return abs(float((self.xy[i, j] / n - a * b) / (va * vb) ** 0.5))
+
+    def alike(self, a: Spec, b: Spec) -> float:
+        return self.correlation(self.place[a], self.place[b])
+
+    def frozen(self, spec: Spec) -> tuple[float, float, float, float]:
+        """Centre, scale and standardised bounds over all rows."""
+        i = self.place[spec]
+        n = self.n[i, i]
+        if not n:
+            return 0.0, 1.0, 0.0, 0.0
+        mean = self.s[i, i] / n
+        scale = float(max(self.ss[i, i] / n - mean * mean, 0.0)) ** 0.5
+        scale = scale if scale > EPS else 1.0
+        return float(self.shift[i] + mean), scale, float((self.low[i] - mean) / scale), float((self.high[i] - mean) / scale)
+
+
 @dataclass
 class Entry:
     spec: Spec
-    column: np.ndarray
+    column: np.ndarray | None = None
     gain: float = 0.0
     last_round: int = -1
+    stats: tuple[float, float, float, float] | None = None
 
     def frozen(self) -> tuple[float, float, float, float]:
-        """Centre, scale and standardised bounds over the sample."""
-        return frozen(self.column)
+        """Centre, scale and standardised bounds."""
+        return self.stats if self.stats is not None else frozen(self.column)
 
 
 def frozen(column: np.ndarray) -> tuple[float, float, float, float]:
@@ -58,13 +99,20 @@ class Bank:
 
         A feature that is missing throughout the sample is not banked.
         """
-        found = next((e for e in self.entries if e.spec == spec), None)
+        return self._credit(Entry(spec, column), not np.isfinite(column).any(), lambda e: correlation(e.column, column), gain, round_)
+
+    def promote_by(self, moments: Moments, spec: Spec, gain: float, round_: int) -> Entry | None:
+        """The same by the moments of the entries and the spec over all rows."""
+        return self._credit(Entry(spec, stats=moments.frozen(spec)), moments.missing(spec), lambda e: moments.alike(e.spec, spec), gain, round_)
+
+    def _credit(self, new: Entry, missing: bool, alike: Callable[[Entry], float], gain: float, round_: int) -> Entry | None:
+        found = next((e for e in self.entries if e.spec == new.spec), None)
         if found is None:
-            if not np.isfinite(column).any():
+            if missing:
                 return None
-            found = next((e for e in self.entries if correlation(e.column, column) > SAME), None)
+            found = next((e for e in self.entries if alike(e) > SAME), None)
         if found is None:
-            found = Entry(spec, column)
+            found = new
             self.entries.append(found)
         found.gain += gain
         found.last_round = max(found.last_round, round_)

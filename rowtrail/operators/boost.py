@@ -1,18 +1,16 @@
 """Second-order gradient boosting over statics and series, grown level by level.
 
-A round draws candidate features.  A bounded sample of rows (all of them, where they are few) gives each candidate its
-bins: every distinct value it takes there, or equal steps in rank where those are many.  One narrow pass then turns rows
-into bin numbers and gradients.  A level is one job: tasks add up gradients by (tree, node, candidate, bin), those sums
-meet by candidate, and one best split a node comes to the driver.  Rows are never shuffled, and nothing is written but
-the rows' scores every few rounds.
+Every node draws candidates of its own, with templates from its own rows.  A level is one job: tasks add up gradients by
+(tree, node, candidate, bin), those sums meet by candidate, and a row a candidate comes to the driver.  Bins come from
+mergeable sketches and only guide the search: where a cut within a bin could still beat the best cut between bins, the
+values of that bin are looked at one by one, so the cuts are those of the exact scan.  Rows are never shuffled, and none
+comes to the driver; what is written are the rows' scores every few rounds.
 """
 
 from __future__ import annotations
 
 import math
 import random
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,43 +20,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.losses import Loss, logistic, softmax_loss, squared_error
-from ..functions.scalar import uniform
 from ..functions.stats import STAT_NAMES
-from .bank import Bank, frozen
-from .kernel import blocks, evaluate, pooled
+from . import growth
+from .bank import Bank, Moments
+from .growth import Level, Node, Piece
+from .kernel import blocks, evaluate
 from .sampling import exact_subsample, some_columns, thinned
-from .specs import Draws, Spec, draw_interval, draw_shapelet
-from .split import ScanRules
-from .temporal import dct_basis, match_template, pyramid_levels, refit_template, unit_snippet
+from .specs import Draws, Spec, draw_interval, draw_piece, shapelets
+from .split import ScanRules, best_splits, permuted_gradients
+from .tables import stored
+from .temporal import dct_basis, pyramid_levels, solved_template, unit_snippet
 
 #: Rounds between tables of scores; the trees since the last one are applied anew.
 KEPT = 10
-#: The bin of a missing value.
-MISSING = 65535
-
-
-@dataclass
-class Node:
-    """A node of a tree; a leaf has no spec."""
-
-    value: float = 0.0
-    spec: Spec | None = None
-    threshold: float = 0.0
-    missing_left: bool = True
-    gain: float = 0.0
-    left: int = -1
-    right: int = -1
+#: Values of a problem, counted beforehand, up to which one task scans it; beyond, ranges of its values are scanned.
+SMALL = 200_000
 
 
 @dataclass
 class Params:
     """Settings of a fit; ``check`` says what is out of range.
 
-    bins: the most distinct values of a candidate that are told apart; sample: rows that give the bins, the templates
-    and the bank's columns.  charge: weight of the gain that the best of many useless candidates would show, which a
-    split has to beat.  thin and columns: shares of drawn candidates and of static columns that a tree tries.  bank:
-    features kept to be tried again (0 for none), a share of them a tree, screened to the ``screen`` best on a part of
-    the rows; products: candidates that multiply a banked feature with a static.
+    bins: how many bins guide the search for a cut; sample: about so many rows give the bins' borders.  Neither changes a
+    cut.  charge: weight of the gain that the best of many useless candidates would show, which a split has to beat;
+    null: permutations of a node's gradients whose best gains, at ``null_quantile``, a split has to beat (they look at
+    cuts between bins).  thin and columns: shares of drawn candidates and of static columns that a node tries.  bank:
+    features kept to be tried again (0 for none), a share of them a node; with ``screen`` only so many of them, the best
+    by correlation with the residuals on a share of the rows that then don't count for that tree.  products: candidates
+    that multiply a banked feature with a static.
     """
 
     rounds: int = 20
@@ -72,18 +61,22 @@ class Params:
     bins: int = 4096
     sample: int = 50_000
     charge: float = 0.0
+    null: int = 0
+    null_quantile: float = 1.0
     thin: float = 1.0
     columns: float = 1.0
     bank: int = 0
     bank_share: float = 1.0
     screen: int = 0
+    screen_share: float = 0.25
     products: int = 0
 
     def check(self) -> None:
         ok = {
             "rounds": self.rounds >= 1, "depth": self.depth >= 1, "rate": 0 < self.rate <= 1, "subsample": 0 < self.subsample <= 1, "l2": self.rules.l2 >= 0, "stale": self.stale >= 0,
-            "bins": 2 <= self.bins < MISSING, "sample": self.sample >= 1, "charge": self.charge >= 0, "thin": 0 < self.thin <= 1, "columns": 0 < self.columns <= 1, "bank": self.bank >= 0,
+            "bins": 2 <= self.bins < growth.MISSING, "sample": self.sample >= 1, "charge": self.charge >= 0, "thin": 0 < self.thin <= 1, "columns": 0 < self.columns <= 1, "bank": self.bank >= 0,
             "bank_share": 0 < self.bank_share <= 1, "screen": self.screen >= 0, "products": self.products >= 0, "gamma": self.rules.gamma >= 0, "min_samples_leaf": self.rules.min_samples_leaf >= 1,
+            "null": self.null >= 0, "null_quantile": 0 <= self.null_quantile <= 1, "screen_share": 0 < self.screen_share < 1, "shapelet_min": self.draws.shapelet_min >= 2, "ridge": self.draws.ridge >= 0,
         }
         bad = [n for n, good in ok.items() if not good]
         if bad:
@@ -93,21 +86,7 @@ class Params:
             raise ValueError(f"unknown statistics: {', '.join(unknown)}")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder; a temporary one is set in a local session without."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = "file://" + tempfile.mkdtemp(prefix="rowtrail-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/boost-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-# ---------------------------------------------------------------- in the tasks
+# ---------------------------------------------------------------- trees over batches
 
 
 def tree_values(tree: list[Node], x: np.ndarray, at: dict[Spec, int]) -> np.ndarray:
@@ -153,148 +132,284 @@ def _lists(values: np.ndarray, kind: pa.DataType = pa.float64()) -> pa.ListArray
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * w, pa.int32()), pa.array(values.ravel(), kind))
 
 
-def _raw_of(batch: pa.RecordBatch, outputs: int) -> np.ndarray:
-    return np.asarray(batch.column("raw").flatten(), float).reshape(batch.num_rows, outputs)
+# ---------------------------------------------------------------- growing
 
 
-def _coded(scorer: Scorer, specs: list[Spec], values: list[np.ndarray], outputs: int):
-    """Task: row_id, y, raw with the latest trees, and the candidates' bins as bytes."""
+class Grower:
+    """One round: the trees of all outputs, level by level, over ``work`` (row_id, id, static, series, d)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            static, series = scorer.blocks(b)
-            raw = scorer.add(_raw_of(b, outputs), static, series)
-            x = evaluate(specs, static, series)
-            codes = np.empty((len(x), len(specs)), np.uint16)
-            for j, v in enumerate(values):
-                seen = np.isfinite(x[:, j])
-                # the last bin whose lowest value isn't above; values under the first bin count as its own
-                at = np.maximum(np.searchsorted(v, x[:, j], side="right") - 1, 0)
-                codes[:, j] = np.where(seen & (len(v) > 0), at, MISSING)
-            data = [r.tobytes() for r in codes]
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("y"), _lists(raw), pa.array(data, pa.binary())], names=["row_id", "y", "raw", "codes"])
-
-    return run
+    def __init__(self, params: Params, shape: tuple[int, int, int], work: DataFrame, rows: int, totals: list[tuple[float, float]], round_: int, bank: Bank | None, edges: dict[Spec, np.ndarray], statics: list[tuple[float, float, float, float]]):
+        self.params, self.shape, self.work, self.rows, self.totals, self.round, self.bank, self.edges, self.statics = params, shape, work, rows, totals, round_, bank, edges, statics
+        self.level = Level([[Node(self._leaf(*t))] for t in totals], shape, params.rules, params.seed, round_, [0.0] * len(totals))
+        self.sums = {(k, 0): t for k, t in enumerate(totals)}
+        self.drawn: dict[tuple[int, int], tuple[list[Spec], list[Piece]]] = {}
+        self.shortlist: list[list] = [list(bank.entries) if bank is not None else []] * len(totals)
 
+    def _leaf(self, g: float, h: float) -> float:
+        return -g / max(h + self.params.rules.l2, 1e-16)
 
-@dataclass
-class _Coded:
-    """A node while its tree grows: the split by bins."""
-
-    column: int = -1
-    code: int = 0
-    missing_left: bool = True
-    left: int = -1
-    right: int = -1
-
-
-def _route(tree: list[_Coded], codes: np.ndarray) -> np.ndarray:
-    node = np.zeros(len(codes), np.int64)
-    column, code, left, right = (np.array([getattr(n, k) for n in tree]) for k in ("column", "code", "left", "right"))
-    lost = np.array([n.missing_left for n in tree])
-    while (go := np.flatnonzero(column[node] >= 0)).size:
-        k = node[go]
-        c = codes[go, column[k]].astype(np.int64)
-        node[go] = np.where(np.where(c == MISSING, lost[k], c <= code[k]), left[k], right[k])
-    return node
-
+    def _rng(self, *parts: int) -> random.Random:
+        return random.Random(":".join(map(str, (self.params.seed, self.round, *parts))))
 
-_SUMS = "output int, node int, candidate int, code int, g double, h double, n long, gg double, gh double, hh double"
-
-
-def _level(trees: list[list[_Coded]], open_: set[tuple[int, int]], width: int):
-    """Task: sums of gradients by (output, open node, candidate, bin), added up before they leave the task."""
-    keys = sorted(open_)
-    slot = {k: i for i, k in enumerate(keys)}
-    base = MISSING + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def packed() -> None:
-            key, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            sums = np.concatenate([v for _, v in held])
-            held[:] = [(key, np.stack([np.bincount(inverse, sums[:, i], len(key)) for i in range(sums.shape[1])], 1))]
-
-        def out() -> pa.RecordBatch:
-            packed()
-            key, v = held.pop()
-            problem, code = np.divmod(key, base)
-            place, candidate = np.divmod(problem, width)
-            o, node = (np.array([k[i] for k in keys])[place] for i in (0, 1))
-            cols = [o, node, candidate, code, v[:, 0], v[:, 1], v[:, 2].astype(np.int64), v[:, 3], v[:, 4], v[:, 5]]
-            kinds = [pa.int32()] * 4 + [pa.float64()] * 2 + [pa.int64()] + [pa.float64()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in _SUMS.split(", ")])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint16).reshape(b.num_rows, width)
-            d = b.column("d").flatten()
-            gs, hs = (np.asarray(d.field(i), float).reshape(b.num_rows, -1) for i in (0, 1))
-            for k, tree in enumerate(trees):
-                node = _route(tree, codes)
-                place = np.array([slot.get((k, i), -1) for i in range(len(tree))])[node]
-                q = np.flatnonzero(place >= 0)
-                if not len(q):
+    def grow(self) -> list[list[Node]]:
+        p = self.params
+        self._screen()
+        open_ = {(k, 0): 1 for k in range(len(self.totals))}  # with each node's number in a full tree, which its draws follow
+        won: list[tuple[Spec, float]] = []
+        for depth in range(p.depth):
+            least = 2 * p.rules.min_child_weight
+            open_ = {key: n for key, n in open_.items() if self.sums[key][1] >= least}
+            if not open_:
+                break
+            self._draw(open_)
+            found, whole = self._cuts()
+            bars = self._bars(found, whole)
+            at: dict[tuple[int, int], int] = {}
+            for (k, i), number in open_.items():
+                mine = [c for c in found if c[:2] == (k, i) and c[3] > 0]
+                tree = self.level.trees[k]
+                if (k, i) in whole:
+                    self.sums[k, i] = (whole[k, i].g, whole[k, i].h)
+                    if depth == 0:
+                        tree[0].value = self._leaf(*self.sums[k, i])
+                best = min(mine, key=lambda c: (-c[3], c[2]), default=None)
+                if best is None or best[3] <= bars.get((k, i), 1e-12):
                     continue
-                g, h = gs[q, k], hs[q, k]
-                each = np.stack([g, h, np.ones(len(q)), g * g, g * h, h * h], 1)
-                key = (place[q, None] * width + np.arange(width)) * base + codes[q]
-                held.append((key.ravel(), np.repeat(each, width, 0)))
-                size += key.size
-            if size > 1 << 20:
-                packed()
-                size = len(held[0][0])
-                if size > 1 << 21:
-                    yield out()
-                    size = 0
-        if held:
-            yield out()
-
-    return run
-
+                _, _, j, gain, left, cut, gl, hl, gr, hr = best
+                node = tree[i]
+                node.spec, node.threshold, node.missing_left, node.gain = self.level.pools[k, i][j], cut, left, gain
+                node.left, node.right = len(tree), len(tree) + 1
+                tree += [Node(self._leaf(gl, hl)), Node(self._leaf(gr, hr))]
+                self.sums |= {(k, node.left): (gl, hl), (k, node.right): (gr, hr)}
+                at |= {(k, node.left): 2 * number, (k, node.right): 2 * number + 1}
+                if node.spec.kind not in ("static", "product", "comparison"):
+                    won.append((node.spec, gain))
+            open_ = at
+        self._promote(won)
+        return self.level.trees
+
+    # ------------------------------------------------------------ candidates
+
+    def _drawn(self, k: int, number: int) -> tuple[list[Spec], list[Piece]]:
+        """A node's candidates but for templates, and where those are to be cut."""
+        p, (width, channels, steps) = self.params, self.shape
+        d, rng, pieces = p.draws, self._rng(k, number), []
+        pool = [Spec("static", column=c) for c in (some_columns(width, p.columns, rng) if p.columns < 1 else range(width))]
+        entries = self.shortlist[k]
+        if entries:
+            entries = entries if p.screen else Bank(entries=entries).drawn(p.bank_share, rng)
+            pool += [e.spec for e in entries]
+            for _ in range(p.products if width else 0):
+                e, c = rng.choice(entries), rng.randrange(width)
+                pool.append(Spec("product", column=c, inner=e.spec, frozen=(*e.frozen(), *self.statics[c])))
+        if channels and steps:
+            pool += [draw_interval(rng, channels, steps, d) for _ in range(thinned(d.intervals, p.thin))]
+            pieces = [Piece(c, 0, start, n) for c, start, n in (draw_piece(rng, channels, steps, d) for _ in range(thinned(d.shapelets, p.thin)))]
+            lengths = pyramid_levels(steps, d.filter_length)
+            for _ in range(thinned(d.filters, p.thin)):
+                scale = rng.randrange(len(lengths))
+                n = min(d.filter_length, lengths[scale])
+                pieces.append(Piece(rng.randrange(channels), scale, rng.randint(0, lengths[scale] - n), n, True))
+        return pool, pieces
+
+    def _draw(self, open_: dict[tuple[int, int], int]) -> None:
+        """A fresh pool for each open node, and points for the bins of what has none yet.
+
+        What needs no donors is drawn, and gets its points, for all nodes of the round's trees at once.
+        """
+        p = self.params
+        if not self.drawn:
+            self.drawn = {(k, number): self._drawn(k, number) for k in range(len(self.totals)) for number in range(1, 1 << p.depth)}
+            self._points(list(dict.fromkeys(s for pool, _ in self.drawn.values() for s in pool if s not in self.edges)))
+        pools = {(k, i): list(self.drawn[k, number][0]) for (k, i), number in open_.items()}
+        pieces = {(k, i): self.drawn[k, number][1] for (k, i), number in open_.items()}
+        self.level.pools = pools
+        self.level.means = {key: -self.sums[key][0] / max(self.sums[key][1], 1e-16) for key in open_}
+        for key, specs in self._templates(pieces).items():
+            pools[key] += specs
+        for key in pools:
+            pools[key] = list(dict.fromkeys(pools[key]))
+        self._points(list(dict.fromkeys(s for pool in pools.values() for s in pool if s not in self.edges)))
+        self.level.edges = {s: self.edges[s] for pool in pools.values() for s in pool}
+
+    def _templates(self, pieces: dict[tuple[int, int], list[Piece]]) -> dict[tuple[int, int], list[Spec]]:
+        """Candidates from pieces of each node's own rows; filters that are to be refitted see all rows of the node."""
+        d = self.params.draws
+        if not any(pieces.values()):
+            return {}
+        races = self.work.mapInArrow(growth.donor_races(self.level, pieces), growth.DONORS)
+        won = {(r.output, r.node, r.slot): r.piece for r in races.groupBy("output", "node", "slot").agg(F.min_by("piece", "key").alias("piece")).collect()}
+        fitted: dict[tuple[int, int, int], tuple[int, int, list[float]]] = {}
+        units = {}
+        for (k, i), cuts in pieces.items():
+            filters = [s for s, c in enumerate(cuts) if c.residual]
+            for s in filters:
+                unit = unit_snippet(won[k, i, s]) if (k, i, s) in won else None
+                if unit is not None:
+                    units[k, i, s] = unit
+                    if s in filters[: thinned(d.fitted, self.params.thin)] and len(unit) > 1:
+                        fitted[k, i, s] = (cuts[s].channel, cuts[s].scale, unit)
+        for _ in range(d.refits if fitted else 0):
+            fitted = {**fitted, **self._refits(fitted)}
+        units |= {key: t for key, (_, _, t) in fitted.items()}
+        out: dict[tuple[int, int], list[Spec]] = {}
+        for (k, i), cuts in pieces.items():
+            for s, c in enumerate(cuts):
+                if c.residual and (k, i, s) in units:
+                    made = [Spec(kind, channel=c.channel, template=tuple(units[k, i, s]), scale=c.scale) for kind in ("filter_resp", "filter_pos")]
+                elif not c.residual and (k, i, s) in won:
+                    made = shapelets(c.channel, won[k, i, s], d.normalise)
+                else:
+                    continue
+                out.setdefault((k, i), []).extend(made)
+        return out
 
-_FOUND = "output int, node int, candidate int, below int, above int, missing_left boolean, gain double, gl double, hl double, gr double, hr double, g double, h double, n long, scale double"
+    def _refits(self, fitted: dict) -> dict:
+        """One refit of all templates: their normal equations over the nodes' rows, in one job."""
+        d = self.params.draws
+        sums = self.work.mapInArrow(growth.normal_equations(self.level, fitted, d.components), growth.EQUATIONS)
+        got: dict[tuple, dict[int, float]] = {}
+        for r in sums.groupBy("output", "node", "slot", "place").agg(F.sum("value").alias("value")).collect():
+            got.setdefault((r.output, r.node, r.slot), {})[r.place] = r.value
+        out = {}
+        for key, values in got.items():
+            channel, scale, t = fitted[key]
+            v = np.array([values[i] for i in range(len(values))])
+            basis = dct_basis(len(t), d.components)
+            m = len(basis) + 1
+            if v[0] >= len(basis) + 2:
+                new = solved_template(v[1 : 1 + m * m].reshape(m, m), v[1 + m * m :], basis, d.ridge)
+                if new is not None:
+                    out[key] = (channel, scale, new)
+        return out
 
+    def _points(self, specs: list[Spec]) -> None:
+        if specs:
+            p = self.params
+            made = self.work.select("id", "static", "series", "d").mapInArrow(growth.sketch_values(specs, self.shape, p.seed, min(1.0, p.sample / max(self.rows, 1))), growth.SKETCHES)
+            points = made.groupBy("candidate").applyInArrow(growth.merge_sketches(p.bins), growth.POINTS).collect()
+            self.edges |= {s: np.zeros(0) for s in specs}
+            self.edges |= {specs[r.candidate]: np.frombuffer(r.points) for r in points}
 
-def _best_cut(rules: ScanRules):
-    """Group: the bins of one candidate in one node, at most ``bins`` of them; its best allowed cut, or a gain of 0.
+    # ------------------------------------------------------------ cuts
 
-    The same choice as ``split.best_splits`` makes over values: ties by missing-left first, then the lowest cut.
-    """
-    score = lambda g, h: np.where(h + rules.l2 > 0, g * g / np.where(h + rules.l2 > 0, h + rules.l2, 1), 0.0)
-
-    def run(t: pa.Table) -> pa.Table:
-        c = {k: t.column(k).to_numpy() for k in ("code", "g", "h", "n", "gg", "gh", "hh")}
-        order = np.argsort(c["code"])
-        c = {k: v[order] for k, v in c.items()}
-        g, h, n = (float(c[k].sum()) for k in ("g", "h", "n"))
-        mean = g / h if h else 0.0
-        scale = (c["gg"].sum() - 2 * mean * c["gh"].sum() + mean * mean * c["hh"].sum()) / max(h + rules.l2, 1e-16)
-        seen = c["code"] != MISSING
-        lost = [float(c[k][~seen].sum()) for k in ("g", "h", "n")]
-        code = c["code"][seen]
-        runs = [np.cumsum(c[k][seen])[:-1] for k in ("g", "h", "n")]
-        best = (0.0, True, -1, -1, 0.0, 0.0, 0.0, 0.0)
-        for left in (True, False) if lost[2] else (True,):
-            gl, hl, nl = (r + (x if left else 0.0) for r, x in zip(runs, lost))
-            gr, hr, nr = g - gl, h - hl, n - nl
-            gain = 0.5 * (score(gl, hl) + score(gr, hr) - score(np.array(g), np.array(h))) - rules.gamma
-            ok = (hl >= rules.min_child_weight) & (hr >= rules.min_child_weight) & (nl >= rules.min_samples_leaf) & (nr >= rules.min_samples_leaf)
-            gain = np.where(ok, np.round(gain, 9), 0.0)
-            if len(gain) and gain.max() > best[0]:
-                i = int(gain.argmax())
-                best = (float(gain[i]), left, int(code[i]), int(code[i + 1]), float(gl[i]), float(hl[i]), float(gr[i]), float(hr[i]))
-        gain, left, below, above, *sides = best
-        row = [*(t.column(k)[0].as_py() for k in ("output", "node", "candidate")), below, above, left, gain, *sides, g, h, int(n), float(scale)]
-        kinds = [pa.int32()] * 5 + [pa.bool_()] + [pa.float64()] * 7 + [pa.int64(), pa.float64()]
-        return pa.table([pa.array([v], k) for v, k in zip(row, kinds)], names=[x.split()[0] for x in _FOUND.split(", ")])
-
-    return run
+    def _cuts(self) -> tuple[list[tuple], dict]:
+        """(the best cut of each node and candidate, the nodes' sums): between bins first, within bins where one could win."""
+        problem = ["output", "node", "candidate"]
+        sums = self.work.mapInArrow(growth.bin_sums(self.level), growth.BINS).repartition(*problem)
+        bins = sums.groupBy(*problem, "code").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n", "a", "b", "c")], F.min("low").alias("low"), F.max("high").alias("high"))
+        rows = bins.groupBy(*problem).applyInArrow(growth.best_of_bins(self.params.rules), growth.FOUND).collect()
+        whole = {(r.output, r.node): r for r in rows if r.candidate < 0}
+        rows = [r for r in rows if r.candidate >= 0]
+        found = {(r.output, r.node, r.candidate): (r.gain, r.missing_left, r.threshold, r.gl, r.hl, r.gr, r.hr) for r in rows}
+        top: dict[tuple[int, int], float] = {}
+        for (k, i, _), c in found.items():
+            top[k, i] = max(top.get((k, i), 0.0), c[0])
+        again = [r for r in rows if r.bounds and any(b >= max(top[r.output, r.node] - 1e-9, 1e-12) for b in r.bounds)]
+        for key, c in self._within(again, whole, top).items():
+            found[key] = max(found[key], c, key=lambda c: (c[0], c[1], -c[2] if c[2] == c[2] else -math.inf))
+        return [(*key, *c) for key, c in found.items()], whole
+
+    def _within(self, rows: list, whole: dict, top: dict) -> dict[tuple[int, int, int], tuple]:
+        """The exact scan of candidates that could still win: values of their open bins, the rest as it was summed.
+
+        A closed segment stands for a value at its end, with an empty one at its start, so that the cut before it lies
+        where it lay; a cut between those two repeats that gain higher up and is never taken.
+        """
+        if not rows:
+            return {}
+        wanted: dict[tuple[int, int], list] = {}
+        known: list[tuple] = []
+        for problem, r in enumerate(rows):
+            limit = max(top[r.output, r.node] - 1e-9, 1e-12)
+            lows, highs = [], []
+            for low, high, g, h, n, bound in zip(r.lows, r.highs, r.gs, r.hs, r.ns, r.bounds):
+                if bound >= limit:
+                    lows.append(low)
+                    highs.append(high)
+                else:
+                    known += [(problem, low, 0.0, 0.0, 0)] * (low < high) + [(problem, high, g, h, int(n))]
+            lost = (r.g - sum(r.gs), r.h - sum(r.hs), r.n - int(sum(r.ns)))
+            if lost[2]:
+                known.append((problem, None, *lost))
+            wanted.setdefault((r.output, r.node), []).append((problem, self.level.pools[r.output, r.node][r.candidate], np.array(lows), np.array(highs)))
+        values = self.work.mapInArrow(growth.value_sums(self.level, wanted), growth.VALUES)
+        if known:
+            values = values.unionByName(values.sparkSession.createDataFrame(known, growth.VALUES))
+        if max(int(sum(n for n, b in zip(r.ns, r.bounds) if b > -math.inf)) for r in rows) <= SMALL:
+            sums = values.repartition("problem").groupBy("problem", "f").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+            best = sums.groupBy("problem").applyInArrow(growth.best_of_values(self.params.rules), growth.CUT).where("gain > 0").collect()
+        else:
+            best = best_splits(values, ["problem"], self.params.rules, n="n").collect()
+        return {(rows[b.problem].output, rows[b.problem].node, rows[b.problem].candidate): (round(b.gain, 9), b.missing_left, b.threshold, b.gl, b.hl, b.gr, b.hr) for b in best}
+
+    def _bars(self, found: list[tuple], whole: dict) -> dict[tuple[int, int], float]:
+        """What a node's best gain has to beat."""
+        p = self.params
+        bars = {}
+        for key, r in whole.items():
+            tried = sum(1 for c in found if c[:2] == key and c[3] > 0)
+            bars[key] = max(1e-12, p.charge * r.scale * (math.log(max(tried, 1)) + 0.4 * math.log(max(r.n, 2))))
+        if p.null:
+            for key, gain in self.chance().items():
+                bars[key] = max(bars.get(key, 1e-12), gain)
+        return bars
+
+    def chance(self) -> dict[tuple[int, int], float]:
+        """The gain that each open node's pool reaches on permuted gradients: one job for all nodes and permutations.
+
+        Only ids, bins and gradients are shuffled; within each permutation the best candidate counts.
+        """
+        p = self.params
+        run, schema = growth.node_rows(self.level, f"row_id {dict(self.work.dtypes)['row_id']}")
+        rows = self.work.mapInArrow(run, schema)
+        moved = permuted_gradients(rows.select("output", "node", "row_id", "g", "h"), ["output", "node"], "row_id", p.null, p.seed)
+        mixed = rows.drop("g", "h").join(moved, ["output", "node", "row_id"]).select("output", "node", "perm", "codes", "g", "h")
+        problem = ["output", "node", "perm", "candidate"]
+        sums = mixed.mapInArrow(growth.null_sums, growth.NULL_SUMS).repartition(*problem)
+        bins = sums.groupBy(*problem, "code").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+        best = bins.groupBy(*problem).applyInArrow(growth.null_best(p.rules), growth.NULL_BEST)
+        gains: dict[tuple[int, int], list[float]] = {}
+        for r in best.groupBy("output", "node", "perm").agg(F.max("gain").alias("gain")).collect():
+            gains.setdefault((r.output, r.node), []).append(r.gain)
+        return {key: float(np.quantile(v, p.null_quantile)) for key, v in gains.items()}
+
+    # ------------------------------------------------------------ the bank
+
+    def _middle(self, spec: Spec) -> float:
+        e = self.edges.get(spec, ())
+        return float(e[len(e) // 2]) if len(e) else 0.0
+
+    def moments(self, specs: list[Spec], target: int | None = None) -> Moments:
+        """Moments over all rows, or those of an output's screening fold with its residual as a last feature: one pass."""
+        shift = np.array([*map(self._middle, specs), *([0.0] if target is not None else [])])
+        made = self.work.select("id", "static", "series", "d").mapInArrow(growth.moment_sums(specs, self.level, shift, target), growth.MOMENTS)
+        rows = sorted(made.groupBy("place").agg(F.sum("value").alias("value"), F.min("low").alias("low"), F.max("high").alias("high")).collect())
+        m = len(shift)
+        return Moments(specs, shift, np.array([r.value for r in rows]).reshape(4, m, m), np.array([r.low for r in rows[:m]]), np.array([r.high for r in rows[:m]]))
+
+    def _screen(self) -> None:
+        """Where the bank is screened: each output's entries by correlation with its residuals, on a fold of the rows that
+        is then left out of that tree.  All rows and entries stay where too few rows would be left."""
+        p = self.params
+        if self.bank is None or not p.screen or p.screen >= len(self.bank.entries):
+            return
+        size = round(p.screen_share * self.rows)
+        if size < 1 or self.rows - size < 2 * p.rules.min_samples_leaf:
+            return
+        self.level.folds = [p.screen_share] * len(self.totals)
+        specs = [e.spec for e in self.bank.entries]
+        for k in range(len(self.totals)):
+            found = self.moments(specs, k)
+            self.shortlist[k] = sorted(self.bank.entries, key=lambda e: -round(found.correlation(found.place[e.spec], len(specs)), 9))[: p.screen]
+
+    def _promote(self, won: list[tuple[Spec, float]]) -> None:
+        if self.bank is None or not won:
+            return
+        specs = list(dict.fromkeys([*(e.spec for e in self.bank.entries), *(s for s, _ in won)]))
+        found = self.moments(specs)
+        for spec, gain in won:
+            self.bank.promote_by(found, spec, gain, self.round)
 
 
 # ---------------------------------------------------------------- the model
@@ -334,24 +449,26 @@ class Booster:
         keep = ["row_id", "y", "static", "series", "raw"]
         state = stored(rows.withColumn("raw", begin).select(*keep))
         judged = stored(evaluation.withColumn("raw", begin).select(*keep)) if evaluation is not None else None
-        share = min(1.0, p.sample / first.n)
         self.bank = Bank(p.bank) if p.bank or p.products else None
+        statics = self._statics(state) if p.products else []
+        edges: dict[Spec, np.ndarray] = {}  # bins of statics and of the bank are kept over rounds
         best, waited, since = math.inf, 0, 0
         for r in range(p.rounds):
             scorer = Scorer(self.trees[since:], p.rate, self.shape)
-            sample = self._sample(state, scorer, share)
-            specs, x, values = self._candidates(rng, sample)
-            work = state.mapInArrow(_coded(scorer, specs, values, len(self.base)), f"row_id {dict(state.dtypes)['row_id']}, y double, raw array<double>, codes binary")
-            work = work.withColumn("d", self.loss.gradients(F.col("y"), F.col("raw")))
+            work = _scored(state, scorer, len(self.base), "raw").withColumns({"d": self.loss.gradients(F.col("y"), F.col("raw")), "id": F.xxhash64("row_id")})
             if p.subsample < 1:
                 used = exact_subsample(state.select("row_id"), "row_id", p.subsample, p.seed * 7919 + r)
                 work = work.join(used, "row_id", "left_semi")
             work = work.persist()
             try:
-                told = self._told(work) if p.subsample == 1 else self._told_by(state, scorer)
+                told = self._told(work)
                 if r:
-                    self.history[-1]["train"] = told
-                self.trees.append(self._grow(work, specs, x, values, r))
+                    self.history[-1]["train"] = told[0] if p.subsample == 1 else self._told_by(state, scorer)
+                totals = [(told[2 + 2 * k], told[3 + 2 * k]) for k in range(len(self.base))]
+                grower = Grower(p, self.shape, work.drop("y", "raw"), told[1], totals, r, self.bank, edges, statics)
+                self.trees.append(grower.grow())
+                kept = {e.spec for e in self.bank.entries} if self.bank is not None else set()
+                edges = {s: v for s, v in grower.edges.items() if s.kind == "static" or s in kept}
             finally:
                 work.unpersist()
             self.history.append({"train": math.nan})
@@ -371,150 +488,31 @@ class Booster:
             self.history[-1]["train"] = self._told_by(state, Scorer(self.trees[since:], p.rate, self.shape))
         return self
 
-    def _told(self, work: DataFrame) -> float:
-        return work.agg(self.loss.metric(F.col("y"), F.col("raw"))).first()[0]
+    def _told(self, work: DataFrame) -> tuple:
+        """(metric, rows, then each output's sums of gradients and hessians) in one pass, which also fills the cache."""
+        sums = [F.coalesce(F.sum(F.get("d", F.lit(k))[c]), F.lit(0.0)) for k in range(len(self.base)) for c in ("g", "h")]
+        return tuple(work.agg(self.loss.metric(F.col("y"), F.col("raw")), F.count(F.lit(1)), *sums).first())
 
     def _told_by(self, state: DataFrame, scorer: Scorer) -> float:
-        return self._told(_scored(state.select("y", "static", "series", "raw"), scorer, len(self.base), "raw"))
+        scored = _scored(state.select("y", "static", "series", "raw"), scorer, len(self.base), "raw")
+        return scored.agg(self.loss.metric(F.col("y"), F.col("raw"))).first()[0]
 
     def _advanced(self, state: DataFrame, since: int) -> DataFrame:
         return stored(_scored(state, Scorer(self.trees[since:], self.params.rate, self.shape), len(self.base), "raw"))
 
-    def _sample(self, state: DataFrame, scorer: Scorer, share: float) -> pa.Table:
-        """Rows of the sample with their blocks and gradients; the same rows in every round."""
-        some = state if share >= 1 else state.where(uniform(self.params.seed, F.col("row_id")) < share)
-        scored = _scored(some, scorer, len(self.base), "raw")
-        return scored.withColumn("d", self.loss.gradients(F.col("y"), F.col("raw"))).select("row_id", "static", "series", "d").toArrow()
-
-    def _candidates(self, rng: random.Random, sample: pa.Table) -> tuple[list[Spec], np.ndarray, list[np.ndarray]]:
-        """(specs, their columns over the sample, the lowest value of each bin)."""
-        p, (width, channels, steps) = self.params, self.shape
-        sample = sample.sort_by("row_id").combine_chunks()
-        static, series = blocks(sample.column("static").combine_chunks(), sample.column("series").combine_chunks(), self.shape) if sample.num_rows else (np.zeros((0, width)), np.zeros((0, channels, steps)))
-        specs = [Spec("static", column=i) for i in (some_columns(width, p.columns, rng) if p.columns < 1 else range(width))]
-        if channels and steps:
-            specs += [draw_interval(rng, channels, steps, p.draws) for _ in range(thinned(p.draws.intervals, p.thin))]
-            donors = self._donors(sample, series, thinned(p.draws.shapelets, p.thin), rng)
-            for d in donors:
-                specs += draw_shapelet(rng, [d], channels, steps, p.draws)
-            specs += self._filters(sample, series, rng)
-        if self.bank is not None and self.bank.entries:
-            entries = self._banked(sample, rng)
-            specs += [e.spec for e in entries]
-            for _ in range(p.products if width else 0):
-                e, i = rng.choice(entries), rng.randrange(width)
-                specs.append(Spec("product", column=i, inner=e.spec, frozen=(*e.frozen(), *frozen(static[:, i]))))
-        specs = list(dict.fromkeys(specs))
-        x = evaluate(specs, static, series)
-        return specs, x, [self._bins(x[:, j]) for j in range(len(specs))]
-
-    def _bins(self, column: np.ndarray) -> np.ndarray:
-        seen = np.sort(column[np.isfinite(column)])
-        values = np.unique(seen)
-        if len(values) > self.params.bins:
-            values = np.unique(seen[np.linspace(0, len(seen) - 1, self.params.bins).round().astype(int)])
-        return values
-
-    def _gradients(self, sample: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        d = sample.column("d").combine_chunks().flatten()
-        return tuple(np.asarray(d.field(i), float).reshape(sample.num_rows, -1) for i in (0, 1))
-
-    def _donors(self, sample: pa.Table, series: np.ndarray, many: int, rng: random.Random) -> list:
-        """Series to cut templates from, of drawn rows."""
-        if not many or not len(series):
-            return []
-        return [[[None if v != v else v for v in c] for c in series[i].tolist()] for i in self._drawn(sample, many, rng)]
-
-    def _drawn(self, sample: pa.Table, many: int, rng: random.Random) -> list[int]:
-        """Rows of the sample, drawn by how far their residual stands out from the mean of an output."""
-        g, h = self._gradients(sample)
-        k = rng.randrange(g.shape[1])
-        w = h[:, k] * (-g[:, k] / np.maximum(h[:, k], 1e-16) + g[:, k].sum() / max(h[:, k].sum(), 1e-16)) ** 2
-        return rng.choices(range(len(w)), weights=w.tolist() if w.sum() > 0 else None, k=many)
-
-    def _filters(self, sample: pa.Table, series: np.ndarray, rng: random.Random) -> list[Spec]:
-        """Unit snippets of donors at a random level of the pyramid, for their response and its place.
-
-        The first ones are refitted: each row's best window is found, and the template that explains the residuals best
-        within the first cosine components takes the snippet's place, a few times over.
-        """
-        d, (_, channels, steps) = self.params.draws, self.shape
-        many = thinned(d.filters, self.params.thin)
-        if not many or not len(series):
+    def _statics(self, state: DataFrame) -> list[tuple[float, float, float, float]]:
+        """Centre, scale and standardised bounds of every static column, in one pass."""
+        if not self.shape[0]:
             return []
-        g, h = self._gradients(sample)
-        k = rng.randrange(g.shape[1])
-        residual = -g[:, k] / np.maximum(h[:, k], 1e-16)
         out = []
-        for i, row in enumerate(self._drawn(sample, many, rng)):
-            c, scale = rng.randrange(channels), rng.randrange(len(pyramid_levels(steps, d.filter_length)))
-            x = series[:, c]
-            for _ in range(scale):
-                x = pooled(x)
-            length = min(d.filter_length, x.shape[1])
-            start = rng.randint(0, x.shape[1] - length)
-            t = unit_snippet(x[row, start : start + length].tolist())
-            for _ in range(d.refits if t is not None and i < d.fitted else 0):
-                _, place = match_template(x, t, "correlation")
-                seen = np.flatnonzero(np.isfinite(place))
-                at = np.round(place[seen] * (x.shape[1] - length)).astype(int)
-                w = x[seen[:, None], at[:, None] + np.arange(length)]
-                t = refit_template(w - w.mean(1, keepdims=True), residual[seen], h[seen, k], dct_basis(length, d.components), 1.0) or t
-            if t is not None:
-                out += [Spec(kind, channel=c, template=tuple(t), scale=scale) for kind in ("filter_resp", "filter_pos")]
+        columns = [F.get("static", F.lit(c)) for c in range(self.shape[0])]
+        found = state.agg(*[f(F.when(~F.isnan(c), c)) for c in columns for f in (F.avg, F.stddev_pop, F.min, F.max)]).first()
+        for c in range(self.shape[0]):
+            mean, scale, low, high = (x if x is not None else 0.0 for x in found[4 * c : 4 * c + 4])
+            scale = scale if scale > 1e-12 else 1.0
+            out.append((mean, scale, (low - mean) / scale, (high - mean) / scale))
         return out
 
-    def _banked(self, sample: pa.Table, rng: random.Random) -> list:
-        p = self.params
-        if p.screen:
-            g, h = self._gradients(sample)
-            k = rng.randrange(g.shape[1])
-            fold = np.array([rng.random() < 0.5 for _ in range(len(g))])
-            if all(len(e.column) == len(g) for e in self.bank.entries):
-                return self.bank.screened(-g[:, k] / (h[:, k] + p.rules.l2), fold, p.screen, p.rules.min_samples_leaf)
-        return self.bank.drawn(p.bank_share, rng)
-
-    def _grow(self, work: DataFrame, specs: list[Spec], x: np.ndarray, values: list[np.ndarray], round_: int) -> list[list[Node]]:
-        """One tree an output; a level is one job over (output, node, candidate, bin)."""
-        p, outputs = self.params, len(self.base)
-        trees, coded = [[Node()] for _ in range(outputs)], [[_Coded()] for _ in range(outputs)]
-        leaf = lambda g, h: -g / max(h + p.rules.l2, 1e-16)
-        if not specs:
-            totals = work.agg(*[F.sum(F.get("d", F.lit(k))[c]) for k in range(outputs) for c in ("g", "h")]).first()
-            for k in range(outputs):
-                trees[k][0].value = leaf(totals[2 * k] or 0.0, totals[2 * k + 1] or 0.0)
-            return trees
-        open_ = {(k, 0) for k in range(outputs)}
-        problem = ["output", "node", "candidate"]
-        for level in range(p.depth):
-            if not open_:
-                break
-            sums = work.mapInArrow(_level(coded, open_, len(specs)), _SUMS).repartition(*problem)
-            bins = sums.groupBy(*problem, "code").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n", "gg", "gh", "hh")])
-            # one row a candidate and node comes back, so few that the driver picks each node's best
-            found = bins.groupBy(*problem).applyInArrow(_best_cut(p.rules), _FOUND).collect()
-            open_ = set()
-            for key in sorted({(r.output, r.node) for r in found}):
-                mine = sorted((r for r in found if (r.output, r.node) == key), key=lambda r: (-r.gain, r.candidate))
-                row = mine[0]
-                tree, codes = trees[row.output], coded[row.output]
-                node, v = tree[row.node], values[row.candidate]
-                if level == 0:
-                    node.value = leaf(row.g, row.h)
-                charge = p.charge * row.scale * (math.log(len(specs)) + 0.4 * math.log(max(row.n, 1)))
-                if row.gain <= max(1e-12, charge):
-                    continue
-                low, high = v[row.below], v[row.above]
-                node.spec, node.threshold, node.missing_left, node.gain = specs[row.candidate], float(low + (high - low) / 2), row.missing_left, row.gain
-                node.left, node.right = len(tree), len(tree) + 1
-                tree += [Node(leaf(row.gl, row.hl)), Node(leaf(row.gr, row.hr))]
-                codes[row.node] = _Coded(row.candidate, row.below, row.missing_left, node.left, node.right)
-                codes += [_Coded(), _Coded()]
-                open_ |= {(row.output, node.left), (row.output, node.right)}
-                if self.bank is not None and node.spec.kind not in ("static", "product"):
-                    self.bank.promote(node.spec, x[:, row.candidate], row.gain, round_)
-        return trees
-
     # ------------------------------------------------------------ prediction
 
     def _fitted(self) -> None:

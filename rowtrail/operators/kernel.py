@@ -68,14 +68,20 @@ def evaluate(specs: list[Spec], static: np.ndarray, series: np.ndarray) -> np.nd
             c1, s1, lo1, hi1, c2, s2, lo2, hi2 = s.frozen
             inner = evaluate([s.inner], static, series)[:, 0]
             out[:, i] = np.clip((inner - c1) / (s1 if s1 > FLAT else 1), lo1, hi1) * np.clip((static[:, s.column] - c2) / (s2 if s2 > FLAT else 1), lo2, hi2)
-        else:
-            key = (s.kind[:7], s.channel, s.template, s.scale)
+        elif s.kind in ("shapelet_dist", "shapelet_pos", "filter_resp", "filter_pos"):
+            key = (s.kind[:7], s.channel, s.template, s.scale, s.normalise)
             if key not in matched:  # one pass gives value and position
                 x = series[:, s.channel]
                 for _ in range(s.scale):
                     x = pooled(x)
-                matched[key] = match_template(x, list(s.template), "distance" if s.kind.startswith("shapelet") else "correlation")
+                matched[key] = match_template(x, list(s.template), "distance" if s.kind.startswith("shapelet") else "correlation", s.normalise)
             out[:, i] = matched[key][1 if s.is_position else 0]
+        elif s.kind == "comparison":
+            a, b = evaluate([s.inner], static, series)[:, 0], static[:, s.column]
+            ranks = [np.searchsorted(grid, x, side="right") / max(len(grid), 1) for grid, x in zip(s.grids, (a, b))]
+            out[:, i] = np.where(np.isfinite(a) & np.isfinite(b), ranks[0] - ranks[1], np.nan)
+        else:
+            raise ValueError(f"unknown kind {s.kind!r}")
     return out
 
 

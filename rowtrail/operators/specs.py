@@ -18,7 +18,8 @@ from .temporal import match_column, pool
 
 @dataclass(frozen=True)
 class Spec:
-    """A scalar feature of a row: a static column, a window statistic, a template match, or a product of two."""
+    """A scalar feature of a row: a static column, a window statistic, a template match, a product of two, or the
+    difference of a feature's and a static's ranks among training values (``comparison``)."""
 
     kind: str
     column: int = -1
@@ -28,8 +29,10 @@ class Spec:
     stat: str = ""
     template: tuple[float, ...] = ()
     scale: int = 0
+    normalise: bool = True  # of shapelets: windows and template z-normed, or as they are
     inner: Spec | None = None
     frozen: tuple[float, ...] = ()  # centre, scale, low, high of the inner feature, then of the static column
+    grids: tuple[tuple[float, ...], ...] = ()  # of a comparison: sorted training values of the inner feature and of the static
 
     @property
     def family(self) -> str:
@@ -37,6 +40,8 @@ class Spec:
             return f"static[{self.column}]"
         if self.kind == "product":
             return f"product({self.inner.family} x static[{self.column}])"
+        if self.kind == "comparison":
+            return f"comparison({self.inner.family} : static[{self.column}])"
         return f"{self.kind}(ch={self.channel})"
 
     @property
@@ -95,8 +100,13 @@ def spec_column(spec: Spec, static: str = "static", series: str = "series") -> C
         x = F.get(F.col(series), F.lit(spec.channel))
         for _ in range(spec.scale):
             x = pool(x)
-        matched = match_column(x, list(spec.template), "distance" if spec.kind.startswith("shapelet") else "correlation")
+        matched = match_column(x, list(spec.template), "distance" if spec.kind.startswith("shapelet") else "correlation", spec.normalise)
         return matched["position"] if spec.is_position else matched["value"]
+    if spec.kind == "comparison":
+        parts = (spec_column(spec.inner, static, series), F.get(F.col(static), F.lit(spec.column)))
+        share = lambda c, grid: F.size(F.filter(F.array(*[F.lit(float(x)) for x in grid]).cast("array<double>"), lambda x: x <= c)) / F.lit(max(len(grid), 1))
+        a, b = (F.when(c.isNotNull(), share(c, grid)) for c, grid in zip(parts, spec.grids))
+        return a - b
     if spec.kind == "product":
         c1, s1, lo1, hi1, c2, s2, lo2, hi2 = spec.frozen
         return bounded(spec_column(spec.inner, static, series), c1, s1, lo1, hi1) * bounded(F.get(F.col(static), F.lit(spec.column)), c2, s2, lo2, hi2)
@@ -105,17 +115,20 @@ def spec_column(spec: Spec, static: str = "static", series: str = "series") -> C
 
 @dataclass(frozen=True)
 class Draws:
-    """How many candidates a round draws of each kind, and how."""
+    """How many candidates a node draws of each kind, and how."""
 
     intervals: int = 16
     shapelets: int = 0
     stats: tuple[str, ...] = STAT_NAMES
     min_length: int = 3
     whole: float = 0.25
+    shapelet_min: int = 3
     shapelet_share: float = 0.5
+    normalise: bool = True
     filters: int = 0  # templates of few steps on a pyramid, the first ``fitted`` of them refitted to the residuals
     fitted: int = 0
     refits: int = 2
+    ridge: float = 1.0  # penalty of a refit
     filter_length: int = 9
     components: int = 5
 
@@ -130,15 +143,15 @@ def draw_interval(rng: random.Random, channels: int, steps: int, draws: Draws) -
     return Spec("interval", channel=channel, start=start, end=start + length, stat=stat)
 
 
-def draw_shapelet(rng: random.Random, donors: list, channels: int, steps: int, draws: Draws, tries: int = 10) -> list[Spec]:
-    """A piece of a donor's series as a template, for its distance and its position; [] if none is whole and not flat."""
-    top = max(draws.min_length + 1, int(draws.shapelet_share * steps))
-    for _ in range(tries):
-        series, channel = rng.choice(donors), rng.randrange(channels)
-        length = min(steps, round(draws.min_length * (top / draws.min_length) ** rng.random()))
-        start = rng.randint(0, steps - length)
-        piece = series[channel][start : start + length]
-        if len(piece) == length and all(v is not None for v in piece) and max(piece) - min(piece) > 1e-12:
-            base = Spec("shapelet_dist", channel=channel, template=tuple(piece))
-            return [base, replace(base, kind="shapelet_pos")]
-    return []
+def draw_piece(rng: random.Random, channels: int, steps: int, draws: Draws) -> tuple[int, int, int]:
+    """(channel, start, length) of a template: log-uniform length up to a share of the series, at a uniform place."""
+    least = min(draws.shapelet_min, steps)
+    top = min(steps, max(least + 1, int(draws.shapelet_share * steps)))
+    length = min(steps, round(least * (top / least) ** rng.random()))
+    return rng.randrange(channels), rng.randint(0, steps - length), length
+
+
+def shapelets(channel: int, piece: list[float], normalise: bool = True) -> list[Spec]:
+    """Two candidates of a template: how far the best match is, and where."""
+    base = Spec("shapelet_dist", channel=channel, template=tuple(piece), normalise=normalise)
+    return [base, replace(base, kind="shapelet_pos")]

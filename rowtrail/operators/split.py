@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import midpoint
 from .sampling import hash_order
+from .tables import stored
 
 
 @dataclass(frozen=True)
@@ -34,18 +35,24 @@ def _score(g: Column, h: Column, l2: float) -> Column:
     return F.when(h + l2 > 0, g * g / (h + l2)).otherwise(F.lit(0.0))
 
 
-def scan_splits(long: DataFrame, by: list[str], rules: ScanRules = ScanRules(), f: str = "f", g: str = "g", h: str = "h", n: str | None = None, buckets: int = 0) -> DataFrame:
+def scan_splits(long: DataFrame, by: list[str], rules: ScanRules = ScanRules(), f: str = "f", g: str = "g", h: str = "h", n: str | None = None, buckets: int | None = 0) -> DataFrame:
     """Every allowed cut: (by..., threshold, missing_left, gain, sums of both sides, below and above).
 
     A cut lies between two neighbouring distinct values; missing rows go left, or right, whole.  ``missing_left`` is
     tried both ways only where rows are missing, and is true otherwise.  ``n`` names a column of counts where rows are
     sums already.  With ``buckets`` the values of a problem are cut into ranges, sums run within a range, and the ranges'
-    totals are added before them, so no task needs a whole problem; without, a problem's distinct values are one window.
+    totals are added before them, so no task needs a whole problem; with 0, a problem's distinct values are one window.
+    None stands for as many ranges as the session shuffles into.
+
+    Borders of ranges come from a sample that another run of the plan would draw anew, so the numbered sums are written
+    once, to a table, and both the running sums and the totals read that.
     """
     count = F.count(F.lit(1)) if n is None else F.sum(n)
     sums = long.groupBy(*by, F.col(f).alias("f")).agg(F.sum(g).alias("g"), F.sum(h).alias("h"), count.alias("n"))
+    if buckets is None:
+        buckets = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if buckets:
-        sums = sums.repartitionByRange(buckets, *by, "f").withColumn("_part", F.spark_partition_id())
+        sums = stored(sums.repartitionByRange(buckets, *by, "f").withColumn("_part", F.spark_partition_id()), "sums")
     else:
         sums = sums.withColumn("_part", F.lit(0))
     of_range = W.partitionBy(*by, "_part")
@@ -70,11 +77,7 @@ def scan_splits(long: DataFrame, by: list[str], rules: ScanRules = ScanRules(),
     return made.select(*by, midpoint(F.col("f"), F.col("above")).alias("threshold"), "missing_left", gain.alias("gain"), left["g"].alias("gl"), left["h"].alias("hl"), right["g"].alias("gr"), right["h"].alias("hr"), F.col("f").alias("below"), "above")
 
 
-#: Ranges into which a problem's values are cut unless the caller knows that a problem is small.
-RANGES = 32
-
-
-def best_splits(long: DataFrame, by: list[str], rules: ScanRules = ScanRules(), digits: int = 9, buckets: int = RANGES, **columns: str) -> DataFrame:
+def best_splits(long: DataFrame, by: list[str], rules: ScanRules = ScanRules(), digits: int = 9, buckets: int | None = None, **columns: str) -> DataFrame:
     """The best allowed cut of each problem with a gain over 0; ties by missing-left first, then the lowest threshold."""
     cuts = scan_splits(long, by, rules, buckets=buckets, **columns).where(F.col("gain") > 0)
     key = F.struct(F.round("gain", digits).alias("gain"), F.col("missing_left").cast("int").alias("left"), (-F.col("threshold")).alias("low"))
@@ -82,6 +85,18 @@ def best_splits(long: DataFrame, by: list[str], rules: ScanRules = ScanRules(),
     return cuts.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
 
 
+def permuted_gradients(rows: DataFrame, by: list[str], id_column: str, permutations: int, seed: int) -> DataFrame:
+    """(by..., id, perm, g, h): under each permutation the pairs (g, h) change places among the rows of a group.
+
+    The row at a place of the permutation's hash order gets the pair of the row at that place of a fixed order.
+    """
+    keyed = rows.select(*by, id_column, F.struct("g", "h").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
+    u = lambda *parts: F.shiftrightunsigned(F.xxhash64(*parts), 11) * F.lit(2.0**-53)
+    fixed = hash_order(keyed, u(F.lit(seed), F.col(id_column)), [*by, "perm"]).select(*by, "perm", "place", "d")
+    moved = hash_order(keyed.drop("d"), u(F.lit(seed), "perm", F.lit(1), F.col(id_column)), [*by, "perm"]).join(fixed, [*by, "perm", "place"])
+    return moved.select(*by, "perm", id_column, "d.*")
+
+
 def chance_gain(long: DataFrame, by: list[str], id_column: str, rules: ScanRules = ScanRules(), permutations: int = 16, quantile: float = 0.95, seed: int = 0) -> DataFrame:
     """(by..., chance): the gain that the best of a node's candidates reaches on shuffled gradients.
 
@@ -90,11 +105,8 @@ def chance_gain(long: DataFrame, by: list[str], id_column: str, rules: ScanRules
     quantile of those is what a split should beat.
     """
     rows = long.groupBy(*by, id_column).agg(F.first("g").alias("g"), F.first("h").alias("h"))
-    keyed = rows.select(*by, id_column, F.struct("g", "h").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
-    u = lambda *parts: F.shiftrightunsigned(F.xxhash64(*parts), 11) * F.lit(2.0**-53)
-    fixed = hash_order(keyed, u(F.lit(seed), F.col(id_column)), [*by, "perm"]).select(*by, "perm", "place", "d")
-    moved = hash_order(keyed.drop("d"), u(F.lit(seed), "perm", F.lit(1), F.col(id_column)), [*by, "perm"]).join(fixed, [*by, "perm", "place"])
-    mixed = long.drop("g", "h").join(moved.select(*by, "perm", id_column, "d.*"), [*by, id_column])
+    moved = permuted_gradients(rows, by, id_column, permutations, seed)
+    mixed = long.drop("g", "h").join(moved, [*by, id_column])
     best = best_splits(mixed, [*by, "perm", "candidate"], rules).groupBy(*by, "perm").agg(F.max("gain").alias("gain"))
     every = rows.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
     all_ = every.join(best, [*by, "perm"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))

@@ -190,8 +190,13 @@ def refit_template(windows: list[list[float]], residual: list[float], hessian: l
         return None
     x = np.column_stack([np.ones(len(windows)), np.asarray(windows, float) @ b])
     h, r = np.asarray(hessian, float), np.asarray(residual, float)
-    gram = x.T @ (x * h[:, None]) + np.diag([0.0] + [ridge] * b.shape[1])
-    coef = np.linalg.lstsq(gram, x.T @ (h * r), rcond=None)[0]
+    return solved_template(x.T @ (x * h[:, None]), x.T @ (h * r), basis, ridge)
+
+
+def solved_template(gram: np.ndarray, right: np.ndarray, basis: list[list[float]], ridge: float) -> list[float] | None:
+    """The template of ``refit_template`` from its normal equations, which tasks can add up."""
+    b = np.asarray(basis, float).T
+    coef = np.linalg.lstsq(gram + np.diag([0.0] + [ridge] * b.shape[1]), right, rcond=None)[0]
     return unit_snippet((b @ coef[1:]).tolist())
 
 
