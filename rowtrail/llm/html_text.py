@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -50,6 +51,12 @@ PAGE_BYTES = 1 << 19
 N_FEATURES = 1 + len(TAGS) + 2 * len(TOKENS) + len(ABOVE) + 12
 
 
+#: What closes a comment and the two kinds of marked sections, and the keywords of those.
+_CLOSING = {"comment": re.compile(r"--!?\s*>"), "marked": re.compile(r"]\s*]\s*>"), "condition": re.compile(r"]\s*>")}
+_SECTION = re.compile(r"<!\[\s*([a-zA-Z][-_.a-zA-Z0-9]*)")
+_KINDS = {**dict.fromkeys(("temp", "cdata", "ignore", "include", "rcdata"), "marked"), **dict.fromkeys(("if", "else", "endif"), "condition")}
+
+
 class Dom(HTMLParser):
     """Blocks and lines of text of one page, as flat lists in page order; bounded by the page, whatever its nesting."""
 
@@ -60,6 +67,30 @@ class Dom(HTMLParser):
         self.open: dict[str, list[int]] = {}  # depths in the stack at which a tag is open
         self.line: list[str] = []
         self.links = self.in_link = self.hidden = 0
+        self.last: dict[str, tuple[int, int]] = {}  # of each kind of mark: length of what was searched, where its last one ends
+
+    def whole(self, html: str) -> None:
+        """Parse a whole page.  What follows the last ``>`` can't be markup any more and is text."""
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        self.close()
+        self.handle_data(unescape(html[end:]))
+
+    def closes(self, kind: str, i: int) -> bool:
+        """Whether a mark of the kind ends behind i: known from one search for the last, so many openers stay cheap."""
+        data = self.rawdata
+        if self.last.get(kind, (-1, 0))[0] != len(data):
+            self.last[kind] = (len(data), max((m.end() for m in _CLOSING[kind].finditer(data)), default=0))
+        return self.last[kind][1] > i
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return super().parse_comment(i, report) if self.closes("comment", i + 4) else -1
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections of unknown kinds, or without an end, are text."""
+        name = _SECTION.match(self.rawdata, i)
+        kind = _KINDS.get(name[1].lower()) if name else None
+        return super().parse_marked_section(i, report) if kind and self.closes(kind, i + 3) else -1
 
     def node(self, tag: str, tokens: frozenset, text: str | None = None, linked: int = 0) -> int:
         at = self.stack[-1][1]
@@ -140,8 +171,7 @@ class Dom(HTMLParser):
 def parse(html: str | None) -> Dom:
     dom = Dom()
     if html:
-        dom.feed(html)
-        dom.close()
+        dom.whole(html)
     dom.close_to(1)
     dom.flush()
     return dom
