@@ -1,9 +1,10 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows, one pass over the texts.
 
-The automaton holds every fifth run of five words of an item: any ten consecutive words contain one whole.  A hit is
-carried on to both sides along its item; where ten words or more agree, all of them are hit.  That takes a tenth of the
-states of all windows.  It reads numbers of words, not their letters: each word of the benchmark is two or three digits,
-the first of an alphabet of its own, so that a match begins with a word; other words match nothing.
+The automaton holds every fifth run of five words of an item: any ten consecutive words contain one whole.  Around a hit
+the windows that hold it are looked up by a hash of their words among the benchmark's windows and compared word by word,
+so a hit costs the same however often its words stand in an item.  That takes a tenth of the states of all windows.  The
+automaton reads numbers of words, not their letters: each word of the benchmark is two or three digits, the first of an
+alphabet of its own, so that a match begins with a word; other words match nothing.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import mix, small_batches, written
 
 #: Words of a text before A-Z is lower-cased, and the byte map that turns everything else into a space.
 ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -38,26 +40,28 @@ def normalise(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The automaton over the items' seeds; a state's value is (words of the seed, its places: item and first word)."""
+    """The automaton over the items' seeds, and the distinct windows by hash with the items that hold them."""
 
     def __init__(self, items: list[tuple[str | None, str]]):
         import ahocorasick
 
         self.names = [i for i, _ in items]
-        known: dict[bytes, bytes] = {}
-        self.words = [[known.setdefault(w, w) for w in normalise(t)] for _, t in items]
-        number = {w: i for i, w in enumerate(known)}
+        number: dict[bytes, int] = {}
+        texts = [[number.setdefault(w, len(number)) for w in normalise(t)] for _, t in items]
         self.digits = 2 if len(number) <= BASE**2 else 3 if len(number) <= BASE**3 else 5
-        self.code = {w: self._code(i) for w, i in number.items()}
+        codes = [self._code(i) for i in range(len(number))]
+        self.number, self.code = number, {w: codes[i] for w, i in number.items()}
         self.other = "\x01" * self.digits
-        seeds: dict[str, list[tuple[int, int]]] = {}
-        for i, words in enumerate(self.words):
-            n = SEED if len(words) >= WINDOW else len(words)  # a short item is its own seed
+        self.lengths = np.array([min(WINDOW, len(t)) for t in texts], np.int64)
+        seeds: dict[str, list[bool]] = {}  # is it part of longer windows, is it a whole item
+        for words, whole in zip(texts, self.lengths.tolist()):
+            n = SEED if whole == WINDOW else whole  # a short item is its own seed
             for at in range(0, len(words) - n + 1, n) if n else ():
-                seeds.setdefault("".join(map(self.code.__getitem__, words[at : at + n])), []).append((i, at))
+                seeds.setdefault("".join([codes[w] for w in words[at : at + n]]), [False, False])[whole < WINDOW] = True
+        self._index(texts)
         self.found = ahocorasick.Automaton() if seeds else None
-        for seed, places in seeds.items():
-            self.found.add_word(seed, (len(seed) // self.digits, tuple(places)))
+        for seed, (part, short) in seeds.items():
+            self.found.add_word(seed, (len(seed) // self.digits, part, short))
         if seeds:
             self.found.make_automaton()
 
@@ -65,35 +69,82 @@ class Windows:
         low = [chr(32 + i // BASE**k % BASE) for k in range(self.digits - 1)]
         return chr(128 + i // BASE ** (self.digits - 1)) + "".join(low)
 
+    @staticmethod
+    def _hash(words: np.ndarray, salt: int) -> np.ndarray:
+        """One number a row of word numbers (-1 beyond a short one's end)."""
+        h = np.full(len(words), salt, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(words.shape[1]):
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[:, k].astype(np.uint64))
+        return h
+
+    @staticmethod
+    def _rows(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        place = np.arange(WINDOW)
+        inside = place < n[:, None]
+        return np.where(inside, flat[np.where(inside, at[:, None] + place, 0)], -1)
+
+    def _index(self, texts: list[list[int]]) -> None:
+        """Distinct windows: hashes in order, a place of each in the items laid end to end, and the items of each."""
+        self.flat = np.array([w for t in texts for w in t] or [0], np.int64)
+        first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        many = np.where(self.lengths > 0, np.diff(first) - self.lengths + 1, 0) if len(texts) else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(texts)), many)
+        at = np.repeat(first[:-1], many) + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        n = self.lengths[item]
+        rows = self._rows(self.flat, at, n)
+        for salt in range(1, 100):  # two windows of one hash: take another salt
+            h = self._hash(rows, salt)
+            order = np.lexsort((item, h))
+            new = np.ones(len(h), bool)
+            new[1:] = h[order][1:] != h[order][:-1]
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+            if (rows[lead] == rows[order]).all():
+                break
+        self.salt, heads = salt, np.flatnonzero(new)
+        self.hashes, self.place, self.size = h[order][heads], at[order][heads], n[order][heads]
+        again = np.zeros(len(h), bool)
+        again[1:] = ~new[1:] & (item[order][1:] == item[order][:-1])
+        self.items = item[order][~again]
+        self.bounds = np.concatenate([[0], np.cumsum(~again)])[np.append(heads, len(h))]
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str | None]]:
         """(words, merged hit ranges in words, items) of a text in one pass."""
         words = normalise(text)
-        spans, items, reached = [], set(), {}
+        starts: list[int] = []
+        sizes: list[int] = []
         if words and self.found is not None:
             code, other = self.code.get, self.other
-            for end, (n, places) in self.found.iter("".join([code(w, other) for w in words])):
+            last = -1
+            for end, (n, part, short) in self.found.iter("".join([code(w, other) for w in words])):
                 stop = end // self.digits + 1
-                start = stop - n
-                for item, at in places:
-                    if reached.get((item, start - at), 0) > start:
-                        continue  # inside a run of this item that is known already
-                    lo, hi = self.run(words, start, stop, self.words[item], at)
-                    reached[item, start - at] = hi
-                    if hi - lo >= min(WINDOW, len(self.words[item])):
-                        spans.append((lo, hi))
-                        items.add(item)
-        names = {self.names[i] for i in items}
-        return len(words), merge(spans), sorted(names, key=lambda x: (x is None, x))
-
-    @staticmethod
-    def run(words: list[bytes], lo: int, hi: int, item: list[bytes], at: int) -> tuple[int, int]:
-        """The longest run of words around [lo, hi) that agrees with the item, of which words[lo] is word ``at``."""
-        shift = at - lo
-        while lo > 0 and lo + shift > 0 and words[lo - 1] == item[lo - 1 + shift]:
-            lo -= 1
-        while hi < len(words) and hi + shift < len(item) and words[hi] == item[hi + shift]:
-            hi += 1
-        return lo, hi
+                if part:  # of a window the seed begins in one of the first places
+                    low, high = max(stop - WINDOW, last + 1, 0), min(stop - n, len(words) - WINDOW)
+                    starts.extend(range(low, high + 1))
+                    sizes.extend([WINDOW] * (high + 1 - low))
+                    last = max(last, high)
+                if short:
+                    starts.append(stop - n)
+                    sizes.append(n)
+        if not starts:
+            return len(words), [], []
+        number = self.number.get
+        ids = np.array([number(w, -2) for w in words], np.int64)
+        at, n = np.array(starts, np.int64), np.array(sizes, np.int64)
+        rows = self._rows(ids, at, n)
+        known = (rows != -2).all(axis=1)
+        at, n, rows = at[known], n[known], rows[known]
+        h = self._hash(rows, self.salt)
+        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = (self.hashes[k] == h) & (self._rows(self.flat, self.place[k], self.size[k]) == rows).all(axis=1)
+        at, n, k = at[hit], n[hit], np.unique(k[hit])
+        edge = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.subtract.at(edge, at + n, 1)
+        inside = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
+        turns = np.flatnonzero(inside[1:] != inside[:-1]).tolist()
+        names = {self.names[i] for j in k.tolist() for i in self.items[self.bounds[j] : self.bounds[j + 1]].tolist()}
+        return len(words), list(zip(turns[::2], turns[1::2])), sorted(names, key=lambda x: (x is None, x))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -184,7 +235,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_column: str =
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    passes = [rows.mapInArrow(_scanner(block), SCHEMA) for block in item_blocks(benchmark, item_column, "text", words)]
+    blocks = list(item_blocks(benchmark, item_column, "text", words))
+    if len(blocks) > 1:  # every pass must see the same numbers
+        rows = written(rows, "numbered")
+    passes = [rows.mapInArrow(_scanner(block), SCHEMA) for block in blocks]
     found = passes[0]
     if len(passes) > 1:
         for p in passes[1:]:

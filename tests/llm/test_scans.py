@@ -283,6 +283,36 @@ def test_parsing_is_linear():
         assert times[1] < 24 * max(times[0], 0.01)
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<!-- ", "<!-- >", "<a x='", "<![CDATA[ ", "<![CDATA[ >", "<![if ", "<![if >", "</a ", "<? ", "<![foo[ >", "<a <!--\">"])
+def test_unfinished_markup_is_linear(piece):
+    times = []
+    for n in (10_000, 80_000):
+        start = time.process_time()
+        parse(piece * n)
+        times.append(time.process_time() - start)
+    assert times[1] < 24 * max(times[0], 0.01)
+
+
+def test_unfinished_markup_is_text():
+    lines = lambda page: [t for t in parse(page).text if t]
+    assert lines("<p>a</p><!-- b <p>c</p>") == ["a", "<!-- b <p>c"]
+    assert lines("<p>a &amp; b</p>x < y <a b &am") == ["a & b", "x < y <a b &am"]
+    assert lines("<p>a<![CDATA[x]]>b<!-- no -->c<![if x]>d<![endif]>e") == ["abcde"]
+    assert lines("<p>a<![foo[ x ]]> b</p>")[0].startswith("a") and lines("<p>a<![%[ x") == ["a<![%[ x"]
+
+
+@pytest.mark.parametrize("make", [lambda n: "a " * n, lambda n: "a b " * (n // 2), lambda n: "a a a a a b " * (n // 6), lambda n: " ".join("a" * 5 * (k % 7 + 1) + f" w{k} a a a a a" for k in range(n // 7))])
+def test_decontamination_is_linear(make):
+    seconds = []
+    for n in (4_000, 32_000):
+        found = decontaminate.Windows([("i", make(n)), ("j", "c " + make(n))])
+        start = time.process_time()
+        words, spans, names = found.scan("x " + make(n) + " y")
+        seconds.append(time.process_time() - start)
+        assert spans[0][0] == 1 and spans[-1][1] == words - 1 and names == ["i", "j"]
+    assert seconds[1] < 24 * max(seconds[0], 0.01)
+
+
 def test_secret_spans_are_linear():
     token = "Qx7bZ9kLm2Rt5Vw8Yp3Nc6Hd1Jf4Gs0 "
     times = []
