@@ -157,6 +157,14 @@ class RidgeBase:
         """Coefficients of the standardised features outside the design."""
         return self.vectors @ (self.feature_targets / (self.values + self.penalty)[:, None])
 
+    def linear(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(coefficients of x, of z, offset) of the full-fit margins before calibration: all that prediction needs."""
+        k = self.root.shape[1]
+        w = self.weights(self.penalty)
+        b = self.vectors @ (w[k:] / np.sqrt(self.values)[:, None])
+        scaled = b / self.scale[:, None]
+        return scaled, self.root @ w[:k] - self.explained @ b, -self.center @ scaled
+
     # ------------------------------------------------------------ row-wise results
 
     def _z(self, batch_rows: int, z) -> np.ndarray:

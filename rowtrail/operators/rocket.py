@@ -65,13 +65,13 @@ class RocketBank:
     def fit(cls, rows: DataFrame, series: str, steps: int, channels: int = 1, features: int = 10_000, seed: int = 0, id_column: str = "row_id") -> RocketBank:
         """Biases are quantiles of each kernel's response on one donor row, drawn by a hash of its id.
 
-        ``series`` is an array of channels, each an array of ``steps`` values.  At most 84 x dilations donors are
-        fetched, a few thousand short rows at any input size.
+        ``series`` is an array of channels, each an array of ``steps`` values.  84 x dilations donors are fetched,
+        one for each kernel and dilation to choose from, a thousand rows or so at any input size.
         """
         share = dilations(steps, max(1, features // len(KERNELS)))
         wanted = len(KERNELS) * len(share)
         filled = F.transform(F.col(series), impute_row_mean)
-        donors = rows.select(F.col(id_column).alias("id"), filled.alias("x")).orderBy(uniform(seed, F.col(id_column))).limit(min(wanted, 512)).collect()
+        donors = rows.select(F.col(id_column).alias("id"), filled.alias("x")).orderBy(uniform(seed, F.col(id_column))).limit(wanted).collect()
         if not donors:
             raise ValueError("no rows to fit on")
         rng = np.random.default_rng(seed)

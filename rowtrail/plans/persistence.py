@@ -30,15 +30,15 @@ def _bank(d: dict | None) -> Bank | None:
     return d and Bank(d["cap"], [Entry(_spec(e["spec"]), gain=e["gain"], last_round=e["last_round"], stats=tuple(e["stats"])) for e in d["entries"]])
 
 
-def save(model: Booster, spark: SparkSession, path: str) -> None:
+def save(model: Booster, spark: SparkSession, path: str, mode: str = "errorifexists") -> None:
     rows = [
         (r, k, i, float(n.value), json.dumps(asdict(n.spec)) if n.spec else None, float(n.threshold), n.missing_left, float(n.gain), n.left, n.right)
         for r, trees in enumerate(model.trees) for k, t in enumerate(trees) for i, n in enumerate(t)
     ]
-    spark.createDataFrame(rows, SCHEMA).write.mode("errorifexists").parquet(f"{path}/nodes")
+    spark.createDataFrame(rows, SCHEMA).write.mode(mode).parquet(f"{path}/nodes")
     bank = model.bank and {"cap": model.bank.cap, "entries": [{"spec": asdict(e.spec), "gain": e.gain, "last_round": e.last_round, "stats": e.frozen()} for e in model.bank.entries]}
     about = {"loss": model.loss.name, "outputs": model.loss.outputs, "base": model.base, "params": asdict(model.params), "bank": bank, "best_round": model.best_round, "labels": model.labels, "history": model.history, "shape": model.shape}
-    spark.createDataFrame([(json.dumps(about),)], "about string").write.mode("errorifexists").parquet(f"{path}/about")
+    spark.createDataFrame([(json.dumps(about),)], "about string").write.mode(mode).parquet(f"{path}/about")
 
 
 def load(spark: SparkSession, path: str) -> Booster:
