@@ -105,6 +105,10 @@ class Bank:
         """The same by the moments of the entries and the spec over all rows."""
         return self._credit(Entry(spec, stats=moments.frozen(spec)), moments.missing(spec), lambda e: moments.alike(e.spec, spec), gain, round_)
 
+    def credit(self, spec: Spec, gain: float, round_: int) -> Entry | None:
+        """The same by the spec alone, where no other entry can be alike."""
+        return self._credit(Entry(spec), False, lambda e: 0.0, gain, round_)
+
     def _credit(self, new: Entry, missing: bool, alike: Callable[[Entry], float], gain: float, round_: int) -> Entry | None:
         found = next((e for e in self.entries if e.spec == new.spec), None)
         if found is None:

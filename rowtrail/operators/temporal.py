@@ -220,3 +220,14 @@ def ecdf(rows: DataFrame, value: str, grid: DataFrame, grid_value: str, out: str
     run = both.withColumn("_run", F.sum("_c").over(W.partitionBy("_b").orderBy("_v"))).join(F.broadcast(before), "_b")
     ranked = run.select(F.col("_v"), ((F.col("_run") + F.col("_before")) / F.lit(float(total))).alias(out))
     return rows.join(ranked, F.col(value) == F.col("_v"), "left").drop("_v")
+
+
+def comparison(rows: DataFrame, a: str, grid_a: tuple[DataFrame, str], b: str, grid_b: tuple[DataFrame, str], out: str = "comparison") -> DataFrame:
+    """The rows with the difference of two columns' shares of their frozen grids, each a table and its column."""
+    both = ecdf(ecdf(rows, a, *grid_a, "_share_a"), b, *grid_b, "_share_b")
+    return both.withColumn(out, F.col("_share_a") - F.col("_share_b")).drop("_share_a", "_share_b")
+
+
+def running_sum(rows: DataFrame, by: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """The rows with the sum of a series' values so far, in the order of its columns."""
+    return rows.withColumn(out, F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))

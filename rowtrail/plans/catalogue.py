@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import losses, metrics, stats
 from ..functions.scalar import bounded, goes_left, mixed_hash
-from ..operators import boost, etl, ridge, rocket, specs, split, temporal
+from ..operators import boost, design, etl, ridge, rocket, specs, split, temporal
 from ..sources import generators, recordings, series
 from ..operators.boost import stored
 from . import reports
@@ -270,9 +270,9 @@ def ecdf_rank(spark, sf_dir):
     "SELECT c_custkey, round((SELECT count(*) FROM supplier WHERE s_acctbal <= c_acctbal) / (SELECT CAST(count(*) AS DOUBLE) FROM supplier) - (SELECT count(*) FROM part WHERE p_size <= c_nationkey) / (SELECT CAST(count(*) AS DOUBLE) FROM part), 6) + 0.0 AS feature FROM customer"
 )
 def comparison_feature(spark, sf_dir):
-    rows = temporal.ecdf(table(spark, sf_dir, "customer"), "c_acctbal", table(spark, sf_dir, "supplier"), "s_acctbal", "a")
-    both = temporal.ecdf(rows, "c_nationkey", table(spark, sf_dir, "part"), "p_size", "b")
-    return rounded(both.select("c_custkey", (F.col("a") - F.col("b")).alias("feature")))
+    grids = (table(spark, sf_dir, "supplier"), "s_acctbal"), (table(spark, sf_dir, "part"), "p_size")
+    both = temporal.comparison(table(spark, sf_dir, "customer"), "c_acctbal", grids[0], "c_nationkey", grids[1], "feature")
+    return rounded(both.select("c_custkey", "feature"))
 
 
 @query("SELECT c_custkey, round(least(greatest((c_acctbal - 4500) / 3000, -1), 1) * least(greatest((c_nationkey - 12) / 7.0, -1.5), 1.5), 6) + 0.0 AS feature FROM customer")
@@ -283,16 +283,16 @@ def product_feature(spark, sf_dir):
 
 
 @query(
-    f"{U}, m AS (SELECT user_id, avg(value) AS x FROM s WHERE channel = 'click' AND t < 3 GROUP BY user_id), f AS (SELECT user_id, coalesce(x, (SELECT median(x) FROM m), 0) AS x FROM m), "
-    "a AS (SELECT avg(x) AS c, stddev_pop(x) AS s FROM f) SELECT user_id, round((x - c) / CASE WHEN s > 1e-12 THEN s ELSE 1 END, 6) + 0.0 AS z FROM f, a"
+    f"{U}, m AS (SELECT user_id, channel, avg(value) AS x FROM s GROUP BY ALL), f AS (SELECT user_id, channel, coalesce(x, median(x) OVER (PARTITION BY channel), 0) AS x FROM m), "
+    "a AS (SELECT channel, avg(x) AS c, stddev_pop(x) AS s FROM f GROUP BY channel) SELECT user_id, channel, round((x - c) / CASE WHEN s > 1e-12 THEN s ELSE 1 END, 6) + 0.0 AS z FROM f JOIN a USING (channel)"
 )
 def standardize_impute(spark, sf_dir):
-    means = user_series(spark, sf_dir).where("channel = 'click' and t < 3").groupBy("user_id").agg(F.avg("value").alias("x"))
-    middle = means.agg(F.coalesce(F.percentile("x", F.lit(0.5)), F.lit(0.0)).alias("m"))
-    filled = means.join(F.broadcast(middle), F.lit(True)).select("user_id", F.coalesce("x", "m").alias("x"))
-    around = filled.agg(F.avg("x").alias("c"), F.stddev_pop("x").alias("s"))
-    z = (F.col("x") - F.col("c")) / F.when(F.col("s") > 1e-12, F.col("s")).otherwise(F.lit(1.0))
-    return rounded(filled.join(F.broadcast(around), F.lit(True)).select("user_id", z.alias("z")))
+    """Each user's mean of each channel; users without one get the channel's median."""
+    means = sparse_series(spark, sf_dir).groupBy("user_id").pivot("channel", CHANNELS).agg(F.avg("value"))
+    rows = means.select("user_id", F.array(*CHANNELS).alias("static"))
+    scale = design.StaticScale.fit(rows, len(CHANNELS))
+    z = F.array(*[F.struct(F.lit(c).alias("channel"), scale.standardised(F.col("static"), i).alias("z")) for i, c in enumerate(CHANNELS)])
+    return rounded(rows.select("user_id", F.explode(z).alias("p")).select("user_id", "p.*"))
 
 
 # ---------------------------------------------------------------- losses
@@ -409,12 +409,11 @@ def selection_charge(spark, sf_dir):
     "SELECT spec, round(abs(corr(f, g)), 6) + 0.0 AS r FROM l GROUP BY spec ORDER BY abs(corr(f, g)) DESC, spec LIMIT 5"
 )
 def bank_corr_topk(spark, sf_dir):
-    names = ("mean", "std", "min", "max")
-    f = every_series(spark, sf_dir, stats.interval_stats(sparse_series(spark, sf_dir), ["user_id", "channel"], stats=names))
-    long = f.select("user_id", "channel", F.explode(F.array(*[F.struct(F.lit(n).alias("s"), F.col(n).alias("f")) for n in names])).alias("x"))
-    pairs = long.join(user_gradients(spark, sf_dir), "user_id").select(F.concat_ws(".", "channel", "x.s").alias("spec"), F.col("x.f").alias("f"), "g").where("f is not null")
-    r = F.when((F.count(F.lit(1)) < 3) | (F.stddev_pop("f") <= 1e-12), F.lit(0.0)).otherwise(F.abs(F.corr("f", "g")))
-    return rounded(pairs.groupBy("spec").agg(r.alias("r")).orderBy(F.col("r").desc(), "spec").limit(5))
+    """The five features of a bank that go best with the residuals, from sums over all rows."""
+    names = {specs.Spec("interval", channel=c, start=0, end=DAYS, stat=n): f"{channel}.{n}" for c, channel in enumerate(CHANNELS) for n in ("mean", "std", "min", "max")}
+    found = boost.correlations(stored(user_rows(spark, sf_dir)), list(names), losses.squared_error())
+    top = sorted(((names[s], r) for s, r in found.items()), key=lambda x: (-x[1], x[0]))[:5]
+    return rounded(spark.createDataFrame(top, "spec string, r double"))
 
 
 # ---------------------------------------------------------------- metrics
@@ -658,18 +657,37 @@ def demographics_text(spark, sf_dir):
 # ---------------------------------------------------------------- models (no SQL; tested against brute force and held-out accuracy)
 
 
-def boosted_rules(spark, sf_dir):
-    """Boosted rules on users: account balance from static columns and event series; the splits found."""
+def user_rows(spark, sf_dir) -> DataFrame:
+    """(row_id, y, static, series) of the users: balance in thousands, nation and segment, a series a channel."""
     arrays = series.to_arrays(user_series(spark, sf_dir), ["user_id", "channel"])
     users = arrays.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "series"))), lambda c: c["series"]).alias("series"))
-    rows = users.join(table(spark, sf_dir, "customer"), F.col("user_id") == F.col("c_custkey")).select(
+    return users.join(table(spark, sf_dir, "customer"), F.col("user_id") == F.col("c_custkey")).select(
         F.col("user_id").alias("row_id"), (F.col("c_acctbal") / 1000).alias("y"), F.array(F.col("c_nationkey").cast("double"), (F.length("c_mktsegment")).cast("double")).alias("static"), "series"
     )
-    rows = stored(rows)
+
+
+def boosted_rules(spark, sf_dir):
+    """Boosted rules on users: account balance from static columns and event series; the splits found."""
+    rows = stored(user_rows(spark, sf_dir))
     model = boost.fit_regressor(rows, boost.Params(rounds=3, depth=2, draws=specs.Draws(intervals=8)))
     return model.predict(rows).select("row_id", "prediction")
 
 
+@query(
+    "WITH sp AS (WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal / 1000 END AS a, CAST(c_custkey AS DOUBLE) AS b, (SELECT avg(c_nationkey) FROM customer) - c_nationkey AS g FROM customer), "
+    f"p AS (SELECT 0 AS problem, a AS f, g FROM c UNION ALL SELECT 1, b, g FROM c){SCAN}), "
+    "top AS (SELECT * FROM sp ORDER BY gain DESC, problem LIMIT 1), r AS (SELECT c_custkey, c_nationkey, CASE WHEN problem = 1 THEN c_custkey <= threshold WHEN c_custkey % 9 = 0 THEN missing_left ELSE c_acctbal / 1000 <= threshold END AS go, (SELECT avg(c_nationkey) FROM customer) AS m FROM customer, top) "
+    "SELECT c_custkey, round(m + sum(c_nationkey - m) OVER (PARTITION BY go) / (count(*) OVER (PARTITION BY go) + 1.0), 6) + 0.0 AS prediction FROM r"
+)
+def boosted_stump(spark, sf_dir):
+    """One tree of one split by the booster, its bins far fewer than the values: the cut is the exact scan's."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    rows = stored(c.select(k.alias("row_id"), F.col("c_nationkey").cast("double").alias("y"), F.array(F.when(k % 9 != 0, F.col("c_acctbal") / 1000), k.cast("double")).alias("static"), F.array().cast("array<array<double>>").alias("series")))
+    model = boost.fit_regressor(rows, boost.Params(rounds=1, depth=1, rate=1.0, rules=RULES, bins=64))
+    return rounded(model.predict(rows).select(F.col("row_id").alias("c_custkey"), "prediction"))
+
+
 def ridge_base(spark, sf_dir):
     """Ridge on the embeddings' convolution features, one-vs-rest: leave-one-out margins of every vector."""
     rows, _ = embedded(spark, sf_dir)
@@ -681,10 +699,10 @@ def ridge_base(spark, sf_dir):
 
 
 def generated_scenarios(spark, sf_dir):
-    """Rows of each generator with their label counts."""
-    out = None
+    """Rows of each generator, as many as there are customers, with their labels."""
+    n, out = table(spark, sf_dir, "customer").count(), None
     for name, make in generators.SCENARIOS.items():
-        rows = make(spark, 100).select(F.lit(name).alias("scenario"), "row_id", F.size("static").alias("statics"), F.size("series").alias("channels"), F.col("label").cast("double").alias("label"))
+        rows = make(spark, n).select(F.lit(name).alias("scenario"), "row_id", F.size("static").alias("statics"), F.size("series").alias("channels"), F.col("label").cast("double").alias("label"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import mixed_hash
-from ..operators import design, ridge, sampling
+from ..operators import design, ridge, sampling, temporal
+from ..operators.bank import Bank
+from ..operators.specs import Spec
 from ..sources import datasets
 from .catalogue import QUERIES, hash_sql, query, rounded, table, user_series
 
@@ -166,25 +167,46 @@ def exact_stratified_sample(spark, sf_dir):
 
 @query("WITH p AS (SELECT p_partkey, p_retailprice AS gain, p_size AS last_round, row_number() OVER (ORDER BY p_retailprice DESC, p_size DESC, p_partkey DESC) AS r FROM part) SELECT p_partkey, gain, last_round FROM p WHERE r <= 64")
 def bank_after_eviction(spark, sf_dir):
-    """What a bank of 64 keeps: evicting the least gain, then the oldest win, leaves the top ones."""
-    entries = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("gain"), F.col("p_size").alias("last_round"))
-    return entries.orderBy(F.col("gain").desc(), F.col("last_round").desc(), F.col("p_partkey").desc()).limit(64)
+    """What a bank of 64 keeps of features that are all unlike: tasks fill banks of their own, and one takes those in."""
+    schema = "p_partkey long, gain double, last_round int"
+
+    def kept(rows) -> list[tuple]:
+        bank = Bank(64)
+        for key, gain, last in sorted(rows):
+            bank.credit(Spec("static", column=key), gain, last)
+        return [(e.spec.column, e.gain, e.last_round) for e in bank.entries]
+
+    def fill(frames):
+        import pandas as pd
+
+        rows: list[tuple] = []
+        for f in frames:
+            rows = kept([*rows, *f.itertuples(index=False, name=None)])
+        yield pd.DataFrame(rows, columns=["p_partkey", "gain", "last_round"])
+
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_retailprice").cast("double").alias("gain"), F.col("p_size").cast("int").alias("last_round"))
+    filled = parts.mapInPandas(fill, schema)  # 64 rows a task
+    return spark.createDataFrame(kept([tuple(r) for r in filled.repartition(1).mapInPandas(fill, schema).collect()]), schema)
 
 
 @query("SELECT p_brand AS family, count(*) AS n, round(sum(p_retailprice), 6) + 0.0 AS gain, max(p_size) AS last_round FROM part GROUP BY p_brand")
 def bank_summary(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("family")).agg(F.count(F.lit(1)).alias("n"), F.sum("p_retailprice").alias("gain"), F.max("p_size").alias("last_round")).orderBy(F.col("gain").desc()))
+    """A bank that was credited with each brand's wins, as it sums itself up."""
+    wins = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("p_retailprice").alias("gain"), F.max("p_size").alias("last_round")).orderBy("p_brand").collect()  # a row a brand
+    bank = Bank(len(wins))
+    for place, w in enumerate(wins):
+        half = float(w.gain) / 2
+        for gain, last in ((half, 0), (float(w.gain) - half, w.last_round)):
+            bank.credit(Spec("interval", channel=place, end=9, stat="mean"), gain, last)
+    rows = [(wins[int(s["family"].split("=")[1][:-1])].p_brand, wins[int(s["family"].split("=")[1][:-1])].n, s["gain"], s["last_round"]) for s in bank.summary()]
+    return rounded(spark.createDataFrame(rows, "family string, n long, gain double, last_round int"))
 
 
 @query("SELECT o_orderkey AS row_id, o_orderstatus <> 'P' AS is_train, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END, o_orderkey) AS place FROM orders")
 def train_first_order(spark, sf_dir):
-    """Places in the order of training rows first; the running number comes from bucket counts, not from one window."""
+    """Places in the order of training rows first."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") != "P").alias("is_train"))
-    bucket = F.floor(F.col("row_id") / 4096)
-    counts = o.groupBy("is_train", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(F.col("is_train").desc(), "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a bucket
-    within = F.row_number().over(W.partitionBy("is_train", "b").orderBy("row_id"))
-    return o.withColumn("b", bucket).withColumn("r", within).join(counts.select("is_train", "b", before.alias("before")), ["is_train", "b"]).select("row_id", "is_train", (F.col("before") + F.col("r")).alias("place"))
+    return datasets.train_first_places(o).select("row_id", "is_train", "place")
 
 
 # ---------------------------------------------------------------- derived columns and shapes of files
@@ -233,16 +255,15 @@ def archive_rows(spark, sf_dir):
 @query("SELECT user_id, event_id, round(sum(value - 250) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS drift FROM events")
 def cumulative_drift(spark, sf_dir):
     """The running sum of a user's steps in the order of time."""
-    steps = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return rounded(table(spark, sf_dir, "events").select("user_id", "event_id", F.sum(F.col("value") - 250).over(steps).alias("drift")))
+    drifted = temporal.running_sum(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("value") - 250, "drift")
+    return rounded(drifted.select("user_id", "event_id", "drift"))
 
 
-@query("SELECT DISTINCT o_orderpriority AS label FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderkey % 5000 = 7)")
+@query("SELECT DISTINCT o_custkey AS label FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'P')")
 def unknown_classes(spark, sf_dir):
-    """Labels of one part that another doesn't have."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("label"), "o_orderstatus", "o_orderkey")
-    known = o.where("o_orderkey % 5000 = 7").select("label").distinct()
-    return o.where("o_orderstatus = 'P'").select("label").distinct().join(known, "label", "left_anti")
+    """Labels of one part that the other doesn't have."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("label"), "o_orderstatus")
+    return datasets.unseen_labels(o.where("o_orderstatus <> 'P'"), o.where("o_orderstatus = 'P'"))
 
 
 @query("WITH a AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS k FROM customer), b AS (SELECT DISTINCT user_id, lpad(CAST(user_id AS VARCHAR), 6, '0') AS k FROM events) SELECT 'd/' || a.k || 'E0.edf' AS path, 'd/' || b.k || 'EC.hyp' AS beside_path FROM a JOIN b USING (k)")

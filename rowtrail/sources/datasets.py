@@ -137,6 +137,24 @@ def train_first(rows: DataFrame, row_id: str = "row_id") -> DataFrame:
     return rows.orderBy(~F.col("is_train"), row_id)
 
 
+def train_first_places(rows: DataFrame, row_id: str = "row_id", bucket: int = 4096, out: str = "place") -> DataFrame:
+    """The rows with their places, from 1, in the order of ``train_first``; ids are whole numbers.
+
+    A place is the count of the buckets of ids before, plus the place within the bucket: no window sees all rows.
+    """
+    cut = rows.withColumn("_b", F.floor(F.col(row_id) / bucket))
+    counts = cut.groupBy("is_train", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(F.col("is_train").desc(), "_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a bucket
+    within = F.row_number().over(W.partitionBy("is_train", "_b").orderBy(row_id))
+    placed = cut.withColumn("_r", within).join(counts.select("is_train", "_b", before.alias("_before")), ["is_train", "_b"])
+    return placed.withColumn(out, F.col("_before") + F.col("_r")).drop("_b", "_r", "_before")
+
+
+def unseen_labels(known: DataFrame, rows: DataFrame, label: str = "label") -> DataFrame:
+    """The labels of ``rows`` that ``known`` doesn't have, each once: an evaluation set must have none."""
+    return rows.select(label).where(F.col(label).isNotNull()).distinct().join(known.select(label).distinct(), label, "left_anti")
+
+
 def eav_dataset(lines: DataFrame, outcomes: DataFrame, statics: list[str], parameters: list[str], hours: int = 48, record: str = "record_id") -> DataFrame:
     """Records of ``HH:MM,parameter,value`` lines with an outcome: (record_id, static, series of hourly means, label)."""
     rows = recordings.eav_rows(lines, record)
