@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions.scalar import mixed_hash
 from ..operators import design, ridge, sampling, temporal
 from ..operators.bank import Bank
 from ..operators.specs import Spec
-from ..sources import datasets
+from ..operators.tables import folder_of
+from ..sources import datasets, recording_source, recordings
 from .catalogue import QUERIES, hash_sql, query, rounded, table, user_series
 
 # ---------------------------------------------------------------- coercion and blocks
@@ -286,3 +289,24 @@ def minute_segments(spark, sf_dir):
     rows = e.select(F.col("vec_id").cast("string").alias("record"), F.col("embedding").cast("array<double>").alias("samples"), marks.alias("marks"))
     got = datasets.minute_segments(rows, rate=1, keep=4)
     return rounded(got.select("record", "start", "label", *[F.col("series")[0][i].alias(f"m{i}") for i in (0, 7, 14)]))
+
+
+@query(
+    "WITH v AS (SELECT vec_id // 256 AS record, i, CAST(floor(CAST(x AS DOUBLE) * 1000 + 0.5) AS BIGINT) AS q FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings)) "
+    "SELECT CAST(record AS BIGINT) AS record, CASE WHEN i < 48 THEN 'wide' ELSE 'narrow' END AS channel, count(*) AS n, CAST(sum(q) AS DOUBLE) AS total, CAST(max(q) AS DOUBLE) AS high FROM v GROUP BY ALL"
+)
+def recording_ranges(spark, sf_dir):
+    """Vectors written as EDF recordings of 256 data records at most, read back in ranges smaller than a file."""
+    e = table(spark, sf_dir, "embeddings")
+    numbers = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000 + 0.5).cast("int"))
+    blocks = e.groupBy(F.floor(F.col("vec_id") / 256).alias("record")).agg(F.array_sort(F.collect_list(F.struct("vec_id", numbers.alias("q")))).alias("v"))  # 256 vectors at most
+
+    @F.pandas_udf("binary")
+    def packed(v: pd.Series) -> pd.Series:
+        return v.map(lambda rows: recordings.edf_file(["wide", "narrow"], [48, 16], np.array([r["q"] for r in rows])))
+
+    folder = folder_of(spark, "recordings")
+    recording_source.write_files(blocks.select(F.concat("record", F.lit(".edf")).alias("name"), packed(F.transform("v", lambda r: F.struct(r["q"].alias("q")))).alias("content")), folder)
+    read = recording_source.read_recordings(spark, folder, 10_000)
+    x = read.select(F.regexp_extract("path", r"(\d+)\.edf$", 1).cast("long").alias("record"), "channel", F.explode("samples").alias("x"))
+    return x.groupBy("record", "channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x")).alias("total"), F.round(F.max("x")).alias("high"))

@@ -122,10 +122,25 @@ def edf_signal(data: bytes, index: int) -> np.ndarray:
     body = np.frombuffer(data[h["header_bytes"] :], "<i2")
     body = body[: len(body) // width * width].reshape(-1, width)
     at = sum(sizes[:index])
-    s = h["signals"][index]
-    x = body[:, at : at + sizes[index]].ravel().astype(float)
-    span = s["dmax"] - s["dmin"] or 1.0  # a signal without a digital range is taken as it is
-    return (x - s["dmin"]) * (s["pmax"] - s["pmin"]) / span + s["pmin"]
+    return edf_scaled(body[:, at : at + sizes[index]].ravel(), h["signals"][index])
+
+
+def edf_scaled(x: np.ndarray, signal: dict) -> np.ndarray:
+    """Digital numbers in physical units; a signal without a digital range is taken as it is."""
+    span = signal["dmax"] - signal["dmin"] or 1.0
+    return (x.astype(float) - signal["dmin"]) * (signal["pmax"] - signal["pmin"]) / span + signal["pmin"]
+
+
+def edf_file(labels: list[str], samples: list[int], records: np.ndarray, seconds: float = 1.0, unit: str = "") -> bytes:
+    """An EDF file of 16-bit numbers (records, sum of samples), their physical values the numbers themselves."""
+    if records.shape[1] != sum(samples):
+        raise ValueError(f"records of {records.shape[1]} numbers for signals of {samples}")
+    k = len(labels)
+    field = lambda v, n: str(v)[:n].ljust(n).encode("latin-1", "replace")
+    head = field("0", 8) + field("", 80) + field("", 80) + field("01.01.0000.00.00", 16) + field(256 * (k + 1), 8) + field("", 44) + field(len(records), 8) + field(f"{seconds:g}", 8) + field(k, 4)
+    for values, width in ((labels, 16), ([""] * k, 80), ([unit] * k, 8), ([-32768] * k, 8), ([32767] * k, 8), ([-32768] * k, 8), ([32767] * k, 8), ([""] * k, 80), (samples, 8), ([""] * k, 32)):
+        head += b"".join(field(v, width) for v in values)
+    return head + records.astype("<i2").tobytes()
 
 
 def edf_annotations(data: bytes) -> list[tuple[float, float, str]]:
