@@ -526,3 +526,20 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of 100 bytes cut out of every document."""
     return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same in plain SQL: all windows of 100 bytes, each but its first occurrence removed.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i + 1:i + 100] AS win FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 99)) AS i FROM d WHERE octet_length(b) >= 100)),
+again AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+edge AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM again),
+span AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM edge) GROUP BY doc_id, k),
+cut AS (SELECT doc_id, s, e FROM span UNION ALL SELECT doc_id, octet_length(b), octet_length(b) FROM d),
+piece AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e), 0) AS a FROM cut),
+kept AS (SELECT doc_id, string_agg(hex(b[a + 1:s]), '' ORDER BY s) AS h FROM piece JOIN d USING (doc_id) WHERE s > a GROUP BY doc_id),
+n AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
