@@ -11,7 +11,6 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from fnmatch import fnmatch
-from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..operators.etl import interval_join, observed_with_outcome, trim_around, tumbling_in_islands
 from . import recordings, series
+from .recording_source import read_recordings
+from .workbooks import workbook_rows
 
 # ---------------------------------------------------------------- files
 
@@ -66,30 +67,10 @@ def matrix_rows(texts: DataFrame, content: str = "content") -> DataFrame:
     return texts.select("path", F.posexplode(rows).alias("row", "words")).select("path", "row", F.col("words").cast("array<double>").alias("values"))
 
 
-def xlsx_rows(data: bytes, header: int = 0) -> list[dict[str, str]]:
-    """Rows of the first sheet of a workbook as dictionaries by the names in line ``header``; all values as texts."""
-    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(space + "t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(space + "si")]
-        sheet = min(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        lines = []
-        for row in ElementTree.fromstring(z.read(sheet)).iter(space + "row"):
-            cells = {}
-            for c in row.iter(space + "c"):
-                v = c.find(space + "v")
-                text = "".join(t.text or "" for t in c.iter(space + "t")) if v is None else v.text
-                cells[re.match(r"[A-Z]+", c.get("r"))[0]] = shared[int(text)] if c.get("t") == "s" else text
-            lines.append(cells)
-    names = lines[header]
-    return [{names[k]: v for k, v in line.items() if k in names} for line in lines[header + 1 :] if line]
-
-
-def workbook(archives: DataFrame, names: list[str], header: int = 1, pattern: str = "*.xlsx") -> DataFrame:
-    """The named columns, as texts, of workbooks inside zip archives."""
+def workbook(archives: DataFrame, names: list[str], header: int = 1, pattern: str = "*.xls*") -> DataFrame:
+    """The named columns, as texts, of workbooks, binary or of XML, inside zip archives."""
     schema = ", ".join(f"`{n}` string" for n in names)
-    return recordings.decode_files(zip_members(archives, pattern), lambda _, data: [tuple(r.get(n) for n in names) for r in xlsx_rows(data, header)], schema)
+    return recordings.decode_files(zip_members(archives, pattern), lambda _, data: [tuple(r.get(n) for n in names) for r in workbook_rows(data, header)], schema)
 
 
 # ---------------------------------------------------------------- assemblies
@@ -189,10 +170,11 @@ def coded_record(header: str, data: bytes) -> tuple[np.ndarray, float | None, fl
     return block, age, sex, [c.strip() for c in said.get("dx", "").split(",") if c.strip()]
 
 
-def coded_records(headers: DataFrame, signals: DataFrame, steps: int) -> DataFrame:
+def coded_records(headers: DataFrame, signals: DataFrame, steps: int, unreadable: str = "raise") -> DataFrame:
     """(path, static = [age, sex], series of ``steps`` samples, codes) of headers joined with their signal files.
 
-    Series are cut at ``steps``; shorter ones are padded with missing steps.
+    Series are cut at ``steps``; shorter ones are padded with missing steps.  Records that can't be read end the job,
+    or are left out with ``unreadable="skip"``.
     """
     pairs = beside(headers, signals, stem)
 
@@ -200,7 +182,12 @@ def coded_records(headers: DataFrame, signals: DataFrame, steps: int) -> DataFra
         for frame in frames:
             out = []
             for path, head, data in zip(frame["path"], frame["content"], frame["beside_content"]):
-                block, age, sex, codes = coded_record(bytes(head).decode(), bytes(data))
+                try:
+                    block, age, sex, codes = coded_record(bytes(head).decode(), bytes(data))
+                except (ValueError, IndexError, TypeError):
+                    if unreadable != "skip":
+                        raise
+                    continue
                 out.append((path, [age, sex], [[*c[:steps].tolist(), *[None] * max(0, steps - len(c))] for c in block], codes))
             yield pd.DataFrame(out, columns=["path", "static", "series", "codes"])
 
@@ -278,21 +265,223 @@ def activity_windows(rows: DataFrame, channels: list[str], length: int = 96) ->
     return cut.groupBy("subject", "activity", "island", "window").agg(arrays.alias("series"))
 
 
-#: Name -> how the data set is put together from its tables or files.
-LOADERS: dict[str, Callable] = {
-    "credit": wide_table,
-    "har": by_channel_files,
-    "icu": eav_dataset,
-    "cpsc": coded_records,
-    "ptbxl": official_folds,
-    "sleep": sleep_epochs,
-    "apnea": minute_segments,
-    "pamap": activity_windows,
-    "uea": train_and_test,
+# ---------------------------------------------------------------- data sets from a folder
+
+#: The columns of the credit table, its channels oldest first.
+CREDIT_STATICS = ["LIMIT_BAL", "SEX", "EDUCATION", "MARRIAGE", "AGE"]
+CREDIT_CHANNELS = {
+    "repay_status": ["PAY_6", "PAY_5", "PAY_4", "PAY_3", "PAY_2", "PAY_0"],
+    "bill_amount": ["BILL_AMT6", "BILL_AMT5", "BILL_AMT4", "BILL_AMT3", "BILL_AMT2", "BILL_AMT1"],
+    "payment_amount": ["PAY_AMT6", "PAY_AMT5", "PAY_AMT4", "PAY_AMT3", "PAY_AMT2", "PAY_AMT1"],
+}
+CREDIT_LABEL = "default payment next month"
+#: The inertial channels of the smartphone recordings.
+HAR_CHANNELS = ["body_acc_x", "body_acc_y", "body_acc_z", "body_gyro_x", "body_gyro_y", "body_gyro_z", "total_acc_x", "total_acc_y", "total_acc_z"]
+#: What is recorded once at admission, besides the number of the record.
+ICU_STATICS = ["Age", "Gender", "Height", "ICUType", "Weight"]
+#: Stages of sleep by their names in the annotations.
+SLEEP_STAGES = {"Sleep stage W": 0, "Sleep stage 1": 1, "Sleep stage 2": 2, "Sleep stage 3": 3, "Sleep stage 4": 3, "Sleep stage R": 4}
+#: The annotation codes of minutes without and with apnea.
+APNEA_CODES = {1: 0, 8: 1}
+#: Sex, age, height in cm, weight in kg, resting and greatest heart rate of each subject of the wearables.
+PAMAP_SUBJECTS = {
+    101: [1.0, 27.0, 182.0, 83.0, 75.0, 193.0],
+    102: [0.0, 25.0, 169.0, 78.0, 74.0, 195.0],
+    103: [1.0, 31.0, 187.0, 92.0, 68.0, 189.0],
+    104: [1.0, 24.0, 194.0, 95.0, 58.0, 196.0],
+    105: [1.0, 26.0, 180.0, 73.0, 70.0, 194.0],
+    106: [1.0, 26.0, 183.0, 69.0, 60.0, 194.0],
+    107: [1.0, 23.0, 173.0, 86.0, 60.0, 197.0],
+    108: [1.0, 32.0, 179.0, 87.0, 66.0, 188.0],
+    109: [1.0, 31.0, 168.0, 65.0, 54.0, 189.0],
 }
+#: The columns of the accelerometers of hand, chest and ankle, and the activities that count.
+PAMAP_COLUMNS = {"hand_x": 4, "hand_y": 5, "hand_z": 6, "chest_x": 21, "chest_y": 22, "chest_z": 23, "ankle_x": 38, "ankle_y": 39, "ankle_z": 40}
+PAMAP_ACTIVITIES = [1, 2, 3, 4, 5, 6, 7, 12, 13, 16, 17, 24]
+
+
+def block_mean(values: Column, k: int) -> Column:
+    """Means of k entries of an array at a time; a shorter rest is left out."""
+    n = F.floor(F.size(values) / k).cast("int")
+    means = F.transform(F.sequence(F.lit(1), n), lambda i: F.aggregate(F.slice(values, (i - 1) * k + 1, k), F.lit(0.0), lambda a, x: a + x) / k)
+    return F.when(n > 0, means).otherwise(F.array().cast("array<double>"))
+
+
+def as_codes(rows: DataFrame, label: str = "label") -> DataFrame:
+    """The label as its place among the sorted labels that occur."""
+    classes = rows.select(F.col(label).alias("_c")).distinct().withColumn("_k", F.row_number().over(W.orderBy("_c")) - 1)  # a row a class
+    return rows.join(F.broadcast(classes), F.col(label) == F.col("_c")).withColumn(label, F.col("_k")).drop("_c", "_k")
+
+
+def file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
 
+def load_credit(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with five attributes and three channels of six months, from the workbook in the zip archive."""
+    channels = [c for cs in CREDIT_CHANNELS.values() for c in cs]
+    rows = workbook(files(spark, folder, "*.zip"), ["ID", *CREDIT_STATICS, *channels, CREDIT_LABEL])
+    return wide_table(rows.withColumn("_row", F.col("ID").cast("double").cast("long")), CREDIT_STATICS, CREDIT_CHANNELS, CREDIT_LABEL, "_row")
 
-def loader(name: str) -> Callable:
+
+def load_har(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of nine raw channels from the (nested) archive, with the subject as static and group, split as published."""
+    members = zip_members(files(spark, folder, "*.zip"), "*_t[re]*.txt")
+    part = F.regexp_extract("path", r"(\w+?)_(train|test)\.txt$", 1)
+    wanted = members.where(part.isin(*HAR_CHANNELS, "y", "subject")).withColumn("path", F.regexp_extract("path", r"(\w+_(train|test))\.txt$", 1))
+    name = F.regexp_extract("path", r"^(.*)_(train|test)$", 1).alias("channel")
+    values = matrix_rows(wanted).select(F.regexp_extract("path", r"(train|test)$", 1).alias("split"), name, "row", "values")
+    side = {k: values.where(F.col("channel") == k).drop("channel") for k in ("y", "subject")}
+    rows = by_channel_files(values, HAR_CHANNELS, side["y"], side["subject"])
+    return rows.select(F.concat_ws("/", "split", "row").alias("row_id"), "static", "series", "label", "group", "is_train")
+
+
+def load_icu(spark: SparkSession, folder: str) -> DataFrame:
+    """Stays of 48 hours: set-a and set-b of files of lines, outcomes beside them; set-a trains.
+
+    Every parameter but the admission attributes is a channel, in sorted order; their names are few and come to the
+    driver.  A later reading of an admission attribute isn't a channel.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    lines = text.where(F.regexp_like("path", F.lit(r"/set-[ab]/\d+\.txt$"))).select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("record_id"), "value", F.col("path").contains("/set-a/").alias("is_train"))
+    field = F.split("value", ",")
+    outcomes = text.where(F.regexp_like("path", F.lit(r"/Outcomes-\w+\.txt$")) & (F.size(field) >= 6)).select(field[0].try_cast("long").alias("record_id"), field[5].try_cast("int").alias("label")).dropna()
+    once = [*ICU_STATICS, "RecordID"]
+    seen = recordings.eav_rows(lines).where(~F.col("parameter").isin(*once)).where("value is not null")
+    parameters = [r[0] for r in seen.select("parameter").distinct().orderBy("parameter").collect()]
+    rows = eav_dataset(lines, outcomes, ICU_STATICS, parameters).join(lines.select("record_id", "is_train").distinct(), "record_id")
+    return rows.join(seen.select("record_id").distinct(), "record_id", "left_semi").withColumnRenamed("record_id", "row_id")
+
+
+def load_ptbxl(spark: SparkSession, folder: str) -> DataFrame:
+    """Heart recordings of one diagnostic superclass: age, sex, height, weight; twelve leads at 100 Hz; folds 1-8 and 10.
+
+    Ages over 89 are coded otherwise in the file and become 90.  Recordings of no or several superclasses are left out,
+    and so are rows without both files.
+    """
+    table = lambda name: spark.read.option("header", True).option("escape", '"').option("recursiveFileLookup", "true").option("pathGlobFilter", name).csv(folder)
+    about = table("scp_statements.csv")
+    diagnostic = about.where(F.col("diagnostic").try_cast("double") == 1).select(F.col(f"`{about.columns[0]}`").alias("code"), F.col("diagnostic_class").alias("class"))
+    people = table("ptbxl_database.csv").withColumn("row_id", F.col("ecg_id").cast("long"))
+    codes = people.select("row_id", F.explode(F.regexp_extract_all("scp_codes", F.lit(r"'([^']+)'\s*:"), 1)).alias("code"))
+    single = codes.join(F.broadcast(diagnostic), "code").groupBy("row_id").agg(F.count_distinct("class").alias("n"), F.min("class").alias("label")).where("n = 1").drop("n")
+    number = lambda c: F.col(c).try_cast("double")
+    age = F.when(number("age") > 89, 90.0).otherwise(number("age"))
+    folds = official_folds(people.withColumn("fold", number("strat_fold").cast("int")), "fold", list(range(1, 9)), [10])
+    known = folds.join(single, "row_id").select("row_id", F.array(age, *[number(c) for c in ("sex", "height", "weight")]).alias("static"), "label", "is_train", F.col("filename_lr").alias("_file"))
+    pairs = beside(files(spark, folder, "*.hea"), files(spark, folder, "*.dat"), stem).where(stem(F.col("path")) == stem(F.col("beside_path")))
+
+    def leads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, head, data in zip(frame["path"], frame["content"], frame["beside_content"]):
+                x = recordings.wfdb16(bytes(head).decode(), bytes(data))
+                out.append((path, [[None if v != v else v for v in c] for c in x.tolist()]))
+            yield pd.DataFrame(out, columns=["path", "series"])
+
+    wave = pairs.mapInPandas(leads, "path string, series array<array<double>>").withColumn("_file", F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)\.hea$", 1))
+    return as_codes(known.join(wave, "_file").select("row_id", "static", "series", "label", "is_train"))
+
+
+def load_cpsc(spark: SparkSession, folder: str, seconds: int = 10, rate: int = 500, k: int = 5, least: int = 200) -> DataFrame:
+    """Heart recordings of one frequent code: age and sex; the first ten seconds, five samples averaged to one.
+
+    Shorter and unreadable recordings are left out, and those of no or several codes that ``least`` recordings carry.
+    """
+    steps = seconds * rate
+    rows = coded_records(files(spark, folder, "A*.hea"), files(spark, folder, "*.mat"), steps, unreadable="skip")
+    whole = rows.where(F.size("series") > 0).where(F.get(F.get("series", F.lit(0)), F.lit(steps - 1)).isNotNull()).withColumn("row_id", stem(file_name(F.col("path"))))
+    one = single_label(whole, "row_id", "codes", least)
+    return one.select("row_id", "static", F.transform("series", lambda c: block_mean(c, k)).alias("series"), "label")
+
+
+def load_sleep(spark: SparkSession, folder: str, channel: str = "EEG Fpz-Cz", step: float = 30.0, k: int = 2, margin: int = 60) -> DataFrame:
+    """Epochs of sleep with their stages: age and sex; one channel at half its rate; the subject and night as group.
+
+    Signals come by ranges of bytes, so a night is several tasks.  Age and sex are those of the annotations' file, whose
+    patient field is the night's own.  The first annotations' file by name counts where a night has several.
+    """
+    night = F.substring(file_name(F.col("path")), 1, 6).alias("record")
+    notes = files(spark, folder, "*-Hypnogram.edf")
+    notes = notes.select(night, "path", "content").groupBy("record").agg(F.min(F.struct("path", "content")).alias("f")).select("record", F.col("f.path").alias("path"), F.col("f.content").alias("content"))
+    decoded = recordings.decode_files(
+        notes, lambda p, b: [(p.rsplit("/", 1)[-1][:6], recordings.edf_header(b)["patient"], *a) for a in recordings.edf_annotations(b)], "record string, patient string, start double, length double, label string"
+    )
+    whole = read_recordings(spark, folder).where(F.col("channel") == channel).where(F.col("path").contains("-PSG"))
+    size = F.round(F.col("rate") * step).cast("int")
+    pieces = F.sequence(F.lit(0), F.floor(F.size("samples") / size).cast("int") - 1)
+    cut = whole.where(F.size("samples") >= size).select(night, F.explode(F.transform(pieces, lambda i: F.struct((F.col("start") / size + i).cast("int").alias("t"), F.slice("samples", i * size + 1, size).alias("x")))).alias("e"))
+    epochs = cut.select("record", "e.t", F.array(block_mean(F.col("e.x"), k)).alias("series"))
+    age, sex = recordings.demographics(F.col("patient"))
+    people = decoded.select("record", F.array(age, sex).alias("static")).distinct()
+    rows = sleep_epochs(epochs, decoded.drop("patient"), SLEEP_STAGES, step, margin).join(people, "record")
+    return rows.select(F.concat_ws("/", "record", "t").alias("row_id"), "static", "series", "label", F.substring("record", 3, 4).cast("int").alias("group"))
+
+
+def load_apnea(spark: SparkSession, folder: str, rate: int = 100, k: int = 2) -> DataFrame:
+    """Annotated minutes of one lead with age, sex, height, weight and body mass; the subject as group.
+
+    A recording (some six megabytes) and its annotations are one task's row and leave it as minutes.
+    """
+    span = 60 * rate
+    hea, dat, apn = (files(spark, folder, f"*.{e}").select(stem(file_name(F.col("path"))).alias("record"), F.col("content").alias(e)) for e in ("hea", "dat", "apn"))
+
+    def minutes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for record, head, data, marks in zip(frame["record"], frame["hea"], frame["dat"], frame["apn"]):
+                x = recordings.wfdb16(bytes(head).decode(), bytes(data))[0]
+                found = [(s, APNEA_CODES[c]) for s, c in recordings.wfdb_annotations(bytes(marks)) if c in APNEA_CODES and s + span <= len(x)]
+                yield pd.DataFrame([(record, s, [x[s : s + span].reshape(-1, k).mean(1)], c) for s, c in found], columns=["record", "start", "series", "label"])
+
+    cut = hea.join(dat, "record").join(apn, "record").mapInPandas(minutes, "record string, start int, series array<array<double>>, label int")
+    people = apnea_people(spark.read.text(f"{folder}/additional-information.txt"))
+    seen = F.transform("series", lambda c: F.transform(c, lambda v: F.nullif(v, F.lit(float("nan"))))).alias("series")
+    return cut.join(F.broadcast(people), "record").select(F.concat_ws("/", "record", "start").alias("row_id"), "static", seen, "label", "group")  # people: a row a recording
+
+
+def load_pamap(spark: SparkSession, folder: str, every: int = 3, length: int = 96) -> DataFrame:
+    """Windows of three accelerometers inside unbroken runs of an activity; body measures; the subject as group."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "subject*.dat").text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    subject = F.regexp_extract("path", r"subject(\d+)\.dat$", 1).try_cast("int")
+    field = F.split(F.trim("value"), r"\s+")
+    number = lambda i: F.nullif(field[i].try_cast("double"), F.lit(float("nan")))
+    lines = text.where(F.col("path").contains("/Protocol/")).select(subject.alias("subject"), number(0).alias("clock"), number(1).cast("int").alias("activity"), *[number(i).alias(c) for c, i in PAMAP_COLUMNS.items()])
+    known = lines.where(F.col("subject").isin(*PAMAP_SUBJECTS)).where("clock is not null")
+    placed = known.withColumn("_p", F.row_number().over(W.partitionBy("subject").orderBy("clock")) - 1).where(F.col("_p") % every == 0)
+    steps = placed.withColumn("t", F.floor(F.col("_p") / every).cast("int")).where(F.col("activity").isin(*PAMAP_ACTIVITIES))
+    cut = activity_windows(steps, list(PAMAP_COLUMNS), length)
+    body = F.element_at(F.create_map(*[F.lit(x) if isinstance(x, int) else F.array(*map(F.lit, x)) for k, v in PAMAP_SUBJECTS.items() for x in (k, v)]), F.col("subject"))
+    rows = cut.select(F.concat_ws("/", "subject", "activity", "island", "window").alias("row_id"), body.alias("static"), "series", F.col("activity").alias("label"), F.col("subject").alias("group"))
+    return as_codes(rows)
+
+
+def load_uea(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of an archive's ``*_TRAIN.ts`` and ``*_TEST.ts``; no attributes."""
+    part = lambda name: ts_rows(files(spark, folder, f"*_{name}.ts")).withColumn("row_id", F.concat_ws("/", F.lit(name.lower()), "row"))
+    rows = train_and_test(part("TRAIN"), part("TEST"))
+    return rows.select("row_id", F.array().cast("array<double>").alias("static"), "series", F.col("label").cast("int").alias("label"), "is_train")
+
+
+#: Name -> how the data set is put together from the files of a folder, as (spark, folder) -> rows.
+LOADERS: dict[str, Callable[..., DataFrame]] = {
+    "credit": load_credit,
+    "har": load_har,
+    "icu": load_icu,
+    "ptbxl": load_ptbxl,
+    "cpsc2018": load_cpsc,
+    "sleepedf": load_sleep,
+    "apnea": load_apnea,
+    "pamap2": load_pamap,
+    "uea": load_uea,
+}
+
+
+def loader(name: str) -> Callable[..., DataFrame]:
     if name not in LOADERS:
         raise ValueError(f"unknown data set {name!r}; known: {', '.join(LOADERS)}")
     return LOADERS[name]
+
+
+def load(spark: SparkSession, name: str, folder: str, **options) -> DataFrame:
+    """A data set by its name: row_id, static, series (channels of steps), label, and group and is_train where it has them."""
+    return loader(name)(spark, folder, **options)

@@ -81,7 +81,7 @@ def test_record_assemblies(spark):
     assert [r.series for r in w] == [[[0.0, 1.0], [-0.0, -1.0]], [[2.0, 3.0], [-2.0, -3.0]]]
     folds = datasets.official_folds(spark.createDataFrame([(i,) for i in range(1, 11)], "fold int"), "fold", list(range(1, 9)), [10]).collect()
     assert [(r.fold, r.is_train) for r in folds] == [*((i, True) for i in range(1, 9)), (10, False)]
-    assert datasets.loader("icu") is datasets.eav_dataset
+    assert datasets.loader("icu") is datasets.load_icu
     with pytest.raises(ValueError, match="unknown data set"):
         datasets.loader("other")
     near = datasets.beside(spark.createDataFrame([("d/SC4001E0-PSG.edf", bytearray(b"a"))], "path string, content binary"), spark.createDataFrame([("d/SC4001EC-Hyp.edf", bytearray(b"b"))], "path string, content binary"), lambda n: F.substring(n, 1, 6)).collect()
