@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .sampling import fourier_weights, permuted
 
-#: Features and rows beyond which the driver's eigenproblem of that side (8 bytes x size^2) is refused.
+#: Features and rows up to which the driver solves the whole eigenproblem of that side (8 bytes x size^2).
 MOST_FEATURES, MOST_ROWS = 12_000, 4096
+#: Axes that are looked for beyond that, and numbers (features x axes) that the driver and a worker hold at most.
+AXES, MOST_CELLS = 1024, 1 << 26
 #: Columns of one tile of the cross products; a task's sums are one tile.
 TILE = 4096
 PENALTIES = 13
@@ -124,6 +126,7 @@ class RidgeBase:
     null_r2: float = np.nan
     calibration: list[tuple[float, float]] = field(default_factory=list)
     has_design: bool = False
+    captured: float = 1.0  # share of the features' variance that lies along the axes
 
     @property
     def width(self) -> int:
@@ -332,28 +335,72 @@ def _spectrum_by_rows(rows: DataFrame, x: str, z: str | None, id_column: str, ba
     base.vectors, base.values = vectors, values
 
 
-def fit_ridge(rows: DataFrame, x: str = "x", y: str = "t", penalties: int = PENALTIES, z: str | None = None, group: str | None = None, id_column: str | None = None) -> RidgeBase:
+def _spectrum_by_subspace(rows: DataFrame, x: str, z: str | None, base: RidgeBase, axes: int, trace: float, rounds: int = 12, tolerance: float = 1e-10, seed: int = 0) -> None:
+    """The greatest values and their vectors by randomised subspace iteration: R'R is never formed.
+
+    A round multiplies the axes with R'R in passes over the rows, each for as many axes as a task's sum (features x
+    axes of the pass) may have, and makes them orthonormal on the driver, which holds features x axes.  It ends when
+    the sum of the values stands still.  Axes as many as R's rank give the whole spectrum; with fewer, the rest of the
+    features' variance has no weight (``base.captured`` says how much is left).
+    """
+    spark, width, q = rows.sparkSession, base.width, base.design_width
+    step = max(1, TILE * TILE // width)
+    use = [x, *([z] if z else [])]
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, axes)))[0]
+    last = -1.0
+    for _ in range(rounds):
+        image = np.empty((width, axes))
+        for a in range(0, axes, step):
+            held = spark.sparkContext.broadcast(basis[:, a : a + step])
+
+            def multiplied(b: pa.RecordBatch, held=held) -> np.ndarray:
+                d = _matrix(b.column(1), q) if z else np.ones((b.num_rows, 1))
+                r = (_matrix(b.column(0), width) - base.center) / base.scale - d @ base.explained
+                return r.T @ (r @ held.value)
+
+            image[:, a : a + step], _ = summed(rows, use, (width, min(step, axes - a)), multiplied)
+            held.unpersist()
+        values, turned = np.linalg.eigh(basis.T @ image)
+        if abs(values.sum() - last) <= tolerance * max(trace, EPS):
+            break
+        last = values.sum()
+        basis, image = np.linalg.qr(image)[0], basis
+    else:
+        basis = image  # the axes that the last values belong to
+    keep = values > max(values.max(initial=0), EPS) * 1e-12
+    base.values, base.vectors = values[keep], basis @ turned[:, keep]
+    base.captured = float(min(1.0, base.values.sum() / max(trace, EPS)))
+
+
+def fit_ridge(rows: DataFrame, x: str = "x", y: str = "t", penalties: int = PENALTIES, z: str | None = None, group: str | None = None, id_column: str | None = None, axes: int | None = None) -> RidgeBase:
     """Fit on array columns of features and targets, the penalty by exact leave-one-row or leave-one-group-out error.
 
     Features are centred and scaled (flat ones count as scale 1).  Penalties are log-spaced over six decades around
     the mean eigenvalue; those that use more than 0.9 of the rows' freedom, or all but 0.01 of any row's, are refused,
     and the strongest is taken if all are.  Up to ``MOST_FEATURES`` features are solved by their width; where an id is
-    named and rows are fewer than features, by the rows (up to ``MOST_ROWS``).
+    named and rows are fewer than features, by the rows (up to ``MOST_ROWS``).  Beyond both, or where ``axes`` is given,
+    the fit is along the features' leading axes (``AXES`` of them unless given), and exact on those.
     """
     shape = rows.select(F.size(x).alias("w"), F.size(y).alias("k"), (F.size(z) if z else F.lit(1)).alias("q")).first()
     if shape is None:
         raise ValueError("no rows to fit on")
     width, outputs, q = shape.w, shape.k, shape.q
     few = rows.count() if id_column and width > 64 else None
-    by_rows = few is not None and few < width and few <= MOST_ROWS
-    if width > MOST_FEATURES:
-        raise ValueError(f"{width} features; at most {MOST_FEATURES}")
+    by_rows = axes is None and few is not None and few < width and few <= MOST_ROWS and few * width <= MOST_CELLS
+    by_subspace = not by_rows and (axes is not None or width > MOST_FEATURES)
+    if (axes or 16) * width > MOST_CELLS:
+        raise ValueError(f"{axes or 16} axes of {width} features; at most {MOST_CELLS} numbers")
     one = rows if z else rows.withColumn("_one", F.array(F.lit(1.0)))
     zc = z or "_one"
-    if by_rows:
+    if by_rows or by_subspace:
         side, n = cross_products(one, [zc, y], (q, outputs))
-        own, _ = summed(one, [zc, x], (q + 1, width), lambda b: np.vstack([_matrix(b.column(0), q).T @ _matrix(b.column(1), width), (_matrix(b.column(1), width) ** 2).sum(0)]))
-        zz, zt, zx, diagonal = side[:q, :q], side[:q, q:], own[:q], own[q]
+
+        def beside(b: pa.RecordBatch) -> np.ndarray:
+            v = _matrix(b.column(1), width)
+            return np.vstack([_matrix(b.column(0), q).T @ v, _matrix(b.column(2), outputs).T @ v, (v * v).sum(0)])
+
+        own, _ = summed(one, [zc, x, y], (q + outputs + 1, width), beside)
+        zz, zt, zx, diagonal = side[:q, :q], side[:q, q:], own[:q], own[-1]
     else:
         g, n = cross_products(one, [zc, x, y], (q, width, outputs))
         zz, zx, zt, diagonal = g[:q, :q], g[:q, q : q + width], g[:q, q + width :], np.diag(g)[q : q + width]
@@ -366,6 +413,11 @@ def fit_ridge(rows: DataFrame, x: str = "x", y: str = "t", penalties: int = PENA
     base = RidgeBase(mean, scale, explained, root, np.zeros((width, 0)), np.zeros(0), root.T @ zt, np.zeros((0, outputs)), n, has_design=z is not None)
     if by_rows:
         _spectrum_by_rows(rows, x, z, id_column, base)
+    elif by_subspace:
+        trace = float(((diagonal - n * mean**2) / scale**2 - (zx * explained).sum(0)).sum())
+        _spectrum_by_subspace(rows, x, z, base, min(axes or AXES, width, n, MOST_CELLS // width), trace)
+        xt = (own[q : q + outputs].T - np.outer(mean, zt[0])) / scale[:, None] - explained.T @ zt
+        base.feature_targets = base.vectors.T @ xt
     else:
         xx, xt = g[q : q + width, q : q + width], g[q : q + width, q + width :]
         xx = (xx - n * np.outer(mean, mean)) / np.outer(scale, scale) - zx.T @ explained

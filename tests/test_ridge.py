@@ -139,3 +139,49 @@ def test_representations(spark):
     assert strict[1] is None and strict[11] == 1.0
     with pytest.raises(ValueError):
         design.represented(rows, "other")
+
+
+def by_id(rows, of="margin"):
+    return np.array([q[of] for q in rows.orderBy("i").collect()])
+
+
+def test_leading_axes_equal_the_dense_fit_where_they_are_the_rank(spark):
+    r = np.random.default_rng(11)
+    n, width = 70, 90
+    x, s = r.normal(size=(n, 12)) @ r.normal(size=(12, width)), r.normal(size=(n, 1))
+    t = x[:, :2] / 4 + s + r.normal(0, 0.5, (n, 2))
+    rows = frame(spark, x, t, np.hstack([np.ones((n, 1)), s])).persist()
+    dense = ridge.fit_ridge(rows, z="z", group="grp")
+    part = ridge.fit_ridge(rows, z="z", group="grp", axes=20)
+    assert part.penalty == pytest.approx(dense.penalty) and part.captured == pytest.approx(1) and len(part.values) == 12
+    assert part.loo_error == pytest.approx(dense.loo_error, rel=1e-8)
+    for of in ("margins", "leave_one_out"):
+        assert np.allclose(by_id(getattr(part, of)(rows)), by_id(getattr(dense, of)(rows)), atol=1e-6)
+    assert np.allclose(by_id(part.leave_group_out(rows, "grp", "i")), by_id(dense.leave_group_out(rows, "grp", "i")), atol=1e-6)
+    assert ridge.chance_r2(rows, part, "i", z="z", permutations=8) == pytest.approx(ridge.chance_r2(rows, dense, "i", z="z", permutations=8), abs=1e-6)
+    rows.unpersist()
+
+
+def test_fewer_axes_than_the_rank_find_the_greatest(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    x = r.normal(size=(120, 40)) * 0.7 ** np.arange(40) @ np.linalg.qr(r.normal(size=(40, 40)))[0]
+    rows = frame(spark, x, r.normal(size=(120, 1))).persist()
+    monkeypatch.setattr(ridge, "TILE", 12)  # three axes a pass
+    part = ridge.fit_ridge(rows, axes=16)
+    v = (x - x.mean(0)) / x.std(0)
+    whole = np.linalg.eigvalsh(v.T @ v)[::-1]
+    assert np.allclose(sorted(part.values, reverse=True)[:8], whole[:8], rtol=1e-5)
+    assert part.captured == pytest.approx(part.values.sum() / whole.sum(), rel=1e-6) and 0.9 < part.captured < 1
+    rows.unpersist()
+
+
+def test_twenty_thousand_features(spark):
+    r = np.random.default_rng(13)
+    x = r.normal(size=(30, 20_000))
+    rows = frame(spark, x, x[:, :1] + r.normal(size=(30, 1))).persist()
+    part, dense = ridge.fit_ridge(rows), ridge.fit_ridge(rows, id_column="i")
+    assert len(part.values) == 29 and np.allclose(sorted(part.values), sorted(dense.values), rtol=1e-8)
+    assert np.allclose(by_id(part.leave_one_out(rows)), by_id(dense.leave_one_out(rows)), atol=1e-6)
+    with pytest.raises(ValueError, match="numbers"):
+        ridge.fit_ridge(rows, axes=1 << 20)
+    rows.unpersist()
