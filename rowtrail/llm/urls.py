@@ -73,9 +73,9 @@ def grams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Col
 
     def of(text: Column, part: str, n: int) -> Column:
         t = F.concat(F.lit("^"), F.lower(text), F.lit("$"))
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(part), t.substr(i, F.lit(n)))
-        )
+        # one pass over the text: each character with those after it; taking substrings by place would be quadratic
+        runs = F.when(F.length(t) < n, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), 1))
+        return F.transform(runs, lambda g: F.concat(F.lit(part), g))
 
     return F.concat(*[of(text, part, n) for text, part in ((host, "h"), (path, "p")) for n in sizes])
 
