@@ -15,12 +15,10 @@ Texts are scanned twice and never shuffled.
 from __future__ import annotations
 
 import heapq
-import itertools
-import operator
 import re
 import string
 from array import array
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +31,10 @@ from .common import SideTable, by_block, placed, scanned, small_batches, written
 SPACE = "▁"
 #: Words of up to so many characters are folded in Spark (the mask has 64 bits); longer ones are merged in the task.
 FOLD_CHARS = 60
+#: Words whose ids a task keeps at hand, and masks whose borders it does; a block's other words are looked up again.
+KEPT_WORDS, KEPT_MASKS = 1 << 16, 1 << 14
+#: Words of a block that lie in one string of a task's table.
+ROW_WORDS = 16
 
 
 #: Where the public 32k model lies unless another path is given; the driver alone reads it.
@@ -264,7 +266,7 @@ class Encoder:
         pairs = self.cuts.get(mask)
         if pairs is None:
             cuts = [i for i in range(64) if mask >> i & 1]
-            if len(self.cuts) > 1 << 16:
+            if len(self.cuts) >= KEPT_MASKS:
                 self.cuts.clear()
             pairs = self.cuts[mask] = list(zip(cuts, cuts[1:]))
         segments = [w[a:b] for a, b in pairs]
@@ -295,16 +297,16 @@ def _split_words(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[
     at_block = None
 
     def out() -> Iterator[pa.RecordBatch]:
-        words = sorted(w.replace(" ", SPACE) for w in seen if 1 < len(w) <= FOLD_CHARS)  # neighbours pack well
+        words = sorted(w for w in seen if 1 < len(w) <= FOLD_CHARS)  # neighbours pack well
+        seen.clear()
         for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+            part = [w.replace(" ", SPACE) for w in words[i : i + 20_000]]
             yield pa.RecordBatch.from_arrays([pa.array([at_block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
 
     for batch in batches:
         for same in by_block(batch):
             if (block := same.column("block")[0].as_py()) != at_block:
                 yield from out()
-                seen.clear()
                 at_block = block
             for text in same.column("text"):
                 if t := text.as_py():
@@ -315,32 +317,66 @@ def _split_words(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[
 class _Words(dict):
     """Ids of a block's words, packed as 32-bit numbers; made from the loaded masks when a word is first asked for.
 
-    The masks lie in the order of their words and are looked up by bisection, which takes less room than a table.
+    The words lie in their order, some to a string of UTF-8 (none has a line break), and are looked up by bisection:
+    a fifth of the room of single strings.  Ids are kept for twice ``KEPT_WORDS`` words at most; those asked for since
+    the last turn stay, so a common word is made once and the many rare ones take no room.
     """
 
     def __init__(self, encoder: Encoder, side: SideTable):
         super().__init__()
-        self.encoder, self.side, self.block, self.words, self.masks = encoder, side, None, [], np.zeros(0, np.int64)
+        self.encoder, self.side, self.block = encoder, side, None
+        self._empty()
+
+    def _empty(self) -> None:
+        self.firsts: list[bytes] = []
+        self.rows: list[bytes] = []
+        self.masks, self.older = np.zeros(0, np.int64), {}
+        self.clear()
 
     def open(self, block: int) -> None:
         if block == self.block:
             return
-        self.block, self.words, self.masks = block, [], np.zeros(0, np.int64)
-        self.clear()
+        self._empty()
+        self.block = block
         table = self.side.load(block)
-        if table is not None:
-            for chunk in table.column("word").chunks:
-                self.words += chunk.to_pylist()
-            self.masks = table.column("mask").to_numpy()
-            if any(map(operator.gt, self.words, itertools.islice(self.words, 1, None))):
-                order = sorted(range(len(self.words)), key=self.words.__getitem__)
-                self.words, self.masks = [self.words[i] for i in order], self.masks[order]
+        if table is None:
+            return
+        for words in self._runs(table):
+            if self.rows and words[0] < self.rows[-1].rpartition(b"\n")[2] or sorted(words) != words:
+                self.firsts, self.rows, table = [], [], table.sort_by("word")
+                for again in self._runs(table):
+                    self._add(again)
+                break
+            self._add(words)
+        self.masks = table.column("mask").to_numpy()
+        pa.default_memory_pool().release_unused()
+
+    def _runs(self, table: pa.Table) -> Iterator[list[bytes]]:
+        for at in range(0, table.num_rows, 256 * ROW_WORDS):
+            yield table.column("word").slice(at, 256 * ROW_WORDS).cast(pa.binary()).to_pylist()
+
+    def _add(self, words: list[bytes]) -> None:
+        self.firsts += words[::ROW_WORDS]
+        self.rows += [b"\n".join(words[i : i + ROW_WORDS]) for i in range(0, len(words), ROW_WORDS)]
+
+    def mask(self, word: str) -> int | None:
+        held = word.replace(" ", SPACE).encode()
+        i = bisect_right(self.firsts, held) - 1
+        if i < 0:
+            return None
+        try:
+            return self.masks.item(i * ROW_WORDS + self.rows[i].split(b"\n").index(held))
+        except ValueError:
+            return None
 
     def __missing__(self, word: str) -> bytes:
-        held = word.replace(" ", SPACE)
-        i = bisect_left(self.words, held)
-        mask = int(self.masks[i]) if i < len(self.words) and self.words[i] == held else None
-        got = self[word] = array("i", self.encoder.of_word(word, mask)).tobytes()
+        got = self.older.get(word)
+        if got is None:
+            got = array("i", self.encoder.of_word(word, self.mask(word))).tobytes()
+        if len(self) >= KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = got
         return got
 
 

@@ -117,3 +117,47 @@ def test_viterbi_fold_against_brute_force(spark):
         assert abs(sum(scores.get(p, lowest) for p in got) - best(w)) < 1e-9
         assert abs(sum(scores.get(p, lowest) for p in pieces.best_path(w, scores, model.longest, lowest)) - best(w)) < 1e-9
     assert encoder.of_segments(["d"]) == (model.unknown,)
+
+
+def test_a_block_of_many_words_takes_little_room():
+    """A task's table of 120,000 distinct words, all asked for twice, in and out of their order."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    model = pieces.Pieces(["▁", *"abcdefghij", "▁a", "bc"], [-float(k) for k in range(13)], "bpe", None)
+    words = sorted({"▁" + "".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(120_000)})
+    cuts = [1 | 1 << r.randint(1, 9) | 1 << 10 for _ in words]
+
+    class Side:
+        def load(self, block):
+            if block == 2:
+                return None
+            at = list(range(len(words)))
+            if block == 1:
+                r.shuffle(at)
+            return pa.table({"word": [words[i] for i in at], "mask": pa.array([cuts[i] for i in at], pa.int64())})
+
+    encoder = pieces.Encoder(model)
+    for block in (0, 1):
+        tracemalloc.start()
+        got = pieces._Words(encoder, Side())
+        got.open(block)
+        for _ in range(2):
+            for i, w in enumerate(words):
+                x = got[w.replace("▁", " ")]
+                if i % 50 == 0:
+                    assert x == encoder_bytes(encoder, w, cuts[i])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24e6, peak
+        assert got.mask("zz") is None and got.mask(" a") is None and got.mask("") is None
+    got.open(2)
+    assert got.mask(words[5].replace("▁", " ")) is None
+
+
+def encoder_bytes(encoder, word, mask):
+    import numpy as np
+
+    return np.array(encoder.of_word(word.replace("▁", " "), mask), np.int32).tobytes()
