@@ -23,18 +23,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SideTable, by_block, placed, scanned, small_batches, written
+from .common import SideTable, buffers, by_block, placed, scanned, slices, small_batches, written
 
 SPACE = "▁"
 #: Words of up to so many characters are folded in Spark (the mask has 64 bits); longer ones are merged in the task.
 FOLD_CHARS = 60
-#: Words whose ids a task keeps at hand, and masks whose borders it does; a block's other words are looked up again.
-KEPT_WORDS, KEPT_MASKS = 1 << 16, 1 << 14
-#: Words of a block that lie in one string of a task's table.
+#: Words asked for singly whose ids a task keeps at hand, and masks whose borders it does.
+KEPT_WORDS, KEPT_MASKS = 1 << 12, 1 << 14
+#: Of so many words of a block, the first is kept in a list by which a single word is found.
 ROW_WORDS = 16
+#: Words of a block whose masks are turned into ids at a time.
+MASKS_AT_ONCE = 1 << 14
+#: Bytes of text whose ids are put together at a time; each time a block's words are hashed anew.
+ASSEMBLED_BYTES = 1 << 20
+#: Distinct words of single slices that a task lets pile up before it throws out those that several slices have.
+PILED_WORDS = 1 << 16
+#: What a byte is to the borders of words.
+OTHER, MARK, BLANK, BREAK = range(4)
 
 
 #: Where the public 32k model lies unless another path is given; the driver alone reads it.
@@ -66,14 +75,26 @@ class Pieces:
         marks = {c for c, near in joined.items() if not any(x.isascii() and x.isalnum() for x in near)}
         return "".join(sorted(marks)), "".join(sorted({x for c in marks for x in joined[c]} - marks))
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text with its leading dummy space; the model takes its space mark for a space."""
-        if not text:
-            return []
-        fine = self.marks and not (self.odd and re.search(f"[{re.escape(self.odd)}]", text))
-        marks = re.escape(self.marks)
-        pattern = rf" *[^ \n{marks}]+| *[{marks}]+| +|\n" if fine else r" *[^ \n]+| +|\n"
-        return re.findall(pattern, " " + text.replace(SPACE, " "))
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of texts, one after the other, and where each text's begin among them (and the last one's end).
+
+        A text gets a leading dummy space; the model takes its space mark for a space.  Nulls count as empty.
+        """
+        texts = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
+        texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+        raw, off = buffers(texts)
+        kinds = np.zeros(256, np.uint8)
+        kinds[[*self.marks.encode()]], kinds[32], kinds[10] = MARK, BLANK, BREAK
+        kind = np.frombuffer(bytearray(raw.tobytes().translate(kinds.tobytes())), np.uint8)
+        if self.odd and self.marks:
+            odd = pc.match_substring_regex(texts, f"[{re.escape(self.odd)}]").to_numpy(zero_copy_only=False)
+            if odd.any():
+                kind[np.repeat(odd, np.diff(off)) & (kind == MARK)] = OTHER
+        first = np.ones(len(raw), bool)
+        first[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != BLANK) | (kind[1:] == BREAK)
+        first[off[off < len(raw)]] = True
+        starts = np.flatnonzero(first)
+        return cut_at(raw, starts), np.searchsorted(starts, off)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -101,6 +122,12 @@ class Pieces:
         return {t: i for i, (t, p) in enumerate(zip(self.texts, self.plain)) if p}
 
 
+def cut_at(raw: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """UTF-8 bytes as the strings that begin at the given places; the first begins at 0, each ends where the next begins."""
+    bounds = np.append(starts, len(raw)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw)))
+
+
 # ---------------------------------------------------------------- the lattice
 
 
@@ -240,6 +267,8 @@ class Encoder:
         self.back = [t.replace(SPACE, " ") if p else "" for t, p in zip(pieces.texts, pieces.plain)]
         if pieces.byte_first is not None:
             self.back[pieces.byte_first : pieces.byte_first + 256] = [chr(b) if b < 128 else chr(0xDC00 + b) for b in range(256)]
+        self.back_bytes = pa.array([t.encode("utf-8", "surrogateescape") for t in self.back], pa.binary())
+        self.held, self.numbers = pa.array(list(self.ids), pa.string()), np.array(list(self.ids.values()), np.int32)
 
     def of_segments(self, segments: list[str]) -> tuple[int, ...]:
         """Piece ids; a character that is no piece becomes its bytes, or the unknown piece where there are none."""
@@ -275,6 +304,42 @@ class Encoder:
         except KeyError:
             return self.of_segments(segments)
 
+    def of_words(self, words: pa.Array, masks: np.ndarray) -> pa.Array:
+        """Ids of many words (with ``SPACE`` for spaces) by their masks, packed as 32-bit numbers: ``of_word`` for all of
+        them in step.  The pieces lie end to end in the words' bytes, so their borders alone make them."""
+        raw, off = buffers(words)
+        heads = np.flatnonzero((raw & 0xC0) != 0x80)
+        at = np.searchsorted(heads, off)
+        word, k = np.nonzero(np.unpackbits(masks.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        inside = k < np.diff(at)[word]  # the border at a word's end is where the next one begins
+        word, starts = word[inside], heads[at[word[inside]] + k[inside]]
+        place = pc.index_in(cut_at(raw, starts), value_set=self.held)
+        ids = self.numbers[place.fill_null(0).to_numpy()]
+        bounds = np.searchsorted(word, np.arange(len(words) + 1))
+        if place.null_count:
+            lost = place.is_null().to_numpy(zero_copy_only=False)
+            ids[lost] = self.pieces.unknown
+            if self.pieces.byte_first is not None:
+                size = np.diff(np.append(starts, len(raw)))
+                many = np.where(lost, size, 1)
+                ids = np.repeat(ids, many)
+                ids[np.repeat(lost, many)] = self.pieces.byte_first + raw[np.repeat(lost, size)].astype(np.int32)
+                bounds = np.append(0, np.cumsum(many))[bounds]
+        return packed_ids(ids, bounds)
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """``decode`` for many texts, whose ids lie end to end between the bounds."""
+        spans = self.back_bytes.take(pa.array(ids))
+        if not len(spans):
+            return pa.array([""] * (len(bounds) - 1), pa.string())
+        _, off, data = spans.buffers()
+        ends = np.frombuffer(off, np.int32)[bounds]
+        try:
+            texts = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends), data]).cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:])], pa.string())
+        return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the leading dummy space; bytes that are no UTF-8 become replacement characters."""
         text = "".join(map(self.back.__getitem__, ids))
@@ -283,6 +348,11 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
+def packed_ids(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Ids end to end as one binary value for each stretch between the bounds."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(ids)])
+
+
 def _vocabulary(pieces):
     """Task: the distinct words of each block that are short enough to be folded."""
 
@@ -293,33 +363,42 @@ def _vocabulary(pieces):
 
 
 def _split_words(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
-    seen: set[str] = set()
+    seen: list[pa.Array] = []
     at_block = None
 
+    def settle() -> pa.Array:
+        seen[:] = [pc.unique(pa.concat_arrays(seen))] if seen else [pa.array([], pa.string())]
+        pa.default_memory_pool().release_unused()
+        return seen[0]
+
     def out() -> Iterator[pa.RecordBatch]:
-        words = sorted(w for w in seen if 1 < len(w) <= FOLD_CHARS)  # neighbours pack well
+        words = pc.replace_substring(settle(), " ", SPACE)
         seen.clear()
+        words = words.take(pc.array_sort_indices(words))  # neighbours pack well
         for i in range(0, len(words), 20_000):
-            part = [w.replace(" ", SPACE) for w in words[i : i + 20_000]]
-            yield pa.RecordBatch.from_arrays([pa.array([at_block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
+            part = words.slice(i, 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at_block, np.int64)), part], names=["block", "word"])
 
     for batch in batches:
         for same in by_block(batch):
             if (block := same.column("block")[0].as_py()) != at_block:
                 yield from out()
                 at_block = block
-            for text in same.column("text"):
-                if t := text.as_py():
-                    seen.update(pieces.words(t))
+            for part, _, _ in slices(same, "text"):
+                words = pc.unique(pieces.words(part.column("text"))[0])
+                size = pc.utf8_length(words)
+                seen.append(words.filter(pc.and_(pc.greater(size, 1), pc.less_equal(size, FOLD_CHARS))))
+                if sum(map(len, seen[1:])) > max(PILED_WORDS, len(seen[0]) // 2):
+                    settle()
     yield from out()
 
 
 class _Words(dict):
-    """Ids of a block's words, packed as 32-bit numbers; made from the loaded masks when a word is first asked for.
+    """Ids of a block's words, packed as 32-bit numbers.
 
-    The words lie in their order, some to a string of UTF-8 (none has a line break), and are looked up by bisection:
-    a fifth of the room of single strings.  Ids are kept for twice ``KEPT_WORDS`` words at most; those asked for since
-    the last turn stay, so a common word is made once and the many rare ones take no room.
+    The block's folded words lie in Arrow arrays, with the ids that their masks give, and the words of many texts are
+    looked up in step.  Other words (single characters, words without edges, long ones) are made when first asked for,
+    as is any word that is asked for singly; of these, twice ``KEPT_WORDS`` are kept at most.
     """
 
     def __init__(self, encoder: Encoder, side: SideTable):
@@ -328,9 +407,9 @@ class _Words(dict):
         self._empty()
 
     def _empty(self) -> None:
-        self.firsts: list[bytes] = []
-        self.rows: list[bytes] = []
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
         self.masks, self.older = np.zeros(0, np.int64), {}
+        self.firsts: list[str] | None = None
         self.clear()
 
     def open(self, block: int) -> None:
@@ -341,33 +420,34 @@ class _Words(dict):
         table = self.side.load(block)
         if table is None:
             return
-        for words in self._runs(table):
-            if self.rows and words[0] < self.rows[-1].rpartition(b"\n")[2] or sorted(words) != words:
-                self.firsts, self.rows, table = [], [], table.sort_by("word")
-                for again in self._runs(table):
-                    self._add(again)
-                break
-            self._add(words)
-        self.masks = table.column("mask").to_numpy()
+        if not pc.all(pc.less_equal(table.column("word").slice(0, table.num_rows - 1), table.column("word").slice(1))).as_py():
+            table = table.sort_by("word")
+        words, ids = [], []
+        for part in table.to_batches(max_chunksize=MASKS_AT_ONCE):
+            ids.append(self.encoder.of_words(part.column("word"), part.column("mask").to_numpy()))
+            words.append(pc.replace_substring(part.column("word"), SPACE, " "))
+        self.words, self.ids, self.masks = pa.concat_arrays(words), pa.concat_arrays(ids), table.column("mask").to_numpy()
+        del table, words, ids
         pa.default_memory_pool().release_unused()
 
-    def _runs(self, table: pa.Table) -> Iterator[list[bytes]]:
-        for at in range(0, table.num_rows, 256 * ROW_WORDS):
-            yield table.column("word").slice(at, 256 * ROW_WORDS).cast(pa.binary()).to_pylist()
-
-    def _add(self, words: list[bytes]) -> None:
-        self.firsts += words[::ROW_WORDS]
-        self.rows += [b"\n".join(words[i : i + ROW_WORDS]) for i in range(0, len(words), ROW_WORDS)]
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts of the block, end to end, and where each text's begin (and the last one's end)."""
+        words, at = self.encoder.pieces.words(texts)
+        place, ids = pc.index_in(words, value_set=self.words), self.ids
+        if place.null_count:
+            others = words.filter(place.is_null()).dictionary_encode()
+            ids = pa.concat_arrays([ids, pa.array([self[w] for w in others.dictionary.to_pylist()], pa.binary())])
+            place = pc.replace_with_mask(place, place.is_null(), pc.add(others.indices, pa.scalar(len(self.words), pa.int32())))
+        _, off, data = ids.take(place).buffers()
+        ends = np.frombuffer(off, np.int32)[: len(place) + 1] // 4
+        return np.frombuffer(data, np.int32)[: ends[-1]] if ends[-1] else np.zeros(0, np.int32), ends[at]
 
     def mask(self, word: str) -> int | None:
-        held = word.replace(" ", SPACE).encode()
-        i = bisect_right(self.firsts, held) - 1
-        if i < 0:
-            return None
-        try:
-            return self.masks.item(i * ROW_WORDS + self.rows[i].split(b"\n").index(held))
-        except ValueError:
-            return None
+        if self.firsts is None:
+            self.firsts = pc.replace_substring(self.words.take(pa.array(range(0, len(self.words), ROW_WORDS), pa.int32())), " ", SPACE).to_pylist()
+        i = ROW_WORDS * (bisect_right(self.firsts, word.replace(" ", SPACE)) - 1)
+        row = self.words.slice(i, ROW_WORDS).to_pylist() if i >= 0 else []
+        return self.masks.item(i + row.index(word)) if word in row else None
 
     def __missing__(self, word: str) -> bytes:
         got = self.older.get(word)
@@ -384,16 +464,15 @@ def _assemble(pieces, side: SideTable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces.value)
         words = _Words(encoder, side)
-        ids_of, cut = words.__getitem__, pieces.value.words
         for batch in batches:
             for same in by_block(batch):
                 words.open(same.column("block")[0].as_py())
-                flat = [np.frombuffer(b"".join(map(ids_of, cut(cell.as_py() or ""))), np.int32) for cell in same.column("text")]
-                decoded = [encoder.decode(ids.tolist()) for ids in flat]
-                bounds = np.cumsum([0, *map(len, flat)])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat)))
-                rest = [n for n in same.schema.names if n not in ("block", "ord")]
-                yield pa.RecordBatch.from_arrays([*(same.column(n) for n in rest), lists, pa.array(decoded, pa.string())], names=[*rest, "pieces", "decoded"])
+                for part, _, _ in slices(same, "text", ASSEMBLED_BYTES):
+                    ids, bounds = words.of_texts(part.column("text"))
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+                    rest = [n for n in part.schema.names if n not in ("block", "ord")]
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), lists, encoder.decode_all(ids, bounds)], names=[*rest, "pieces", "decoded"])
+                    pa.default_memory_pool().release_unused()
 
     return run
 

@@ -161,3 +161,78 @@ def encoder_bytes(encoder, word, mask):
     import numpy as np
 
     return np.array(encoder.of_word(word.replace("▁", " "), mask), np.int32).tobytes()
+
+
+def test_words_of_many_texts_against_a_pattern():
+    """Words cut in step, over slices, nulls, empty texts, odd signs and the model's own space mark."""
+    import re
+
+    import pyarrow as pa
+
+    r = random.Random(8)
+    model = pieces.Pieces.load(pieces.MODEL)
+    signs = " \n.,!?ab1é世▁\t\r" + model.odd + model.marks
+    texts = [None, "", " ", "\n", "a", "  ", "\n\n ", "▁"] + ["".join(r.choice(signs[: r.choice((6, 20, 99))]) for _ in range(r.randint(0, 30))) for _ in range(2000)] + [""]
+
+    def words(text):
+        marks = re.escape(model.marks)
+        fine = not re.search(f"[{re.escape(model.odd)}]", text)
+        pattern = rf" *[^ \n{marks}]+| *[{marks}]+| +|\n" if fine else r" *[^ \n]+| +|\n"
+        return re.findall(pattern, " " + text.replace("▁", " ")) if text else []
+
+    for part in (pa.array(texts, pa.string()), pa.array(texts, pa.string()).slice(3, 50), pa.array([""], pa.string()), pa.array([], pa.string())):
+        cut, at = model.words(part)
+        cut.validate(full=True)
+        got = cut.to_pylist()
+        assert [got[a:b] for a, b in zip(at, at[1:])] == [words(t or "") for t in part.to_pylist()]
+
+
+def test_words_are_looked_up_in_step():
+    """2,000 texts over a block of 60,000 words: ids equal the library's, in less time than single words of a tenth of the texts."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    sp = library()
+    r = random.Random(9)
+    model = pieces.Pieces.load(pieces.MODEL)
+    encoder = pieces.Encoder(model)
+    stock = ["".join(r.choice("aeiounrstlé世") for _ in range(r.randint(2, 9))) for _ in range(60_000)] + ["x" * 70, "\U0001f9ff", "q"]
+    texts = [" ".join(r.choice(stock) for _ in range(200)) + r.choice(["", "\n", " \n", "  "]) for _ in range(2000)] + [None, "", " ", "x" * 70, "\U0001f9ff" * 3]
+    words = sorted({w.replace(" ", "▁") for w in set(model.words(pa.array(texts, pa.string()))[0].to_pylist()) if 1 < len(w) <= pieces.FOLD_CHARS})
+    masks = []
+    for w in words:
+        ends = np.cumsum([len(s) for s in pieces.merge_long(w, encoder.scores)])
+        masks.append(1 + sum(1 << int(e) for e in ends))
+    whole = [i for i, m in enumerate(masks) if m != (1 << len(words[i]) + 1) - 1]  # words without edges aren't in the table
+
+    class Side:
+        def load(self, block):
+            return pa.table({"word": [words[i] for i in whole], "mask": pa.array([masks[i] for i in whole], pa.int64())}) if block else None
+
+    got = pieces._Words(encoder, Side())
+    got.open(0)
+    assert got.of_texts(pa.array([None, "", "\U0001f9ff"], pa.string()))[0].tolist() == sp.encode("\U0001f9ff")
+    got.open(1)
+    began = time.process_time()
+    ids, at = got.of_texts(pa.array(texts, pa.string()))
+    decoded = encoder.decode_all(ids, at).to_pylist()
+    in_step = time.process_time() - began
+    assert decoded == [t or "" for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [sp.encode(t or "") for t in texts]
+    began = time.process_time()
+    single = [b"".join(map(got.__getitem__, model.words(pa.array([t], pa.string()))[0].to_pylist())) for t in texts[::10]]
+    assert in_step < time.process_time() - began
+    assert single == [ids[a:b].tobytes() for a, b in zip(at, at[1:])][::10]
+
+
+def test_decode_all_repairs_bytes():
+    import numpy as np
+
+    encoder = pieces.Encoder(pieces.Pieces.load(pieces.MODEL))
+    rows = [[], [3 + 0xFF], library().encode("Grüße, 世界 ① done"), [3 + 0xC3, 3 + 0xBC]]
+    at = np.cumsum([0, *map(len, rows)])
+    flat = np.array([i for row in rows for i in row], np.int32)
+    assert encoder.decode_all(flat, at).to_pylist() == [encoder.decode(row) for row in rows]
+    assert encoder.decode_all(flat[:0], np.zeros(3, np.int64)).to_pylist() == ["", ""]
